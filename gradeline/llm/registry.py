@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gradeline.llm.decontaminate import find_leaks
 from gradeline.llm.exact_dedup import exact_dedup
 from gradeline.llm.html_text import extract_pages
 from gradeline.llm.quality import score_quality, train_quality
@@ -39,6 +40,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with each benchmark item that it contains."""
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded."""
     return encode_decode(_table(spark, sf_dir, "documents"))
@@ -54,6 +60,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_html_text": op4_html_text,
     "op5_warc": op5_warc,
+    "op6_decontaminate": op6_decontaminate,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
 }
