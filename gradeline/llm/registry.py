@@ -9,6 +9,7 @@ from gradeline.llm.exact_dedup import exact_dedup
 from gradeline.llm.html_text import extract_pages
 from gradeline.llm.quality import score_quality, train_quality
 from gradeline.llm.sentencepiece_bpe import encode_decode
+from gradeline.llm.substring_dedup import dedup_substrings
 from gradeline.llm.toxicity import score_toxicity, train_toxicity
 from gradeline.llm.warc import read_archive, write_archive
 
@@ -23,6 +24,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, _table(spark, sf_dir, "labels")))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of passages that smaller documents have."""
+    return dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its toxicity score."""
     docs = _table(spark, sf_dir, "documents")
@@ -57,6 +63,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_html_text": op4_html_text,
     "op5_warc": op5_warc,
