@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,11 +52,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps now, not at some later collection."""
-    import gc
+    """Let Spark's cleaner drop the shuffle files of finished steps now, not at some later collection.
 
-    gc.collect()
-    spark._jvm.System.gc()
+    The cleaner works in the background on what a collection has found unreachable, so it gets a moment.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def join_by_key(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, total: int) -> DataFrame:
