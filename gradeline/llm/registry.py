@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gradeline.llm.decontaminate import find_leaks
 from gradeline.llm.exact_dedup import exact_dedup
 from gradeline.llm.html_text import extract_pages
+from gradeline.llm.jaccard_join import jaccard_components
 from gradeline.llm.quality import score_quality, train_quality
 from gradeline.llm.sentencepiece_bpe import encode_decode
 from gradeline.llm.substring_dedup import dedup_substrings
@@ -61,6 +62,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component of its similar documents."""
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
@@ -70,6 +76,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE = {
