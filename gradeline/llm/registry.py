@@ -8,6 +8,7 @@ from gradeline.llm.decontaminate import find_leaks
 from gradeline.llm.exact_dedup import exact_dedup
 from gradeline.llm.html_text import extract_pages
 from gradeline.llm.jaccard_join import jaccard_components
+from gradeline.llm.lm_score import score_texts
 from gradeline.llm.quality import score_quality, train_quality
 from gradeline.llm.sentencepiece_bpe import encode_decode
 from gradeline.llm.substring_dedup import dedup_substrings
@@ -62,6 +63,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its log-probability under the model and the base."""
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component of its similar documents."""
     return jaccard_components(_table(spark, sf_dir, "documents"))
@@ -76,6 +82,7 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_lm_score": op9_lm_score,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
