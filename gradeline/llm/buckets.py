@@ -87,3 +87,24 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 def emit(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def met(docs: DataFrame, packs: DataFrame, names: list[str], parts: int) -> DataFrame:
+    """Texts and packed rows of the same group in one partition, the packed rows first."""
+    texts = docs.select(id_group_column(F.coalesce("doc_id", F.lit(NULL_ID)), parts).alias("part"), F.lit(1).alias("kind"), "doc_id", "text")
+    for n in names:
+        texts = texts.withColumn(n, F.lit(None).cast("binary"))
+    other = packs.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), *names)
+    return texts.unionByName(other).repartitionById(parts, "part").sortWithinPartitions("kind")
+
+
+def split_met(batches: Iterator[pa.RecordBatch], take) -> Iterator[pa.RecordBatch]:
+    """Hand packed rows to ``take`` and give the batches of texts."""
+    for batch in batches:
+        kind = np.asarray(batch.column("kind"))
+        first = int(np.searchsorted(kind, 1))
+        if first:
+            for r in batch.slice(0, first).to_pylist():
+                take(r)
+        if first < batch.num_rows:
+            yield batch.slice(first).select(["doc_id", "text"])

@@ -4,14 +4,16 @@ Tokens are a document's distinct 5-word shingles. With a threshold of 3/4, two s
 token among the first n - ceil(3n/4) + 1 tokens of each in any common order, and k tokens if these
 prefixes are longer by k - 1.
 
-1. Sets: each text gives its size and a 128-bit signature of its set; equal sets become one class.
-   The same pass counts tokens (a bounded Misra-Gries summary for each task, merged), which divides
-   them into rare and frequent ones; the frequent are at most FREQUENT_ROWS.
-2. Index: rare tokens come first in the order, then frequent ones. Rare tokens of the prefix are
-   indexed one by one. Where a prefix reaches frequent tokens it is longer by one, and pairs of its
-   frequent tokens are indexed; sets with more than COMBINED frequent tokens there index them singly.
-   Each index entry with several classes names its smallest as pivot (sizes that can't be similar
-   part it), so any two similar sets have a pivot in common.
+1. Classes: every task sends its documents' distinct tokens to the partitions of the hash space,
+   which count the different sets that have each token and send back the counts of those that
+   several have. Equal sets (by a 128-bit signature) are one class.
+2. Index: texts meet the counts of their tokens. A set of which less than 3/4 of the tokens occur
+   elsewhere has no link. In the others tokens are ordered by their counts, rare ones first. Rare
+   tokens of the prefix are indexed one by one. Where a prefix reaches frequent tokens (more than
+   FREQUENT sets) it is longer by one, and pairs of its frequent tokens are indexed; sets with more
+   than COMBINED frequent tokens there index them singly. Each index entry with several classes
+   names its smallest as pivot (sizes that can't be similar part it), so any two similar sets have
+   a pivot in common.
 3. Verification: texts go to their pivots' groups. There a local index, ordered by the frequency in
    the group, finds the candidates, and exact intersections decide. A group is searched component
    by component, each document against those not yet reached, so copies don't meet pairwise. Groups
@@ -36,18 +38,21 @@ from pyspark.sql import functions as F
 
 from gradeline.llm import buckets as B
 from gradeline.llm.components import components
-from gradeline.llm.shared import free_shuffles, join_by_key, written
+from gradeline.llm.shared import free_shuffles, join_by_key, new_dir, written
 from gradeline.llm.textops import SpanHash, blocks, column_bytes, lower_ascii, mixed, ranges, windows, word_spans
 
 SHINGLE = 5
 #: Similar if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-FREQUENT_ROWS = 100_000
+#: A token of more sets than this (at most 199) is frequent.
+FREQUENT = 128
 COMBINED = 16
 GROUP = 1000
 
 _WORD, _SHINGLE = SpanHash(51), SpanHash(52)
 _LOW47 = np.uint64((1 << 47) - 1)
+_TOKENS = pa.schema([(n, pa.int32() if n == "part" else pa.binary()) for n in ("part", "groups", "signs", "counts", "keys")])
+_COMMON = pa.schema([(n, pa.int32() if n == "part" else pa.binary()) for n in ("part", "keys", "classes")])
 _ENTRIES = pa.schema([(n, pa.int32() if n == "part" else pa.binary()) for n in ("part", "ids", "sizes", "signs", "counts", "keys")])
 _ENTRIES_SQL = "part int, ids binary, sizes binary, signs binary, counts binary, keys binary"
 
@@ -87,77 +92,97 @@ def needed(n: np.ndarray) -> np.ndarray:
     return (PERCENT * n + 99) // 100
 
 
-class _Summary:
-    """Misra-Gries counts in bounded memory: a token in more than 1/most of all entries stays."""
-
-    def __init__(self, most: int):
-        self.most, self.keys, self.counts = most, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def add(self, tokens: np.ndarray) -> None:
-        keys, counts = np.unique(tokens, return_counts=True)
-        at = np.searchsorted(self.keys, keys)
-        old = np.zeros(len(keys), bool) if not len(self.keys) else self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-        self.counts[at[old]] += counts[old]
-        self.keys = np.insert(self.keys, at[~old], keys[~old])
-        self.counts = np.insert(self.counts, at[~old], counts[~old])
-        if len(self.keys) > self.most:
-            cutoff = np.partition(self.counts, len(self.counts) - self.most - 1)[len(self.counts) - self.most - 1]
-            stay = self.counts > cutoff
-            self.keys, self.counts = self.keys[stay], self.counts[stay] - cutoff
-
-
-def _scan_sets(docs: DataFrame, most: int) -> DataFrame:
-    """Rows of (doc_id, n, sign_a, sign_b), and at each task's end rows of counted tokens."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sign_a", pa.int64()), ("sign_b", pa.int64()), ("tokens", pa.binary()), ("counts", pa.binary())])
+def _common_tokens(texts: DataFrame, parts: int) -> DataFrame:
+    """(part, keys, classes): tokens of several classes of equal sets, for each group of documents that has them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary = _Summary(most)
         for block in blocks(batches, "text"):
             token, bounds = token_sets(block)
-            a, b = signatures(token, bounds)
-            summary.add(token)
-            none = pa.nulls(block.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(np.diff(bounds)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), none, none], schema=schema)
-        often = summary.counts >= 2
-        keys, counts = summary.keys[often], summary.counts[often]
-        for k in range(0, len(keys), 50_000):
-            yield B.emit(schema, [(None, None, None, None, B.packed(keys[k : k + 50_000]), counts[k : k + 50_000].astype("<i8").tobytes())])
-
-    return docs.mapInArrow(scan, "doc_id long, n long, sign_a long, sign_b long, tokens binary, counts binary")
-
-
-def _frequent(counted: DataFrame, total: int, most: int) -> np.ndarray:
-    """The frequent tokens, sorted; at most ``most``."""
+            row = np.repeat(np.arange(block.num_rows), np.diff(bounds))
+            order, at = B.cut(B.hash_bucket(token, parts), parts)
+            keys, row = token[order], row[order]
+            groups = B.deltas(B.id_group(np.asarray(block.column("doc_id")), parts))
+            signs = B.packed(signatures(token, bounds)[0])
+            out = []
+            for p in range(parts):
+                a, b = at[p], at[p + 1]
+                if a < b:
+                    counts = np.bincount(row[a:b], minlength=block.num_rows).astype("<u4")
+                    out.append((p, groups, signs, counts.tobytes(), B.packed(keys[a:b])))
+            yield B.emit(_TOKENS, out)
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, docs_, groups, signs, seen = [], [], [], [], 0
         for r in B.rows_of(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(B.unpacked(r["tokens"]).view(np.int64)), pa.array(np.frombuffer(r["counts"], "<i8"))], names=["token", "n"])
-
-    least = max(50, total // most)
-    rows = counted.select("tokens", "counts").mapInArrow(unpack, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    got = rows.where(F.col("n") >= least).orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()
-    return np.sort(np.asarray(got.column("token").combine_chunks()).astype(np.int64).view(np.uint64))
-
-
-def index_entries(token: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index keys of the sets of a block (48 bits), the row of each, and which rows index frequent tokens singly."""
+            counts = np.frombuffer(r["counts"], "<u4")
+            keys.append(B.unpacked(r["keys"]))
+            docs_.append(np.repeat(np.arange(seen, seen + len(counts), dtype=np.int32), counts))
+            groups.append(B.undeltas(r["groups"]).astype(np.int32))
+            signs.append(B.unpacked(r["signs"]))
+            seen += len(counts)
+        if not keys:
+            return
+        key, doc, group, sign = (np.concatenate(x) for x in (keys, docs_, groups, signs))
+        keys.clear()
+        order = np.argsort(key, kind="stable")
+        key, doc = key[order], doc[order]
+        same = key[1:] == key[:-1]
+        several = np.append(False, same) | np.append(same, False)
+        key, doc = key[several], doc[several]
+        if not len(key):
+            return
+        order = np.lexsort((sign[doc], key))
+        key, doc = key[order], doc[order]
+        new = np.append(True, key[1:] != key[:-1])
+        other = new | np.append(True, sign[doc[1:]] != sign[doc[:-1]])
+        number = np.cumsum(new) - 1
+        sets = np.bincount(number[other])[number]
+        common = sets > 1
+        key, g, cls = key[common], group[doc[common]], frequency_class(sets[common])
+        order = np.lexsort((key, g))
+        key, g, cls = key[order], g[order], cls[order]
+        once = np.append(True, (key[1:] != key[:-1]) | (g[1:] != g[:-1])) if len(key) else np.zeros(0, bool)
+        key, g, cls = key[once], g[once], cls[once]
+        at = np.searchsorted(g, np.arange(parts + 1))
+        for p in range(parts):
+            a, b = at[p], at[p + 1]
+            if a < b:
+                yield B.emit(_COMMON, [(p, B.packed(key[a:b]), cls[a:b].tobytes())])
+
+    sent = texts.mapInArrow(scan, "part int, groups binary, signs binary, counts binary, keys binary").repartitionById(parts, "part")
+    return sent.mapInArrow(count, "part int, keys binary, classes binary")
+
+
+def frequency_class(sets: np.ndarray) -> np.ndarray:
+    """The number of sets up to 199, then steps of powers of two; one byte."""
+    return np.where(sets < 200, sets, 192 + np.log2(np.maximum(sets, 1)).astype(np.int64)).clip(0, 255).astype(np.uint8)
+
+
+def index_entries(
+    token: np.ndarray, bounds: np.ndarray, cls: np.ndarray, frequent: int = FREQUENT, combined: int = COMBINED
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of the sets of a block (48 bits), the row of each, and which rows index frequent tokens singly.
+
+    ``cls`` is the frequency class of each token. Sets without enough tokens that others have get no key.
+    """
     rows = len(bounds) - 1
     n = np.diff(bounds)
     row = np.repeat(np.arange(rows), n)
-    often = np.zeros(len(token), bool)
-    if len(frequent) and len(token):
-        often = frequent[np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)] == token
-    rare_before = np.append(0, np.cumsum(~often))
-    rare = rare_before[bounds[1:]] - rare_before[bounds[:-1]]
-    rank = rare_before[:-1] - rare_before[bounds[row]]
-    inside = np.arange(len(token)) - bounds[row]
-    place = np.where(often, rare[row] + inside - rank, rank)
+    shared = np.bincount(row, cls > 1, rows) if len(row) else np.zeros(rows)
+    can = (shared >= needed(n)) & (n > 0)
+    kept = can[row]
+    token, row, cls = token[kept], row[kept], cls[kept]
+    order = np.lexsort((token, cls, row))
+    token, cls = token[order], cls[order]
+    often = cls > frequent
+    rare = np.bincount(row, ~often, rows).astype(np.int64) if len(row) else np.zeros(rows, np.int64)
+    begin = np.searchsorted(row, np.arange(rows))
+    place = np.arange(len(token)) - begin[row]
     prefix = n - needed(n) + 1
     longer = np.minimum(prefix + 1, n)
-    reaches = longer > rare
-    length = np.where(reaches, longer, prefix)
+    length = np.where(longer > rare, longer, prefix)
     taken = place < length[row]
-    single = taken & ~often
+    single = taken & ~often & (cls > 1)
     keys, of = [token[single] & _LOW47], [row[single]]
     some = taken & often
     many = np.bincount(row[some], minlength=rows) if some.any() else np.zeros(rows, np.int64)
@@ -166,29 +191,56 @@ def index_entries(token: np.ndarray, bounds: np.ndarray, frequent: np.ndarray) -
         keys.append(mixed(token[some] + np.uint64(1)) & _LOW47 | np.uint64(1 << 47))
         of.append(row[some])
         t, r = token[some], row[some]
-        few = many[r] <= COMBINED
+        few = many[r] <= combined
         t, r = t[few], r[few]
-        for gap in range(1, COMBINED):
+        t = t[np.lexsort((t, r))]
+        for gap in range(1, combined):
             a, b = slice(None, -gap), slice(gap, None)
             both = r[a] == r[b] if len(r) > gap else np.zeros(0, bool)
             if not both.any():
                 break
             keys.append(mixed(mixed(t[a][both]) + t[b][both] * np.uint64(3)) & _LOW47)
             of.append(r[a][both])
-    return np.concatenate(keys), np.concatenate(of), many > COMBINED
+    return np.concatenate(keys), np.concatenate(of), many > combined
 
 
-def _pivots(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
-    """Distinct (pivot, member) of all index entries with several classes."""
-    shipped = docs.sparkSession.sparkContext.broadcast(frequent)
+def _indexed(texts: DataFrame, common: DataFrame, parts: int, frequent: int, combined: int) -> str:
+    """Write, in folders of their own: the size and signature of every set, index entries, and the texts that can have a link."""
+    schema = pa.schema([
+        ("kind", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sign_a", pa.int64()), ("sign_b", pa.int64()), ("text", pa.string()), *_ENTRIES,
+    ])
+
+    def filled(kind: str, **columns) -> pa.RecordBatch:
+        rows = len(next(iter(columns.values())))
+        arrays = {"kind": pa.array([kind] * rows), **columns}
+        return pa.RecordBatch.from_arrays([arrays[f.name] if f.name in arrays else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        packs: list[tuple[np.ndarray, np.ndarray]] = []
+        known = None
+        for block in blocks(B.split_met(batches, lambda r: packs.append((B.unpacked(r["keys"]), np.frombuffer(r["classes"], np.uint8)))), "text"):
+            if known is None:
+                known = np.concatenate([k for k, _ in packs]) if packs else np.zeros(0, np.uint64)
+                classes = np.concatenate([c for _, c in packs]) if packs else np.zeros(0, np.uint8)
+                packs.clear()
+                order = np.argsort(known)
+                known, classes = known[order], classes[order]
             token, bounds = token_sets(block)
-            keys, row, big = index_entries(token, bounds, shipped.value)
             ids = np.asarray(block.column("doc_id"))
+            one, two = signatures(token, bounds)
+            yield filled("set", doc_id=block.column("doc_id"), n=pa.array(np.diff(bounds)), sign_a=pa.array(one.view(np.int64)), sign_b=pa.array(two.view(np.int64)))
+            cls = np.ones(len(token), np.uint8)
+            if len(known) and len(token):
+                at = np.minimum(np.searchsorted(known, token), len(known) - 1)
+                cls = np.where(known[at] == token, classes[at], 1)
+            keys, row, big = index_entries(token, bounds, cls, frequent, combined)
+            if not len(keys):
+                continue
+            some = np.zeros(block.num_rows, bool)
+            some[row] = True
+            chosen = block.filter(pa.array(some))
+            yield filled("text", doc_id=chosen.column("doc_id"), text=chosen.column("text"))
             sizes = (np.diff(bounds) * 2 + big).astype("<i8")
-            signs = signatures(token, bounds)[0]
             bucket = B.hash_bucket(mixed(keys), parts)
             order = np.lexsort((row, bucket))
             keys, row = keys[order], row[order]
@@ -200,8 +252,18 @@ def _pivots(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
                     head = np.flatnonzero(np.append(True, row[a + 1 : b] != row[a : b - 1]))
                     own = row[a:b][head]
                     counts = np.diff(np.append(head, b - a)).astype("<u4")
-                    out.append((p, B.deltas(ids[own]), B.deltas(sizes[own]), B.packed(signs[own]), counts.tobytes(), B.packed(keys[a:b], 6)))
-            yield B.emit(_ENTRIES, out)
+                    out.append((p, B.deltas(ids[own]), B.deltas(sizes[own]), B.packed(one[own]), counts.tobytes(), B.packed(keys[a:b], 6)))
+            entry = B.emit(_ENTRIES, out)
+            yield filled("entry", **dict(zip(_ENTRIES.names, entry.columns, strict=True)))
+
+    path = new_dir(texts.sparkSession, "jaccard-index")
+    columns = "kind string, doc_id long, n long, sign_a long, sign_b long, text string, " + _ENTRIES_SQL
+    B.met(texts, common, ["keys", "classes"], parts).mapInArrow(scan, columns).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    return path
+
+
+def _pivots(entries: DataFrame, parts: int) -> DataFrame:
+    """Distinct (pivot, member) of all index entries with several classes."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs_, ids, sizes, signs, seen = [], [], [], [], [], 0
@@ -247,8 +309,7 @@ def _pivots(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
             once = np.append(True, (pivot[1:] != pivot[:-1]) | (member[1:] != member[:-1]))
             yield pa.RecordBatch.from_arrays([pa.array(pivot[once]), pa.array(member[once])], names=["pivot", "member"])
 
-    sent = docs.mapInArrow(scan, _ENTRIES_SQL).repartitionById(parts, "part")
-    return sent.mapInArrow(gather, "pivot long, member long").distinct()
+    return entries.repartitionById(parts, "part").mapInArrow(gather, "pivot long, member long").distinct()
 
 
 def linked(sets: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
@@ -392,24 +453,26 @@ def _links(docs: DataFrame, pivots: DataFrame, parts: int, group: int) -> DataFr
     return written(edges.unionByName(more), "jaccard-edges")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent_rows: int = FREQUENT_ROWS, group: int = GROUP) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, frequent: int = FREQUENT, combined: int = COMBINED
+) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
     parts = B.partitions(docs)
-    scanned = written(_scan_sets(docs, frequent_rows), "jaccard-sets")
-    sets = scanned.where("n is not null").select("doc_id", "n", "sign_a", "sign_b")
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    frequent = _frequent(scanned.where("tokens is not null"), total, frequent_rows)
-    free_shuffles(spark)
-
     named = docs.where("doc_id is not null")
-    pivots = written(_pivots(named, frequent, parts), "jaccard-pivots")
+    common = written(_common_tokens(named, parts), "jaccard-common")
+    free_shuffles(spark)
+    path = _indexed(named, common, parts, frequent, combined)
+    free_shuffles(spark)
+    read = lambda kind, columns: spark.read.schema(columns + ", kind string").parquet(path).where(F.col("kind") == kind).drop("kind")
+    sets = read("set", "doc_id long, n long, sign_a long, sign_b long")
+    pivots = written(_pivots(read("entry", _ENTRIES_SQL), parts), "jaccard-pivots")
     free_shuffles(spark)
-    edges = _links(named, pivots, parts, group)
+    edges = _links(read("text", "doc_id long, text string"), pivots, parts, group)
     free_shuffles(spark)
 
-    filled = sets.where("n > 0 and doc_id is not null").select("doc_id", "n", F.struct("sign_a", "sign_b").alias("sign"))
+    filled = sets.where("n > 0").select("doc_id", "n", F.struct("sign_a", "sign_b").alias("sign"))
     classes = filled.groupBy("sign").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("group_size"))
     classes = written(classes, "jaccard-classes")
     rows = filled.count()
@@ -421,8 +484,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = classes.groupBy("first").agg(F.sum("group_size").alias("group_size"))
     known = sizes.join(found.withColumnRenamed("node", "first"), "first", "left").select("first", F.coalesce("component", "first").alias("component_id"))
     named_rows = join_by_key(member, known, "first", sizes, rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return named_rows.unionByName(alone)
+    alone = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return named_rows.unionByName(alone).unionByName(_nameless(docs))
+
+
+def _nameless(docs: DataFrame) -> DataFrame:
+    """The rows without an id: their sizes, and no component."""
+
+    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            n = np.diff(token_sets(block)[1])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.array(n), pa.nulls(len(n), pa.int64())], names=["doc_id", "n_shingles", "component_id"])
+
+    return docs.where("doc_id is null").mapInArrow(size, "doc_id long, n_shingles long, component_id long")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:

@@ -26,7 +26,6 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from gradeline.llm import buckets as B
 from gradeline.llm.shared import free_shuffles, written
@@ -121,34 +120,13 @@ def _shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
     return sent.mapInArrow(gather, _SQL(_HITS))
 
 
-def _met(docs: DataFrame, packs: DataFrame, names: list[str], parts: int) -> DataFrame:
-    """Texts and packed rows of the same group in one partition, the packed rows first."""
-    texts = docs.select(B.id_group_column(F.coalesce("doc_id", F.lit(B.NULL_ID)), parts).alias("part"), F.lit(1).alias("kind"), "doc_id", "text")
-    for n in names:
-        texts = texts.withColumn(n, F.lit(None).cast("binary"))
-    other = packs.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), *names)
-    return texts.unionByName(other).repartitionById(parts, "part").sortWithinPartitions("kind")
-
-
-def _split(batches: Iterator[pa.RecordBatch], take) -> Iterator[pa.RecordBatch]:
-    """Hand packed rows to ``take`` and give the batches of texts."""
-    for batch in batches:
-        kind = np.asarray(batch.column("kind"))
-        first = int(np.searchsorted(kind, 1))
-        if first:
-            for r in batch.slice(0, first).to_pylist():
-                take(r)
-        if first < batch.num_rows:
-            yield batch.slice(first).select(["doc_id", "text"])
-
-
 def _repeated_windows(docs: DataFrame, hits: DataFrame, parts: int) -> DataFrame:
     """(part, ids, prints, counts, starts): windows that start in a smaller document too."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
         known = None
-        for block in blocks(_split(batches, lambda r: found.append(B.unpacked(r["keys"], 6))), "text"):
+        for block in blocks(B.split_met(batches, lambda r: found.append(B.unpacked(r["keys"], 6))), "text"):
             if known is None:
                 known = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
                 found.clear()
@@ -215,7 +193,7 @@ def _repeated_windows(docs: DataFrame, hits: DataFrame, parts: int) -> DataFrame
                 counts = np.diff(np.append(head, b - a)).astype("<u4")
                 yield B.emit(_REPEATS, [(p, B.deltas(i[head]), B.packed(f[head], 4), counts.tobytes(), B.deltas(starts[a:b]))])
 
-    met = _met(docs, hits, ["keys"], parts)
+    met = B.met(docs, hits, ["keys"], parts)
     sent = met.mapInArrow(extend, _SQL(_WINDOWS)).repartitionById(parts, "part")
     return sent.mapInArrow(smallest, _SQL(_REPEATS))
 
@@ -243,7 +221,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             counts = np.frombuffer(r["counts"], "<u4")
             packs.append((np.repeat(B.undeltas(r["ids"]), counts), np.repeat(B.unpacked(r["prints"], 4), counts), B.undeltas(r["starts"])))
 
-        for block in blocks(_split(batches, take), "text"):
+        for block in blocks(B.split_met(batches, take), "text"):
             if table is None:
                 ids, prints, starts = (np.concatenate(c) for c in zip(*packs, strict=True)) if packs else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
                 packs.clear()
@@ -281,5 +259,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             arrays = [B.id_array(own), pa.array(np.diff(first)), pa.array(gone), pa.array(columns[0])]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(columns[1], pa.string())] * with_text, schema=schema)
 
-    met = _met(docs, repeats, ["ids", "prints", "counts", "starts"], parts)
+    met = B.met(docs, repeats, ["ids", "prints", "counts", "starts"], parts)
     return met.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
