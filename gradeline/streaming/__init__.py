@@ -1 +1 @@
-
+"""Streams over scoreboard files as they arrive."""
