@@ -58,9 +58,3 @@ def truthy(text: Column, quoted: Column | None = None) -> Column:
 def blank(num: Column, text: Column) -> Column:
     """A cell without content: no value, empty text or zero."""
     return (num.isNull() & (text.isNull() | (text == ""))) | F.coalesce(num == 0, F.lit(False))
-
-
-def fixed_point(value: Column, places: int = 1) -> Column:
-    """Text with a fixed number of places, rounding the exact binary value half away from zero."""
-    exact = value.cast("decimal(38,18)")
-    return F.format_number(F.round(exact, places), f"0.{'0' * places}" if places else "0")

@@ -40,8 +40,14 @@ def catchbasin_warnings(g: Column) -> Column:
 
 def with_warnings(records: DataFrame) -> DataFrame:
     """Append the warnings in the order sewers, watermain, catchbasins."""
+    none = F.array().cast("array<string>")
+
+    def messages(items: Column, rule) -> Column:
+        return F.flatten(F.transform(items, lambda x: F.coalesce(rule(x), none)))
+
     found = [
-        F.flatten(F.transform(items, lambda x, rule=rule: F.coalesce(rule(x), F.array().cast("array<string>"))))
-        for items, rule in ((F.col("sewers"), sewer_warnings), (F.col("watermain"), watermain_warnings), (F.col("catchbasins.groups"), catchbasin_warnings))
+        messages(F.col("sewers"), sewer_warnings),
+        messages(F.col("watermain"), watermain_warnings),
+        messages(F.col("catchbasins.groups"), catchbasin_warnings),
     ]
     return records.withColumn("warnings", F.filter(F.concat("warnings", *found), lambda w: w.isNotNull()))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeline.functions.display import scoreboard_date
+from gradeline.functions.values import number_prefix
 
 COLUMNS = ("mh_structures", "mh_catchbasins", "sewers", "watermain", "overall")
 SCHEMA = "project string, " + ", ".join(f"{c} double" for c in COLUMNS) + ", total_cells int, matching_cells int"
@@ -27,8 +28,8 @@ def naive_fields(line) -> dict:
     at = lambda i: F.try_element_at(f, F.lit(i + 1))
     return {
         "project": F.regexp_replace(at(0), '^"|"$', ""),
-        "overall": F.trim(at(5)).try_cast("double"),
-        "total_cells": F.trim(at(6)).try_cast("int"),
+        "overall": number_prefix(at(5)),
+        "total_cells": number_prefix(at(6)).cast("int"),
     }
 
 
