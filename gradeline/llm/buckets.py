@@ -17,15 +17,22 @@ from pyspark.sql import functions as F
 
 #: Input bytes for each partition, where that asks for more than spark.sql.shuffle.partitions.
 PARTITION_BYTES = 128 << 20
+#: Estimates from here on mean that Spark does not know.
+UNKNOWN_BYTES = 1 << 60
 #: What a null id counts as; it sorts before all others.
 NULL_ID = -(1 << 63)
 
 
 def partitions(df: DataFrame) -> int:
-    """Number of partitions for exchanges of what ``df`` holds."""
+    """Number of partitions for exchanges of what ``df`` holds, by the sizes of the tables that it reads.
+
+    Sizes that Spark doesn't know (as of local rows) don't count, and no join's estimate does.
+    """
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(conf, min(size // PARTITION_BYTES, 100_000))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < UNKNOWN_BYTES)
+    return max(conf, min(known // PARTITION_BYTES, 100_000))
 
 
 def id_group(ids: np.ndarray, parts: int) -> np.ndarray:

@@ -19,7 +19,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeline.llm.shared import join_by_key, new_dir
+from gradeline.llm.shared import free_name, join_by_key, new_dir
 
 _WHITE = r"[\x20\x09-\x0D]+"
 _ROCKSDB = {
@@ -156,7 +156,8 @@ def _by_text(docs: DataFrame, id_col: str, text: Column, digest, mixed: DataFram
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    keyed = docs.withColumn("_sha", sha256(normalised(F.col(text_col)))).withColumn("_id", F.col(id_col).cast("long"))
-    same = keyed["_id"].eqNullSafe(kept["_id"]) & (keyed["_sha"] == kept["_sha"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["_id", "_sha"]).drop("_id", "_sha")
+    own_id, own_sha = (free_name(docs, n) for n in ("_row", "_sha"))
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("keep_row"), F.col("text_sha256").alias("keep_sha"))
+    keyed = docs.withColumn(own_sha, sha256(normalised(F.col(text_col)))).withColumn(own_id, F.col(id_col).cast("long"))
+    same = keyed[own_id].eqNullSafe(kept["keep_row"]) & (keyed[own_sha] == kept["keep_sha"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates([own_id, own_sha]).drop(own_id, own_sha)

@@ -34,6 +34,8 @@ from gradeline.llm.textops import SpanHash, blocks, column_bytes, lower_ascii, m
 #: Words with vectors of their own, and classes of all other words.
 VOCABULARY, CLASSES = 1000, 64
 DIMENSIONS, NOISE = 24, 10
+#: Observations with plain symbol frequencies that each context starts with.
+PRIOR_PAIRS = 50.0
 _CLASS_BITS = np.uint64(CLASSES - 1)
 _WORD = SpanHash(61)
 _SENT = pa.schema([(n, pa.int32() if n == "part" else pa.binary()) for n in ("part", "ids", "prints", "held", "counts", "keys", "times")])
@@ -191,6 +193,8 @@ class LogBilinear:
             return
         noise = (pairs.sum(0) + 1) / (total + self.symbols)
         self.bias = np.log(noise)
+        # Rare contexts lean on the frequencies of the symbols alone.
+        pairs = pairs + PRIOR_PAIRS * noise[None, :]
         data = pairs / total
         against = NOISE * (pairs.sum(1) / total)[:, None] * noise[None, :]
         shift = np.log(NOISE * noise)

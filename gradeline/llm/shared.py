@@ -51,6 +51,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps now, not at some later collection.
 
