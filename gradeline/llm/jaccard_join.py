@@ -47,7 +47,7 @@ PERCENT = 75
 #: A token of more sets than this (at most 199) is frequent.
 FREQUENT = 128
 COMBINED = 16
-GROUP = 1000
+GROUP = 300
 
 _WORD, _SHINGLE = SpanHash(51), SpanHash(52)
 _LOW47 = np.uint64((1 << 47) - 1)
