@@ -14,11 +14,12 @@ from gradeline.llm.exact_dedup import drop_exact_copies
 from gradeline.llm.jaccard_join import keep_one_of_each
 from gradeline.llm.quality import keep_good, train_quality
 from gradeline.llm.sentencepiece_bpe import encode_decode
-from gradeline.llm.shared import free_shuffles, written
+from gradeline.llm.shared import free_shuffles, small_batches, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model accepts; it is fitted on labelled rows of ``docs``."""
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_good(docs, train_quality(docs, labels))
 
@@ -30,16 +31,19 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each group of similar ones."""
+    small_batches(spark)
     return keep_one_of_each(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
+    small_batches(spark)
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokenize_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text of each document."""
+    small_batches(spark)
     return encode_decode(docs)
 
 

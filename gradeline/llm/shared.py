@@ -32,6 +32,13 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + _local["root"]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches for rows with whole texts: the default of 10,000 rows would hold many megabytes twice for each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
 def new_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder under the shared root."""
     return f"{shared_root(spark)}/gradeline/{what}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes that are worked on at once; a longer document makes a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -69,33 +69,37 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class SpanHash:
-    """64-bit hashes of spans of an integer sequence, by prefix sums of a polynomial modulo 2^64."""
+    """64-bit hashes of spans of an integer sequence, by prefix sums of a polynomial modulo 2^64.
+
+    The byte table comes from the seed. There are two bases, one for even and one for odd seeds, so
+    that the powers, which are long, are kept twice at most.
+    """
+
+    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-        base = int(rng.integers(0, 1 << 62)) * 4 + 5
-        self.base, self.inverse = np.uint64(base % (1 << 64)), np.uint64(pow(base, -1, 1 << 64))
-        self.powers = self.inverses = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
+        self.table = np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
+        self.base = int(np.random.default_rng(1000 + seed % 2).integers(0, 1 << 62)) * 4 + 5
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first powers of the base and of its inverse, at least ``n``."""
+        held = self._powers.get(self.base)
+        if held is None or len(held[0]) < n:
             size = max(n, BLOCK_BYTES + 65_536)
-            for name, factor in (("powers", self.base), ("inverses", self.inverse)):
+            made = []
+            for factor in (self.base % (1 << 64), pow(self.base, -1, 1 << 64)):
                 steps = np.full(size, factor, np.uint64)
                 steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        self._grow(len(values) + 1)
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.powers[: len(values)], out=out[1:])
-        return out
+                made.append(np.multiply.accumulate(steps))
+            held = self._powers[self.base] = tuple(made)
+        return held
 
     def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of values[start:end]; ``values`` are uint64."""
-        sums = self.sums(values)
-        return mixed((sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64))
+        powers, inverses = self.powers(len(values) + 1)
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * powers[: len(values)], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of byte spans."""
