@@ -258,6 +258,49 @@ def run_cost_rollup(spark, sf_dir):
     return sums.select("l_orderkey", "sewer_length", F.round("_c", 6).alias("sewer_total"), F.round(F.col("_c") * _SEWER["marginFactor"], 6).alias("grand_total"))
 
 
+_MANHOLE, _WATERMAIN = DEFAULT_PARAMS["manholes"], DEFAULT_PARAMS["watermain"]
+
+
+@_query(f"""
+    WITH r AS (
+        SELECT l_orderkey, l_returnflag AS k, l_linenumber = 1 AS fee, l_quantity AS q, {_snapped('p_size * 15.0')} AS dia, l_discount * 20 AS depth,
+               CASE WHEN l_discount > 0.02 THEN 2.0 + l_tax * 10 ELSE 2.0 END AS deep, l_tax * 100 AS extra FROM lineitem JOIN part ON p_partkey = l_partkey),
+    c AS (
+        SELECT l_orderkey,
+               CASE WHEN k = 'N' AND NOT fee THEN ({_SEWER['dayCostPerDay']} + {_SEWER['extraPerDay']}) * (q / {_SEWER['productionMPerDay']}) + q * {_PRICE}
+                    + greatest({_SEWER['minTrenchWidth']}, dia * 0.0025 + 0.6) * (depth + 0.1 + dia * 0.00125) * q * {_SEWER['truckingPerCM']} ELSE 0 END AS s,
+               CASE WHEN k = 'A' THEN deep * 500 + 400 + {_MANHOLE['laborPerHr']} * (15 + deep * 5) + deep * 0.5 * {_MANHOLE['truckingPerCM']} + extra + 7 ELSE 0 END AS m,
+               CASE WHEN k = 'R' AND NOT fee THEN ({_WATERMAIN['dayCostPerDay']} + {_WATERMAIN['extraPerDay']}) * (q / {_WATERMAIN['productionMPerDay']})
+                         + q * CASE dia WHEN 100 THEN 32 WHEN 150 THEN 51 WHEN 200 THEN 84 WHEN 250 THEN 156 WHEN 300 THEN 194 ELSE 84 END
+                    WHEN k = 'R' THEN 2 * (q + 100 + 30) + (extra + 285 + 150 + 150) ELSE 0 END AS w,
+               CASE WHEN k = 'N' AND NOT fee THEN q ELSE 0 END AS sl, CASE WHEN k = 'A' THEN 1 ELSE 0 END AS mc, CASE WHEN k = 'R' AND NOT fee THEN q ELSE 0 END AS wl
+        FROM r)
+    SELECT l_orderkey AS project, round(sum(s), 6) AS sewer_total, round(sum(m), 6) AS manhole_total, round(sum(w), 6) AS watermain_total, sum(sl) AS sewer_length,
+           sum(mc)::INTEGER AS manhole_count, sum(wl) AS watermain_length, round(sum(s) + sum(m) + sum(w), 6) AS subtotal,
+           CASE WHEN l_orderkey % 50 = 0 THEN 0 ELSE round((sum(s) + sum(m) + sum(w)) * {_SEWER['marginFactor']}, 6) END AS grand_total
+    FROM c GROUP BY l_orderkey
+""")
+def quote_totals(spark, sf_dir):
+    """Quotes of records that are built from each order's lines; an override of 0 counts."""
+    part = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), pipes.standard_diameter(F.col("p_size") * 15.0).alias("dia"))
+    kind, fee, q, extra = F.col("l_returnflag"), F.col("l_linenumber") == 1, F.col("l_quantity"), F.col("l_tax") * 100
+    number = lambda v: F.lit(float(v))
+    sewer = F.struct(fee.alias("isLineItem"), q.alias("length"), F.col("dia").alias("pipeDiameter"), (F.col("l_discount") * 20).alias("depth"))
+    top = F.when(F.col("l_discount") > 0.02, F.col("l_tax") * 10 + 102.0).otherwise(0.0)
+    manhole = F.struct(top.alias("topElevation"), number(100).alias("lowInvert"), extra.alias("addMaterials"), number(7).alias("addLE"))
+    run = F.struct(q.alias("length"), F.col("dia").alias("pipeDiameter"))
+    special = F.struct(number(2).alias("quantity"), q.alias("costEach"), number(100).alias("anodeCost"), number(30).alias("laborEach"))
+    valve = F.struct(number(1).alias("quantity"), extra.alias("valveCost"), number(285).alias("boxCost"), number(150).alias("anodeCost"), number(150).alias("laborPerValve"))
+    lists = {
+        "sewers": F.when(kind == "N", sewer), "manholes": F.when(kind == "A", manhole), "watermain": F.when((kind == "R") & ~fee, run),
+        "watermainSpecials": F.when((kind == "R") & fee, special), "watermainValves": F.when((kind == "R") & fee, valve),
+    }
+    records = _read(spark, sf_dir, "lineitem").join(part, "l_partkey").groupBy(F.col("l_orderkey").alias("project")).agg(*[F.collect_list(v).alias(k) for k, v in lists.items()])
+    params = F.struct(*[F.struct(*[F.lit(v).alias(k) for k, v in fields.items()]).alias(s) for s, fields in DEFAULT_PARAMS.items()])
+    quotes = costs.quote(records.withColumns({"params": params, "total_override": F.when(F.col("project") % 50 == 0, 0.0)}))
+    return quotes.drop("markup").withColumns({c: F.round(c, 6) for c in ("sewer_total", "manhole_total", "watermain_total", "subtotal", "grand_total")})
+
+
 @_query("""
     WITH n AS (SELECT l_orderkey, count(*) AS n, coalesce(sum(CASE WHEN l_linenumber <> 1 THEN l_quantity END), 0) AS len FROM lineitem GROUP BY 1)
     SELECT l_orderkey, n + 1 AS item, 'VIDEO ($25/m)' AS runLabel, len * 25 AS addMaterials FROM n
