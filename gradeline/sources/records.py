@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeline.shipping import ship
+
 
 def _list(*names: str) -> str:
     return "array<struct<" + ",".join(f"{n}:string" for n in names) + ">>"
@@ -64,6 +66,8 @@ def parsed(responses: DataFrame, column: str = "response_json") -> DataFrame:
 def extract_with(manifest: DataFrame, make_client: Callable[[], Callable[[str, str, bytes], str]], stages: tuple[str, ...] = STAGES) -> DataFrame:
     """Run an injected client for each drawing and stage; a failure gives its message and no response."""
 
+    ship(manifest.sparkSession)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for batch in batches:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gradeline.shipping import ship
 from gradeline.sources.constants import SECTIONS
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -111,6 +112,7 @@ class WorkbookSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(WorkbookSource)
 
 
@@ -118,6 +120,7 @@ def read_cells(spark: SparkSession, root: str) -> DataFrame:
     """Cells of all workbooks below a folder of any file system that Spark reads."""
     import pandas as pd
 
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xlsx").load(root)
 
     def run(batches):
@@ -242,6 +245,8 @@ def write_workbooks(writes: DataFrame, template: bytes) -> DataFrame:
     """(project, content): each project's filled template."""
     import pandas as pd
 
+    ship(writes.sparkSession)
+
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         cells = [(r.sheet, r.ref, None if pd.isna(r.num) else float(r.num), r.text, bool(r.force)) for r in rows.itertuples()]
         return pd.DataFrame({"project": [rows["project"].iloc[0]], "content": [filled_template(template, cells)]})
