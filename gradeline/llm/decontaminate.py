@@ -22,6 +22,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gradeline.llm.shared import prepare
 from gradeline.llm.textops import blocks
 
 #: Characters of items in one automaton at most.
@@ -146,6 +147,7 @@ def item_blocks(benchmark: DataFrame, least_chars: int = LEAST_CHARS, most: int
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR_SHARE, least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc_id, item_id, distance, end_at of every document and item that it contains within the budget."""
+    prepare(docs.sparkSession)
     spark = docs.sparkSession
     picked = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
     schema = "doc_id long, item_id long, distance int, end_at long"
@@ -171,6 +173,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR_SHARE, least_chars: int = LEAST_CHARS) -> DataFrame:
     """The rows of ``docs`` that contain no item, with all their columns."""
+    prepare(docs.sparkSession)
     kept = docs
     for block in item_blocks(benchmark, least_chars):
         shipped = docs.sparkSession.sparkContext.broadcast(block)

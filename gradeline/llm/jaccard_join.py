@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from gradeline.llm import buckets as B
 from gradeline.llm.components import components
-from gradeline.llm.shared import free_shuffles, join_by_key, new_dir, written
+from gradeline.llm.shared import free_shuffles, join_by_key, new_dir, prepare, written
 from gradeline.llm.textops import SpanHash, blocks, column_bytes, lower_ascii, mixed, ranges, windows, word_spans
 
 SHINGLE = 5
@@ -457,6 +457,7 @@ def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, frequent: int = FREQUENT, combined: int = COMBINED
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    prepare(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
     parts = B.partitions(docs)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gradeline.llm import buckets as B
 from gradeline.llm.labels import fold
-from gradeline.llm.shared import free_shuffles, written
+from gradeline.llm.shared import free_shuffles, prepare, written
 from gradeline.llm.textops import SpanHash, blocks, column_bytes, lower_ascii, mixed, word_spans
 
 #: Words with vectors of their own, and classes of all other words.
@@ -274,6 +274,7 @@ def _vocabulary(packs: DataFrame, size: int) -> LogBilinear:
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    prepare(docs.sparkSession)
     spark = docs.sparkSession
     texts = _picked(docs, id_col, text_col)
     parts = B.partitions(texts)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeline.llm.labels import SAMPLE_ROWS, fold, training_sample
+from gradeline.llm.shared import prepare
 from gradeline.llm.textops import SpanHash, blocks, column_bytes, mixed, word_spans
 
 FEATURES = (
@@ -192,6 +193,7 @@ def _pair_tree(at, edges, i, j, g, h, ridge):
 
 def train_quality(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> AdditiveModel:
     """Fit on labelled rows outside the held-out fold; only feature rows reach the driver."""
+    prepare(docs.sparkSession)
     usable = fold(F.col("doc_id"), 3) != 1
     sample = training_sample(docs, labels, "quality", usable, limit)
 
@@ -207,6 +209,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS)
 
 def score_quality(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -222,6 +225,7 @@ def score_quality(docs: DataFrame, model: AdditiveModel) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """The rows of ``docs`` that the model predicts as good, with all their columns."""
+    prepare(docs.sparkSession)
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,14 +11,12 @@ from gradeline.llm.jaccard_join import jaccard_components
 from gradeline.llm.lm_score import score_texts
 from gradeline.llm.quality import score_quality, train_quality
 from gradeline.llm.sentencepiece_bpe import encode_decode
-from gradeline.llm.shared import small_batches
 from gradeline.llm.substring_dedup import dedup_substrings
 from gradeline.llm.toxicity import score_toxicity, train_toxicity
 from gradeline.llm.warc import read_archive, write_archive
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gradeline.llm.shared import prepare
 from gradeline.llm.textops import SpanHash, blocks
 
 _SPACE, _NORMAL, _UNKNOWN, _CONTROL, _BYTE = "▁", 1, 2, 3, 6
@@ -308,6 +309,7 @@ def encode_decode(
 
     The model file (about 0.5 MB) is read by the driver and sent to the workers.
     """
+    prepare(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(Path(model_path or default_model_path()).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeline.shipping import ship
+
 _local: dict[str, str] = {}
 
 #: A key is heavy if it has more than one in this many rows, so there are at most so many heavy keys.
@@ -32,8 +34,12 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + _local["root"]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches for rows with whole texts: the default of 10,000 rows would hold many megabytes twice for each task."""
+def prepare(spark: SparkSession, rows: int = 1000) -> None:
+    """Send the package to the workers, and make Arrow batches small enough for rows with whole texts.
+
+    The default of 10,000 rows would hold many megabytes twice for each task.
+    """
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, rows)

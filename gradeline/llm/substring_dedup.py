@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gradeline.llm import buckets as B
-from gradeline.llm.shared import free_shuffles, written
+from gradeline.llm.shared import free_shuffles, prepare, written
 from gradeline.llm.textops import SpanHash, blocks, column_bytes, ranges, windows, word_spans
 
 PERIOD, COVER = 7, (1, 2, 4)
@@ -200,6 +200,7 @@ def _repeated_windows(docs: DataFrame, hits: DataFrame, parts: int) -> DataFrame
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row; with ``with_text`` also kept_text."""
+    prepare(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
     parts = B.partitions(docs)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeline.llm.labels import SAMPLE_ROWS, fold, training_sample
+from gradeline.llm.shared import prepare
 from gradeline.llm.textops import SpanHash, blocks, column_bytes, word_spans
 
 #: Terms that count without any labels.
@@ -329,6 +330,7 @@ def _learned(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Scorer:
     """Learn lexicon and weights from labelled rows outside the held-out fold."""
+    prepare(docs.sparkSession)
     usable = fold(F.col("doc_id"), 5) != 0
     sample = training_sample(docs, labels, "toxic", usable, limit).persist()
     words, stems = _learned(sample)
@@ -351,6 +353,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS)
 
 def score_toxicity(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, held_out, score, predicted and the counts of hits for every row."""
+    prepare(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(scorer)  # a few MB: bounded by LEXICON_ROWS
     names = ["doc_id", "held_out", "score", "predicted", *COUNTS]
 
