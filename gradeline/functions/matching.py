@@ -16,18 +16,27 @@ def plain_key(key: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(key, r"\(.*?\)", "")))
 
 
+def key_parts(key: Column) -> Column:
+    """What the comparison of keys looks at: the plain key, its letters and digits, its digits."""
+    plain = plain_key(key)
+    bare = F.regexp_replace(plain, "[^a-z0-9]", "")
+    return F.struct(plain.alias("plain"), bare.alias("bare"), F.regexp_replace(bare, "[^0-9]", "").alias("digits"))
+
+
+def parts_match(a: Column, b: Column) -> Column:
+    """Whether two keys, given by their parts, name the same thing."""
+    within = F.contains(a["bare"], b["bare"]) | F.contains(b["bare"], a["bare"])
+    found = (a["plain"] == b["plain"]) | (a["bare"] == b["bare"]) | (within & (a["digits"] == b["digits"]))
+    return F.coalesce(found, F.lit(False))
+
+
 def keys_match(a: Column, b: Column) -> Column:
     """Whether two row keys name the same thing.
 
     Equal without notes, case and punctuation, or one within the other with the same digits. A key
     of which nothing is left matches every key without digits.
     """
-    plain_a, plain_b = plain_key(a), plain_key(b)
-    bare_a, bare_b = (F.regexp_replace(k, "[^a-z0-9]", "") for k in (plain_a, plain_b))
-    digits_a, digits_b = (F.regexp_replace(k, "[^0-9]", "") for k in (bare_a, bare_b))
-    within = F.contains(bare_a, bare_b) | F.contains(bare_b, bare_a)
-    found = (plain_a == plain_b) | (bare_a == bare_b) | (within & (digits_a == digits_b))
-    return F.coalesce(found, F.lit(False))
+    return parts_match(key_parts(a), key_parts(b))
 
 
 def values_match(num_a: Column, text_a: Column, num_b: Column, text_b: Column, tolerance: float = TOLERANCE) -> Column:

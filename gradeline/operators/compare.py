@@ -11,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeline.functions.matching import keys_match, percent_error, values_match
+from gradeline.functions.matching import key_parts, parts_match, percent_error, values_match
 from gradeline.functions.values import blank
 
 
 def greedy_match(truth: DataFrame, found: DataFrame, by: list[str], key: str = "key", order: str = "ord") -> DataFrame:
     """(by, ord, match): the generated row's ordinal for each true row, NULL if it has none."""
-    t = truth.select(*by, F.col(order).alias("ord"), F.col(key).alias("_key"))
-    f = found.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(order).alias("_ord"), F.col(key).alias("_other"))
+    t = truth.select(*by, F.col(order).alias("ord"), key_parts(F.col(key)).alias("_key"))
+    f = found.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(order).alias("_ord"), key_parts(F.col(key)).alias("_other"))
     same = [F.col(c) == F.col(f"_{c}") for c in by]
     on = same[0]
     for s in same[1:]:
         on = on & s
-    pairs = t.join(f, on & keys_match(F.col("_key"), F.col("_other")), "left")
+    pairs = t.join(f, on & parts_match(F.col("_key"), F.col("_other")), "left")
     choices = pairs.groupBy(*by, "ord").agg(F.sort_array(F.collect_list("_ord")).alias("choices"))
     queue = choices.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ord", "choices"))).alias("queue"))
     kind = dict(found.dtypes)[order]
