@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeline.functions.tokens import overlap, shared_words, word_set
+from gradeline.functions.tokens import overlap, word_set
 
 #: Rules that overlap more than this are duplicates; a full prompt list drops its oldest rule; most examples.
 DUPLICATE_OVERLAP = 0.6
@@ -54,12 +54,15 @@ def ranked_examples(targets: DataFrame, examples: DataFrame, keep: int = MOST_EX
     example comes first of equal ones. Examples of the target itself (3 or more shared words, or
     a name within its name) are left out.
     """
-    t = targets.select("target", F.col("name").alias("_target_name"), word_set(F.col("name"), 2).alias("_words"))
-    e = examples.select("example", "ord", F.col("name").alias("_name"), word_set(F.col("name"), 2).alias("_name_words"), word_set(F.col("description"), 2).alias("_other_words"))
-    pairs = t.crossJoin(F.broadcast(e))  # examples are a short list
-    alike = shared_words(F.col("_words"), F.col("_name_words"))
-    own = (alike >= 3) | F.contains(F.lower("_target_name"), F.lower("_name"))
-    scored = pairs.where(~own).withColumn("score", alike + shared_words(F.col("_words"), F.col("_other_words")) * 0.5)
+    t = targets.select("target", F.explode(word_set(F.col("name"), 2)).alias("word"))
+    of = lambda c, w: examples.select("example", F.explode(word_set(F.col(c), 2)).alias("word"), F.lit(w).alias("in_name"))
+    hits = t.join(F.broadcast(of("name", True).unionByName(of("description", False))), "word")
+    shared = hits.groupBy("target", "example").agg(F.count_if("in_name").alias("_alike"), F.count_if(~F.col("in_name")).alias("_other"))
+    # The words meet in a join; only the short list of examples is set against all targets, for those without a shared word.
+    pairs = targets.select("target", F.lower("name").alias("_target_name")).crossJoin(F.broadcast(examples.select("example", "ord", F.lower("name").alias("_name"))))
+    alike, other = (F.coalesce(F.col(c), F.lit(0)) for c in ("_alike", "_other"))
+    own = (alike >= 3) | F.contains("_target_name", "_name")
+    scored = pairs.join(shared, ["target", "example"], "left").where(~own).withColumn("score", alike + other * 0.5)
     rank = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "ord"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= keep).select("target", "rank", "example", "score")
 
