@@ -126,7 +126,7 @@ def _repeats(rules: tuple[dict, ...], rule: str) -> bool:
 
 def applied(rules: Rules, action: str, rule: str, today: str, component: str | None = "general") -> tuple[Rules, bool, str]:
     """The state after one suggestion. Each depends on those before it, and there are a handful, so this runs on the driver."""
-    entry = {"rule": rule, "addedBy": "flywheel", "addedAt": today, "accuracyDelta": None}
+    entry = {"rule": rule, "addedBy": "analysis", "addedAt": today, "accuracyDelta": None}
     if action == "PROMPT_TUNING":
         if _repeats(rules.prompt, rule):
             return rules, False, "duplicate rule"
