@@ -1,13 +1,19 @@
-"""Language-model scores: a log-bilinear neural model trained by noise-contrastive estimation.
-
-Symbols are the most frequent training words, a class for each group of other words (by their last
-bytes) and the text end. The model scores a symbol by the product of a context vector (of the
-symbol before it) and a target vector, plus a bias. It is trained on the counts of all adjacent
-symbols in the training texts: with these, the noise-contrastive objective over all data and all
-noise is a sum over a table of fixed size, so no text is sampled. Batched matrix products then give
-the normalised log-probabilities of all symbols after each symbol. A word outside the vocabulary
-has the probability of its class times its add-one share within the class, so the probabilities of
-all words, with one place for unseen words in each class, sum to one.
+"""Language-model scores: log-bilinear neural models trained by noise-contrastive estimation.
+
+Symbols are all words that occur at least ``LEAST`` times in the training texts, a class for each group
+of rarer words (by their last bytes) and the text end; the vocabulary grows with the corpus. A model
+scores a symbol by the product of a context vector (of the symbol one or two places before it) and a
+target vector, plus a bias. The probability is a mixture of the two places.
+
+The most frequent words, coarse classes of all others and the end are trained first, on the counts of all
+pairs of them: the noise-contrastive objective over all data and all noise is a sum over that table. All
+other words (and classes of rare words) then get vectors of their own. Given the first ones, each
+word's objective is convex and stands alone, so words are fitted in batches where their hash sends them, on
+all their occurrences. A frequent word or coarse class is normalised over all of these for every context
+with its own vector; a word of a class over all words of the class, for every frequent word and class as
+context, so the work grows with the vocabulary and not with its square. A rare word has the probability
+of its class times its add-one share within the class, so the probabilities of all words, with one place
+for unseen words in each class, sum to one.
 
 Token counts are exact and cover all training texts: each task sends its documents' words to the
 partitions of the hash space, which count them and send back sums for each document.
@@ -23,16 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeline.llm import buckets as B
 from gradeline.llm.labels import fold
-from gradeline.llm.shared import free_shuffles, prepare, written
+from gradeline.llm.shared import delete, free_shuffles, new_dir, prepare, written
 from gradeline.llm.textops import SpanHash, blocks, column_bytes, lower_ascii, mixed, word_spans
 
-#: Words with vectors of their own, and classes of all other words.
+#: Words that are trained together, and classes of others.
 VOCABULARY, CLASSES = 1000, 64
+#: Occurrences from which on any word has vectors of its own; shares of the contexts one and two places before.
+LEAST = 10
+SHARES = (0.8, 0.2)
+#: Pull of a word's vectors towards those of its class; words fitted at a time.
+RIDGE, FITTED = 2.0, 128
 DIMENSIONS, NOISE = 24, 10
 #: Observations with plain symbol frequencies that each context starts with.
 PRIOR_PAIRS = 50.0
@@ -40,6 +51,8 @@ _CLASS_BITS = np.uint64(CLASSES - 1)
 _WORD = SpanHash(61)
 _SENT = pa.schema([(n, pa.int32() if n == "part" else pa.binary()) for n in ("part", "ids", "prints", "held", "counts", "keys", "times")])
 _BACK = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("ids", "prints", "sums", "known", "tokens"))])
+_ITEMS = pa.schema([(n, pa.int32() if n == "part" else pa.binary()) for n in ("part", "items", "before1", "before2", "after1", "after2")])
+_NONE = 65_535
 _TEXTS = "doc_id long, held boolean, text string"
 
 
@@ -64,7 +77,7 @@ def _words(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _counts(texts: DataFrame, parts: int, vocabulary: int) -> DataFrame:
-    """Packed rows. Kind 0: sums for documents; 1: the most frequent words; 2: tokens and distinct words of each class."""
+    """Packed rows. Kind 0: sums for documents; 1: words for the vocabulary; 2: tokens and distinct words of each class."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -122,8 +135,8 @@ def _counts(texts: DataFrame, parts: int, vocabulary: int) -> DataFrame:
             if len(at):
                 yield B.emit(_BACK, [(p, 0, B.deltas(id_[at]), B.packed(print_[at]), sums[at].tobytes(), known[at].astype("<i4").tobytes(), tokens[at].astype("<i4").tobytes())])
         word = key[head]
-        best = np.lexsort((word, -c))[:vocabulary]
-        best = best[c[best] > 0]
+        best = np.lexsort((word, -c))
+        best = best[(c[best] >= LEAST) | ((c[best] > 0) & (np.arange(len(best)) < vocabulary))]
         yield B.emit(_BACK, [(0, 1, B.packed(word[best]), None, c[best].tobytes(), None, None)])
         trained = c > 0
         cls = (word[trained] & _CLASS_BITS).astype(np.int64)
@@ -155,7 +168,7 @@ def _document_sums(packs: DataFrame, parts: int) -> DataFrame:
 
 
 class LogBilinear:
-    """Vectors and biases of the symbols: vocabulary words, classes, text end."""
+    """Vectors and biases of the symbols that are trained together: frequent words, classes, text end."""
 
     def __init__(self, words: np.ndarray, counts: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray):
         """``words`` sorted; the class totals are those of the words outside the vocabulary."""
@@ -169,23 +182,6 @@ class LogBilinear:
         self.combine = np.eye(DIMENSIONS)
         self.bias = np.full(self.symbols, -np.log(self.symbols))
 
-    def encode(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The symbol before each token and the token's symbol, ends included, and the bounds of each row's tokens."""
-        rows = len(first) - 1
-        symbol = len(self.words) + (hashes & _CLASS_BITS).astype(np.int64)
-        if len(self.words) and len(hashes):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            symbol = np.where(self.words[at] == hashes, at, symbol)
-        bounds = first + np.arange(rows + 1)  # one end more for each row
-        after = np.full(bounds[-1], self.end)
-        inner = np.ones(bounds[-1], bool)
-        inner[bounds[1:] - 1] = False
-        after[inner] = symbol
-        before = np.empty_like(after)
-        before[1:] = after[:-1]
-        before[bounds[:-1]] = self.end
-        return before, after, bounds
-
     def train(self, pairs: np.ndarray, steps: int = 160, rate: float = 0.05) -> None:
         """Maximise the noise-contrastive objective over a table of counts [symbol before, symbol]."""
         total = pairs.sum()
@@ -224,30 +220,237 @@ class LogBilinear:
         return out
 
 
-def _pair_counts(texts: DataFrame, model: LogBilinear) -> np.ndarray:
-    """Counts of adjacent symbols in all training texts; a table of fixed size."""
+class Grown:
+    """All symbols: frequent words, other words of the vocabulary, classes of rare words, text end.
+
+    ``coarse`` is each symbol's place among those that are trained together. After training,
+    ``context``, ``target``, ``bias``, ``log_sum`` and ``class_sum`` have one array for each place before;
+    ``given`` has the context vectors, target vectors and biases of coarse symbols.
+    """
+
+    def __init__(self, frequent: np.ndarray, others: np.ndarray, counts: np.ndarray, rest_tokens: np.ndarray, rest_words: np.ndarray):
+        """``counts`` are those of frequent and other words."""
+        words = np.append(frequent, others)
+        self.frequent = len(frequent)
+        self.end = len(words) + CLASSES
+        self.symbols = self.end + 1
+        self.place = np.argsort(words)
+        self.words = words[self.place]
+        self.classes = len(frequent) + np.arange(CLASSES)
+        self.coarse = np.concatenate([np.arange(len(frequent)), len(frequent) + (others & _CLASS_BITS).astype(np.int64), self.classes, [len(frequent) + CLASSES]])
+        self.occurrences = np.append(counts, rest_tokens)
+        # What a word adds besides log10(c + 1), which the exact counts hold.
+        self.own = np.concatenate([-np.log10(counts + 1), -np.log10(rest_tokens + rest_words + 1), [0.0]])
+        self.given, self.context, self.target, self.bias, self.log_sum, self.class_sum = [], [], [], [], [], []
+
+    def encode(self, hashes: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The symbols one and two places before each token, the token's symbol, ends included, and the bounds of each row's tokens."""
+        rows = len(first) - 1
+        symbol = len(self.words) + (hashes & _CLASS_BITS).astype(np.int64)
+        if len(self.words) and len(hashes):
+            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+            symbol = np.where(self.words[at] == hashes, self.place[at], symbol)
+        bounds = first + np.arange(rows + 1)  # one end more for each row
+        after = np.full(bounds[-1], self.end)
+        inner = np.ones(bounds[-1], bool)
+        inner[bounds[1:] - 1] = False
+        after[inner] = symbol
+        before, last = [], after
+        for _ in SHARES:
+            shifted = np.empty_like(after)
+            shifted[1:] = last[:-1]
+            shifted[bounds[:-1]] = self.end
+            before.append(shifted)
+            last = shifted
+        return before, after, bounds
+
+    def log_probabilities(self, before: list[np.ndarray], after: np.ndarray, batch: int = 50_000) -> np.ndarray:
+        """Log10 probability of each symbol after those before it."""
+        out = np.empty(len(after))
+        for k in range(0, len(after), batch):
+            a = after[k : k + batch]
+            each, coarse = [], self.coarse[a]
+            inner = np.flatnonzero((a >= self.frequent) & (a < self.end))
+            for d, share in enumerate(SHARES):
+                b = before[d][k : k + batch]
+                q, t, bias = self.given[d]
+                s = np.log(share) + np.einsum("ij,ij->i", self.context[d][b], t[coarse]) + bias[coarse] - self.log_sum[d][b]
+                w, h = a[inner], self.coarse[b[inner]]
+                s[inner] += np.einsum("ij,ij->i", q[h], self.target[d][w]) + self.bias[d][w] - self.class_sum[d][h, coarse[inner] - self.frequent]
+                each.append(s)
+            out[k : k + batch] = np.logaddexp(*each) / np.log(10)
+        return out
+
+
+def _pair_counts(texts: DataFrame, model: Grown) -> np.ndarray:
+    """Counts of pairs of coarse symbols, one and two places apart, in all training texts; tables of fixed size."""
     shipped = texts.sparkSession.sparkContext.broadcast(model)
+    size = model.frequent + CLASSES + 1
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        total = np.zeros(m.symbols * m.symbols, np.int64)
+        total = np.zeros(len(SHARES) * size * size, np.int64)
         for block in blocks(batches, "text"):
             hashes, first, _ = _words(block)
             before, after, _ = m.encode(hashes, first)
-            total += np.bincount(before * m.symbols + after, minlength=len(total))
+            for d, b in enumerate(before):
+                total[d * size * size : (d + 1) * size * size] += np.bincount(m.coarse[b] * size + m.coarse[after], minlength=size * size)
         some = np.flatnonzero(total)
         for k in range(0, len(some), 100_000):
             at = some[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
     got = texts.where("not held").mapInArrow(scan, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(model.symbols * model.symbols)
+    pairs = np.zeros(len(SHARES) * size * size)
     pairs[np.asarray(got.column("pair").combine_chunks()).astype(np.int64)] = np.asarray(got.column("n").combine_chunks())
-    return pairs.reshape(model.symbols, model.symbols)
-
-
-def _vocabulary(packs: DataFrame, size: int) -> LogBilinear:
-    """The most frequent words, and the totals of each class without them."""
+    return pairs.reshape(len(SHARES), size, size)
+
+
+def fitted(data: np.ndarray, against: np.ndarray, features: np.ndarray, offset: np.ndarray, shift: np.ndarray, start: np.ndarray, steps: int = 16, rate: float = 0.2) -> np.ndarray:
+    """A vector for each row that maximises its noise-contrastive objective with the given vectors of the columns."""
+    v, first, second = start.copy(), np.zeros_like(start), np.zeros_like(start)
+    both, base, across = data + against, shift - offset, np.ascontiguousarray(features.T)
+    for step in range(1, steps + 1):
+        p = v @ across
+        np.subtract(base, p, out=p)
+        np.minimum(p, 30, out=p)
+        np.exp(p, out=p)
+        p += 1
+        np.divide(both, p, out=p)
+        np.subtract(data, p, out=p)
+        g = p @ features - RIDGE * (v - start)
+        first = 0.9 * first + 0.1 * g
+        second = 0.99 * second + 0.01 * g**2
+        v = v + rate * (1 - step / (steps + 1)) * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+    return v
+
+
+def _grow(texts: DataFrame, model: Grown, heads: list[LogBilinear], pairs: np.ndarray, parts: int) -> None:
+    """Vectors of the words and classes that are not trained together, on all their occurrences in training texts."""
+    spark = texts.sparkSession
+    size, low = model.frequent + CLASSES + 1, model.frequent
+    total = pairs[0].sum()
+    noise = ((model.occurrences + 1) / (total + model.symbols)).astype(np.float32)
+    given = []
+    for head, table in zip(heads, pairs, strict=True):
+        coarse_noise = (table.sum(0) + 1) / (total + size)
+        q = head.context @ head.combine
+        given.append([x.astype(np.float32) for x in (q, head.target, head.bias, table.sum(1), coarse_noise)])
+        model.given.append(given[-1][:3])
+        fine = model.coarse
+        model.context.append(q[fine].astype(np.float32))
+        model.target.append(head.target[fine].astype(np.float32))
+        bias = head.bias[fine].astype(np.float32)
+        if total:
+            bias[low : model.end] = np.log(noise[low:])
+        model.bias.append(bias)
+    if total:
+        shipped = spark.sparkContext.broadcast((model, given, noise))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = shipped.value[0]
+            for block in blocks(batches, "text"):
+                hashes, first, _ = _words(block)
+                before, after, bounds = m.encode(hashes, first)
+                coarse = m.coarse[after].astype("<u2")
+                columns = [m.coarse[b].astype("<u2") for b in before]
+                for d in range(1, len(SHARES) + 1):
+                    later = np.full(len(after), _NONE, "<u2")
+                    later[:-d] = coarse[d:]
+                    left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(after))
+                    later[left <= d] = _NONE
+                    columns.append(later)
+                at = np.flatnonzero((after >= low) & (after < m.end))
+                at = at[np.argsort(after[at], kind="stable")]
+                order, cuts = B.cut(after[at] % parts, parts)
+                at = at[order]
+                out = []
+                for p in range(parts):
+                    some = at[cuts[p] : cuts[p + 1]]
+                    if len(some):
+                        out.append((p, after[some].astype("<i4").tobytes(), *(c[some].tobytes() for c in columns)))
+                if out:
+                    yield B.emit(_ITEMS, out)
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, given_, noise_ = shipped.value
+            rows = [[np.frombuffer(r["items"], "<i4"), *(np.frombuffer(r[n], "<u2") for n in _ITEMS.names[2:])] for r in B.rows_of(batches)]
+            if not rows:
+                return
+            items, *near = (np.concatenate(c) for c in zip(*rows, strict=True))
+            del rows
+            order = np.argsort(items, kind="stable")
+            items, near = items[order], [c[order] for c in near]
+            names, first = np.unique(items, return_index=True)
+            first = np.append(first, len(items))
+            for k in range(0, len(names), FITTED):
+                some = names[k : k + FITTED]
+                a, b = first[k], first[k + len(some)]
+                row = np.repeat(np.arange(len(some)), np.diff(first[k : k + len(some) + 1]))
+                cls, chance = m.coarse[some], noise_[some][:, None]
+
+                def counts(column: np.ndarray, a=a, b=b, row=row, some=some) -> np.ndarray:
+                    c = column[a:b].astype(np.int64)
+                    good = c != _NONE
+                    return np.bincount(row[good] * size + c[good], minlength=len(some) * size).reshape(len(some), size).astype(np.float32)
+
+                out = []
+                for d, (q, target, bias, times, coarse_noise) in enumerate(given_):
+                    data = counts(near[d]) + PRIOR_PAIRS * chance
+                    wide = np.column_stack([q, np.ones(size, np.float32)])
+                    start = np.column_stack([target[cls], np.log(chance)])
+                    out.append(fitted(data, NOISE * (times + PRIOR_PAIRS)[None, :] * chance, wide, np.float32(0), np.log(NOISE * chance), start))
+                    data = counts(near[len(SHARES) + d]) + PRIOR_PAIRS * coarse_noise
+                    out.append(fitted(data, NOISE * data.sum(1, keepdims=True) * coarse_noise, target, bias, np.log(NOISE * coarse_noise), q[cls]))
+                yield pa.RecordBatch.from_arrays([pa.array([some.astype("<i4").tobytes()]), pa.array([np.column_stack(out).astype("<f4").tobytes()])], names=["items", "vectors"])
+
+        sent = texts.where("not held").mapInArrow(scan, "part int, " + ", ".join(f"{n} binary" for n in _ITEMS.names[1:])).repartitionById(parts, "part")
+        for r in written(sent.mapInArrow(fit, "items binary, vectors binary"), "lm-vectors").toLocalIterator():
+            some = np.frombuffer(r["items"], "<i4")
+            v = np.frombuffer(r["vectors"], "<f4").reshape(len(some), -1)
+            for d in range(len(SHARES)):
+                x = v[:, d * (2 * DIMENSIONS + 1) : (d + 1) * (2 * DIMENSIONS + 1)]
+                model.target[d][some], model.bias[d][some], model.context[d][some] = x[:, :DIMENSIONS], x[:, DIMENSIONS], x[:, DIMENSIONS + 1 :]
+    _normalise(spark, model)
+
+
+def _normalise(spark: SparkSession, model: Grown, batch: int = 256, many: int = 32) -> None:
+    """The log of each context's summed scores over coarse symbols, and of the words of each class after each coarse symbol."""
+    shipped = spark.sparkContext.broadcast(model)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shipped.value
+        for r in B.rows_of(batches):
+            own, within = [], []
+            for d, (q, t, b) in enumerate(m.given):
+                parts_, total = [], np.zeros((len(q), CLASSES))
+                for k in range(r["id"] * batch * many, min((r["id"] + 1) * batch * many, m.symbols), batch):
+                    at = np.arange(k, min(k + batch, m.symbols))
+                    s = m.context[d][at] @ t.T + b
+                    top = s.max(1)
+                    parts_.append(top + np.log(np.exp(s - top[:, None]).sum(1)))
+                    at = at[(at >= m.frequent) & (at < m.end)]
+                    one = np.zeros((len(at), CLASSES), np.float32)
+                    one[np.arange(len(at)), m.coarse[at] - m.frequent] = 1
+                    total += np.exp(np.minimum(q @ m.target[d][at].T + m.bias[d][at], 60)) @ one
+                own.append(np.concatenate(parts_))
+                within.append(total)
+            yield pa.RecordBatch.from_arrays([pa.array([r["id"]]), *(pa.array([np.array(x).astype("<f8").tobytes()]) for x in (own, within))], names=["id", "own", "within"])
+
+    steps = -(-model.symbols // (batch * many))
+    found = spark.range(0, steps, 1, steps).mapInArrow(sums, "id long, own binary, within binary").toArrow()
+    model.log_sum = [np.zeros(model.symbols) for _ in SHARES]
+    within = np.zeros((len(SHARES), model.frequent + CLASSES + 1, CLASSES))
+    for r in B.rows_of(found.to_batches()):
+        own = np.frombuffer(r["own"], "<f8").reshape(len(SHARES), -1)
+        within += np.frombuffer(r["within"], "<f8").reshape(within.shape)
+        for d in range(len(SHARES)):
+            model.log_sum[d][r["id"] * batch * many :][: own.shape[1]] = own[d]
+    model.class_sum = list(np.log(within))
+
+
+def _vocabulary(packs: DataFrame, size: int) -> tuple[Grown, list[LogBilinear]]:
+    """All words of the vocabulary, and untrained models of the most frequent ones with the totals of each class without them."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in B.rows_of(batches):
@@ -258,18 +461,26 @@ def _vocabulary(packs: DataFrame, size: int) -> LogBilinear:
             yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["key", "n", "words", "kind"])
 
     rows = packs.where("kind > 0").mapInArrow(unpack, "key long, n double, words long, kind int")
-    top = rows.where("kind = 1").orderBy(F.desc("n"), "key").limit(size).toArrow()
-    words = np.asarray(top.column("key").combine_chunks()).astype(np.int64).view(np.uint64)
-    counts = np.asarray(top.column("n").combine_chunks()).astype(float)
+    found = rows.where("kind = 1").select("key", "n").toArrow()
+    words = np.asarray(found.column("key").combine_chunks()).astype(np.int64)
+    counts = np.asarray(found.column("n").combine_chunks()).astype(float)
+    order = np.lexsort((words, -counts))
+    words, counts = words[order].view(np.uint64), counts[order]
+    own = np.arange(len(words)) < size
+    others, other_counts = (x[~own & (counts >= LEAST)] for x in (words, counts))
+    words, counts = words[own], counts[own]
     tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in rows.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect():
         tokens[r["key"]], distinct[r["key"]] = r["n"], r["words"]
     order = np.argsort(words)
     words, counts = words[order], counts[order]
     cls = (words & _CLASS_BITS).astype(np.int64)
-    model = LogBilinear(words, counts, tokens - np.bincount(cls, counts, CLASSES), distinct - np.bincount(cls, minlength=CLASSES))
+    outside = tokens - np.bincount(cls, counts, CLASSES), distinct - np.bincount(cls, minlength=CLASSES)
+    heads = [LogBilinear(words, counts, *outside) for _ in SHARES]
+    cls = (others & _CLASS_BITS).astype(np.int64)
+    model = Grown(words, others, np.append(counts, other_counts), outside[0] - np.bincount(cls, other_counts, CLASSES), outside[1] - np.bincount(cls, minlength=CLASSES))
     model.train_words, model.train_types = int(tokens.sum()), int(distinct.sum())
-    return model
+    return model, heads
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
@@ -278,26 +489,31 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     texts = _picked(docs, id_col, text_col)
     parts = B.partitions(texts)
-    packs = written(_counts(texts, parts, vocabulary), "lm-counts")
+    counted, path = _counts(texts, parts, vocabulary), new_dir(spark, "lm-counts")
+    counted.write.option("compression", "zstd").parquet(path)
+    packs = spark.read.schema(counted.schema).parquet(path)
+    del counted
+    free_shuffles(spark)
+    model, heads = _vocabulary(packs, vocabulary)
+    sums = written(_document_sums(packs, parts), "lm-sums")  # narrow, so the counts can go before words are fitted
+    delete(spark, path)
     free_shuffles(spark)
-    model = _vocabulary(packs, vocabulary)
     pairs = _pair_counts(texts, model)
-    model.train(pairs)
-    train_docs = int(pairs[:, model.end].sum())  # every training text ends once
+    for head, table in zip(heads, pairs, strict=True):
+        head.train(table)
+    train_docs = int(pairs[0][:, -1].sum())  # every training text ends once
+    _grow(texts, model, heads, pairs, parts)
+    free_shuffles(spark)
     total = model.train_words + train_docs
     types = model.train_types + (train_docs > 0)
-    sums = _document_sums(packs, parts)
-    shipped = spark.sparkContext.broadcast(model)  # of fixed size
+    shipped = spark.sparkContext.broadcast(model)  # some 500 bytes for each word of the vocabulary
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        table = m.table().ravel()
-        # What a word adds besides log10(c + 1), which the exact counts hold.
-        own = np.concatenate([-np.log10(m.counts + 1), -np.log10(m.class_sizes), [0.0]])
         for block in blocks(batches, "text"):
             hashes, first, prints = _words(block)
             before, after, bounds = m.encode(hashes, first)
-            each = np.append(0, np.cumsum(table[before * m.symbols + after].astype(np.float64) + own[after]))
+            each = np.append(0, np.cumsum(m.log_probabilities(before, after) + m.own[after]))
             yield pa.RecordBatch.from_arrays(
                 [block.column("doc_id"), block.column("held"), pa.array(prints.view(np.int64)), pa.array(np.diff(bounds)), pa.array(each[bounds[1:]] - each[bounds[:-1]])],
                 names=["doc_id", "held", "print", "n_tokens", "model_sum"],

@@ -53,3 +53,23 @@ def test_probabilities_sum_to_one():
     table = m.table()
     assert np.allclose((10.0**table).sum(1), 1, atol=1e-4)
     assert (pairs * table).sum() > before
+
+
+def test_vocabulary_grows_beyond_the_frequent_words(make_docs, monkeypatch):
+    """Rare pairs of words that only their own vectors can tell apart; contexts two places before count."""
+    r = random.Random(3)
+    pairs = [(f"left{i}a", f"right{i}o") for i in range(12)]
+    texts = [(i, " ".join(w for _ in range(20) for w in r.choice(pairs))) for i in range(210)]
+    models = []
+    kept = L._normalise
+    monkeypatch.setattr(L, "_normalise", lambda spark, model, *rest: (kept(spark, model, *rest), models.append(model)))
+    held = [x for x in L.score_texts(make_docs(texts), vocabulary=4).collect() if x["held_out"]]
+    m = models[0]
+    assert len(m.words) == 24 and m.frequent == 4
+    assert len(np.unique(m.target[0][4:24], axis=0)) == len(np.unique(m.context[1][4:24], axis=0)) == 20
+    each = np.arange(m.symbols)
+    for first in range(m.symbols):
+        second = (first * 7 + 3) % m.symbols
+        got = m.log_probabilities([np.full(m.symbols, first), np.full(m.symbols, second)], each)
+        assert (10.0**got).sum() == pytest.approx(1, abs=1e-4)
+    assert sum(x["score"] for x in held) > sum(x["base_score"] for x in held)
