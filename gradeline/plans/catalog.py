@@ -539,6 +539,20 @@ def shared_words(spark, sf_dir):
     return docs.select("doc_id", tokens.shared_words(*ends).alias("shared"))
 
 
+@_query(f"""
+    SELECT doc_id, len(list_intersect({_word_sql("coalesce(d.text, '')", 2)}, {_word_sql("coalesce(b.text, '')", 2)})) AS shared
+    FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
+""")
+def shared_words_whole(spark, sf_dir):
+    """Words that each document's whole text shares with the whole text of a benchmark item, for all rows."""
+    items = _read(spark, sf_dir, "benchmark")
+    item = items.select(F.col("item_id").alias("_item"), F.col("text").alias("_other"))
+    docs = _read(spark, sf_dir, "documents").crossJoin(F.broadcast(items.agg(F.count(F.lit(1)).alias("_n"))))
+    both = docs.join(item, F.try_mod("doc_id", "_n") == F.col("_item"), "left")
+    words = (tokens.word_set(F.coalesce(c, F.lit("")), 2) for c in ("text", "_other"))
+    return both.select("doc_id", tokens.shared_words(*words).alias("shared"))
+
+
 @_query("""
     WITH k AS (SELECT n_nationkey, n_name AS a, upper(n_name) || ' (new)' AS b, n_name || n_nationkey AS c FROM nation)
     SELECT n_nationkey, true AS same, regexp_replace(lower(c), '[^0-9]', '', 'g') = '' AS numbered FROM k

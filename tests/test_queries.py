@@ -49,3 +49,11 @@ def test_flagship(spark, sf_dir):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_shared_words_reads_whole_texts_of_all_rows(spark, tmp_path):
+    middle = "filler " * 60 + "needle " + "padding " * 60
+    spark.createDataFrame([(0, middle, "de"), (1, None, "en"), (3, "needle other", None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "stuffing " * 60 + "needle " + "more " * 60), (1, "needle"), (2, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: r["shared"] for r in catalog.QUERIES["shared_words_whole"](spark, str(tmp_path)).collect()}
+    assert got == {0: 1, 1: 0, 3: 1}
