@@ -336,7 +336,9 @@ def _grow(texts: DataFrame, model: Grown, heads: list[LogBilinear], pairs: np.nd
         coarse_noise = (table.sum(0) + 1) / (total + size)
         q = head.context @ head.combine
         given.append([x.astype(np.float32) for x in (q, head.target, head.bias, table.sum(1), coarse_noise)])
-        model.given.append(given[-1][:3])
+    shipped = spark.sparkContext.broadcast((model, given, noise)) if total else None  # before it has vectors
+    for head, (q, *_) in zip(heads, given, strict=True):
+        model.given.append([q, *(x.astype(np.float32) for x in (head.target, head.bias))])
         fine = model.coarse
         model.context.append(q[fine].astype(np.float32))
         model.target.append(head.target[fine].astype(np.float32))
@@ -345,8 +347,6 @@ def _grow(texts: DataFrame, model: Grown, heads: list[LogBilinear], pairs: np.nd
             bias[low : model.end] = np.log(noise[low:])
         model.bias.append(bias)
     if total:
-        shipped = spark.sparkContext.broadcast((model, given, noise))
-
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = shipped.value[0]
             for block in blocks(batches, "text"):
@@ -439,6 +439,7 @@ def _normalise(spark: SparkSession, model: Grown, batch: int = 256, many: int =
 
     steps = -(-model.symbols // (batch * many))
     found = spark.range(0, steps, 1, steps).mapInArrow(sums, "id long, own binary, within binary").toArrow()
+    shipped.destroy()
     model.log_sum = [np.zeros(model.symbols) for _ in SHARES]
     within = np.zeros((len(SHARES), model.frequent + CLASSES + 1, CLASSES))
     for r in B.rows_of(found.to_batches()):
