@@ -8,9 +8,13 @@ with the context of the document, and the blocks taken as article text are joine
 The labeller is trained here, with a fixed seed, on pages that a generator builds from random
 words in many layouts with known labels; no page of the input takes part.
 
+A page of very many blocks is read in windows: the forward reading carries its state from window to
+window, the backward one from the last window to the first, so labels are those of one long sequence.
+
 Defined results: null and empty html give an empty text; unclosed, misnested and cut-off markup is
-read as far as it goes; pages of any length are read whole; repeated rows are extracted each;
-other columns don't matter.
+read as far as it goes; pages of any length, depth and number of blocks are read whole; a slash at
+the end of a tag closes void elements and foreign ones (in svg and math) only; repeated rows are
+extracted each; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -18,14 +22,18 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gradeline.llm.shared import prepare
+from gradeline.llm.textops import SpanHash, column_bytes, lower_ascii, word_spans
 from gradeline.llm.textops import blocks as text_slices
 
 PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 256, 64, 8, 16
@@ -35,8 +43,15 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_RAW_END = {}
+#: Blocks of a longer page are labelled in windows of so many.
+WINDOW = 4096
+_HASH = SpanHash(71)
+_ENDS = np.isin(np.arange(256), list(b".,:;!?"))
+_FOREIGN = frozenset(["svg", "math"])
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset("script style noscript template svg iframe object textarea select option button title head".split())
+_INLINE = frozenset("svg script style noscript template".split())
 _RAW = frozenset("script style textarea title iframe noscript xmp".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -59,28 +74,54 @@ def _open_features(name: str, attributes: str) -> tuple[int, ...]:
     return tuple(found)
 
 
-def page_blocks(page: str) -> list[tuple[str, tuple[int, ...], int, int]]:
-    """(text, path features, depth, characters in links) of the text blocks in page order."""
-    out: list[tuple[str, tuple[int, ...], int, int]] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []  # names with the features of the whole path
+def page_blocks(page: str) -> list[tuple[str, tuple, int, int]]:
+    """(text, path features, depth, characters in links) of the text blocks in page order.
+
+    Path features are the sorted features of all open elements and the last two of them. Open elements are
+    counted by name and by feature as they come and go, so the work grows with the page, whatever its depth.
+    """
+    out: list[tuple[str, tuple, int, int]] = []
+    stack: list[tuple[str, tuple[int, ...]]] = []
+    places: dict[str, list[int]] = defaultdict(list)  # where on the stack each name is open
+    features: dict[int, int] = {}
     text: list[str] = []
-    linked = links = hidden = 0
+    linked = hidden = 0
+
+    def path() -> tuple:
+        last: list[int] = []
+        for _, own in reversed(stack):
+            last = [*own[-2:], *last][-2:]
+            if len(last) == 2:
+                break
+        return tuple(sorted(features)), tuple(last)
 
     def flush() -> None:
         nonlocal linked
         if text:
             joined = " ".join("".join(text).split())
             if joined:
-                out.append((joined, stack[-1][1] if stack else (), len(stack), linked))
+                out.append((joined, path(), len(stack), linked))
             text.clear()
         linked = 0
 
     def pop_to(n: int) -> None:
-        nonlocal links, hidden
-        for name, _ in stack[n:]:
-            links -= name == "a"
+        nonlocal hidden
+        while len(stack) > n:
+            name, own = stack.pop()
+            places[name].pop()
             hidden -= name in _HIDDEN
-        del stack[n:]
+            for x in own:
+                if features[x] == 1:
+                    del features[x]
+                else:
+                    features[x] -= 1
+
+    def close_item(name: str) -> None:
+        """End the open items of the same list or table, outermost first."""
+        stop = max((places[n][-1] for n in _STOPS.get(name, ()) if places.get(n)), default=-1)
+        inner = [places[n][k] for n in _CLOSES[name] if places.get(n) and (k := bisect_right(places[n], stop)) < len(places[n])]
+        if inner:
+            pop_to(min(inner))
 
     at = 0
     while m := _TOKEN.match(page, at):
@@ -90,7 +131,7 @@ def page_blocks(page: str) -> list[tuple[str, tuple[int, ...], int, int]]:
             if not hidden:
                 decoded = html.unescape(piece) if "&" in piece else piece
                 text.append(decoded)
-                if links:
+                if places["a"]:
                     linked += len(decoded)
             continue
         if piece.startswith("<![CDATA["):
@@ -100,36 +141,33 @@ def page_blocks(page: str) -> list[tuple[str, tuple[int, ...], int, int]]:
             continue
         name = named[1].lower()
         if piece[1] == "/":
-            names = [n for n, _ in stack]
-            if name in _BLOCK or name in _HIDDEN:
+            if name in _BLOCK or name in _HIDDEN - _INLINE:
                 flush()
-            if name in names:
-                pop_to(len(names) - 1 - names[::-1].index(name))
+            if places.get(name):
+                pop_to(places[name][-1])
             continue
         if name in _BLOCK:
             flush()
-            names = [n for n, _ in stack]
             if name in _CLOSES:
-                for k in range(len(names) - 1, -1, -1):
-                    if names[k] in _STOPS.get(name, ()):
-                        break
-                    if names[k] in _CLOSES[name]:
-                        pop_to(k)
-                        break
-            elif "p" in names:  # a paragraph ends where a block begins, with what is still open in it
-                pop_to(len(names) - 1 - names[::-1].index("p"))
+                close_item(name)
+            elif places["p"]:  # a paragraph ends where a block begins, with what is still open in it
+                pop_to(places["p"][-1])
             if name == "body":
                 pop_to(0)
         elif name == "br":
             text.append(" ")
-        if name in _VOID or piece.endswith("/>"):
+        if name in _VOID or (piece.endswith("/>") and (name in _FOREIGN or places["svg"] or places["math"])):
             continue
-        before = stack[-1][1] if stack else ()
-        stack.append((name, before + _open_features(name, piece[len(named[0]) :])))
-        links += name == "a"
+        own = _open_features(name, piece[len(named[0]) :])
+        places[name].append(len(stack))
+        stack.append((name, own))
+        for x in own:
+            features[x] = features.get(x, 0) + 1
         hidden += name in _HIDDEN
         if name in _RAW:
-            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+            if name not in _RAW_END:
+                _RAW_END[name] = re.compile(rf"</{name}\b[^>]*>?", re.I)
+            end = _RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
             pop_to(len(stack) - 1)
     flush()
@@ -137,26 +175,40 @@ def page_blocks(page: str) -> list[tuple[str, tuple[int, ...], int, int]]:
 
 
 @lru_cache(maxsize=16_384)
-def _path_row(path: tuple[int, ...]) -> np.ndarray:
+def _path_row(path: tuple) -> np.ndarray:
     row = np.zeros(PATH_DIM, np.float32)
-    row[list(path)] = 1
-    for k, x in enumerate(reversed(path[-2:])):  # the innermost elements count more
+    names, last = path
+    row[list(names)] = 1
+    for k, x in enumerate(reversed(last)):  # the innermost elements count more
         row[x] += 1.0 / (k + 1)
     return row
 
 
-def vectors(found: list[tuple[str, tuple[int, ...], int, int]]) -> np.ndarray:
-    """A row of DIM for each block of a page."""
-    x = np.zeros((len(found), DIM), np.float32)
-    for i, (text, path, depth, linked) in enumerate(found):
+def word_counts(texts: list[str]) -> np.ndarray:
+    """Hashed words of each text, all of them; a word weighs 0.3, less in texts of more than 12 words."""
+    data, offsets = column_bytes(pa.array(texts, pa.string()))
+    data = lower_ascii(data)
+    starts, ends, first = word_spans(data, offsets)
+    trailing = (ends - starts > 1) & _ENDS[data[ends - 1]] if len(ends) else np.zeros(0, bool)
+    place = (_HASH.words(data, starts, ends - trailing) % np.uint64(WORD_DIM)).astype(np.int64)
+    words = np.diff(first)
+    at = np.repeat(np.arange(len(texts)), words) * WORD_DIM + place
+    counts = np.bincount(at, minlength=len(texts) * WORD_DIM).reshape(-1, WORD_DIM)
+    return (counts * (0.3 * np.minimum(1, 12 / np.maximum(words, 1)))[:, None]).astype(np.float32)
+
+
+def vectors(found: list[tuple[str, tuple, int, int]], lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """A row of DIM for each block of a page, or for a window of its blocks."""
+    part = found[lo:hi]
+    x = np.zeros((len(part), DIM), np.float32)
+    if part:
+        x[:, PATH_DIM : PATH_DIM + WORD_DIM] = word_counts([b[0] for b in part])
+    for i, (text, path, depth, linked) in enumerate(part):
         x[i, :PATH_DIM] = _path_row(path)
-        words = text.split(" ") if len(text) < 200 else text[:200].split(" ")
-        for w in words[:12]:
-            x[i, PATH_DIM + _hashed(w.lower().strip(".,:;!?"), WORD_DIM)] += 0.3
-        n = text.count(" ") + 1
+        n, at = text.count(" ") + 1, lo + i
         x[i, PATH_DIM + WORD_DIM :] = (
-            np.log1p(n) / 3, linked / max(len(text), 1), min(sum(map(text.count, ".!?")) / n * 4, 2), text[-1] in ".!?…", depth / 10,
-            "©" in text or "@" in text, i / max(len(found) - 1, 1), min(i, 20) / 20,
+            np.log1p(n) / 3, linked / max(len(text), 1), min(sum(map(text.count, ".!?")) / n * 4, 2), text[-1] in ".!?…", min(depth, 30) / 10,
+            "©" in text or "@" in text, at / max(len(found) - 1, 1), min(at, 20) / 20,
         )
     return x
 
@@ -180,10 +232,10 @@ class BlockLabeller:
         self.p["o"] = rng.normal(0, 0.2, (2 * HIDDEN,)).astype(np.float32)
         self.p["c"] = np.zeros(1, np.float32)
 
-    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool = False):
+    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool = False, state: list | None = None):
+        """Outputs of one direction; ``state`` holds what the reading starts with and then what it ends with."""
         steps, batch, _ = x.shape
-        h = np.zeros((batch, HIDDEN), np.float32)
-        c = np.zeros((batch, HIDDEN), np.float32)
+        h, c = state or (np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32))
         out = np.empty((steps, batch, HIDDEN), np.float32)
         saved = []
         z_all = x @ self.p["x" + d] + self.p["b" + d]
@@ -199,6 +251,8 @@ class BlockLabeller:
             h = o * tc * mask[t]
             c = c_new
             out[t] = h
+        if state is not None:
+            state[:] = [h, c]
         return out, saved
 
     def logits(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
@@ -252,22 +306,38 @@ class BlockLabeller:
                     second[k] = 0.99 * second[k] + 0.01 * g**2
                     self.p[k] = self.p[k] - (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
 
-    def label(self, pages: list[np.ndarray], cells: int = 1 << 14) -> list[np.ndarray]:
-        """Whether each block of each page is article text; pages of like length go together."""
+    def label(self, pages: list[list], cells: int = 1 << 14, window: int = WINDOW) -> list[np.ndarray]:
+        """Whether each block of each page is article text; pages of like length go together, long ones alone."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
         at = 0
         while at < len(order):
+            if len(pages[order[at]]) > window:
+                out[order[at]] = self._label_long(pages[order[at]], window)
+                at += 1
+                continue
             end = at + 1
-            while end < len(order) and len(pages[order[end]]) * (end - at + 1) <= cells:
+            while end < len(order) and len(pages[order[end]]) <= window and len(pages[order[end]]) * (end - at + 1) <= cells:
                 end += 1
             group = order[at:end]
-            logit = self.logits(*padded([pages[k] for k in group]))[0]
+            logit = self.logits(*padded([vectors(pages[k]) for k in group]))[0]
             for b, k in enumerate(group):
                 out[k] = logit[: len(pages[k]), b] > 0
             at = end
         return out
 
+    def _label_long(self, page: list, window: int) -> np.ndarray:
+        """The same for one page in windows with carried state."""
+        cuts = [(a, min(a + window, len(page))) for a in range(0, len(page), window)]
+        sums = np.full(len(page), self.p["c"][0])
+        for d, part, windows in (("f", self.p["o"][:HIDDEN], cuts), ("b", self.p["o"][HIDDEN:], cuts[::-1])):
+            state: list = []
+            for a, b in windows:
+                x = vectors(page, a, b)[:, None, :]
+                got, _ = self._run(d, x if d == "f" else x[::-1], np.ones((b - a, 1, 1), np.float32), state=state)
+                sums[a:b] += (got if d == "f" else got[::-1])[:, 0] @ part
+        return sums > 0
+
 
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(len(p) for p in pages)
@@ -392,7 +462,8 @@ class PageMaker:
                 out.append(self.boiler(self.pick(list(inside))))
         return "".join(out)
 
-    def page(self) -> tuple[np.ndarray, np.ndarray]:
+    def page(self) -> tuple[list, np.ndarray]:
+        """The blocks of a page and whether each is article text."""
         kinds = ["nav", "header", "ad", "notice", "side", "form"]
         before = [self.boiler(self.pick(kinds)) for _ in range(int(self.r.integers(0, 5)))]
         after = [self.boiler(self.pick(["footer", "footer", "comments", "side", "ad", "notice", "nav", "form"])) for _ in range(int(self.r.integers(0, 5)))]
@@ -421,28 +492,40 @@ class PageMaker:
             if mark and clean:
                 found.append((clean, path, depth, linked))
                 truth.append(mark == "\x01")
-        return vectors(found), np.array(truth, np.float32)
+        return found, np.array(truth, np.float32)
 
 
-_trained: dict[tuple, BlockLabeller] = {}
+#: Weights that ``train_labeller`` made with its defaults; ``python -m gradeline.llm.html_text`` makes them again.
+WEIGHTS = Path(__file__).with_name("html_labeller.npz")
+_trained: list[BlockLabeller] = []
 
 
-def trained_labeller(pages: int = 700, epochs: int = 8, seed: int = 5) -> BlockLabeller:
-    """The labeller, trained once for each process."""
-    key = (pages, epochs, seed)
-    if key not in _trained:
-        maker = PageMaker(seed)
-        made = [p for p in (maker.page() for _ in range(pages)) if len(p[1]) and len(p[1]) <= 120]
-        labeller = BlockLabeller(seed)
-        labeller.train(made, epochs)
-        _trained[key] = labeller
-    return _trained[key]
+def train_labeller(pages: int = 700, epochs: int = 8, seed: int = 5) -> BlockLabeller:
+    """A labeller trained on pages of the generator."""
+    maker = PageMaker(seed)
+    made = [p for p in (maker.page() for _ in range(pages)) if len(p[1]) and len(p[1]) <= 120]
+    labeller = BlockLabeller(seed)
+    labeller.train([(vectors(found), truth) for found, truth in made], epochs)
+    return labeller
+
+
+def trained_labeller() -> BlockLabeller:
+    """The labeller with the stored weights, or a newly trained one where there are none; once for each process."""
+    if not _trained:
+        if WEIGHTS.exists():
+            labeller = BlockLabeller()
+            with np.load(WEIGHTS) as held:
+                labeller.p = {k: held[k] for k in labeller.p}
+        else:
+            labeller = train_labeller()
+        _trained.append(labeller)
+    return _trained[0]
 
 
 def main_text(pages: list[str | None], labeller: BlockLabeller) -> list[str]:
     """The article text of each page."""
     found = [page_blocks(p or "") for p in pages]
-    labels = labeller.label([vectors(f) for f in found])
+    labels = labeller.label(found)
     return ["\n".join(b[0] for b, good in zip(f, keep, strict=False) if good) for f, keep in zip(found, labels, strict=True)]
 
 
@@ -461,3 +544,7 @@ def extract_pages(pages: DataFrame, labeller: BlockLabeller | None = None) -> Da
 
     picked = pages.selectExpr("cast(page_id as long) as page_id", "url", "html")
     return picked.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **train_labeller().p)

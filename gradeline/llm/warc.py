@@ -9,8 +9,10 @@ digest are compared on full bytes.
 
 Of records with equal payloads of at least 100 bytes, that of the smallest page_id is a response
 and the others are revisits of it. Defined results: null html is an empty payload, a null url an
-empty target; line breaks in a url become spaces in the header; null page_ids come first; of rows
-that repeat page_id and payload one is the response; other columns don't matter.
+empty target; carriage returns and line feeds in a url become %0D and %0A, all its other characters
+stay, and header lines are told apart by CR LF alone, so no url can pass for another field; null
+page_ids come first; of rows that repeat page_id and payload one is the response; other columns
+don't matter.
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ def write_archive(pages: DataFrame, path: str | None = None, date: str = "2025-0
     revisit = (F.col("size") >= LEAST_REVISITED) & ~own
     only = lambda c: F.when(revisit, c)
     http = _lines(("HTTP/1.1 ", F.lit("200 OK")), ("Content-Type: ", F.lit("text/html; charset=utf-8")), ("Content-Length: ", F.col("size")), ("", F.lit("")))
-    uri = lambda c: F.regexp_replace(c, r"[\x00-\x1F\x7F]", " ")
+    uri = lambda c: F.replace(F.replace(c, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     warc = _lines(
         ("WARC/", F.lit("1.1")),
         ("WARC-Type: ", F.when(revisit, "revisit").otherwise("response")),
@@ -86,6 +88,13 @@ def write_archive(pages: DataFrame, path: str | None = None, date: str = "2025-0
     return path
 
 
+def field(name: str) -> Column:
+    """The value of the first header line with this name; null if there is none or it is empty."""
+    start = f"{name}: "
+    line = F.get(F.filter("lines", lambda x: x.startswith(start)), F.lit(0))
+    return F.nullif(F.substring(line, len(start) + 1, 1 << 30), F.lit(""))
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Every record again: warc_header, http_header, payload, record (the original bytes) and the fields in its header.
 
@@ -102,11 +111,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     left = headers.join(heavy, "digest", "left").withColumn("salt", F.pmod(F.col("locator"), salts).cast("int")).drop("salts")
     right = store.join(heavy, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     rows = left.join(right, ["digest", "salt"], "left")
-    text = F.col("warc_header").cast("string")
-    field = lambda name: F.nullif(F.regexp_extract(text, rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
+    rows = rows.withColumn("lines", F.split(F.col("warc_header").cast("string"), _EOL))
     actual = F.sha2("payload", 256)
-    named = F.regexp_extract(text, r"(?m)^WARC-Payload-Digest: sha256:([0-9a-f]{64})", 1)
-    verified = F.when(named == actual, actual).otherwise(F.raise_error(F.concat(F.lit("payload does not have the digest "), named)))
+    named = F.replace(field("WARC-Payload-Digest"), F.lit("sha256:"))
+    verified = F.when(named == actual, actual).otherwise(F.raise_error(F.concat(F.lit("payload does not have the digest "), F.coalesce(named, F.lit("")))))
     kind = field("WARC-Type")
     body = F.when(kind == "revisit", F.lit(b"")).otherwise(F.col("payload"))
     return rows.select(

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from gradeline.llm import html_text as H
@@ -22,6 +23,14 @@ def test_held_out_layouts(labeller):
     assert right / total > 0.985
 
 
+def test_stored_weights_are_those_of_the_training(labeller):
+    """The same pages and seed give a labeller that agrees on all but doubtful blocks; other seeds start elsewhere."""
+    assert H.WEIGHTS.exists() and labeller.p.keys() == H.BlockLabeller().p.keys()
+    again = H.train_labeller()
+    found = [b for seed in (1, 2, 3) for b in H.PageMaker(seed).page()[0]]
+    assert (again.label([found])[0] == labeller.label([found])[0]).mean() > 0.99
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
 <header><a href=/>Site name</a></header><nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav>
 <div class="cookie-banner">We use cookies on this site. <button>OK</button></div>
@@ -46,6 +55,62 @@ def test_broken_markup(labeller):
     assert H.page_blocks("<script>var x = '<p>no</p>'") == []
 
 
+def test_slash_at_the_end_of_a_tag():
+    assert [b[0] for b in H.page_blocks("<script src=/js/>var x = 1;</script><p>Hi</p>")] == ["Hi"]
+    assert [b[3] for b in H.page_blocks("<a href=http://x/>Linked</a>")] == [6]
+    assert [b[2] for b in H.page_blocks("<div/><p>in</p>")] == [2]
+    assert [b[0] for b in H.page_blocks("<p>a<br/>b<svg/>c<svg><path/><g/></svg>d</p>")] == ["a bcd"]
+
+
+def test_closing_tags_find_their_element():
+    got = H.page_blocks("<ul><li>a<ul><li>b</ul>c<li>d</ul><table><tr><td>e<td>f<tr><td>g</table></b></i>h")
+    assert [(b[0], b[2]) for b in got] == [("a", 2), ("b", 4), ("c", 2), ("d", 2), ("e", 3), ("f", 3), ("g", 3), ("h", 0)]
+
+
+def test_deep_and_long_pages():
+    import time
+    import tracemalloc
+
+    began = time.perf_counter()
+    assert len(H.page_blocks("<div>" * 100_000 + "x" + "<li>y" * 100_000)) == 100_001
+    assert len(H.page_blocks("<div><p><span>" * 60_000 + "x")) == 1
+    assert time.perf_counter() - began < 30
+    page = "".join(f"<p>word {i % 97} and more</p>" for i in range(30_000))
+    tracemalloc.start()
+    untrained = H.BlockLabeller()
+    found = H.page_blocks(page)
+    assert len(untrained.label([found])[0]) == 30_000
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_labels_match_a_plain_loop(labeller):
+    """One LSTM step at a time over the whole page, with windows of any size."""
+    maker = H.PageMaker(77)
+    found = [b for _ in range(6) for b in maker.page()[0]]
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    x = H.vectors(found).astype(float)
+    total = np.full(len(found), float(labeller.p["c"][0]))
+    n = H.HIDDEN
+    for d, order, part in (("f", range(len(x)), labeller.p["o"][:n]), ("b", range(len(x) - 1, -1, -1), labeller.p["o"][n:])):
+        h, c = np.zeros(n), np.zeros(n)
+        for t in order:
+            z = x[t] @ labeller.p["x" + d] + h @ labeller.p["h" + d] + labeller.p["b" + d]
+            c = sig(z[n : 2 * n]) * c + sig(z[:n]) * np.tanh(z[3 * n :])
+            h = sig(z[2 * n : 3 * n]) * np.tanh(c)
+            total[t] += h @ part
+    sure = np.abs(total) > 1e-3
+    for window in (7, 64, 10_000):
+        assert (labeller.label([found], window=window)[0] == (total > 0))[sure].all()
+
+
+def test_words_of_the_whole_block():
+    text = "one two " * 200 + "End."
+    got = H.word_counts([text, "End", ""])
+    assert got[0].sum() == pytest.approx(3.6, abs=1e-3) and got[1].sum() == pytest.approx(0.3) and not got[2].any()
+    assert got[0][got[1] > 0][0] > 0
+
+
 def pages_frame(spark, rows):
     return spark.createDataFrame([(*r, "x", 1, "d", 2) for r in rows], "page_id long, url string, html string, text string, salt int, digest string, size int")
 
@@ -89,6 +154,17 @@ def test_archive_round_trip(spark):
     assert spark.read.parquet(f"{path}/payloads").count() == len({b for _, b in payloads})
 
 
+def test_urls_can_not_pass_for_header_fields(spark):
+    breaks = ["\u2028", "\u2029", "\u0085", "\r", "\n", "\r\n", "\x0b", "\x0c", "\x1c"]
+    forged = ["Page-Id: 999", "Refers-To-Page-Id: 77", "WARC-Payload-Digest: sha256:" + "0" * 64, "WARC-Type: revisit", "Page-Id: x"]
+    urls = [f"http://a/{b}{f}{b}{f}" for b in breaks for f in forged]
+    rows = [(i, u, "same payload " * 20 if i % 2 else f"own {i} " * 30) for i, u in enumerate(urls)]
+    got = warc.read_archive(spark, warc.write_archive(pages_frame(spark, rows))).collect()
+    assert sorted((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in got) == [
+        (i, u.replace("\r", "%0D").replace("\n", "%0A"), "revisit" if i % 2 and i > 1 else "response", 1 if i % 2 and i > 1 else None) for i, u, _ in rows
+    ]
+
+
 def test_archive_detects_damage(spark):
     path = warc.write_archive(pages_frame(spark, [(1, "u", "x" * 200)]))
     from pyspark.sql import functions as F
