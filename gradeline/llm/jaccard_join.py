@@ -63,12 +63,12 @@ def token_sets(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = word_spans(data, offsets)
     hashes = _WORD.words(lower_ascii(data), starts, ends)
     at, row = windows(first, SHINGLE)
-    token = _SHINGLE.spans(hashes, at, at + SHINGLE)
+    token = _SHINGLE.runs(hashes, at, SHINGLE)
     count = np.diff(first)
-    short = np.flatnonzero((count > 0) & (count < SHINGLE))
-    if len(short):
+    for size in range(1, SHINGLE):
+        short = np.flatnonzero(count == size)
         row = np.concatenate([row, short])
-        token = np.concatenate([token, _SHINGLE.spans(hashes, first[short], first[short + 1])])
+        token = np.concatenate([token, _SHINGLE.runs(hashes, first[short], size)])
     order = np.lexsort((token, row))
     token, row = token[order], row[order]
     if len(token):

@@ -2,9 +2,9 @@
 
 A text is cut where no piece of the vocabulary could span the cut, equal segments are encoded
 once for each block, and all segments of a block merge together: in each round every segment
-finds its adjacent pair of the smallest rank, leftmost first, and merges that one, until no pair
-of any segment is in the vocabulary. One merge a round and segment keeps the library's order
-exactly. Characters outside the vocabulary become byte pieces.
+finds its adjacent pairs of the smallest rank and merges them, leftmost first, up to one that makes
+a pair of a smaller rank, until no pair of any segment is in the vocabulary. This keeps the library's
+order of merges exactly. Characters outside the vocabulary become byte pieces.
 
 Defined results: null counts as empty, an empty text has no ids and decodes to an empty text,
 texts of any length are encoded whole, rows that repeat stay as they are, other columns don't
@@ -109,11 +109,11 @@ class Model:
             while self.keys[at] != 0xFFFFFFFF:
                 at = (at + 1) & ((1 << self.bits) - 1)
             self.keys[at], self.ranks[at] = key, rank
-        # Whether a merge can span two characters: exact for low code points, else assumed.
-        self.joins = np.ones((_DENSE, _DENSE), bool)
-        self.joins[: _DENSE - 1, : _DENSE - 1] = False
+        # Whether a merge can span two characters: a table for low code points, a sorted list for the others.
+        self.joins = np.zeros((_DENSE, _DENSE), bool)
         for a, b in near:
             self.joins[self._dense(ord(a)), self._dense(ord(b))] = True
+        self.near = np.array(sorted(ord(a) << 21 | ord(b) for a, b in near), np.int64)
         space = self._dense(ord(_SPACE))
         self.joins[:, space] = False
         self.joins[space, space] = True
@@ -139,7 +139,11 @@ class Model:
         return out
 
     def merge(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merge all segments (flat symbols and the start of each) to the end; flat ids and starts."""
+        """Merge all segments (flat symbols and the start of each) to the end; flat ids and starts.
+
+        In a round each segment merges all pairs of its smallest rank, leftmost first and without overlap, up to
+        the first whose merge makes a pair of a smaller rank: that pair comes before the rest, in the next round.
+        """
         segments = len(starts)
         lengths = np.diff(np.append(starts, len(symbols)))
         done_ids: list[np.ndarray] = []
@@ -150,23 +154,38 @@ class Model:
         rank[inner] = self.pair_ranks(symbols[inner], symbols[inner + 1])
         while len(symbols):
             head = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-            order = rank.astype(np.int64) << 32 | np.arange(len(symbols))
-            best = np.minimum.reduceat(order, head)
-            live = best >> 32 != _NONE
+            length = np.diff(np.append(head, len(symbols)))
+            best = np.minimum.reduceat(rank, head)
+            live = best != _NONE
             if not live.all():  # segments that are finished leave
-                length = np.diff(np.append(head, len(symbols)))
                 stay = np.repeat(live, length)
                 done_ids.append(symbols[~stay])
                 done_of.append(of[~stay])
                 if not live.any():
                     break
-                moved = np.cumsum(stay) - 1
-                best = best[live]
-                at = moved[best & 0xFFFFFFFF]
                 symbols, of, rank = symbols[stay], of[stay], rank[stay]
-            else:
-                at = best & 0xFFFFFFFF
-            symbols[at] = self.merged[best >> 32]
+                best, length = best[live], length[live]
+            at = np.flatnonzero(rank == np.repeat(best, length))
+            if len(at) > 1:
+                run = np.flatnonzero(np.append(True, np.diff(at) != 1))  # overlapping pairs: every other one
+                at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            made = self.merged[rank[at]]
+            if len(at) > 1:
+                # The pairs that each merge makes, with the symbols as they are at that moment.
+                seg, least = of[at], rank[at]
+                left, right = np.maximum(at - 1, 0), np.minimum(at + 2, len(symbols) - 1)
+                has_left, has_right = (at > 0) & (of[left] == seg), (at + 2 < len(symbols)) & (of[right] == seg)
+                before = symbols[left].copy()
+                chained = np.flatnonzero(at[1:] == at[:-1] + 2) + 1
+                before[chained] = made[chained - 1]
+                lower = has_left & (self.pair_ranks(before, made) < least)
+                lower |= has_right & (self.pair_ranks(made, symbols[right]) < least)
+                if lower.any():
+                    count = np.cumsum(lower) - lower  # such merges before each one, whose segments wait
+                    first = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
+                    keep = count == np.repeat(count[first], np.diff(np.append(first, len(seg))))
+                    at, made = at[keep], made[keep]
+            symbols[at] = made
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
             at = at - np.arange(len(at))  # one symbol before each place goes for every earlier merge
@@ -187,7 +206,12 @@ class Model:
         small = np.where(codes == ord(_SPACE), _DENSE - 2, np.where(small >= _DENSE - 2, _DENSE - 1, small))
         known = self.char_id[codes] >= 0
         cut = np.ones(len(codes), bool)
-        cut[1:] = ~self.joins[small[:-1], small[1:]] | ~known[:-1] | ~known[1:]
+        joined = self.joins[small[:-1], small[1:]]
+        high = np.flatnonzero(joined & ((small[:-1] == _DENSE - 1) | (small[1:] == _DENSE - 1)))
+        if len(high):
+            pair = codes[high].astype(np.int64) << 21 | codes[high + 1]
+            joined[high] = self.near[np.minimum(np.searchsorted(self.near, pair), len(self.near) - 1)] == pair
+        cut[1:] = ~joined | ~known[:-1] | ~known[1:]
         cut[breaks] = True
         return np.flatnonzero(cut)
 
@@ -219,10 +243,8 @@ class Model:
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
-        return [
-            [int(x) for part in parts for x in part]
-            for parts in ([unique[k] for k in inverse] for unique, inverse in [self._encoded(texts)[:2]] for inverse in inverse)
-        ]
+        unique, numbers = self._encoded(texts)
+        return [[i for k in of.tolist() for i in unique[k]] for of in numbers]
 
     def _encoded(self, texts: list[str]):
         """Ids of the distinct segments, and for each text the numbers of its segments."""
@@ -235,8 +257,7 @@ class Model:
             return [], [np.zeros(0, np.int64) for _ in texts]
         starts = self.segments(codes, begin[sizes > 0])
         ends = np.append(starts[1:], len(codes))
-        values = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        one, two = (h.spans(values, starts, ends) for h in _HASHES)
+        one, two = (h.words(codes.view(np.uint8), starts * 4, ends * 4) for h in _HASHES)
         _, first, inverse = np.unique(one, return_index=True, return_inverse=True)
         if (two[first][inverse] != two).any():  # two segments share the first hash: compare both
             _, first, inverse = np.unique(np.rec.fromarrays([one, two]), return_index=True, return_inverse=True)

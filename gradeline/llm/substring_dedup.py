@@ -57,7 +57,7 @@ def _anchors(first: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
     at, row = windows(first, ANCHOR)
     cover = _IS_COVER[(at - first[row]) % PERIOD]
     at, row = at[cover], row[cover]
-    return at, row, _ANCHOR.spans(hashes, at, at + ANCHOR)
+    return at, row, _ANCHOR.runs(hashes, at, ANCHOR)
 
 
 def _prints(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -147,8 +147,8 @@ def _repeated_windows(docs: DataFrame, hits: DataFrame, parts: int) -> DataFrame
             begin, row = begin[fits], row[fits]
             if not len(begin):
                 continue
-            one = _FIRST.spans(hashes, begin, begin + WINDOW)
-            two = _SECOND.spans(_WORD2.words(data, starts, ends), begin, begin + WINDOW)
+            one = _FIRST.runs(hashes, begin, WINDOW)
+            two = _SECOND.runs(_WORD2.words(data, starts, ends), begin, WINDOW)
             ids, prints = B.ids_of(block.column("doc_id")), _prints(first, hashes)
             order, bounds = B.cut(B.hash_bucket(one, parts), parts)
             one, two, row, begin = one[order], two[order], row[order], begin[order] - first[row[order]]

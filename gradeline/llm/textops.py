@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,8 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Masks of the first bytes of eight.
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -69,41 +72,67 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class SpanHash:
-    """64-bit hashes of spans of an integer sequence, by prefix sums of a polynomial modulo 2^64.
+    """64-bit hashes of byte spans and of runs of consecutive values; the seed chooses the function.
 
-    The byte table comes from the seed. There are two bases, one for even and one for odd seeds, so
-    that the powers, which are long, are kept twice at most.
+    A span is read in words of eight bytes, each mixed into the hash before the next, so no pattern of
+    bytes cancels out as it can in a polynomial modulo a power of two. Runs are hashed by doubling.
     """
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    #: Longer spans are hashed one by one.
+    LONG = 512
 
     def __init__(self, seed: int):
-        self.table = np.random.default_rng(seed).integers(0, 1 << 64, 256, dtype=np.uint64)
-        self.base = int(np.random.default_rng(1000 + seed % 2).integers(0, 1 << 62)) * 4 + 5
-
-    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The first powers of the base and of its inverse, at least ``n``."""
-        held = self._powers.get(self.base)
-        if held is None or len(held[0]) < n:
-            size = max(n, BLOCK_BYTES + 65_536)
-            made = []
-            for factor in (self.base % (1 << 64), pow(self.base, -1, 1 << 64)):
-                steps = np.full(size, factor, np.uint64)
-                steps[0] = 1
-                made.append(np.multiply.accumulate(steps))
-            held = self._powers[self.base] = tuple(made)
-        return held
-
-    def spans(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of values[start:end]; ``values`` are uint64."""
-        powers, inverses = self.powers(len(values) + 1)
-        sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * powers[: len(values)], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+        self.seed, *self.odd = (int(x) | 1 for x in np.random.default_rng(seed).integers(0, 1 << 63, 3))
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of byte spans."""
-        return self.spans(self.table[data], starts, ends)
+        size = np.asarray(ends, np.int64) - starts
+        out = mixed((size.astype(np.uint64) + np.uint64(1)) * np.uint64(self.seed))
+        if not len(size):
+            return out
+        held = np.zeros(len(data) + 8, np.uint8)
+        held[: len(data)] = data
+        eight = np.ndarray(len(data) + 1, "<u8", held, strides=(1,))
+        most = int(size.max())
+        live, at, left = None, np.asarray(starts, np.int64), size
+        for k in range(0, min(most, self.LONG), 8):
+            if live is None and k:
+                live = np.flatnonzero(size > 8)
+                at, left = at[live], left[live]
+            elif k:
+                on = left > 8
+                live, at, left = live[on], at[on], left[on]
+            if k:
+                at, left = at + 8, left - 8
+            chunk = eight[at] & _KEEP[np.minimum(left, 8)]
+            if live is None:
+                out = mixed(out ^ chunk * np.uint64(self.odd[0]))
+            else:
+                out[live] = mixed(out[live] ^ chunk * np.uint64(self.odd[0]))
+        if most > self.LONG:
+            raw = data.tobytes()
+            for i in np.flatnonzero(size > self.LONG):
+                a, b = int(starts[i]), int(starts[i] + size[i])
+                digest = hashlib.blake2b(raw[a:b], digest_size=8, key=self.seed.to_bytes(8, "little"))
+                out[i] = int.from_bytes(digest.digest(), "little")
+        return out
+
+    def runs(self, values: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of ``size`` consecutive values from each start; ``values`` are hashes already."""
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        one, two = (np.uint64(x) for x in self.odd)
+        power, width, out, done = values, 1, None, 0
+        while True:
+            if size & width:
+                part = power[starts + done]
+                out = mixed(part * one + two) if out is None else mixed(out * one + part)
+                done += width
+            if done == size:
+                return out
+            # Positions near the end have no full run, and no start asks for one.
+            power = mixed(power[:-width] * two + power[width:]) if len(power) > width else power
+            width *= 2
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

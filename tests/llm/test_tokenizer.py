@@ -40,6 +40,19 @@ def test_decode_of_any_ids(model, library):
         assert model.decode(ids) == library.decode(ids)
 
 
+def test_long_runs_of_one_sign(model, library):
+    for c in "=a-中":
+        assert model.encode([c * 1_000_000])[0] == library.encode(c * 1_000_000)
+
+
+def test_few_letters_in_one_segment(model, library):
+    r = random.Random(6)
+    for letters in ("ab", "=-", "aaab", "abcdefghij", "中文字日本", "人在不的一是了我", "éèaeiou", "ab c"):
+        for size in (5, 50, 700, 5000):
+            t = ["".join(r.choice(letters) for _ in range(size)) for _ in range(12)]
+            assert model.encode(t) == library.encode(t, num_threads=1)
+
+
 def test_rows(make_docs, empty_docs, library):
     rows = [*enumerate(texts()[:200]), (None, None), (3, None), (3, "long " * 30_000), (3, "a")]
     got = P.encode_decode(make_docs(rows), with_ids=True).collect()
