@@ -4,8 +4,10 @@ The lexicon is a short list of English insults plus words and stems that the lab
 occur in toxic texts only; a word must do so in many different surroundings, so that copies of one
 text don't make its words look toxic. All terms form a trie for each error budget (by term length);
 the Levenshtein automata of the terms are intersected with the tries and made deterministic once,
-as one table of states. All words of a block then step through that table together, a byte at a
-time, and leave when they can't match any more. Each hit is exact or misspelled, and inside or
+as one table of states for every ``CHUNK`` terms. All words of a block then step through a table together, a
+character at a time, and leave when they can't match any more. Texts and terms are folded to lower case by the
+same table of characters, and errors are counted in characters. Stems match words that begin with them exactly;
+words that begin with a stem keep their own misspellings. Each hit is exact or misspelled, and inside or
 outside a quotation (quotation marks or reporting words near it in a window of words); a logistic
 model over the counts, fitted towards a stated prior, gives the score.
 
@@ -31,30 +33,47 @@ from gradeline.llm.textops import SpanHash, blocks, column_bytes, word_spans
 INSULTS = ("idiot", "moron", "loser", "scum", "trash", "clown", "stupid", "pathetic", "worthless", "disgusting", "imbecile", "bastard")
 REPORTING = ("said", "says", "wrote", "writes", "quote", "quoted", "called", "word", "term", "dijo", "dit", "sagte", "palabra", "mot", "wort")
 DIRECT = ("you", "your", "du", "dich", "tu", "toi", "vous", "te", "usted")
-#: Most learned words and stems.
-LEXICON_ROWS = 400
+#: Terms of one automaton; more make further automata.
+CHUNK = 100
 WINDOW = 8
 
-_PUNCT = np.zeros(256, bool)
+_CODES = 0x110000
+_PUNCT = np.zeros(_CODES, bool)
 _PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_MARKS = np.zeros(_CODES, bool)
+_MARKS[[0x22, 0xAB, 0xBB, *range(0x2018, 0x2020)]] = True
+#: Lower case of each character that has one of a single character.
+_FOLD = np.arange(_CODES, dtype=np.int32)
+_FOLD[:0x10000] = [ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(0x10000)]
 _LEET = {ord(a): ord(b) for a, b in zip("013457@$", "oieastas", strict=True)}
 _HASH = SpanHash(31)
 
 
-def budget(term: bytes) -> int:
+def budget(term: str) -> int:
     """Errors that a misspelling of a term may have."""
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def folded(text: str) -> str:
+    """Lower case, character by character."""
+    return _FOLD[np.frombuffer(text.encode("utf-32-le"), np.int32)].tobytes().decode("utf-32-le")
+
+
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 bytes, and how many characters begin before each byte."""
+    codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.int32)
+    return codes, np.append(0, np.cumsum((data & 0xC0) != 0x80))
+
+
 class Automaton:
-    """All terms and their misspellings as one deterministic table over byte classes.
+    """Terms and their misspellings as one deterministic table over classes of characters.
 
     ``hit[state]``: 0 no match, 1 exact, 2 misspelled. A stem matches any word that begins with it.
     """
 
-    def __init__(self, words: list[bytes], stems: list[bytes]):
-        used = sorted({c for t in [*words, *stems] for c in t})
-        self.classes = np.zeros(256, np.int32)  # 0: any byte that no term has
+    def __init__(self, words: list[str], stems: list[str]):
+        used = sorted({ord(c) for t in [*words, *stems] for c in t})
+        self.classes = np.zeros(_CODES, np.int16)  # 0: any character that no term has
         for k, c in enumerate(used, 1):
             self.classes[c] = k
         for a, b in _LEET.items():
@@ -65,10 +84,10 @@ class Automaton:
         stem_end: list[bool] = []
         most: list[int] = []
 
-        def add(root: int, term: bytes, stem: bool) -> None:
+        def add(root: int, term: str, stem: bool) -> None:
             node = root
             for c in term:
-                k = int(self.classes[c])
+                k = int(self.classes[ord(c)])
                 if k not in children[node]:
                     children[node][k] = new(most[root])
                 node = children[node][k]
@@ -130,9 +149,9 @@ class Automaton:
         self.table = np.array(table, np.int32)
         self.hit = np.array(hit, np.int8)
 
-    def match(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def match(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The hit class of each word."""
-        classes = self.classes[data]
+        classes = self.classes[codes]
         out = np.zeros(len(starts), np.int8)
         live = np.flatnonzero(ends > starts)
         at, state = starts[live], np.ones(len(live), np.int32)
@@ -146,33 +165,49 @@ class Automaton:
         return out
 
 
-def folded(data: np.ndarray) -> np.ndarray:
-    """Lower case for ASCII and Latin-1 letters in UTF-8."""
-    out = data.copy()
-    out[(data >= 65) & (data <= 90)] += 32
-    if len(data) > 1:
-        after = np.zeros(len(data), bool)
-        after[1:] = data[:-1] == 0xC3
-        out[after & (data >= 0x80) & (data <= 0x9E) & (data != 0x97)] += 32
-    return out
+class Lexicon:
+    """Any number of terms, in automata of bounded size."""
+
+    def __init__(self, words: list[str], stems: list[str], chunk: int = CHUNK):
+        terms = sorted([*((w, False) for w in set(words)), *((t, True) for t in set(stems))])
+        parts = [terms[k : k + chunk] for k in range(0, len(terms), chunk)]
+        self.automata = [Automaton([t for t, stem in p if not stem], [t for t, stem in p if stem]) for p in parts]
+
+    def match(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """1 for words that match exactly, 2 for misspelled ones, else 0."""
+        out = np.zeros(len(starts), np.int8)
+        for a in self.automata:
+            found = a.match(codes, starts, ends)
+            out = np.where((out == 0) | (found == 1), found, out)
+        return out
 
 
-def trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def trimmed(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word spans without punctuation at either end."""
     starts, ends = starts.copy(), ends.copy()
     todo = np.arange(len(starts))
     while len(todo):
         todo = todo[starts[todo] < ends[todo]]
-        todo = todo[_PUNCT[data[starts[todo]]]]
+        todo = todo[_PUNCT[codes[starts[todo]]]]
         starts[todo] += 1
     todo = np.arange(len(starts))
     while len(todo):
         todo = todo[starts[todo] < ends[todo]]
-        todo = todo[_PUNCT[data[ends[todo] - 1]]]
+        todo = todo[_PUNCT[codes[ends[todo] - 1]]]
         ends[todo] -= 1
     return starts, ends
 
 
+def _spans(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of characters."""
+    return _HASH.words(codes.view(np.uint8), starts * 4, ends * 4)
+
+
+def _hashes(terms) -> np.ndarray:
+    ends = np.cumsum([len(t) for t in terms])
+    return _spans(np.frombuffer("".join(terms).encode("utf-32-le"), np.int32), np.append(0, ends[:-1]), ends)
+
+
 COUNTS = ("plain_exact", "plain_misspelled", "quoted_exact", "quoted_misspelled", "direct")
 
 
@@ -182,36 +217,32 @@ class Scorer:
     #: Bias, then for each of COUNTS: at least one, at least two, log of the number; last the share of words.
     PRIOR = np.array([-4.0, 1.5, 2.5, 1.5, 0.8, 1.8, 1.0, 0.2, 0.4, 0.2, 0.1, 0.2, 0.1, 0.3, 0.2, 0.2, 1.0])
 
-    def __init__(self, words: list[bytes], stems: list[bytes], weights: np.ndarray | None = None):
-        self.automaton = Automaton(words, stems)
+    def __init__(self, words: list[str], stems: list[str], weights: np.ndarray | None = None):
+        self.lexicon = Lexicon(words, stems)
         self.words, self.stems = words, stems
         self.weights = self.PRIOR if weights is None else weights
         self.cues = [self._hashes(REPORTING), self._hashes(DIRECT)]
 
     @staticmethod
     def _hashes(terms: tuple[str, ...]) -> np.ndarray:
-        data = np.frombuffer("".join(terms).encode(), np.uint8)
-        ends = np.cumsum([len(t.encode()) for t in terms])
-        return np.sort(_HASH.words(data, np.append(0, ends[:-1]), ends))
+        return np.sort(_hashes(terms))
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """COUNTS and the number of words for each text."""
         n = len(offsets) - 1
         out = np.zeros((n, len(COUNTS) + 1))
-        raw_starts, raw_ends, first = word_spans(data, offsets)
+        byte_starts, byte_ends, first = word_spans(data, offsets)
         out[:, -1] = np.diff(first)
-        low = folded(data)
+        codes, before = characters(data)
+        raw_starts, raw_ends = before[byte_starts], before[byte_ends]
+        low = _FOLD[codes]
         starts, ends = trimmed(low, raw_starts, raw_ends)
-        kind = self.automaton.match(low, starts, ends)
+        kind = self.lexicon.match(low, starts, ends)
         hits = np.flatnonzero(kind)
         if not len(hits):
             return out
         row = np.searchsorted(first, hits, side="right") - 1
-        marks = (data == 0x22) | (data == 0xAB) | (data == 0xBB)
-        if len(data) > 2:
-            curly = (data[2:] >= 0x98) & (data[2:] <= 0x9F) & (data[1:-1] == 0x80) & (data[:-2] == 0xE2)
-            marks[:-2] |= curly
-        in_word = np.append(0, np.cumsum(marks))
+        in_word = np.append(0, np.cumsum(_MARKS[codes]))
         marked = in_word[raw_ends] > in_word[raw_starts]
         lo, hi = np.maximum(hits - WINDOW, first[row]), np.minimum(hits + WINDOW + 1, first[row + 1])
         quote_sum = np.append(0, np.cumsum(marked))
@@ -220,7 +251,7 @@ class Scorer:
         np.add.at(near, lo, 1)
         np.add.at(near, hi, -1)
         at = np.flatnonzero(np.cumsum(near)[:-1] > 0)
-        hashes = _HASH.words(low, starts[at], ends[at])
+        hashes = _spans(low, starts[at], ends[at])
         sums = []
         for cue in self.cues:
             flag = np.zeros(len(starts) + 1, np.int64)
@@ -260,17 +291,21 @@ class Scorer:
         self.weights = w
 
 
-def _learned(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
+def _learned(sample: DataFrame) -> tuple[list[str], list[str]]:
     """Words and stems that occur in many surroundings of toxic rows and hardly in others."""
     counts = {int(r["label"]): r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     if not toxic or not clean:
         return [], []
+    def fold_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array([folded(t or "") for t in block.column("text").to_pylist()], pa.string())], names=["text"])
+
     words = F.filter(
-        F.transform(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, r"^\p{Punct}+|\p{Punct}+$", "")),
+        F.transform(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_replace(w, r"^\p{Punct}+|\p{Punct}+$", "")),
         lambda w: w != "",
     )
-    seen = sample.where("label = 1").select(words.alias("w")).selectExpr(
+    seen = sample.where("label = 1").select("text").mapInArrow(fold_texts, "text string").select(words.alias("w")).selectExpr(
         "explode(transform(sequence(1, size(w)), i -> struct(element_at(w, i) as word, xxhash64(try_element_at(w, if(i > 1, i - 1, size(w) + 1)), try_element_at(w, i + 1)) as around))) as s"
     ).select("s.word", "s.around").distinct()
     by_word = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -287,13 +322,12 @@ def _learned(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
     found = (
         by_word.where(F.length("word") >= 3).select(F.col("word").alias("term"), "n", F.lit(False).alias("stem")).unionByName(stems)
         .where(F.col("n") >= least)
-        .orderBy(F.desc("n"), "term").limit(20_000).collect()
+        .orderBy(F.desc("n"), "term").collect()  # of the labelled sample, which is bounded
     )
     if not found:
         return [], []
-    terms = [r["term"].encode() for r in found]
-    ends = np.cumsum([len(t) for t in terms])
-    hashes = _HASH.words(np.frombuffer(b"".join(terms), np.uint8), np.append(0, ends[:-1]), ends)
+    terms = [r["term"] for r in found]
+    hashes = _hashes(terms)
     whole = np.array([not r["stem"] for r in found])
     sizes = np.array([len(t) for t in terms])
 
@@ -302,15 +336,16 @@ def _learned(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
         groups = [(size, full, np.flatnonzero((sizes == size) & (whole == full))) for size in np.unique(sizes) for full in (True, False)]
         for block in blocks(batches, "text"):
             data, offsets = column_bytes(block.column("text"))
-            low = folded(data)
-            starts, stop, _ = word_spans(low, offsets)
-            starts, stop = trimmed(low, starts, stop)
+            starts, stop, _ = word_spans(data, offsets)
+            codes, before = characters(data)
+            low = _FOLD[codes]
+            starts, stop = trimmed(low, before[starts], before[stop])
             for size, full, members in groups:
                 if not len(members):
                     continue
                 s = starts[stop - starts == size] if full else starts[stop - starts > size]
                 order = members[np.argsort(hashes[members])]
-                h = _HASH.words(low, s, s + size)
+                h = _spans(low, s, s + size)
                 at = np.minimum(np.searchsorted(hashes[order], h), len(order) - 1)
                 total[order] += np.bincount(at[hashes[order][at] == h], minlength=len(order))
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["k", "n"])
@@ -320,12 +355,11 @@ def _learned(sample: DataFrame) -> tuple[list[bytes], list[bytes]]:
         clean_hits[r["k"]] = r["n"]
     hits = np.array([r["n"] for r in found], float)
     good = hits / (hits + clean_hits) >= np.where(whole, 0.9, 0.97)
-    kept_stems: list[bytes] = []
+    kept_stems: list[str] = []
     for t in sorted((t for t, g, w in zip(terms, good, whole, strict=True) if g and not w), key=lambda t: (len(t), t)):
         if not any(t.startswith(s) for s in kept_stems):
             kept_stems.append(t)
-    words_ = [t for t, g, w in zip(terms, good, whole, strict=True) if g and w and not any(t.startswith(s) for s in kept_stems)]
-    return words_[:LEXICON_ROWS], kept_stems[:LEXICON_ROWS]
+    return [t for t, g, w in zip(terms, good, whole, strict=True) if g and w], kept_stems
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Scorer:
@@ -334,7 +368,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS)
     usable = fold(F.col("doc_id"), 5) != 0
     sample = training_sample(docs, labels, "toxic", usable, limit).persist()
     words, stems = _learned(sample)
-    words = list(dict.fromkeys([*(w.encode() for w in INSULTS), *words]))
+    words = list(dict.fromkeys([*INSULTS, *words]))
     scorer = Scorer(words, stems)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,7 +388,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS)
 def score_toxicity(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, held_out, score, predicted and the counts of hits for every row."""
     prepare(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast(scorer)  # a few MB: bounded by LEXICON_ROWS
+    shipped = docs.sparkSession.sparkContext.broadcast(scorer)  # a few MB for each CHUNK of terms of the bounded sample
     names = ["doc_id", "held_out", "score", "predicted", *COUNTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,36 +68,50 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def matched(matcher, words):
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.int32)
+    ends = np.cumsum([len(w) for w in words])
+    return matcher.match(codes, np.append(0, ends[:-1]), ends)
+
+
 def test_automaton_equals_edit_distance():
     r = random.Random(3)
-    terms = [b"scum", b"idiot", b"worthless", b"abcab"]
-    automaton = toxicity.Automaton(terms, [b"vequ"])
-    words = [bytes(r.choice(b"abcdiostuwhrlem") for _ in range(r.randint(1, 10))) for _ in range(1500)]
+    terms = ["scum", "idiot", "worthless", "abcab", "größen", "идиотка"]
+    words = ["".join(r.choice("abcdiostuwhrlemö") for _ in range(r.randint(1, 10))) for _ in range(1500)]
     for t in terms:
         for _ in range(150):
-            w = bytearray(t)
+            w = list(t)
             for _ in range(r.randint(0, 3)):
                 k = r.randrange(len(w) + 1)
                 how = r.random()
                 if how < 0.34:
-                    w.insert(k, r.choice(b"abciox"))
+                    w.insert(k, r.choice("abcioxé"))
                 elif how < 0.67 and len(w) > 1:
                     del w[min(k, len(w) - 1)]
                 else:
-                    w[min(k, len(w) - 1)] = r.choice(b"abciox")
-            words.append(bytes(w))
-    words += [b"vequ", b"vequment", b"veq"]
-    data = np.frombuffer(b"".join(words), np.uint8)
-    ends = np.cumsum([len(w) for w in words])
-    got = automaton.match(data, np.append(0, ends[:-1]), ends)
-    for w, hit in zip(words, got, strict=True):
-        near = min((d for t in terms if (d := edit_distance(w, t)) <= toxicity.budget(t)), default=None)
-        want = 1 if near == 0 or w.startswith(b"vequ") else 2 if near else 0
-        assert hit == want, w
+                    w[min(k, len(w) - 1)] = r.choice("abcioxé")
+            words.append("".join(w))
+    words += ["vequ", "vequment", "veq"]
+    for matcher in (toxicity.Automaton(terms, ["vequ"]), toxicity.Lexicon(terms, ["vequ"], chunk=2)):
+        for w, hit in zip(words, matched(matcher, words), strict=True):
+            near = min((d for t in terms if (d := edit_distance(w, t)) <= toxicity.budget(t)), default=None)
+            want = 1 if near == 0 or w.startswith("vequ") else 2 if near else 0
+            assert hit == want, w
+
+
+def test_large_lexicon():
+    r = random.Random(5)
+    terms = sorted({"".join(r.choice("abcdefghij") for _ in range(r.randint(3, 11))) for _ in range(350)})
+    lexicon = toxicity.Lexicon(terms, [])
+    assert len(lexicon.automata) > 2 and (matched(lexicon, terms) == 1).all()
+
+
+def test_folding():
+    assert toxicity.folded("ÀÉÎ ΓΔΣ ЖЩЯ ŁŠ İ ẞ") == "àéî γδσ жщя łš İ ß"
 
 
 def test_contexts():
-    scorer = toxicity.Scorer([b"idiot", b"moron"], [])
+    scorer = toxicity.Scorer(["idiot", "moron"], [])
     def counts(text):
         data = np.frombuffer(text.encode(), np.uint8)
         return scorer.counts(data, np.array([0, len(data)]))[0].tolist()
@@ -109,6 +123,16 @@ def test_contexts():
     assert plain > 0.5 > quoted
 
 
+def test_terms_in_other_scripts_match_in_any_case(spark, make_docs):
+    r = random.Random(9)
+    rows = [(i, " ".join([sentence(r, 12), *(["ДУРАКИЩЕ", "σκουπίδι"] if i % 5 == 1 else []), sentence(r, 12)]), int(i % 5 == 1)) for i in range(400)]
+    labels = spark.createDataFrame([(i, None, x) for i, _, x in rows], "doc_id long, quality int, toxic int")
+    scorer = toxicity.train_toxicity(make_docs([(i, t) for i, t, _ in rows]), labels)
+    assert {"дуракище", "σκουπίδι"} <= set(scorer.words)
+    got = toxicity.score_toxicity(make_docs([(1, "Дуракище! ΣΚΟΥΠΊΔΙ."), (2, "дуракище дуракищи")]), scorer).collect()
+    assert sorted((r["plain_exact"], r["plain_misspelled"]) for r in got) == [(1, 1), (2, 0)]
+
+
 def test_toxicity_learns_terms(spark, make_docs, empty_docs):
     r = random.Random(6)
     rows = []
@@ -122,7 +146,7 @@ def test_toxicity_learns_terms(spark, make_docs, empty_docs):
     docs = make_docs([*[(i, t) for i, t, _ in rows], (None, None), (9000, ""), (9001, "idiot moron " * 40_000), (9002, "He is an idiot and a mor0n, scvm and scum")])
     labels = spark.createDataFrame([(i, None, x) for i, _, x in rows], "doc_id long, quality int, toxic int")
     scorer = toxicity.train_toxicity(docs, labels)
-    assert any(b"zorqu".startswith(s) or s.startswith(b"zorq") for s in [*scorer.stems, *scorer.words])
+    assert any("zorqu".startswith(s) or s.startswith("zorq") for s in [*scorer.stems, *scorer.words])
     got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, scorer).collect()}
     held = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([got[i]["predicted"] == rows[i][2] for i in held]) > 0.97
