@@ -1,25 +1,25 @@
 """Exact deduplication by a stateful stream with disk-backed keyed state.
 
-Every row is digested once into a narrow landing table (digest, stable identifier, row locator).
-A Structured Streaming query then reads the landing files; its RocksDB state keeps, for each
-digest and without expiry, the smallest identifier with its locator and the number of rows, so
-that later landings could be added to the same state. Digest hits are checked on full bytes:
-if two different texts ever share a digest, these rows are grouped again by their whole text.
+Every row is landed once: its text, digest, stable identifier and a locator, which stays with the row
+from then on. A Structured Streaming query reads the narrow columns of the landing files; its RocksDB
+state keeps, for each digest and without expiry, the smallest identifier with its locator and the
+number of rows, so that later landings could be added to the same state. Digests that several rows
+have are checked on full bytes: only their texts are taken from the landing table (where they are
+few by broadcast, else by shuffle), copies collapse in each task, and if different texts ever share
+a digest, these rows are grouped again by their whole text.
 
 Only DataFrame operations run on the executors. Defined results: a null text counts as empty,
 empty texts are equal to each other, null identifiers come first, of rows that repeat both
-identifier and text one (by locator) stays, other columns don't matter, an empty table gives
-an empty result.
+identifier and text one (by locator, the first in the input's order) stays with all its columns,
+other columns don't matter, an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeline.llm.shared import free_name, join_by_key, new_dir
+from gradeline.llm.shared import TIDY, free_name, join_by_key, new_dir, settings, write, written
 
 _WHITE = r"[\x20\x09-\x0D]+"
 _ROCKSDB = {
@@ -42,27 +42,16 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-@contextmanager
-def _settings(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-def _stream_state(spark: SparkSession, landing: str, schema, files_per_batch: int) -> DataFrame:
+def _stream_state(spark: SparkSession, landing: str, schema, name: dict[str, str], files_per_batch: int) -> DataFrame:
     """Run the stream over all landing files and return the newest state row of each digest."""
     out, progress = new_dir(spark, "dedup-state"), new_dir(spark, "dedup-progress")
 
     def emit(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    with _settings(spark, _ROCKSDB):
+    with settings(spark, _ROCKSDB | TIDY):
         landed = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
+        landed = landed.select(*(F.col(name[c]).alias(c) for c in ("digest", "row_id", "locator")))
         state = landed.groupBy("digest").agg(
             F.min(F.struct("row_id", "locator")).alias("first"), F.count(F.lit(1)).alias("group_size")
         )
@@ -86,78 +75,69 @@ def _stream_state(spark: SparkSession, landing: str, schema, files_per_batch: in
     return rows.select("digest", "first", "group_size")
 
 
-def exact_dedup(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    digest=sha256,
-    files_per_batch: int = 4096,
-) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+#: Columns of a landing table besides those of the input.
+_OWN = ("row_id", "digest", "text_sha256", "locator", "body")
 
-    ``digest`` maps a normalised text to the state key; tests pass a weak one to force hits
-    between different texts.
-    """
+
+def _landed(docs: DataFrame, id_col: str, text_col: str, digest, whole: bool) -> tuple[DataFrame, dict[str, str], str]:
+    """The landing table, with the input's columns if ``whole``; the names of its own columns; its folder."""
     spark = docs.sparkSession
     text = normalised(F.col(text_col))
-    landing = new_dir(spark, "dedup-landing")
+    name = {c: free_name(docs, f"_{c}") for c in _OWN}
     landed = docs.select(
-        F.col(id_col).cast("long").alias("row_id"), digest(text).alias("digest"), sha256(text).alias("text_sha256")
-    ).withColumn("locator", F.monotonically_increasing_id())
+        *([F.col(f"`{c}`") for c in docs.columns] if whole else []),
+        F.col(id_col).cast("long").alias(name["row_id"]), digest(text).alias(name["digest"]), sha256(text).alias(name["text_sha256"]),
+        F.monotonically_increasing_id().alias(name["locator"]), text.alias(name["body"]),
+    )
     if digest is sha256:  # stored once
-        landed = landed.drop("text_sha256")
-    landed.write.parquet(landing)
-    rows = spark.read.schema(landed.schema).parquet(landing)
-    if digest is sha256:
-        rows = rows.withColumn("text_sha256", F.col("digest"))
-    state = _stream_state(spark, landing, landed.schema, files_per_batch)
+        landed = landed.drop(name["text_sha256"])
+        name["text_sha256"] = name["digest"]
+    if whole:  # the text is there already
+        landed = landed.drop(name["body"])
+    path = new_dir(spark, "dedup-landing")
+    write(landed, path)
+    return spark.read.schema(landed.schema).parquet(path), name, path
+
+
+def _resolved(landing: DataFrame, name: dict[str, str], path: str, body: Column, files_per_batch: int) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, locator of every row of a landing table."""
+    spark = landing.sparkSession
+    rows = landing.select(*(F.col(name[c]).alias(c) for c in _OWN[:4]))
+    state = _stream_state(spark, path, landing.schema, name, files_per_batch)
 
     # Full bytes: a digest that stands for two texts shows up twice. Copies collapse before the shuffle.
-    texts = docs.select(digest(text).alias("digest"), text.alias("norm")).distinct()
-    mixed = texts.groupBy("digest").count().where("count > 1").select("digest")
-    mixed_path = new_dir(spark, "dedup-mixed")
-    mixed.write.parquet(mixed_path)
-    mixed = spark.read.schema(mixed.schema).parquet(mixed_path)
-
-    total = rows.count()
-    narrow = state.select("digest", "first", "group_size")
-    sizes = state.select("digest", "group_size")
-    result = join_by_key(rows, narrow, "digest", sizes, total).select(
-        "digest",
-        F.col("row_id").alias("doc_id"),
-        F.col("first.row_id").alias("keep_id"),
-        "group_size",
-        (F.col("row_id").eqNullSafe(F.col("first.row_id")) & (F.col("locator") == F.col("first.locator"))).alias("kept"),
-        "text_sha256",
-    )
+    hits = written(state.where("group_size > 1").select("digest"), "dedup-hits")
+    texts = landing.select(F.col(name["digest"]).alias("digest"), body.alias("norm"))
+    mixed = texts.join(hits, "digest", "left_semi").distinct().groupBy("digest").count().where("count > 1").select("digest")
+    mixed = written(mixed, "dedup-mixed")
+
+    result = join_by_key(rows, state.select("digest", "first", "group_size"), "digest", state.select("digest", "group_size"), rows.count())
+    own = F.col("row_id").eqNullSafe(F.col("first.row_id")) & (F.col("locator") == F.col("first.locator"))
+    result = result.select("digest", "row_id", "locator", "text_sha256", F.col("first.row_id").alias("keep_id"), own.alias("kept"), "group_size")
+    found = result.select("digest", F.col("row_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256", "locator")
     if not mixed.isEmpty():
-        result = result.join(mixed, "digest", "left_anti").unionByName(_by_text(docs, id_col, text, digest, mixed))
-    return result.drop("digest")
-
-
-def _by_text(docs: DataFrame, id_col: str, text: Column, digest, mixed: DataFrame) -> DataFrame:
-    """The rows of mixed digests, grouped by whole text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text).alias("digest"), text.alias("norm"))
-    path = new_dir(docs.sparkSession, "dedup-mixed-rows")
-    rows.join(mixed, "digest", "left_semi").withColumn("locator", F.monotonically_increasing_id()).write.parquet(path)
-    rows = docs.sparkSession.read.parquet(path)
-    groups = rows.groupBy("digest", "norm").agg(
-        F.min(F.struct("doc_id", "locator")).alias("first"), F.count(F.lit(1)).alias("group_size")
-    )
-    return rows.join(groups, ["digest", "norm"]).select(
-        "digest",
-        "doc_id",
-        F.col("first.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("locator") == F.col("first.locator"))).alias("kept"),
-        sha256(F.col("norm")).alias("text_sha256"),
-    )
-
-
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        rows = landing.select(*(F.col(name[c]).alias(c) for c in _OWN[:4]), body.alias("norm")).join(mixed, "digest", "left_semi")
+        groups = rows.groupBy("digest", "norm").agg(F.min(F.struct("row_id", "locator")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+        again = rows.join(groups, ["digest", "norm"]).select(
+            "digest", F.col("row_id").alias("doc_id"), F.col("first.row_id").alias("keep_id"), "group_size", own.alias("kept"), "text_sha256", "locator"
+        )
+        found = found.join(mixed, "digest", "left_anti").unionByName(again)
+    return found.drop("digest")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, files_per_batch: int = 4096) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    ``digest`` maps a normalised text to the state key; tests pass a weak one to force hits
+    between different texts.
+    """
+    landing, name, path = _landed(docs, id_col, text_col, digest, False)
+    return _resolved(landing, name, path, F.col(name["body"]), files_per_batch).drop("locator")
+
+
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, files_per_batch: int = 4096) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    own_id, own_sha = (free_name(docs, n) for n in ("_row", "_sha"))
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("keep_row"), F.col("text_sha256").alias("keep_sha"))
-    keyed = docs.withColumn(own_sha, sha256(normalised(F.col(text_col)))).withColumn(own_id, F.col(id_col).cast("long"))
-    same = keyed[own_id].eqNullSafe(kept["keep_row"]) & (keyed[own_sha] == kept["keep_sha"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates([own_id, own_sha]).drop(own_id, own_sha)
+    landing, name, path = _landed(docs, id_col, text_col, digest, True)
+    found = _resolved(landing, name, path, normalised(F.col(text_col)), files_per_batch)
+    gone = written(found.where("not kept").select(F.col("locator").alias(name["locator"])), "dedup-gone")
+    return landing.join(gone, name["locator"], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -4,9 +4,11 @@ Tokens are a document's distinct 5-word shingles. With a threshold of 3/4, two s
 token among the first n - ceil(3n/4) + 1 tokens of each in any common order, and k tokens if these
 prefixes are longer by k - 1.
 
-1. Classes: every task sends its documents' distinct tokens to the partitions of the hash space,
-   which count the different sets that have each token and send back the counts of those that
-   several have. Equal sets (by a 128-bit signature) are one class.
+1. Frequencies: texts are dealt to partitions; each task counts, for a few million tokens at a time, the
+   different sets that have each token, and sends one entry for a token to the partition of the hash
+   space that adds up. That answers which tokens several sets have, and how many; copies of one set in
+   different tasks count again, so the sums are upper bounds, the same everywhere. Equal sets (by a
+   128-bit signature) are one class.
 2. Index: texts meet the counts of their tokens. A set of which less than 3/4 of the tokens occur
    elsewhere has no link. In the others tokens are ordered by their counts, rare ones first. Rare
    tokens of the prefix are indexed one by one. Where a prefix reaches frequent tokens (more than
@@ -21,7 +23,7 @@ prefixes are longer by k - 1.
    reach their pivot then meet all other chunks.
 4. The links' connected components, and each document's class.
 
-Every step is exact; the classes only steer which entries are made. Defined results: letters A-Z
+The counts only steer which entries are made; similarities are those of the sets of 64-bit token hashes. Defined results: letters A-Z
 are lower-cased; null and empty texts have no tokens and link with nothing; texts of fewer than five
 words have one token, the whole sequence; null ids link with nothing and have no component; rows
 that repeat an id are one document for links; other columns don't matter.
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from gradeline.llm import buckets as B
 from gradeline.llm.components import components
-from gradeline.llm.shared import free_shuffles, join_by_key, new_dir, prepare, written
+from gradeline.llm.shared import TIDY, Tables, delete, join_by_key, new_dir, prepare, settings, write
 from gradeline.llm.textops import SpanHash, blocks, column_bytes, lower_ascii, mixed, ranges, windows, word_spans
 
 SHINGLE = 5
@@ -51,10 +53,10 @@ GROUP = 300
 
 _WORD, _SHINGLE = SpanHash(51), SpanHash(52)
 _LOW47 = np.uint64((1 << 47) - 1)
-_TOKENS = pa.schema([(n, pa.int32() if n == "part" else pa.binary()) for n in ("part", "groups", "signs", "counts", "keys")])
-_COMMON = pa.schema([(n, pa.int32() if n == "part" else pa.binary()) for n in ("part", "keys", "classes")])
-_ENTRIES = pa.schema([(n, pa.int32() if n == "part" else pa.binary()) for n in ("part", "ids", "sizes", "signs", "counts", "keys")])
-_ENTRIES_SQL = "part int, ids binary, sizes binary, signs binary, counts binary, keys binary"
+_TOKENS = {"key": 8, "to": -4, "n": -4}
+_COMMON = {"key": 8, "classes": 1, "to": -4}
+_ENTRIES = {"key": 6, "id": -8, "size": -8, "sign": -8}
+_ENTRIES_SQL = ", ".join(f"{c} binary" for c in _ENTRIES)
 
 
 def token_sets(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -93,64 +95,48 @@ def needed(n: np.ndarray) -> np.ndarray:
 
 
 def _common_tokens(texts: DataFrame, parts: int) -> DataFrame:
-    """(part, keys, classes): tokens of several classes of equal sets, for each group of documents that has them."""
+    """(part, key, classes, to): tokens of several sets and how frequent they are, for each partition of documents that has them."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merged(keys: list, signs: list, part: int) -> B.Entries:
+        key, sign = np.concatenate(keys), np.concatenate(signs)
+        keys.clear()
+        signs.clear()
+        order = np.lexsort((sign, key))
+        key = key[order]
+        key = key[B.heads(key, sign[order])]
+        at = B.heads(key)
+        return {"key": key[at], "to": np.full(len(at), part, np.uint64), "n": np.diff(np.append(at, len(key))).astype(np.uint64)}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Entries]:
+        keys, signs, held, part = [], [], 0, -1
         for block in blocks(batches, "text"):
+            here = int(block.column("part")[0].as_py())
+            if held and (here != part or held >= B.FLUSH):
+                yield merged(keys, signs, part)
+                held = 0
+            part = here
             token, bounds = token_sets(block)
-            row = np.repeat(np.arange(block.num_rows), np.diff(bounds))
-            order, at = B.cut(B.hash_bucket(token, parts), parts)
-            keys, row = token[order], row[order]
-            groups = B.deltas(B.id_group(np.asarray(block.column("doc_id")), parts))
-            signs = B.packed(signatures(token, bounds)[0])
-            out = []
-            for p in range(parts):
-                a, b = at[p], at[p + 1]
-                if a < b:
-                    counts = np.bincount(row[a:b], minlength=block.num_rows).astype("<u4")
-                    out.append((p, groups, signs, counts.tobytes(), B.packed(keys[a:b])))
-            yield B.emit(_TOKENS, out)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs_, groups, signs, seen = [], [], [], [], 0
-        for r in B.rows_of(batches):
-            counts = np.frombuffer(r["counts"], "<u4")
-            keys.append(B.unpacked(r["keys"]))
-            docs_.append(np.repeat(np.arange(seen, seen + len(counts), dtype=np.int32), counts))
-            groups.append(B.undeltas(r["groups"]).astype(np.int32))
-            signs.append(B.unpacked(r["signs"]))
-            seen += len(counts)
-        if not keys:
-            return
-        key, doc, group, sign = (np.concatenate(x) for x in (keys, docs_, groups, signs))
-        keys.clear()
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        same = key[1:] == key[:-1]
-        several = np.append(False, same) | np.append(same, False)
-        key, doc = key[several], doc[several]
-        if not len(key):
-            return
-        order = np.lexsort((sign[doc], key))
-        key, doc = key[order], doc[order]
-        new = np.append(True, key[1:] != key[:-1])
-        other = new | np.append(True, sign[doc[1:]] != sign[doc[:-1]])
-        number = np.cumsum(new) - 1
-        sets = np.bincount(number[other])[number]
-        common = sets > 1
-        key, g, cls = key[common], group[doc[common]], frequency_class(sets[common])
-        order = np.lexsort((key, g))
-        key, g, cls = key[order], g[order], cls[order]
-        once = np.append(True, (key[1:] != key[:-1]) | (g[1:] != g[:-1])) if len(key) else np.zeros(0, bool)
-        key, g, cls = key[once], g[once], cls[once]
-        at = np.searchsorted(g, np.arange(parts + 1))
-        for p in range(parts):
-            a, b = at[p], at[p + 1]
-            if a < b:
-                yield B.emit(_COMMON, [(p, B.packed(key[a:b]), cls[a:b].tobytes())])
-
-    sent = texts.mapInArrow(scan, "part int, groups binary, signs binary, counts binary, keys binary").repartitionById(parts, "part")
-    return sent.mapInArrow(count, "part int, keys binary, classes binary")
+            keys.append(token)
+            signs.append(np.repeat(signatures(token, bounds)[0], np.diff(bounds)))
+            held += len(token)
+        if held:
+            yield merged(keys, signs, part)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Entries]:
+        for e in B.gathered(batches, _TOKENS):
+            order = np.argsort(e["key"], kind="stable")
+            key, to, n = (e[c][order] for c in _TOKENS)
+            at = B.heads(key)
+            total = np.repeat(np.add.reduceat(n, at), np.diff(np.append(at, len(key))))
+            common = total > 1
+            key, to, cls = key[common], to[common], frequency_class(total[common].astype(np.int64))
+            order = np.lexsort((key, to))
+            key, to, cls = key[order], to[order], cls[order]
+            once = B.heads(to, key)
+            yield {"key": key[once], "classes": cls[once], "to": to[once]}
+
+    sent = B.exchange(texts.repartitionById(parts, "part"), scan, _TOKENS, lambda e: B.hash_bucket(e["key"], parts), parts)
+    return B.exchange(sent, count, _COMMON, lambda e: e["to"].astype(np.int64), parts)
 
 
 def frequency_class(sets: np.ndarray) -> np.ndarray:
@@ -207,7 +193,8 @@ def index_entries(
 def _indexed(texts: DataFrame, common: DataFrame, parts: int, frequent: int, combined: int) -> str:
     """Write, in folders of their own: the size and signature of every set, index entries, and the texts that can have a link."""
     schema = pa.schema([
-        ("kind", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sign_a", pa.int64()), ("sign_b", pa.int64()), ("text", pa.string()), *_ENTRIES,
+        ("kind", pa.string()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sign_a", pa.int64()), ("sign_b", pa.int64()), ("text", pa.string()),
+        *((c, pa.binary()) for c in _ENTRIES),
     ])
 
     def filled(kind: str, **columns) -> pa.RecordBatch:
@@ -215,10 +202,15 @@ def _indexed(texts: DataFrame, common: DataFrame, parts: int, frequent: int, com
         arrays = {"kind": pa.array([kind] * rows), **columns}
         return pa.RecordBatch.from_arrays([arrays[f.name] if f.name in arrays else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
+    def packs_of(found: list[B.Entries]) -> pa.RecordBatch:
+        packed = {c: pa.array([B.packed(np.concatenate([f[c] for f in found]), w)]) for c, w in _ENTRIES.items()}
+        found.clear()
+        return filled("entry", **packed)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs: list[tuple[np.ndarray, np.ndarray]] = []
-        known = None
-        for block in blocks(B.split_met(batches, lambda r: packs.append((B.unpacked(r["keys"]), np.frombuffer(r["classes"], np.uint8)))), "text"):
+        known, found, held = None, [], 0
+        for block in blocks(B.split_met(batches, lambda r: packs.append((B.unpacked(r["key"]), np.frombuffer(r["classes"], np.uint8)))), "text"):
             if known is None:
                 known = np.concatenate([k for k, _ in packs]) if packs else np.zeros(0, np.uint64)
                 classes = np.concatenate([c for _, c in packs]) if packs else np.zeros(0, np.uint8)
@@ -240,25 +232,17 @@ def _indexed(texts: DataFrame, common: DataFrame, parts: int, frequent: int, com
             some[row] = True
             chosen = block.filter(pa.array(some))
             yield filled("text", doc_id=chosen.column("doc_id"), text=chosen.column("text"))
-            sizes = (np.diff(bounds) * 2 + big).astype("<i8")
-            bucket = B.hash_bucket(mixed(keys), parts)
-            order = np.lexsort((row, bucket))
-            keys, row = keys[order], row[order]
-            at = np.searchsorted(bucket[order], np.arange(parts + 1))
-            out = []
-            for p in range(parts):
-                a, b = at[p], at[p + 1]
-                if a < b:
-                    head = np.flatnonzero(np.append(True, row[a + 1 : b] != row[a : b - 1]))
-                    own = row[a:b][head]
-                    counts = np.diff(np.append(head, b - a)).astype("<u4")
-                    out.append((p, B.deltas(ids[own]), B.deltas(sizes[own]), B.packed(one[own]), counts.tobytes(), B.packed(keys[a:b], 6)))
-            entry = B.emit(_ENTRIES, out)
-            yield filled("entry", **dict(zip(_ENTRIES.names, entry.columns, strict=True)))
+            found.append({"key": keys, "id": ids[row], "size": (np.diff(bounds) * 2 + big)[row], "sign": one[row]})
+            held += len(keys)
+            if held >= B.FLUSH:
+                yield packs_of(found)
+                held = 0
+        if found:
+            yield packs_of(found)
 
     path = new_dir(texts.sparkSession, "jaccard-index")
     columns = "kind string, doc_id long, n long, sign_a long, sign_b long, text string, " + _ENTRIES_SQL
-    B.met(texts, common, ["keys", "classes"], parts).mapInArrow(scan, columns).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    write(B.met(texts, common, ["key", "classes"], parts).mapInArrow(scan, columns), path, "kind")
     return path
 
 
@@ -266,50 +250,41 @@ def _pivots(entries: DataFrame, parts: int) -> DataFrame:
     """Distinct (pivot, member) of all index entries with several classes."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs_, ids, sizes, signs, seen = [], [], [], [], [], 0
-        for r in B.rows_of(batches):
-            counts = np.frombuffer(r["counts"], "<u4")
-            keys.append(B.unpacked(r["keys"], 6))
-            docs_.append(np.repeat(np.arange(seen, seen + len(counts)), counts))
-            ids.append(B.undeltas(r["ids"]))
-            sizes.append(B.undeltas(r["sizes"]))
-            signs.append(B.unpacked(r["signs"]))
-            seen += len(counts)
-        if not keys:
-            return
-        key, doc, id_, size, sign = (np.concatenate(x) for x in (keys, docs_, ids, sizes, signs))
-        order = np.argsort(key, kind="stable")
-        key, doc = key[order], doc[order]
-        same = key[1:] == key[:-1]
-        several = np.append(False, same) | np.append(same, False)
-        key, doc = key[several], doc[several]
-        # Of equal sets the smallest id stands for all.
-        order = np.lexsort((id_[doc], sign[doc], key))
-        key, doc = key[order], doc[order]
-        once = np.append(True, (key[1:] != key[:-1]) | (sign[doc[1:]] != sign[doc[:-1]])) if len(key) else np.zeros(0, bool)
-        key, doc = key[once], doc[once]
-        n = size[doc] >> 1
-        order = np.lexsort((n, key))
-        key, doc, n = key[order], doc[order], n[order]
-        if not len(key):
-            return
-        new = np.append(True, (key[1:] != key[:-1]) | (100 * n[:-1] < PERCENT * n[1:]))
-        head = np.flatnonzero(new)
-        length = np.diff(np.append(head, len(key)))
-        member = id_[doc]
-        listed = (key >> np.uint64(47)) == 1  # frequent tokens, singly: a pair has one set with many of them
-        can = ~listed | ((size[doc] & 1) == 1)
-        top = np.iinfo(np.int64).max
-        pivot = np.minimum.reduceat(np.where(can, member, top), head)
-        good = np.repeat((length > 1) & (pivot != top), length)
-        pivot, member = np.repeat(pivot, length)[good], member[good]
-        order = np.lexsort((member, pivot))
-        pivot, member = pivot[order], member[order]
-        if len(pivot):
-            once = np.append(True, (pivot[1:] != pivot[:-1]) | (member[1:] != member[:-1]))
+        for e in B.gathered(batches, _ENTRIES):
+            order = np.argsort(e["key"], kind="stable")
+            key = e["key"][order]
+            same = key[1:] == key[:-1]
+            several = np.append(False, same) | np.append(same, False)
+            order = order[several]
+            key, member, size, sign = (e[c][order] for c in _ENTRIES)
+            member, size = member.view(np.int64), size.view(np.int64)
+            # Of equal sets the smallest id stands for all.
+            order = np.lexsort((member, sign, key))
+            order = order[B.heads(key[order], sign[order])]
+            order = order[np.lexsort((size[order] >> 1, key[order]))]
+            key, member, size = key[order], member[order], size[order]
+            n = size >> 1
+            if not len(key):
+                continue
+            new = np.append(True, (key[1:] != key[:-1]) | (100 * n[:-1] < PERCENT * n[1:]))
+            head = np.flatnonzero(new)
+            length = np.diff(np.append(head, len(key)))
+            listed = (key >> np.uint64(47)) == 1  # frequent tokens, singly: a pair has one set with many of them
+            can = ~listed | ((size & 1) == 1)
+            top = np.iinfo(np.int64).max
+            pivot = np.minimum.reduceat(np.where(can, member, top), head)
+            good = np.repeat((length > 1) & (pivot != top), length)
+            pivot, member = np.repeat(pivot, length)[good], member[good]
+            order = np.lexsort((member, pivot))
+            pivot, member = pivot[order], member[order]
+            once = B.heads(pivot, member)
             yield pa.RecordBatch.from_arrays([pa.array(pivot[once]), pa.array(member[once])], names=["pivot", "member"])
 
-    return entries.repartitionById(parts, "part").mapInArrow(gather, "pivot long, member long").distinct()
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Entries]:
+        return B.gathered(batches, _ENTRIES, B.FLUSH)
+
+    sent = B.exchange(entries, dealt, _ENTRIES, lambda e: B.hash_bucket(mixed(e["key"]), parts), parts)
+    return sent.mapInArrow(gather, "pivot long, member long").distinct()
 
 
 def linked(sets: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
@@ -411,17 +386,16 @@ def _verified(docs: DataFrame, jobs: DataFrame, parts: int) -> DataFrame:
     return together.mapInArrow(link, "job long, member long, root long")
 
 
-def _links(docs: DataFrame, pivots: DataFrame, parts: int, group: int) -> DataFrame:
+def _links(docs: DataFrame, pivots: DataFrame, parts: int, group: int, tables: Tables) -> DataFrame:
     """Edges (a, b) that span the components of all links between classes."""
     sizes = pivots.groupBy("pivot").agg(F.count(F.lit(1)).alias("group_size"))
     large = sizes.where(F.col("group_size") > group)
-    small = written(
+    small = tables.keep(
         _verified(docs, pivots.join(large, "pivot", "left_anti").select(F.col("pivot").alias("job"), "member"), parts).where("member <> root").select(F.col("member").alias("a"), F.col("root").alias("b")),
         "jaccard-links",
     )
     if large.isEmpty():
         return small
-    free_shuffles(docs.sparkSession)
     chunked = pivots.join(large, "pivot").withColumn("chunks", F.ceil(F.col("group_size") / group).cast("int"))
     chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int"))
     job = F.xxhash64("pivot", "chunk", "other")
@@ -430,16 +404,16 @@ def _links(docs: DataFrame, pivots: DataFrame, parts: int, group: int) -> DataFr
         chunked.where("member = pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(-1).alias("other"), "member")
     )
     first = first.withColumn("job", job)
-    done = written(_verified(docs, first.select("job", "member"), parts), "jaccard-chunks")
-    at = written(first.select("job", "pivot", "chunk", "member"), "jaccard-jobs")
+    done = tables.keep(_verified(docs, first.select("job", "member"), parts), "jaccard-chunks")
+    at = tables.keep(first.select("job", "pivot", "chunk", "member"), "jaccard-jobs")
     done = done.join(at, ["job", "member"])
     pivot_root = done.where("member = pivot").select("job", F.col("root").alias("pivot_root"))
-    left = written(
+    left = tables.keep(
         done.join(pivot_root, "job").where("root <> pivot_root").select("pivot", "chunk", "member"), "jaccard-left"
     )
     edges = small.unionByName(done.where("member <> root").select(F.col("member").alias("a"), F.col("root").alias("b")))
     if left.isEmpty():
-        return written(edges, "jaccard-edges")
+        return tables.keep(edges, "jaccard-edges")
     # Members that did not reach their pivot meet every chunk.
     count = left.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("others"))
     left = left.join(count, "pivot").withColumn("other", F.pmod(F.xxhash64("member", F.lit(1)), F.col("others")).cast("int"))
@@ -450,7 +424,7 @@ def _links(docs: DataFrame, pivots: DataFrame, parts: int, group: int) -> DataFr
         .withColumn("job", job).select("job", "member").distinct()
     )
     more = _verified(docs, second, parts).where("member <> root").select(F.col("member").alias("a"), F.col("root").alias("b"))
-    return written(edges.unionByName(more), "jaccard-edges")
+    return tables.keep(edges.unionByName(more), "jaccard-edges")
 
 
 def jaccard_components(
@@ -461,27 +435,27 @@ def jaccard_components(
     spark = docs.sparkSession
     docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
     parts = B.partitions(docs)
-    named = docs.where("doc_id is not null")
-    common = written(_common_tokens(named, parts), "jaccard-common")
-    free_shuffles(spark)
+    named = B.with_part(docs.where("doc_id is not null"), parts)
+    tables = Tables(spark)
+    common = tables.keep(_common_tokens(named, parts), "jaccard-common")
     path = _indexed(named, common, parts, frequent, combined)
-    free_shuffles(spark)
+    tables.drop(common)
     read = lambda kind, columns: spark.read.schema(columns + ", kind string").parquet(path).where(F.col("kind") == kind).drop("kind")
-    sets = read("set", "doc_id long, n long, sign_a long, sign_b long")
-    pivots = written(_pivots(read("entry", _ENTRIES_SQL), parts), "jaccard-pivots")
-    free_shuffles(spark)
-    edges = _links(read("text", "doc_id long, text string"), pivots, parts, group)
-    free_shuffles(spark)
+    sets = tables.keep(read("set", "doc_id long, n long, sign_a long, sign_b long"), "jaccard-sets")
+    pivots = tables.keep(_pivots(read("entry", _ENTRIES_SQL), parts), "jaccard-pivots")
+    edges = _links(read("text", "doc_id long, text string"), pivots, parts, group, tables)
+    delete(spark, path)
 
     filled = sets.where("n > 0").select("doc_id", "n", F.struct("sign_a", "sign_b").alias("sign"))
     classes = filled.groupBy("sign").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("group_size"))
-    classes = written(classes, "jaccard-classes")
+    classes = tables.keep(classes, "jaccard-classes")
     rows = filled.count()
-    member = written(join_by_key(filled, classes.select("sign", "first"), "sign", classes.select("sign", "group_size"), rows).drop("sign"), "jaccard-members")
+    member = tables.keep(join_by_key(filled, classes.select("sign", "first"), "sign", classes.select("sign", "group_size"), rows).drop("sign"), "jaccard-members")
     # Rows that repeat an id are in several classes, which it joins.
     repeated = member.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a <> b")
     twice = member.join(repeated.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    found = components(edges.unionByName(twice))
+    with settings(spark, TIDY):
+        found = components(edges.unionByName(twice))
     sizes = classes.groupBy("first").agg(F.sum("group_size").alias("group_size"))
     known = sizes.join(found.withColumnRenamed("node", "first"), "first", "left").select("first", F.coalesce("component", "first").alias("component_id"))
     named_rows = join_by_key(member, known, "first", sizes, rows).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

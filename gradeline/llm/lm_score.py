@@ -15,8 +15,14 @@ context, so the work grows with the vocabulary and not with its square. A rare w
 of its class times its add-one share within the class, so the probabilities of all words, with one place
 for unseen words in each class, sum to one.
 
-Token counts are exact and cover all training texts: each task sends its documents' words to the
-partitions of the hash space, which count them and send back sums for each document.
+Texts are read once: groups of documents become rows with their distinct words (by hash, with the counts in
+training texts) and their tokens as numbers of these words. Token counts are exact and cover all training
+texts: each group sends its distinct words to the partitions of the hash space, which add up and answer the
+group's partition, so a word of very many documents costs one entry a group. Words are told apart by 64-bit
+hashes. A word in more than ``LANE`` occurrences is gathered by several tasks, whose sums are added before
+it is fitted. The model is held by the driver and broadcast, some 500 bytes for each word that has vectors;
+such words have at least ``LEAST`` occurrences and ``LEAST_SHARE`` of all words, so there are at most
+1 / LEAST_SHARE of them.
 
 Defined results: A-Z are lower-cased; null and empty texts have the end token only; a null id is not
 held out and comes back null; rows that repeat id and text are scored each; without training texts
@@ -29,18 +35,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeline.llm import buckets as B
 from gradeline.llm.labels import fold
-from gradeline.llm.shared import delete, free_shuffles, new_dir, prepare, written
+from gradeline.llm.shared import TIDY, Tables, new_dir, prepare, settings, write
 from gradeline.llm.textops import SpanHash, blocks, column_bytes, lower_ascii, mixed, word_spans
 
 #: Words that are trained together, and classes of others.
 VOCABULARY, CLASSES = 1000, 64
 #: Occurrences from which on any word has vectors of its own; shares of the contexts one and two places before.
 LEAST = 10
+LEAST_SHARE = 1e-7
 SHARES = (0.8, 0.2)
 #: Pull of a word's vectors towards those of its class; words fitted at a time.
 RIDGE, FITTED = 2.0, 128
@@ -49,11 +57,14 @@ DIMENSIONS, NOISE = 24, 10
 PRIOR_PAIRS = 50.0
 _CLASS_BITS = np.uint64(CLASSES - 1)
 _WORD = SpanHash(61)
-_SENT = pa.schema([(n, pa.int32() if n == "part" else pa.binary()) for n in ("part", "ids", "prints", "held", "counts", "keys", "times")])
-_BACK = pa.schema([("part", pa.int32()), ("kind", pa.int32()), *((n, pa.binary()) for n in ("ids", "prints", "sums", "known", "tokens"))])
-_ITEMS = pa.schema([(n, pa.int32() if n == "part" else pa.binary()) for n in ("part", "items", "before1", "before2", "after1", "after2")])
+#: Words of a group of documents; occurrences of a word that one task gathers.
+GROUP_WORDS = 700_000
+LANE = 4_000_000
+_GROUPS = {"ids": 8, "held": 1, "sizes": 4, "tokens": 4, "words": 8, "train": 4}
+_WORDS = {"key": 8, "to": -4, "n": 4}
+_REPLIES = {"key": 8, "n": 6, "to": -4}
+_NEAR = {"item": 4, "before1": 2, "before2": 2, "after1": 2, "after2": 2}
 _NONE = 65_535
-_TEXTS = "doc_id long, held boolean, text string"
 
 
 def _picked(docs: DataFrame, id_col: str, text_col: str, parts: int = 7, out: int = 2) -> DataFrame:
@@ -61,8 +72,8 @@ def _picked(docs: DataFrame, id_col: str, text_col: str, parts: int = 7, out: in
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(B.NULL_ID)).alias("doc_id"), held.alias("held"), F.col(text_col).alias("text"))
 
 
-def _words(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the words of a block (the class in the lowest bits), the first word of each row, a print of each row."""
+def _words(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a block (the class in the lowest bits) and the first word of each row."""
     data, offsets = column_bytes(block.column("text"))
     data = lower_ascii(data)
     starts, ends, first = word_spans(data, offsets)
@@ -70,101 +81,64 @@ def _words(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(starts):
         tail = data[ends - 1].astype(np.uint64) << np.uint64(8) | np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.uint64)
         hashes = hashes & ~_CLASS_BITS | mixed(tail) & _CLASS_BITS
-    weighed = np.append(np.uint64(0), np.cumsum(hashes * np.arange(1, len(hashes) + 1, dtype=np.uint64)))
-    plain = np.append(np.uint64(0), np.cumsum(hashes))
-    begin, end = first[:-1], first[1:]
-    return hashes, first, (weighed[end] - weighed[begin]) - (plain[end] - plain[begin]) * begin.astype(np.uint64)
+    return hashes, first
 
 
-def _counts(texts: DataFrame, parts: int, vocabulary: int) -> DataFrame:
-    """Packed rows. Kind 0: sums for documents; 1: words for the vocabulary; 2: tokens and distinct words of each class."""
+def _grouped(texts: DataFrame, parts: int) -> DataFrame:
+    """(part, ids, held, sizes, tokens, words, train): a row for each group of documents, its words the most frequent first."""
+
+    def packed(found: list[tuple], part: int) -> pa.RecordBatch:
+        hashes, sizes, ids, held = (np.concatenate(c) for c in zip(*found, strict=True))
+        found.clear()
+        words, number, n = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        tokens = place[number]
+        train = np.bincount(tokens[~np.repeat(held, sizes)], minlength=len(words))
+        columns = {"ids": ids, "held": held.astype(np.int64), "sizes": sizes, "tokens": tokens, "words": words[order], "train": train}
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([B.packed(columns[c], w)]) for c, w in _GROUPS.items())], names=["part", *_GROUPS])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane, number, held, found = TaskContext.get().partitionId(), 0, 0, []
+        target = lambda: int(mixed(np.array([lane << 24 | number], np.uint64))[0] % np.uint64(parts))
         for block in blocks(batches, "text"):
-            hashes, first, prints = _words(block)
-            if not len(hashes):
-                continue
-            row = np.repeat(np.arange(block.num_rows), np.diff(first))
-            order = np.lexsort((hashes, row))
-            hashes, row = hashes[order], row[order]
-            head = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])))
-            times = np.diff(np.append(head, len(hashes))).astype("<u4")
-            hashes, row = hashes[head], row[head]
-            order, bounds = B.cut(B.hash_bucket(hashes, parts), parts)
-            hashes, row, times = hashes[order], row[order], times[order]
-            ids = B.deltas(np.asarray(block.column("doc_id")))
-            held = np.asarray(block.column("held").cast(pa.uint8())).tobytes()
-            raw = B.packed(prints)
-            out = []
-            for p in range(parts):
-                a, b = bounds[p], bounds[p + 1]
-                if a < b:
-                    counts = np.bincount(row[a:b], minlength=block.num_rows).astype("<u4")
-                    out.append((p, ids, raw, held, counts.tobytes(), B.packed(hashes[a:b]), times[a:b].tobytes()))
-            yield B.emit(_SENT, out)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs_, times, ids, prints, held, seen = [], [], [], [], [], [], 0
+            hashes, first = _words(block)
+            found.append((hashes, np.diff(first), np.asarray(block.column("doc_id")), np.asarray(block.column("held").cast(pa.uint8())) > 0))
+            held += len(hashes)
+            if held >= GROUP_WORDS:
+                yield packed(found, target())
+                number, held = number + 1, 0
+        if found:
+            yield packed(found, target())
+
+    return texts.mapInArrow(scan, "part int, " + ", ".join(f"{c} binary" for c in _GROUPS))
+
+
+def _counted(groups: DataFrame, parts: int) -> DataFrame:
+    """Packed rows. Kind word: words of training texts with their counts; kind reply: the same for each partition of groups."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Entries]:
         for r in B.rows_of(batches):
-            counts = np.frombuffer(r["counts"], "<u4")
-            keys.append(B.unpacked(r["keys"]))
-            times.append(np.frombuffer(r["times"], "<u4").astype(np.float64))
-            docs_.append(np.repeat(np.arange(seen, seen + len(counts)), counts))
-            ids.append(B.undeltas(r["ids"]))
-            prints.append(B.unpacked(r["prints"]))
-            held.append(np.frombuffer(r["held"], np.uint8) > 0)
-            seen += len(counts)
-        if not keys:
-            return
-        key, doc, time, id_, print_, out = (np.concatenate(x) for x in (keys, docs_, times, ids, prints, held))
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        seen_in_training = np.where(out[doc], 0, time)[order]
-        c = np.add.reduceat(seen_in_training, head)
-        each = np.empty(len(key))
-        each[order] = np.repeat(c, np.diff(np.append(head, len(key))))
-        sums = np.bincount(doc, time * np.log10(each + 1), len(id_))
-        known = np.bincount(doc, time * (each > 0), len(id_)).astype(np.int64)
-        tokens = np.bincount(doc, time, len(id_)).astype(np.int64)
-        some = tokens > 0
-        id_, print_, sums, known, tokens = (x[some] for x in (id_, print_, sums, known, tokens))
-        group, bounds = B.cut(B.id_group(id_, parts), parts)
-        for p in range(parts):
-            at = group[bounds[p] : bounds[p + 1]]
-            if len(at):
-                yield B.emit(_BACK, [(p, 0, B.deltas(id_[at]), B.packed(print_[at]), sums[at].tobytes(), known[at].astype("<i4").tobytes(), tokens[at].astype("<i4").tobytes())])
-        word = key[head]
-        best = np.lexsort((word, -c))
-        best = best[(c[best] >= LEAST) | ((c[best] > 0) & (np.arange(len(best)) < vocabulary))]
-        yield B.emit(_BACK, [(0, 1, B.packed(word[best]), None, c[best].tobytes(), None, None)])
-        trained = c > 0
-        cls = (word[trained] & _CLASS_BITS).astype(np.int64)
-        yield B.emit(_BACK, [(0, 2, None, None, np.bincount(cls, c[trained], CLASSES).tobytes(), None, np.bincount(cls, minlength=CLASSES).astype("<i8").tobytes())])
-
-    sent = texts.mapInArrow(scan, "part int, ids binary, prints binary, held binary, counts binary, keys binary, times binary").repartitionById(parts, "part")
-    return sent.mapInArrow(gather, "part int, kind int, ids binary, prints binary, sums binary, known binary, tokens binary")
-
-
-def _document_sums(packs: DataFrame, parts: int) -> DataFrame:
-    """(id, print, word_sum, words_known, words) for each document."""
+            key, n = (B.unpacked(r[c], _GROUPS[c]) for c in ("words", "train"))
+            yield {"key": key, "to": np.full(len(key), r["part"], np.uint64), "n": n}
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts_ = [
-            (B.undeltas(r["ids"]), B.unpacked(r["prints"]), np.frombuffer(r["sums"]), np.frombuffer(r["known"], "<i4"), np.frombuffer(r["tokens"], "<i4"))
-            for r in B.rows_of(batches)
-        ]
-        if not parts_:
-            return
-        id_, print_, sums, known, tokens = (np.concatenate(c) for c in zip(*parts_, strict=True))
-        order = np.lexsort((print_, id_))
-        id_, print_ = id_[order], print_[order]
-        head = np.flatnonzero(np.append(True, (id_[1:] != id_[:-1]) | (print_[1:] != print_[:-1])))
-        total = [np.add.reduceat(x[order], head) for x in (sums, known.astype(np.int64), tokens.astype(np.int64))]
-        yield pa.RecordBatch.from_arrays([pa.array(id_[head]), pa.array(print_[head].view(np.int64)), *map(pa.array, total)], names=["id", "print", "word_sum", "words_known", "words"])
-
-    sent = packs.where("kind = 0").repartitionById(parts, "part")
-    return sent.mapInArrow(add, "id long, print long, word_sum double, words_known long, words long")
+        for e in B.gathered(batches, _WORDS):
+            order = np.lexsort((e["to"], e["key"]))
+            key, to, n = (e[c][order] for c in _WORDS)
+            at = B.heads(key)
+            total = np.add.reduceat(n, at)
+            some = total > 0
+            every = np.repeat(total, np.diff(np.append(at, len(key))))
+            once = B.heads(key, to)
+            once = once[every[once] > 0]
+            found = [("word", key[at][some], total[some], np.zeros(0, np.uint64)), ("reply", key[once], every[once], to[once])]
+            columns = [pa.array([f[0] for f in found]), *(pa.array([B.packed(f[k], w) for f in found]) for k, w in enumerate(_REPLIES.values(), 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", *_REPLIES])
+
+    sent = B.exchange(groups.select("part", "words", "train"), scan, _WORDS, lambda e: B.hash_bucket(e["key"], parts), parts)
+    return sent.mapInArrow(add, "kind string, " + ", ".join(f"{c} binary" for c in _REPLIES))
 
 
 class LogBilinear:
@@ -243,13 +217,17 @@ class Grown:
         self.own = np.concatenate([-np.log10(counts + 1), -np.log10(rest_tokens + rest_words + 1), [0.0]])
         self.given, self.context, self.target, self.bias, self.log_sum, self.class_sum = [], [], [], [], [], []
 
-    def encode(self, hashes: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    def symbols_of(self, words: np.ndarray) -> np.ndarray:
+        """The symbol of each word hash: its own or that of its class of rare words."""
+        symbol = len(self.words) + (words & _CLASS_BITS).astype(np.int64)
+        if len(self.words) and len(words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            symbol = np.where(self.words[at] == words, self.place[at], symbol)
+        return symbol
+
+    def encode(self, symbol: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """The symbols one and two places before each token, the token's symbol, ends included, and the bounds of each row's tokens."""
         rows = len(first) - 1
-        symbol = len(self.words) + (hashes & _CLASS_BITS).astype(np.int64)
-        if len(self.words) and len(hashes):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            symbol = np.where(self.words[at] == hashes, self.place[at], symbol)
         bounds = first + np.arange(rows + 1)  # one end more for each row
         after = np.full(bounds[-1], self.end)
         inner = np.ones(bounds[-1], bool)
@@ -282,28 +260,56 @@ class Grown:
         return out
 
 
-def _pair_counts(texts: DataFrame, model: Grown) -> np.ndarray:
-    """Counts of pairs of coarse symbols, one and two places apart, in all training texts; tables of fixed size."""
-    shipped = texts.sparkSession.sparkContext.broadcast(model)
+def _training(row: dict, model: Grown) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """What ``encode`` gives for the training texts of a group."""
+    held, sizes, tokens, words = (B.unpacked(row[c], _GROUPS[c]) for c in ("held", "sizes", "tokens", "words"))
+    sizes, own = sizes.astype(np.int64), held == 0
+    symbol = model.symbols_of(words)[tokens.astype(np.int64)[np.repeat(own, sizes)]]
+    return model.encode(symbol, np.append(0, np.cumsum(sizes[own])))
+
+
+def _neighbours(model: Grown, before: list[np.ndarray], after: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """The coarse symbols one and two places before and after each token; _NONE beyond the text."""
+    coarse = model.coarse[after]
+    columns = [model.coarse[b] for b in before]
+    left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(after))
+    for d in range(1, len(SHARES) + 1):
+        later = np.full(len(after), _NONE)
+        later[:-d] = coarse[d:]
+        later[left <= d] = _NONE
+        columns.append(later)
+    return columns
+
+
+def _pair_counts(groups: DataFrame, model: Grown) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in all training texts: pairs of coarse symbols one and two places apart, and the neighbours of each class of rare words."""
+    shipped = groups.sparkSession.sparkContext.broadcast(model)
     size = model.frequent + CLASSES + 1
+    pairs, places = len(SHARES) * size * size, 2 * len(SHARES)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        total = np.zeros(len(SHARES) * size * size, np.int64)
-        for block in blocks(batches, "text"):
-            hashes, first, _ = _words(block)
-            before, after, _ = m.encode(hashes, first)
+        total = np.zeros(pairs + CLASSES * places * size, np.int64)
+        for r in B.rows_of(batches):
+            before, after, bounds = _training(r, m)
             for d, b in enumerate(before):
                 total[d * size * size : (d + 1) * size * size] += np.bincount(m.coarse[b] * size + m.coarse[after], minlength=size * size)
+            rare = np.flatnonzero((after >= len(m.words)) & (after < m.end))
+            cls = after[rare] - len(m.words)
+            for k, c in enumerate(_neighbours(m, before, after, bounds)):
+                near = c[rare]
+                good = near != _NONE
+                total[pairs:] += np.bincount((cls[good] * places + k) * size + near[good], minlength=len(total) - pairs)
         some = np.flatnonzero(total)
         for k in range(0, len(some), 100_000):
             at = some[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
-    got = texts.where("not held").mapInArrow(scan, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    pairs = np.zeros(len(SHARES) * size * size)
-    pairs[np.asarray(got.column("pair").combine_chunks()).astype(np.int64)] = np.asarray(got.column("n").combine_chunks())
-    return pairs.reshape(len(SHARES), size, size)
+    with settings(groups.sparkSession, TIDY):
+        got = groups.select("held", "sizes", "tokens", "words").mapInArrow(scan, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(pairs + CLASSES * places * size)
+    table[np.asarray(got.column("pair").combine_chunks()).astype(np.int64)] = np.asarray(got.column("n").combine_chunks())
+    return table[:pairs].reshape(len(SHARES), size, size), table[pairs:].reshape(CLASSES, places, size)
 
 
 def fitted(data: np.ndarray, against: np.ndarray, features: np.ndarray, offset: np.ndarray, shift: np.ndarray, start: np.ndarray, steps: int = 16, rate: float = 0.2) -> np.ndarray:
@@ -325,10 +331,23 @@ def fitted(data: np.ndarray, against: np.ndarray, features: np.ndarray, offset:
     return v
 
 
-def _grow(texts: DataFrame, model: Grown, heads: list[LogBilinear], pairs: np.ndarray, parts: int) -> None:
+def _fit_items(near: np.ndarray, cls: np.ndarray, chance: np.ndarray, given: list) -> np.ndarray:
+    """Target vectors, biases and context vectors (flat rows) of items with these counts of neighbours [item, place, coarse symbol]."""
+    out, chance = [], chance[:, None]
+    for d, (q, target, bias, times, coarse_noise) in enumerate(given):
+        data = near[:, d] + PRIOR_PAIRS * chance
+        wide = np.column_stack([q, np.ones(len(q), np.float32)])
+        start = np.column_stack([target[cls], np.log(chance)])
+        out.append(fitted(data, NOISE * (times + PRIOR_PAIRS)[None, :] * chance, wide, np.float32(0), np.log(NOISE * chance), start))
+        data = near[:, len(SHARES) + d] + PRIOR_PAIRS * coarse_noise
+        out.append(fitted(data, NOISE * data.sum(1, keepdims=True) * coarse_noise, target, bias, np.log(NOISE * coarse_noise), q[cls]))
+    return np.column_stack(out)
+
+
+def _grow(groups: DataFrame, model: Grown, heads: list[LogBilinear], pairs: np.ndarray, rare: np.ndarray, parts: int, tables: Tables, lane: int) -> None:
     """Vectors of the words and classes that are not trained together, on all their occurrences in training texts."""
-    spark = texts.sparkSession
-    size, low = model.frequent + CLASSES + 1, model.frequent
+    spark = groups.sparkSession
+    size, low, places = model.frequent + CLASSES + 1, model.frequent, 2 * len(SHARES)
     total = pairs[0].sum()
     noise = ((model.occurrences + 1) / (total + model.symbols)).astype(np.float32)
     given = []
@@ -336,7 +355,8 @@ def _grow(texts: DataFrame, model: Grown, heads: list[LogBilinear], pairs: np.nd
         coarse_noise = (table.sum(0) + 1) / (total + size)
         q = head.context @ head.combine
         given.append([x.astype(np.float32) for x in (q, head.target, head.bias, table.sum(1), coarse_noise)])
-    shipped = spark.sparkContext.broadcast((model, given, noise)) if total else None  # before it has vectors
+    lanes = -(-np.maximum(model.occurrences[: len(model.words)], 1) // lane).astype(np.int64)  # tasks for each word
+    shipped = spark.sparkContext.broadcast((model, given, noise, lanes)) if total else None  # before it has vectors
     for head, (q, *_) in zip(heads, given, strict=True):
         model.given.append([q, *(x.astype(np.float32) for x in (head.target, head.bias))])
         fine = model.coarse
@@ -346,71 +366,83 @@ def _grow(texts: DataFrame, model: Grown, heads: list[LogBilinear], pairs: np.nd
         if total:
             bias[low : model.end] = np.log(noise[low:])
         model.bias.append(bias)
+
+    def take(some: np.ndarray, v: np.ndarray) -> None:
+        for d in range(len(SHARES)):
+            x = v[:, d * (2 * DIMENSIONS + 1) : (d + 1) * (2 * DIMENSIONS + 1)]
+            model.target[d][some], model.bias[d][some], model.context[d][some] = x[:, :DIMENSIONS], x[:, DIMENSIONS], x[:, DIMENSIONS + 1 :]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Entries]:
+        m = shipped.value[0]
+        for r in B.rows_of(batches):
+            before, after, bounds = _training(r, m)
+            columns = _neighbours(m, before, after, bounds)
+            at = np.flatnonzero((after >= low) & (after < len(m.words)))
+            yield dict(zip(_NEAR, (after[at], *(c[at] for c in columns)), strict=True))
+
+    def home(e: B.Entries) -> np.ndarray:
+        item = e["item"].astype(np.int64)
+        several = shipped.value[3][item]
+        near = sum(e[c].astype(np.uint64) << np.uint64(16 * k) for k, c in enumerate(list(_NEAR)[1:]))
+        return (item + (mixed(near) % several.astype(np.uint64)).astype(np.int64)) % parts
+
+    def counted(items: np.ndarray, near: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        order = np.argsort(items, kind="stable")
+        items, near = items[order], [c[order] for c in near]
+        first = B.heads(items)
+        names, first = items[first], np.append(first, len(items))
+        for k in range(0, len(names), FITTED):
+            some = names[k : k + FITTED]
+            a, b = first[k], first[k + len(some)]
+            row = np.repeat(np.arange(len(some)), np.diff(first[k : k + len(some) + 1]))
+            table = np.zeros((len(some), places, size), np.float32)
+            for j, c in enumerate(near):
+                c = c[a:b]
+                good = c != _NONE
+                table[:, j] = np.bincount(row[good] * size + c[good], minlength=len(some) * size).reshape(len(some), size)
+            yield some, table
+
+    def emitted(items: np.ndarray, whole: bool, values: np.ndarray) -> pa.RecordBatch:
+        if whole:
+            return pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([items.astype("<i8").tobytes()]), pa.array([values.astype("<f4").tobytes()])], names=["item", "items", "values"])
+        rows = [x.astype("<f8").tobytes() for x in values]
+        return pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.nulls(len(items), pa.binary()), pa.array(rows, pa.binary())], names=["item", "items", "values"])
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, given_, noise_, lanes_ = shipped.value
+        for e in B.gathered(batches, _NEAR):
+            columns = [e[c].astype(np.int64) for c in _NEAR]
+            for some, table in counted(columns[0], columns[1:]):
+                alone = lanes_[some] == 1
+                if alone.any():
+                    own = some[alone]
+                    yield emitted(own, True, _fit_items(table[alone], m.coarse[own], noise_[own], given_))
+                if not alone.all():  # counts of a part of its occurrences
+                    yield emitted(some[~alone], False, table[~alone])
+
+    def fit_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, given_, noise_, _ = shipped.value
+        sums: dict[int, np.ndarray] = {}
+        for r in B.rows_of(batches):
+            x = np.frombuffer(r["values"], "<f8")
+            sums[r["item"]] = sums[r["item"]] + x if r["item"] in sums else x
+        for item, x in sums.items():
+            own = np.array([item])
+            yield emitted(own, True, _fit_items(x.reshape(1, places, size).astype(np.float32), m.coarse[own], noise_[own], given_))
+
     if total:
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = shipped.value[0]
-            for block in blocks(batches, "text"):
-                hashes, first, _ = _words(block)
-                before, after, bounds = m.encode(hashes, first)
-                coarse = m.coarse[after].astype("<u2")
-                columns = [m.coarse[b].astype("<u2") for b in before]
-                for d in range(1, len(SHARES) + 1):
-                    later = np.full(len(after), _NONE, "<u2")
-                    later[:-d] = coarse[d:]
-                    left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(after))
-                    later[left <= d] = _NONE
-                    columns.append(later)
-                at = np.flatnonzero((after >= low) & (after < m.end))
-                at = at[np.argsort(after[at], kind="stable")]
-                order, cuts = B.cut(after[at] % parts, parts)
-                at = at[order]
-                out = []
-                for p in range(parts):
-                    some = at[cuts[p] : cuts[p + 1]]
-                    if len(some):
-                        out.append((p, after[some].astype("<i4").tobytes(), *(c[some].tobytes() for c in columns)))
-                if out:
-                    yield B.emit(_ITEMS, out)
-
-        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, given_, noise_ = shipped.value
-            rows = [[np.frombuffer(r["items"], "<i4"), *(np.frombuffer(r[n], "<u2") for n in _ITEMS.names[2:])] for r in B.rows_of(batches)]
-            if not rows:
-                return
-            items, *near = (np.concatenate(c) for c in zip(*rows, strict=True))
-            del rows
-            order = np.argsort(items, kind="stable")
-            items, near = items[order], [c[order] for c in near]
-            names, first = np.unique(items, return_index=True)
-            first = np.append(first, len(items))
-            for k in range(0, len(names), FITTED):
-                some = names[k : k + FITTED]
-                a, b = first[k], first[k + len(some)]
-                row = np.repeat(np.arange(len(some)), np.diff(first[k : k + len(some) + 1]))
-                cls, chance = m.coarse[some], noise_[some][:, None]
-
-                def counts(column: np.ndarray, a=a, b=b, row=row, some=some) -> np.ndarray:
-                    c = column[a:b].astype(np.int64)
-                    good = c != _NONE
-                    return np.bincount(row[good] * size + c[good], minlength=len(some) * size).reshape(len(some), size).astype(np.float32)
-
-                out = []
-                for d, (q, target, bias, times, coarse_noise) in enumerate(given_):
-                    data = counts(near[d]) + PRIOR_PAIRS * chance
-                    wide = np.column_stack([q, np.ones(size, np.float32)])
-                    start = np.column_stack([target[cls], np.log(chance)])
-                    out.append(fitted(data, NOISE * (times + PRIOR_PAIRS)[None, :] * chance, wide, np.float32(0), np.log(NOISE * chance), start))
-                    data = counts(near[len(SHARES) + d]) + PRIOR_PAIRS * coarse_noise
-                    out.append(fitted(data, NOISE * data.sum(1, keepdims=True) * coarse_noise, target, bias, np.log(NOISE * coarse_noise), q[cls]))
-                yield pa.RecordBatch.from_arrays([pa.array([some.astype("<i4").tobytes()]), pa.array([np.column_stack(out).astype("<f4").tobytes()])], names=["items", "vectors"])
-
-        sent = texts.where("not held").mapInArrow(scan, "part int, " + ", ".join(f"{n} binary" for n in _ITEMS.names[1:])).repartitionById(parts, "part")
-        for r in written(sent.mapInArrow(fit, "items binary, vectors binary"), "lm-vectors").toLocalIterator():
-            some = np.frombuffer(r["items"], "<i4")
-            v = np.frombuffer(r["vectors"], "<f4").reshape(len(some), -1)
-            for d in range(len(SHARES)):
-                x = v[:, d * (2 * DIMENSIONS + 1) : (d + 1) * (2 * DIMENSIONS + 1)]
-                model.target[d][some], model.bias[d][some], model.context[d][some] = x[:, :DIMENSIONS], x[:, DIMENSIONS], x[:, DIMENSIONS + 1 :]
+        columns = "item long, items binary, values binary"
+        sent = B.exchange(groups.select("held", "sizes", "tokens", "words"), scan, _NEAR, home, parts)
+        found = tables.keep(sent.mapInArrow(fit, columns), "lm-vectors")
+        if (lanes > 1).any():
+            found = found.where("item < 0").unionByName(tables.keep(found.where("item >= 0").repartition(parts, "item").mapInArrow(fit_sums, columns), "lm-sums"))
+        for r in found.toLocalIterator():  # in pieces of FITTED words
+            some = np.frombuffer(r["items"], "<i8")
+            take(some, np.frombuffer(r["values"], "<f4").reshape(len(some), -1))
+        tables.drop(*[t for t, _ in list(tables.paths.values()) if "items" in t.columns])
+        some = len(model.words) + np.arange(CLASSES)
+        take(some, _fit_items(rare.astype(np.float32), model.coarse[some], noise[some], given))
+        shipped.destroy()
     _normalise(spark, model)
 
 
@@ -450,29 +482,30 @@ def _normalise(spark: SparkSession, model: Grown, batch: int = 256, many: int =
     model.class_sum = list(np.log(within))
 
 
-def _vocabulary(packs: DataFrame, size: int) -> tuple[Grown, list[LogBilinear]]:
+def _vocabulary(packs: DataFrame, size: int, share: float = LEAST_SHARE) -> tuple[Grown, list[LogBilinear]]:
     """All words of the vocabulary, and untrained models of the most frequent ones with the totals of each class without them."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in B.rows_of(batches):
-            if r["kind"] == 1:
-                arrays = [B.unpacked(r["ids"]).view(np.int64), np.frombuffer(r["sums"]), np.zeros(len(r["ids"]) // 8, np.int64), np.ones(len(r["ids"]) // 8, np.int32)]
-            else:
-                arrays = [np.arange(CLASSES), np.frombuffer(r["sums"]), np.frombuffer(r["tokens"], "<i8"), np.full(CLASSES, 2, np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["key", "n", "words", "kind"])
-
-    rows = packs.where("kind > 0").mapInArrow(unpack, "key long, n double, words long, kind int")
-    found = rows.where("kind = 1").select("key", "n").toArrow()
+            key, n = B.unpacked(r["key"]), B.unpacked(r["n"], _REPLIES["n"])
+            for k in range(0, len(key), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000].view(np.int64)) for c in (key, n)], names=["key", "n"])
+
+    rows = packs.where("kind = 'word'").select("key", "n").mapInArrow(unpack, "key long, n long")
+    tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
+    by_class = rows.groupBy((F.col("key").bitwiseAND(CLASSES - 1)).alias("class")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
+    for r in by_class.collect():
+        tokens[r["class"]], distinct[r["class"]] = r["n"], r["words"]
+    least = max(LEAST, int(share * tokens.sum()))
+    top = rows.orderBy(F.desc("n"), "key").limit(size)
+    found = rows.where(F.col("n") >= least).unionByName(top).distinct().toArrow()  # at most 1 / share + size words
     words = np.asarray(found.column("key").combine_chunks()).astype(np.int64)
     counts = np.asarray(found.column("n").combine_chunks()).astype(float)
     order = np.lexsort((words, -counts))
     words, counts = words[order].view(np.uint64), counts[order]
     own = np.arange(len(words)) < size
-    others, other_counts = (x[~own & (counts >= LEAST)] for x in (words, counts))
+    others, other_counts = (x[~own & (counts >= least)] for x in (words, counts))
     words, counts = words[own], counts[own]
-    tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in rows.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect():
-        tokens[r["key"]], distinct[r["key"]] = r["n"], r["words"]
     order = np.argsort(words)
     words, counts = words[order], counts[order]
     cls = (words & _CLASS_BITS).astype(np.int64)
@@ -484,52 +517,61 @@ def _vocabulary(packs: DataFrame, size: int) -> tuple[Grown, list[LogBilinear]]:
     return model, heads
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, lane: int = LANE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     prepare(docs.sparkSession)
     spark = docs.sparkSession
     texts = _picked(docs, id_col, text_col)
     parts = B.partitions(texts)
-    counted, path = _counts(texts, parts, vocabulary), new_dir(spark, "lm-counts")
-    counted.write.option("compression", "zstd").parquet(path)
-    packs = spark.read.schema(counted.schema).parquet(path)
-    del counted
-    free_shuffles(spark)
-    model, heads = _vocabulary(packs, vocabulary)
-    sums = written(_document_sums(packs, parts), "lm-sums")  # narrow, so the counts can go before words are fitted
-    delete(spark, path)
-    free_shuffles(spark)
-    pairs = _pair_counts(texts, model)
+    tables = Tables(spark)
+    groups = tables.keep(_grouped(texts, parts), "lm-groups")
+    path = new_dir(spark, "lm-counts")
+    write(_counted(groups, parts), path, "kind")
+    packs = spark.read.schema(", ".join(f"{c} binary" for c in _REPLIES) + ", kind string").parquet(path)
+    with settings(spark, TIDY):
+        model, heads = _vocabulary(packs, vocabulary)
+    pairs, rare = _pair_counts(groups, model)
     for head, table in zip(heads, pairs, strict=True):
         head.train(table)
     train_docs = int(pairs[0][:, -1].sum())  # every training text ends once
-    _grow(texts, model, heads, pairs, parts)
-    free_shuffles(spark)
+    _grow(groups, model, heads, pairs, rare, parts, tables, lane)
     total = model.train_words + train_docs
     types = model.train_types + (train_docs > 0)
-    shipped = spark.sparkContext.broadcast(model)  # some 500 bytes for each word of the vocabulary
+    shipped = spark.sparkContext.broadcast(model)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shipped.value
-        for block in blocks(batches, "text"):
-            hashes, first, prints = _words(block)
-            before, after, bounds = m.encode(hashes, first)
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Entries]:
+        return B.gathered(batches, _REPLIES, B.FLUSH)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, replies, known = shipped.value, [], None
+        for r in B.rows_of(batches):
+            if r["ids"] is None:
+                replies.append((B.unpacked(r["key"], _REPLIES["key"]), B.unpacked(r["n"], _REPLIES["n"])))
+                continue
+            if known is None:
+                known, times = (np.concatenate(c) for c in zip(*replies, strict=True)) if replies else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+                replies.clear()
+                order = np.argsort(known)
+                known, times = known[order], times[order].astype(float)
+            ids, held, sizes, tokens, words = (B.unpacked(r[c], _GROUPS[c]) for c in ("ids", "held", "sizes", "tokens", "words"))
+            c = np.zeros(len(words))
+            if len(known) and len(words):
+                at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                c = np.where(known[at] == words, times[at], 0)
+            tokens, first = tokens.astype(np.int64), np.append(0, np.cumsum(sizes.astype(np.int64)))
+            sums = [np.append(0, np.cumsum(x[tokens])) for x in (np.log10(c + 1), c > 0)]
+            word_sum, n_known = (x[first[1:]] - x[first[:-1]] for x in sums)
+            before, after, bounds = m.encode(m.symbols_of(words)[tokens], first)
             each = np.append(0, np.cumsum(m.log_probabilities(before, after) + m.own[after]))
-            yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), block.column("held"), pa.array(prints.view(np.int64)), pa.array(np.diff(bounds)), pa.array(each[bounds[1:]] - each[bounds[:-1]])],
-                names=["doc_id", "held", "print", "n_tokens", "model_sum"],
-            )
-
-    scored = texts.mapInArrow(scan, "doc_id long, held boolean, print long, n_tokens long, model_sum double")
-    found = scored.join(sums, (scored["doc_id"] == sums["id"]) & (scored["print"] == sums["print"]), "left")
-    copies = F.coalesce(F.col("words") / (F.col("n_tokens") - 1), F.lit(1.0))  # rows that repeat id and text were added up
-    word_sum = F.coalesce(F.col("word_sum") / copies, F.lit(0.0))
-    return found.select(
-        F.nullif(scored["doc_id"], F.lit(B.NULL_ID)).alias("doc_id"),
-        F.col("held").alias("held_out"),
-        "n_tokens",
-        (F.coalesce(F.round(F.col("words_known") / copies).cast("long"), F.lit(0)) + F.lit(1 if train_docs else 0)).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (word_sum + F.lit(float(np.log10(train_docs + 1))) - F.col("n_tokens") * F.lit(float(np.log10(total + types + 1)))).alias("base_score"),
-        (F.col("model_sum") + word_sum).alias("score"),
-    )
+            n = np.diff(bounds)
+            columns = [
+                B.id_array(ids.view(np.int64)), pa.array(held > 0), pa.array(n), pa.array(n_known + (train_docs > 0)), pa.array(np.full(len(ids), total)),
+                pa.array(word_sum + np.log10(train_docs + 1) - n * np.log10(total + types + 1)), pa.array(each[bounds[1:]] - each[bounds[:-1]] + word_sum),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    answers = B.exchange(packs.where("kind = 'reply'").drop("kind"), dealt, _REPLIES, lambda e: e["to"].astype(np.int64), parts)
+    own = groups.select("part", F.lit(1).alias("order"), *(c for c in _GROUPS if c != "train"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("binary").alias("n"))
+    met = own.unionByName(answers.select("part", F.lit(0).alias("order"), "key", "n"), allowMissingColumns=True)
+    met = met.repartitionById(parts, "part").sortWithinPartitions("order")
+    return met.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

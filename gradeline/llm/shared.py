@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,12 +55,52 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Spark drops the shuffle files of a query when it ends.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def write(df: DataFrame, path: str, *parts: str) -> None:
+    """Write a table to the shared root; the shuffle files behind it go."""
+    with settings(df.sparkSession, TIDY):
+        df.write.option("compression", "zstd").partitionBy(*parts).parquet(path)
+
+
+class Tables:
+    """Tables that cut the lineage: written to the shared root and read again. Those of finished steps can be dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        path = new_dir(self.spark, what)
+        write(df, path)
+        held = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(held)] = held, path
+        return held
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            if id(t) in self.paths:
+                delete(self.spark, self.paths.pop(id(t))[1])
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write a table to the shared root and read it again."""
-    spark = df.sparkSession
-    path = new_dir(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """A table that stays until the shared folder is cleared."""
+    return Tables(df.sparkSession).keep(df, what)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -72,17 +111,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps now, not at some later collection.
-
-    The cleaner works in the background on what a collection has found unreachable, so it gets a moment.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.7)
-
-
 def join_by_key(left: DataFrame, right: DataFrame, key: str, sizes: DataFrame, total: int) -> DataFrame:
     """Inner join where ``right`` has one row for each key and ``left`` may have very many.
 

@@ -4,17 +4,19 @@
 shift of at most 6 words that brings both to cover positions. So 7-word windows are hashed at cover
 positions only (three of seven), and any two equal 13-word windows share an anchor inside them.
 
-1. Anchors: every task hashes its texts' anchors; a partition of the hash space keeps those of two
-   or more documents and sends each to the groups (by id) of the documents that have it.
-2. Extension: texts meet their group's shared anchors; only the 13-word windows around a shared
-   anchor are hashed (96 bits), and a partition of that hash space finds for each window the
-   smallest document; the windows of the others are sent back to their documents' groups.
+1. Anchors: every task hashes its texts' anchors and merges them. An anchor of several documents of a
+   task is shared, which the task tells the documents' partitions itself (spread over all partitions
+   on the way); of each anchor one entry goes to the partition of the hash space that keeps it, and
+   that answers those whose anchor occurs elsewhere too.
+2. Extension: texts meet their partition's shared anchors; only the 13-word windows around a shared
+   anchor are hashed (96 bits). A task keeps the smallest document of each window, marks the others
+   itself, and sends the smallest on, so a partition of the hash space finds the smallest of all.
 3. Removal: texts meet their repeated windows; covered words go.
 
-No pairs are formed, so a passage of very many documents costs one entry for each. Defined results:
-null and empty texts have no words; a null id counts as smaller than any other and comes back null;
-rows that repeat an id never remove each other's words; fewer than 13 words: nothing to remove;
-other columns don't matter.
+No pairs are formed, and a passage of very many documents costs its home one entry for each task.
+Windows are equal if their 96-bit hashes are. Defined results: null and empty texts have no words; a
+null id counts as smaller than any other and comes back null; rows that repeat an id never remove
+each other's words; fewer than 13 words: nothing to remove; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from gradeline.llm import buckets as B
-from gradeline.llm.shared import free_shuffles, prepare, written
-from gradeline.llm.textops import SpanHash, blocks, column_bytes, ranges, windows, word_spans
+from gradeline.llm.shared import Tables, prepare
+from gradeline.llm.textops import SpanHash, blocks, column_bytes, mixed, ranges, windows, word_spans
 
 PERIOD, COVER = 7, (1, 2, 4)
 WINDOW = 13
@@ -39,11 +41,15 @@ _WORD, _WORD2 = SpanHash(41), SpanHash(42)
 _ANCHOR, _FIRST, _SECOND = SpanHash(43), SpanHash(44), SpanHash(45)
 _IS_COVER = np.isin(np.arange(PERIOD), COVER)
 
-_HITS = pa.schema([("part", pa.int32()), ("keys", pa.binary())])
-_PACKED = pa.schema([("part", pa.int32()), ("groups", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
-_WINDOWS = pa.schema([(n, pa.int32() if n == "part" else pa.binary()) for n in ("part", "ids", "prints", "counts", "starts", "keys", "more")])
-_REPEATS = pa.schema([(n, pa.int32() if n == "part" else pa.binary()) for n in ("part", "ids", "prints", "counts", "starts")])
-_SQL = lambda s: ", ".join(f"{f.name} {'int' if pa.types.is_int32(f.type) else 'binary'}" for f in s)
+_ANCHORS = {"key": 8, "to": 4}
+_HITS = {"key": 6, "to": 4}
+_WINDOWS = {"key": 8, "more": 4, "id": -8, "row": -8, "start": 4}
+_REPEATS = {"id": -8, "row": -8, "start": 4}
+#: Marks in ``to``: passed through to the documents' partition; known to be shared, without an answer.
+_DIRECT, _SHARED = np.uint64(1 << 31), np.uint64(1 << 30)
+_PART = _SHARED - np.uint64(1)
+_LOW32 = np.uint64((1 << 32) - 1)
+_LOW48 = np.uint64((1 << 48) - 1)
 
 
 def _words(block: pa.RecordBatch):
@@ -68,73 +74,102 @@ def _prints(first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (sums[end] - sums[begin]) - (base[end] - base[begin]) * begin.astype(np.uint64)
 
 
+def _spread(entries: B.Entries, parts: int, other: str) -> np.ndarray:
+    """The home of each entry's key; entries that are passed through go anywhere."""
+    row = entries.get("row", entries["to"] if "to" in entries else None)
+    direct = row & _DIRECT > 0
+    return B.hash_bucket(np.where(direct, mixed(entries[other] * np.uint64(31) + row), entries["key"]), parts)
+
+
 def _shared_anchors(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, keys): anchors of two or more documents, for each group of documents that has them."""
+    """(part, key, to): anchors of two or more documents, for each partition of documents that has them."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merged(keys: list, to: list, docs_: list) -> B.Entries:
+        key, part, doc = (np.concatenate(x) for x in (keys, to, docs_))
+        for x in (keys, to, docs_):
+            x.clear()
+        order = np.argsort(key, kind="stable")  # documents stay in order within a key
+        key, part, doc = key[order], part[order], doc[order]
+        at = B.heads(key)
+        size = np.diff(np.append(at, len(key)))
+        several = doc[at] != doc[at + size - 1]
+        every = np.repeat(several, size)
+        k, p = key[every], part[every] | _DIRECT
+        order = np.lexsort((p, k))
+        k, p = k[order], p[order]
+        once = B.heads(k, p)
+        home = np.where(several, _SHARED, part[at])
+        return {"key": np.append(key[at], k[once]), "to": np.append(home, p[once])}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Entries]:
+        keys, to, docs_, seen, held = [], [], [], 0, 0
         for block in blocks(batches, "text"):
-            ids = B.ids_of(block.column("doc_id"))
             _, _, _, first, hashes = _words(block)
             _, row, h = _anchors(first, hashes)
-            order, bounds = B.cut(B.hash_bucket(h, parts), parts)
-            h, row = h[order], row[order]
-            groups = B.deltas(B.id_group(ids, parts))
-            rows = []
-            for p in range(parts):
-                a, b = bounds[p], bounds[p + 1]
-                if a < b:
-                    counts = np.bincount(row[a:b], minlength=len(ids)).astype("<u4")
-                    rows.append((p, groups, counts.tobytes(), B.packed(h[a:b], 6)))
-            yield B.emit(_PACKED, rows)
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs_, groups, seen = [], [], [], 0
-        for r in B.rows_of(batches):
-            counts = np.frombuffer(r["counts"], "<u4")
-            keys.append(B.unpacked(r["keys"], 6))
-            docs_.append(np.repeat(np.arange(seen, seen + len(counts)), counts))
-            groups.append(B.undeltas(r["groups"]).astype(np.int32))
-            seen += len(counts)
-        if not keys:
-            return
-        key, doc, group = np.concatenate(keys), np.concatenate(docs_), np.concatenate(groups)
-        order = np.argsort(key, kind="stable")  # documents stay in order within a key
-        key, doc = key[order], doc[order]
-        new = np.append(True, key[1:] != key[:-1])
-        at = np.flatnonzero(new)
-        last = np.append(at[1:], len(key)) - 1
-        several = doc[at] != doc[last]
-        size = last - at + 1
-        take = ranges(at[several], size[several])
-        key, group = key[take], group[doc[take]]
-        order = np.lexsort((key, group))
-        key, group = key[order], group[order]
-        once = np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])) if len(key) else np.zeros(0, bool)
-        key, group = key[once], group[once]
-        bounds = np.searchsorted(group, np.arange(parts + 1))
-        for p in range(parts):
-            if bounds[p] < bounds[p + 1]:
-                yield B.emit(_HITS, [(p, B.packed(key[bounds[p] : bounds[p + 1]], 6))])
-
-    sent = docs.mapInArrow(scan, _SQL(_PACKED)).repartitionById(parts, "part")
-    return sent.mapInArrow(gather, _SQL(_HITS))
+            keys.append(h)
+            to.append(np.asarray(block.column("part")).astype(np.uint64)[row])
+            docs_.append(row + seen)
+            seen, held = seen + block.num_rows, held + len(h)
+            if held >= B.FLUSH:
+                yield merged(keys, to, docs_)
+                held = 0
+        if held:
+            yield merged(keys, to, docs_)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Entries]:
+        for e in B.gathered(batches, _ANCHORS):
+            direct = e["to"] & _DIRECT > 0
+            key, to = e["key"][~direct], e["to"][~direct]
+            order = np.argsort(key, kind="stable")
+            key, to = key[order], to[order]
+            at = B.heads(key)
+            size = np.diff(np.append(at, len(key)))
+            known = (np.bitwise_or.reduceat(to, at) & _SHARED > 0) | (size > 1) if len(at) else np.zeros(0, bool)
+            hit = np.repeat(known, size) & (to & _SHARED == 0)
+            key, to = np.append(key[hit], e["key"][direct]) & _LOW48, np.append(to[hit], e["to"][direct]) & _PART
+            order = np.lexsort((key, to))
+            key, to = key[order], to[order]
+            once = B.heads(to, key)
+            yield {"key": key[once], "to": to[once]}
+
+    sent = B.exchange(docs, scan, _ANCHORS, lambda e: _spread(e, parts, "key"), parts)
+    return B.exchange(sent, shared, _HITS, lambda e: e["to"].astype(np.int64), parts)
 
 
 def _repeated_windows(docs: DataFrame, hits: DataFrame, parts: int) -> DataFrame:
-    """(part, ids, prints, counts, starts): windows that start in a smaller document too."""
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        known = None
-        for block in blocks(B.split_met(batches, lambda r: found.append(B.unpacked(r["keys"], 6))), "text"):
+    """(part, id, row, start): windows that start in a smaller document too; ``row`` has a print of the text and the partition."""
+
+    def merged(found: list[B.Entries]) -> B.Entries:
+        e = {n: np.concatenate([f[n] for f in found]) for n in _WINDOWS}
+        found.clear()
+        return least(e, False)
+
+    def least(e: B.Entries, done: bool) -> B.Entries:
+        """Entries of larger documents are marked; if ``done``, only these remain."""
+        order = np.lexsort((e["id"].view(np.int64), e["more"], e["key"]))
+        e = {n: c[order] for n, c in e.items()}
+        at = B.heads(e["key"], e["more"])
+        ids = e["id"].view(np.int64)
+        again = ids > np.repeat(ids[at], np.diff(np.append(at, len(ids))))
+        if done:
+            return {n: c[again] for n, c in e.items()}
+        e["row"] = np.where(again, e["row"] | _DIRECT, e["row"])
+        e["key"] = np.where(again, np.uint64(0), e["key"])
+        e["more"] = np.where(again, np.uint64(0), e["more"])
+        return e
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Entries]:
+        packs: list[np.ndarray] = []
+        known, found, held = None, [], 0
+        for block in blocks(B.split_met(batches, lambda r: packs.append(B.unpacked(r["key"], 6))), "text"):
             if known is None:
-                known = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-                found.clear()
+                known = np.unique(np.concatenate(packs)) if packs else np.zeros(0, np.uint64)
+                packs.clear()
             if not len(known):
                 continue
             data, starts, ends, first, hashes = _words(block)
             at, row, h = _anchors(first, hashes)
-            key = h & np.uint64((1 << 48) - 1)
+            key = h & _LOW48
             hit = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
             at, row = at[hit], row[hit]
             if not len(at):
@@ -147,55 +182,32 @@ def _repeated_windows(docs: DataFrame, hits: DataFrame, parts: int) -> DataFrame
             begin, row = begin[fits], row[fits]
             if not len(begin):
                 continue
-            one = _FIRST.runs(hashes, begin, WINDOW)
-            two = _SECOND.runs(_WORD2.words(data, starts, ends), begin, WINDOW)
-            ids, prints = B.ids_of(block.column("doc_id")), _prints(first, hashes)
-            order, bounds = B.cut(B.hash_bucket(one, parts), parts)
-            one, two, row, begin = one[order], two[order], row[order], begin[order] - first[row[order]]
-            id_bytes, print_bytes = B.deltas(ids), B.packed(prints, 4)
-            rows = []
-            for p in range(parts):
-                a, b = bounds[p], bounds[p + 1]
-                if a < b:
-                    counts = np.bincount(row[a:b], minlength=len(ids)).astype("<u4")
-                    rows.append((p, id_bytes, print_bytes, counts.tobytes(), B.deltas(begin[a:b]), B.packed(one[a:b]), B.packed(two[a:b], 4)))
-            yield B.emit(_WINDOWS, rows)
-
-    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[tuple] = []
-        for r in B.rows_of(batches):
-            counts = np.frombuffer(r["counts"], "<u4")
-            columns.append((
-                np.repeat(B.undeltas(r["ids"]), counts), np.repeat(B.unpacked(r["prints"], 4), counts),
-                B.undeltas(r["starts"]), B.unpacked(r["keys"]), B.unpacked(r["more"], 4),
-            ))
-        if not columns:
-            return
-        ids, prints, starts, one, two = (np.concatenate(c) for c in zip(*columns, strict=True))
-        order = np.lexsort((ids, two, one))
-        one, two = one[order], two[order]
-        new = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
-        sorted_ids = ids[order]
-        least = sorted_ids[new][np.cumsum(new) - 1]
-        again = order[sorted_ids > least]
-        if not len(again):
-            return
-        ids, prints, starts = ids[again], prints[again], starts[again]
-        group = B.id_group(ids, parts)
-        order = np.lexsort((starts, prints, ids, group))
-        ids, prints, starts, group = ids[order], prints[order], starts[order], group[order]
-        bounds = np.searchsorted(group, np.arange(parts + 1))
-        for p in range(parts):
-            a, b = bounds[p], bounds[p + 1]
-            if a < b:
-                i, f = ids[a:b], prints[a:b]
-                head = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (f[1:] != f[:-1])))
-                counts = np.diff(np.append(head, b - a)).astype("<u4")
-                yield B.emit(_REPEATS, [(p, B.deltas(i[head]), B.packed(f[head], 4), counts.tobytes(), B.deltas(starts[a:b]))])
-
-    met = B.met(docs, hits, ["keys"], parts)
-    sent = met.mapInArrow(extend, _SQL(_WINDOWS)).repartitionById(parts, "part")
-    return sent.mapInArrow(smallest, _SQL(_REPEATS))
+            prints = _prints(first, hashes) & _LOW32
+            part = np.asarray(block.column("part")).astype(np.uint64)
+            found.append({
+                "key": _FIRST.runs(hashes, begin, WINDOW), "more": _SECOND.runs(_WORD2.words(data, starts, ends), begin, WINDOW) & _LOW32,
+                "id": B.ids_of(block.column("doc_id")).view(np.uint64)[row], "row": (prints << np.uint64(32) | part)[row],
+                "start": (begin - first[row]).astype(np.uint64),
+            })
+            held += len(begin)
+            if held >= B.FLUSH // 2:
+                yield merged(found)
+                held = 0
+        if found:
+            yield merged(found)
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Entries]:
+        for e in B.gathered(batches, _WINDOWS):
+            direct = e["row"] & _DIRECT > 0
+            later = least({n: c[~direct] for n, c in e.items()}, True)
+            out = {n: np.append(later[n], e[n][direct]) for n in _REPEATS}
+            out["row"] &= ~_DIRECT
+            order = np.lexsort((out["start"], out["row"], out["id"]))
+            yield {n: c[order] for n, c in out.items()}
+
+    met = B.met(docs, hits, ["key"], parts)
+    sent = B.exchange(met, extend, _WINDOWS, lambda e: _spread(e, parts, "start"), parts)
+    return B.exchange(sent, smallest, _REPEATS, lambda e: (e["row"] & _PART).astype(np.int64), parts)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -204,10 +216,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     docs = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
     parts = B.partitions(docs)
-    hits = written(_shared_anchors(docs, parts), "substring-anchors")
-    free_shuffles(spark)
-    repeats = written(_repeated_windows(docs, hits, parts), "substring-windows")
-    free_shuffles(spark)
+    docs = B.with_part(docs, parts)
+    tables = Tables(spark)
+    hits = tables.keep(_shared_anchors(docs, parts), "substring-anchors")
+    repeats = tables.keep(_repeated_windows(docs, hits, parts), "substring-windows")
+    tables.drop(hits)
 
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     if with_text:
@@ -219,8 +232,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         table = None
 
         def take(r: dict) -> None:
-            counts = np.frombuffer(r["counts"], "<u4")
-            packs.append((np.repeat(B.undeltas(r["ids"]), counts), np.repeat(B.unpacked(r["prints"], 4), counts), B.undeltas(r["starts"])))
+            id_, row, start = (B.unpacked(r[n], w) for n, w in _REPEATS.items())
+            packs.append((id_.view(np.int64), row >> np.uint64(32), start.astype(np.int64)))
 
         for block in blocks(B.split_met(batches, take), "text"):
             if table is None:
@@ -233,7 +246,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 index = {(int(i), int(f)): k for k, (i, f) in enumerate(zip(ids[head], prints[head], strict=True))}
             data, spans, _, first, hashes = _words(block)
             own = B.ids_of(block.column("doc_id"))
-            prints_ = _prints(first, hashes) & np.uint64((1 << 32) - 1)
+            prints_ = _prints(first, hashes) & _LOW32
             where = [index.get((int(i), int(f)), -1) for i, f in zip(own, prints_, strict=True)]
             some = np.array([k for k, w in enumerate(where) if w >= 0], np.int64)
             covered = np.zeros(len(spans), bool)
@@ -260,5 +273,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             arrays = [B.id_array(own), pa.array(np.diff(first)), pa.array(gone), pa.array(columns[0])]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(columns[1], pa.string())] * with_text, schema=schema)
 
-    met = B.met(docs, repeats, ["ids", "prints", "counts", "starts"], parts)
+    met = B.met(docs, repeats, list(_REPEATS), parts)
     return met.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

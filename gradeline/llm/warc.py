@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeline.llm.shared import HEAVY_PARTS, free_shuffles, join_by_key, new_dir
+from gradeline.llm.shared import HEAVY_PARTS, join_by_key, new_dir, write
 
 #: Smaller payloads are never revisited.
 LEAST_REVISITED = 100
@@ -46,16 +46,15 @@ def write_archive(pages: DataFrame, path: str | None = None, date: str = "2025-0
         F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"),
         F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("size"),
     ).withColumn("locator", F.monotonically_increasing_id())
-    digested.write.option("compression", "zstd").parquet(f"{path}/landing")
+    write(digested, f"{path}/landing")
     rows = spark.read.schema(digested.schema).parquet(f"{path}/landing")
 
     # Copies collapse in the scanning tasks already; what is left differs in digest or bytes.
     store = pages.select(F.sha2(payload, 256).alias("digest"), payload.alias("payload")).distinct()
-    store.write.option("compression", "zstd").parquet(f"{path}/payloads")
-    free_shuffles(spark)
+    write(store, f"{path}/payloads")
 
     groups = rows.groupBy("digest").agg(F.min(F.struct("page_id", "locator", "url")).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    groups.write.option("compression", "zstd").parquet(f"{path}/digests")
+    write(groups, f"{path}/digests")
     groups = spark.read.schema(groups.schema).parquet(f"{path}/digests")
     stored, distinct = spark.read.parquet(f"{path}/payloads").count(), groups.count()
     if stored != distinct:
@@ -84,7 +83,7 @@ def write_archive(pages: DataFrame, path: str | None = None, date: str = "2025-0
         ("", F.lit("")),
     )
     headers = joined.withColumn("http", http).select("digest", "locator", warc.cast("binary").alias("warc_header"), F.col("http").cast("binary").alias("http_header"))
-    headers.write.option("compression", "zstd").parquet(f"{path}/headers")
+    write(headers, f"{path}/headers")
     return path
 
 

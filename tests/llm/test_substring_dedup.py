@@ -1,8 +1,10 @@
 import hashlib
 
+from gradeline.llm import buckets as B
 from gradeline.llm import substring_dedup as S
 
 from llm_soup import word_soup
+from test_textops import colliding_words
 
 
 def expected(texts):
@@ -39,6 +41,21 @@ def test_boundaries(make_docs):
     assert sorted([(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got], key=repr) == expected(texts)
 
 
+def test_two_hops_and_patterned_words(make_docs, monkeypatch):
+    monkeypatch.setattr(B, "HOPS_FROM", 2)
+    one, two = colliding_words()
+    texts = [*word_soup(documents=40), (300, f"{one} " * 20), (301, f"{two} " * 20), (302, f"x {two} " + f"{one} " * 13)]
+    got = S.dedup_substrings(make_docs(texts)).collect()
+    assert sorted([(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got], key=repr) == expected(texts)
+
+
+def test_a_passage_of_every_document(make_docs):
+    licence = " ".join(f"clause{i}" for i in range(30))
+    texts = [(i, f"own{i} text{i} {licence} end{i}") for i in range(400)]
+    got = {r["doc_id"]: r for r in S.dedup_substrings(make_docs(texts).repartition(5)).collect()}
+    assert got[0]["n_removed"] == 0 and all(got[i]["n_removed"] == 30 for i in range(1, 400))
+
+
 def test_empty(empty_docs):
     assert S.dedup_substrings(empty_docs).count() == 0
 
