@@ -14,7 +14,7 @@ from gradeline.llm.exact_dedup import drop_exact_copies
 from gradeline.llm.jaccard_join import keep_one_of_each
 from gradeline.llm.quality import keep_good, train_quality
 from gradeline.llm.sentencepiece_bpe import encode_decode
-from gradeline.llm.shared import free_shuffles, written
+from gradeline.llm.shared import Tables
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +53,18 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
+    """All stages over the whole documents table.
+
+    Defined results: null and empty texts are equal to each other, so the one with the smallest id stays if the
+    quality model accepts it, and it has no tokens; null ids come first, stay apart in the Jaccard join and come
+    back null; rows that repeat id and text leave one row; other columns pass through to the last stage; an empty
+    table gives an empty result, without labels every document scores 0.5 and stays.
+    """
+    tables = Tables(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        free_shuffles(spark)
+        before, docs = docs, tables.keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        tables.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
