@@ -48,7 +48,7 @@ from gradeline.llm.textops import SpanHash, blocks, column_bytes, lower_ascii, m
 VOCABULARY, CLASSES = 1000, 64
 #: Occurrences from which on any word has vectors of its own; shares of the contexts one and two places before.
 LEAST = 10
-LEAST_SHARE = 1e-7
+LEAST_SHARE = 5e-7
 SHARES = (0.8, 0.2)
 #: Pull of a word's vectors towards those of its class; words fitted at a time.
 RIDGE, FITTED = 2.0, 128
@@ -64,6 +64,7 @@ _GROUPS = {"ids": 8, "held": 1, "sizes": 4, "tokens": 4, "words": 8, "train": 4}
 _WORDS = {"key": 8, "to": -4, "n": 4}
 _REPLIES = {"key": 8, "n": 6, "to": -4}
 _NEAR = {"item": 4, "before1": 2, "before2": 2, "after1": 2, "after2": 2}
+_PAIRS = {"pair": 4, "n": 6}
 _NONE = 65_535
 
 
@@ -281,13 +282,13 @@ def _neighbours(model: Grown, before: list[np.ndarray], after: np.ndarray, bound
     return columns
 
 
-def _pair_counts(groups: DataFrame, model: Grown) -> tuple[np.ndarray, np.ndarray]:
+def _pair_counts(groups: DataFrame, model: Grown, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts in all training texts: pairs of coarse symbols one and two places apart, and the neighbours of each class of rare words."""
     shipped = groups.sparkSession.sparkContext.broadcast(model)
     size = model.frequent + CLASSES + 1
     pairs, places = len(SHARES) * size * size, 2 * len(SHARES)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Entries]:
         m = shipped.value
         total = np.zeros(pairs + CLASSES * places * size, np.int64)
         for r in B.rows_of(batches):
@@ -301,15 +302,22 @@ def _pair_counts(groups: DataFrame, model: Grown) -> tuple[np.ndarray, np.ndarra
                 good = near != _NONE
                 total[pairs:] += np.bincount((cls[good] * places + k) * size + near[good], minlength=len(total) - pairs)
         some = np.flatnonzero(total)
-        for k in range(0, len(some), 100_000):
-            at = some[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+        yield {"pair": some.astype(np.uint64), "n": total[some]}
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for e in B.gathered(batches, _PAIRS):
+            chunk, at = e["pair"] >> np.uint64(16), (e["pair"] & np.uint64(_NONE)).astype(np.int64)
+            for c in np.unique(chunk).tolist():
+                sums = np.bincount(at[chunk == c], e["n"][chunk == c].astype(float), _NONE + 1)
+                yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([sums.tobytes()])], names=["chunk", "sums"])
+
+    sent = B.exchange(groups.select("held", "sizes", "tokens", "words"), scan, _PAIRS, lambda e: (e["pair"] >> np.uint64(16)).astype(np.int64) % parts, parts)
+    table = np.zeros(-(-(pairs + CLASSES * places * size) // (_NONE + 1)) * (_NONE + 1))
     with settings(groups.sparkSession, TIDY):
-        got = groups.select("held", "sizes", "tokens", "words").mapInArrow(scan, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(pairs + CLASSES * places * size)
-    table[np.asarray(got.column("pair").combine_chunks()).astype(np.int64)] = np.asarray(got.column("n").combine_chunks())
-    return table[:pairs].reshape(len(SHARES), size, size), table[pairs:].reshape(CLASSES, places, size)
+        for r in sent.mapInArrow(add, "chunk long, sums binary").collect():  # tables of fixed size
+            table[r["chunk"] * (_NONE + 1) :][: _NONE + 1] = np.frombuffer(r["sums"])
+    shipped.destroy()
+    return table[:pairs].reshape(len(SHARES), size, size), table[pairs : pairs + CLASSES * places * size].reshape(CLASSES, places, size)
 
 
 def fitted(data: np.ndarray, against: np.ndarray, features: np.ndarray, offset: np.ndarray, shift: np.ndarray, start: np.ndarray, steps: int = 16, rate: float = 0.2) -> np.ndarray:
@@ -530,7 +538,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     packs = spark.read.schema(", ".join(f"{c} binary" for c in _REPLIES) + ", kind string").parquet(path)
     with settings(spark, TIDY):
         model, heads = _vocabulary(packs, vocabulary)
-    pairs, rare = _pair_counts(groups, model)
+    pairs, rare = _pair_counts(groups, model, parts)
     for head, table in zip(heads, pairs, strict=True):
         head.train(table)
     train_docs = int(pairs[0][:, -1].sum())  # every training text ends once
