@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gradeline.functions.values import number_prefix
+from gradeline.functions.values import number_prefix, trimmed
 
 #: Numbers match below this relative difference.
 TOLERANCE = 0.05
@@ -13,7 +13,7 @@ TOLERANCE = 0.05
 
 def plain_key(key: Column) -> Column:
     """A row key in lower case without notes in parentheses."""
-    return F.lower(F.trim(F.regexp_replace(key, r"\(.*?\)", "")))
+    return F.lower(trimmed(F.regexp_replace(key, r"\(.*?\)", "")))
 
 
 def key_parts(key: Column) -> Column:
@@ -48,7 +48,7 @@ def values_match(num_a: Column, text_a: Column, num_b: Column, text_b: Column, t
     a, b = F.coalesce(num_a, number_prefix(text_a)), F.coalesce(num_b, number_prefix(text_b))
     largest = F.greatest(F.abs(a), F.abs(b))
     near = (largest == 0) | (F.try_divide(F.abs(a - b), largest) < tolerance)
-    shown = lambda n, t: F.lower(F.trim(F.coalesce(t, n.cast("string"))))
+    shown = lambda n, t: F.lower(trimmed(F.coalesce(t, n.cast("string"))))
     same_text = F.coalesce(text_a == text_b, F.lit(False))
     return (
         F.when(empty_a & empty_b, True)

@@ -11,18 +11,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _PREFIX = r"^\s*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
-_BLANK = r"^\s*$"
+#: All white space, byte order marks and line separators included, at either end of a text.
+ENDS = r"^[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$"
+
+
+def trimmed(text: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(text, ENDS, "")
 
 
 def number(text: Column) -> Column:
     """A whole text as a number: empty text is 0, hexadecimal integers are read, anything else that is no number is NULL."""
-    trimmed = F.trim(text)
-    hexadecimal = F.conv(F.substring(trimmed, 3, 16), 16, 10).try_cast("double")
+    bare = trimmed(text)
+    hexadecimal = F.conv(F.substring(bare, 3, 16), 16, 10).try_cast("double")
     return (
         F.when(text.isNull(), None)
-        .when(text.rlike(_BLANK), 0.0)
-        .when(trimmed.rlike("^0[xX][0-9a-fA-F]+$"), hexadecimal)
-        .when(trimmed.rlike(r"^[+-]?(\d|\.\d|Infinity$)") & ~trimmed.rlike("[dDfF]$"), trimmed.try_cast("double"))
+        .when(bare == "", 0.0)
+        .when(bare.rlike("^0[xX][0-9a-fA-F]+$"), hexadecimal)
+        .when(bare.rlike(r"^[+-]?(\d|\.\d|Infinity$)") & ~bare.rlike("[dDfF]$"), bare.try_cast("double"))
     )
 
 

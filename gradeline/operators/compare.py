@@ -77,6 +77,13 @@ def section_report(cells: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def section_counts(cells: DataFrame, extra: DataFrame, by: list[str]) -> DataFrame:
+    """The report of each section with its missing rows and its extra ones, which don't lower the accuracy."""
+    missing = cells.groupBy(*by).agg(F.countDistinct(F.when(~F.col("paired"), F.col("ord"))).alias("missing_rows"))
+    more = extra.groupBy(*by).agg(F.count(F.lit(1)).alias("extra_rows"))
+    return section_report(cells, by).join(missing, by).join(more, by, "left").withColumn("extra_rows", F.coalesce("extra_rows", F.lit(0)))
+
+
 def compare_rows(truth: DataFrame, found: DataFrame, by: list[str], columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Cells of matched and missing rows (long), and the extra rows.
 

@@ -18,6 +18,9 @@ class FileRule:
     minus: tuple[str, ...] = ()
     largest: bool = True
     all_files: bool = False
+    #: Words that exclude in this case only; endings count in any case unless this is False.
+    excluded_exactly: tuple[str, ...] = ()
+    any_case: bool = True
 
 
 # Words in names of files that are no drawings, or no true workbooks, and words that count for or against a drawing.
@@ -32,27 +35,27 @@ POOR_DRAWING = ("structural", "detail", "spec", "det-")
 DRAWING = FileRule(".pdf", NOT_DRAWINGS, GOOD_DRAWING, POOR_DRAWING)
 TRUTH = FileRule(".xlsx", NOT_TRUTH, largest=False)
 
-#: The (drawing, truth) rules of the other runners.
+# The (drawing, truth) rules of the runners, with the words that each of them excludes.
 RULES = {
     "batch": (DRAWING, TRUTH),
     "cloud": (
         FileRule(".pdf", ("quote", "quotation", "schedule", "bid", "geotechnical", "appendix 4", "report", "structural", "architectural")),
-        FileRule(".xlsx", (*NOT_TRUTH, "eval_"), largest=False),
+        FileRule(".xlsx", NOT_TRUTH, largest=False, excluded_exactly=("eval_",)),
     ),
     "golden": (
         FileRule(".pdf", ("quote", "quotation", "schedule", "bid", "geotechnical", "report", "granular", "structural", "architectural")),
-        FileRule(".xlsx", ("eval_run_",), largest=False),
+        FileRule(".xlsx", largest=False, excluded_exactly=("eval_run_",)),
     ),
     "single": (FileRule(".pdf", ("quote", "schedule", "bid", "structural", "architectural"), largest=False), FileRule(".xlsx", largest=False)),
     "extract": (FileRule(".pdf", ("quote", "quotation", "schedule", "bid", "geotechnical", "appendix 4", "report")), None),
-    "analysis": (None, FileRule(".xlsx", ("eval_", "quote"), largest=False)),
+    "analysis": (None, FileRule(".xlsx", ("quote",), largest=False, excluded_exactly=("eval_",), any_case=False)),
     "dataset": (
         FileRule(".pdf", ("quote", "breakdown"), all_files=True),
         FileRule(".xlsx", ("quote", "sand", "appendix", "estimate moe", "budget", "additional"), all_files=True),
     ),
     "profile": (
-        FileRule(".pdf", ("quote", "schedule", "bid"), largest=False),
-        FileRule(".xlsx", ("quote", "budget", "backup", "sand", "appendix", "estimate"), largest=False),
+        FileRule(".pdf", ("quote", "schedule", "bid"), largest=False, any_case=False),
+        FileRule(".xlsx", ("quote", "budget", "backup", "sand", "appendix", "estimate"), largest=False, any_case=False),
     ),
 }
 
@@ -72,7 +75,7 @@ def file_score(name: Column, plus: tuple[str, ...] = GOOD_DRAWING, minus: tuple[
 
 def eligible(name: Column, rule: FileRule) -> Column:
     low = F.lower(name)
-    return low.endswith(rule.ending) & ~_any(low, rule.excluded)
+    return (low if rule.any_case else name).endswith(rule.ending) & ~_any(low, rule.excluded) & ~_any(name, rule.excluded_exactly)
 
 
 def picked(files: DataFrame, rule: FileRule, by: str = "project") -> DataFrame:
@@ -110,5 +113,12 @@ def only_named(manifest: DataFrame, names: DataFrame, by: str = "project") -> Da
 
 
 def folders(paths: DataFrame, path: str = "path") -> DataFrame:
-    """Distinct first parts of object names."""
-    return paths.select(F.split_part(path, F.lit("/"), F.lit(1)).alias("project")).distinct()
+    """Distinct first parts of object names; names without a folder have none."""
+    first = F.split_part(path, F.lit("/"), F.lit(1))
+    return paths.where(F.contains(F.col(path), F.lit("/")) & (first != "")).select(first.alias("project")).distinct()
+
+
+def named_like(rows: DataFrame, text: str, name: str = "project", any_case: bool = False) -> DataFrame:
+    """Rows whose name contains a text, in its case or in any."""
+    given = F.lower(name) if any_case else F.col(name)
+    return rows.where(F.contains(given, F.lit(text.lower() if any_case else text)))

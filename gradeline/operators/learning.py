@@ -37,13 +37,20 @@ def is_duplicate(existing: Column, rule: Column) -> Column:
 def overlapping_rules(rules: DataFrame, name: str, text: str, more_than: float = DUPLICATE_OVERLAP) -> DataFrame:
     """(name, duplicate_of, overlap) of rules that overlap an earlier one (a smaller name).
 
-    Pairs come from an equi-join on shared words, so rules without one never meet.
+    To overlap more than a share x, two rules need a common word among the rarest (1 - x) share of each one's words,
+    so pairs come from an equi-join on those words only, which a very common word hardly ever is; the overlap is then
+    that of the whole sets.
     """
-    words = rules.select(F.col(name).alias("id"), word_set(F.col(text), 3).alias("words"))
+    words = rules.select(F.col(name).alias("id"), word_set(F.col(text), 3).alias("words")).where(F.size("words") > 0)
     each = words.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    earlier = each.select(F.col("id").alias("other"), F.col("n").alias("m"), "word")
-    pairs = each.join(earlier, "word").where("other < id").groupBy("id", "other").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("m").alias("m"))
-    return pairs.select(F.col("id").alias(name), F.col("other").alias("duplicate_of"), (F.col("shared") / F.greatest("n", "m")).alias("overlap")).where(F.col("overlap") > more_than)
+    often = each.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("often", "word"))
+    # n - floor(x n) of n words: at least floor(x n) + 1 must be shared.
+    prefix = each.join(often, "word").withColumn("_place", place).where(F.col("_place") <= F.col("n") - F.floor(F.col("n") * more_than)).select("id", "word")
+    pairs = prefix.join(prefix.withColumnRenamed("id", "other"), "word").where("other < id").select("id", "other").distinct()
+    other = words.select(F.col("id").alias("other"), F.col("words").alias("_words"))
+    shared = pairs.join(words, "id").join(other, "other").withColumn("overlap", F.size(F.array_intersect("words", "_words")) / F.greatest(F.size("words"), F.size("_words")))
+    return shared.select(F.col("id").alias(name), F.col("other").alias("duplicate_of"), "overlap").where(F.col("overlap") > more_than)
 
 
 def ranked_examples(targets: DataFrame, examples: DataFrame, keep: int = MOST_EXAMPLES) -> DataFrame:
@@ -56,15 +63,30 @@ def ranked_examples(targets: DataFrame, examples: DataFrame, keep: int = MOST_EX
     """
     t = targets.select("target", F.explode(word_set(F.col("name"), 2)).alias("word"))
     of = lambda c, w: examples.select("example", F.explode(word_set(F.col(c), 2)).alias("word"), F.lit(w).alias("in_name"))
-    hits = t.join(F.broadcast(of("name", True).unionByName(of("description", False))), "word")
+    hits = t.join(of("name", True).unionByName(of("description", False)), "word")
     shared = hits.groupBy("target", "example").agg(F.count_if("in_name").alias("_alike"), F.count_if(~F.col("in_name")).alias("_other"))
-    # The words meet in a join; only the short list of examples is set against all targets, for those without a shared word.
-    pairs = targets.select("target", F.lower("name").alias("_target_name")).crossJoin(F.broadcast(examples.select("example", "ord", F.lower("name").alias("_name"))))
-    alike, other = (F.coalesce(F.col(c), F.lit(0)) for c in ("_alike", "_other"))
-    own = (alike >= 3) | F.contains("_target_name", "_name")
-    scored = pairs.join(shared, ["target", "example"], "left").where(~own).withColumn("score", alike + other * 0.5)
-    rank = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("score"), "ord"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= keep).select("target", "rank", "example", "score")
+    names = examples.select("example", "ord", F.lower("name").alias("_name"))
+    named = targets.select("target", F.lower("name").alias("_target_name"))
+    met = shared.join(names, "example").join(named, "target")
+    own = (F.col("_alike") >= 3) | F.contains("_target_name", "_name")
+    entry = F.struct((-(F.col("_alike") + F.col("_other") * 0.5)).alias("less"), "ord", "example")
+    found = met.groupBy("target").agg(F.collect_list("example").alias("_met"), F.array_sort(F.collect_list(F.when(~own, entry))).alias("_good"))
+    # Examples without a shared word have the score 0. The list of examples is short; a target goes through it only where it needs more.
+    every = examples.agg(F.array_sort(F.collect_list(F.struct("ord", "example", F.lower("name").alias("_name")))).alias("_every"))
+    both = named.join(found, "target", "left").crossJoin(F.broadcast(every))
+    none = F.array().cast(f"array<{dict(examples.dtypes)['example']}>")
+    rest = F.filter("_every", lambda e: ~F.array_contains(F.coalesce("_met", none), e["example"]) & ~F.contains("_target_name", e["_name"]))
+    fill = F.transform(F.slice(rest, 1, keep), lambda e: F.struct(F.lit(0.0).alias("less"), e["ord"].alias("ord"), e["example"].alias("example")))
+    good = F.coalesce("_good", F.slice(fill, 1, 0))
+    best = F.when(F.size(good) >= keep, F.slice(good, 1, keep)).otherwise(F.slice(F.array_sort(F.concat(good, fill)), 1, keep))
+    picked = both.select("target", F.posexplode(best).alias("_at", "_e"))
+    return picked.select("target", (F.col("_at") + 1).alias("rank"), F.col("_e.example").alias("example"), (F.col("_e.less") * -1.0 + 0.0).alias("score"))
+
+
+def all_examples(builtin: DataFrame, added: DataFrame) -> DataFrame:
+    """Built-in examples and then the added ones, each in their order (``ord``)."""
+    with_place = lambda d, k: d.withColumn("ord", F.struct(F.lit(k).alias("source"), F.col("ord").alias("at")))
+    return with_place(builtin, 0).unionByName(with_place(added, 1))
 
 
 def usable_examples(examples: DataFrame, keep: int = MOST_EXAMPLES) -> DataFrame:
@@ -75,9 +97,24 @@ def usable_examples(examples: DataFrame, keep: int = MOST_EXAMPLES) -> DataFrame
 
 
 def addable_examples(examples: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates whose name no example has, in any case."""
+    """Candidates in their order (``ord``) whose name no example and no earlier candidate has, in any case, while there is room.
+
+    Those without a name never repeat another. At most MOST_EXAMPLES are kept in all, so the last step counts a few rows.
+    """
     known = examples.select(F.lower("projectName").alias("_known")).distinct()
-    return candidates.join(known, F.lower("projectName") == F.col("_known"), "left_anti")
+    new = candidates.withColumn("_low", F.nullif(F.lower("projectName"), F.lit(""))).join(known, F.col("_low") == F.col("_known"), "left_anti")
+    rank = F.row_number().over(Window.partitionBy("_low").orderBy("ord"))
+    first = new.withColumn("_rank", rank).where("_rank = 1 or _low is null")
+    room = max(MOST_EXAMPLES - examples.limit(MOST_EXAMPLES).count(), 0)
+    return first.drop("_low", "_rank").orderBy("ord").limit(room)
+
+
+def suggestions(responses: DataFrame, column: str = "suggestion_json") -> DataFrame:
+    """(project, action, component, rule, error) of replayed suggestion texts: JSON objects, also inside a code fence; other texts give an error."""
+    bare = F.regexp_replace(F.col(column), r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
+    got = responses.withColumn("_s", F.from_json(bare, "action string, component string, rule string"))
+    bad = F.col("_s.action").isNull()
+    return got.select("project", F.col("_s.action").alias("action"), F.nullif(F.col("_s.component"), F.lit("")).alias("component"), F.col("_s.rule").alias("rule"), F.when(bad, "no JSON").alias("error"))
 
 
 def failing(rows: DataFrame, keep: int | None = None) -> DataFrame:

@@ -10,26 +10,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeline.functions.display import currency, padded
+from gradeline.functions.values import number, or_default
 from gradeline.operators.learning import Rules, is_standard_fee
+from gradeline.operators.statistics import complete_workbooks
 from gradeline.operators.validate import shown
+from gradeline.sources.constants import CATCHBASIN_ROWS
+
+
+# What every quote says it includes and excludes, and how long it holds.
+SCOPE = (
+    "Excavation, backfill, and compaction", "Granular and crushed stone bedding", "Trucking of excess material", "All fittings and connections as shown on drawings",
+)
+EXCLUSIONS = ("Rock excavation", "Dewatering (if required)", "Asphalt and curb restoration", "Permits and inspection fees", "HST")
+VALIDITY = "This quotation is valid for 30 days from the date above."
 
 
 def quote_lines(quotes: DataFrame) -> DataFrame:
-    """(project, line, quantity, description, amount) of each quote: three items, then subtotal, markup and total."""
+    """(project, line, part, quantity, description, amount) of each quote, in order.
+
+    Three items, subtotal, markup and total; then what it includes and excludes, notes where ``quotes`` has any, and
+    how long it holds.
+    """
     percent = F.concat(F.lit("MARKUP ("), F.round(F.col("markup") * 100).cast("int").cast("string"), F.lit("%)"))
-    none = F.lit(None).cast("string")
-    lines = [
-        (F.concat(shown(F.col("sewer_length")), F.lit(" m")), F.lit("Sewer Installation"), F.col("sewer_total")),
-        (F.concat(F.col("manhole_count").cast("string"), F.lit(" ea")), F.lit("Manholes & Catchbasins"), F.col("manhole_total")),
-        (F.concat(shown(F.col("watermain_length")), F.lit(" m")), F.lit("Watermain Installation"), F.col("watermain_total")),
-        (none, F.lit("SUB TOTAL"), F.col("subtotal")),
-        (none, percent, F.col("subtotal") * F.col("markup")),
-        (none, F.lit("GRAND TOTAL"), F.col("grand_total")),
-    ]
+    none, metres = F.lit(None).cast("string"), lambda c: F.concat(shown(F.col(c)), F.lit("m"))
+    count = F.col("manhole_count").cast("string")
+    notes = F.nullif(F.col("notes"), F.lit("")) if "notes" in quotes.columns else none
+    long = lambda c: F.concat(shown(F.col(c)), F.lit(" m"))
+    rows = [
+        ("item", long("sewer_length"), F.lit("Sewer Installation"), F.col("sewer_total")),
+        ("item", F.concat(count, F.lit(" ea")), F.lit("Manholes & Catchbasins"), F.col("manhole_total")),
+        ("item", long("watermain_length"), F.lit("Watermain Installation"), F.col("watermain_total")),
+        ("total", none, F.lit("SUB TOTAL"), F.col("subtotal")),
+        ("total", none, percent, F.col("subtotal") * F.col("markup")),
+        ("total", none, F.lit("GRAND TOTAL"), F.col("grand_total")),
+        ("scope", none, F.concat(F.lit("Supply and install "), metres("sewer_length"), F.lit(" of storm/sanitary sewer")), None),
+        ("scope", none, F.concat(F.lit("Supply and install "), count, F.lit(" manholes/catchbasins")), None),
+        ("scope", none, F.concat(F.lit("Supply and install "), metres("watermain_length"), F.lit(" of watermain")), None),
+        *[("scope", none, F.lit(t), None) for t in SCOPE],
+        *[("exclusion", none, F.lit(t), None) for t in EXCLUSIONS],
+        ("note", none, notes, None),
+        ("validity", none, F.lit(VALIDITY), None),
+    ]
     made = [
-        F.struct(F.lit(i).alias("line"), q.alias("quantity"), d.alias("description"), currency(a).alias("amount")) for i, (q, d, a) in enumerate(lines, 1)
+        F.struct(F.lit(i).alias("line"), F.lit(k).alias("part"), q.alias("quantity"), d.alias("description"), (none if a is None else currency(a)).alias("amount"))
+        for i, (k, q, d, a) in enumerate(rows, 1)
     ]
-    return quotes.select("project", F.inline(F.array(*made)))
+    return quotes.select("project", F.inline(F.array(*made))).where("description is not null")
 
 
 def printed(rows: DataFrame, width: int = 50) -> DataFrame:
@@ -39,15 +65,58 @@ def printed(rows: DataFrame, width: int = 50) -> DataFrame:
     return rows.orderBy(F.desc("overall"), F.asc("project")).select(line.alias("line"))
 
 
-def dataset_rows(cells: DataFrame, by: str = "path") -> DataFrame:
-    """(by, row, label, top, low, length, kept) of the manhole rows 11 to 60: a row counts if it has a label or a top elevation.
+def _wide(cells: DataFrame, by: str, sheet: str, first: int, last: int, columns: dict[str, str]) -> DataFrame:
+    """(by, row, and a struct<num, text> for each column) of a block of sheet rows."""
+    inside = cells.where((F.col("sheet") == sheet) & F.col("row").between(first, last) & F.col("col").isin(*columns))
+    at = lambda c: F.max(F.when(F.col("col") == c, F.struct("num", "text")))
+    return inside.groupBy(by, "row").agg(*[at(c).alias(n) for c, n in columns.items()])
+
+
+def _filled(cell: Column) -> Column:
+    """Whether a cell holds something: a number but zero, or a text."""
+    return F.coalesce(F.nullif(cell["num"], F.lit(0.0)).isNotNull(), F.lit(False)) | F.coalesce(cell["text"] != "", F.lit(False))
+
+
+def _as_text(cell: Column) -> Column:
+    return F.coalesce(cell["text"], shown(F.nullif(cell["num"], F.lit(0.0))), F.lit(""))
+
+
+def _as_number(cell: Column, default: float | None = 0.0) -> Column:
+    """The number of a cell, a text with a number included; without a default, NULL where the cell is empty."""
+    value = F.coalesce(cell["num"], number(cell["text"]))
+    return value if default is None else or_default(value, default)
+
+
+def _listed(rows: DataFrame, by: str, name: str, row: Column) -> DataFrame:
+    return rows.groupBy(by).agg(F.sort_array(F.collect_list(row)).alias(name))
+
+
+def dataset_records(cells: DataFrame, by: str = "path") -> DataFrame:
+    """(by, manholes, sewers, watermain): the ground-truth dataset of workbooks, rows in sheet order.
 
-    The range reaches into the catchbasins, so these are counted as well; empty numbers are 0.
+    A row counts if it has a label or a top elevation (manholes) or length (others). Manhole rows go from 11 to 60, so
+    catchbasins are counted as well. Empty numbers are 0, but structure type 1, class 1.1 and cover 1.8.
     """
-    inside = cells.where((F.col("sheet") == "MANHOLES (1)") & F.col("row").between(11, 60))
-    at = lambda c, v: F.max(F.when(F.col("col") == c, F.col(v)))
-    wide = inside.groupBy(by, "row").agg(at("B", "text").alias("label"), F.coalesce(at("C", "num"), F.lit(0.0)).alias("top"), F.coalesce(at("D", "num"), F.lit(0.0)).alias("low"))
-    return wide.where(F.coalesce(F.col("label") != "", F.lit(False)) | (F.col("top") != 0))
+    lists = []
+    for name, sheet, first, last, columns, needs, defaults in (
+        ("manholes", "MANHOLES (1)", 11, 60, {"B": "description", "C": "topElevation", "D": "lowInvert", "E": "highInvert", "F": "pipeOutDiameter", "G": "structureType"}, "topElevation", {"structureType": 1.0}),
+        ("sewers", "SEWERS (1)", 14, 55, {"B": "runLabel", "C": "length", "D": "pipeDiameter", "E": "typeClass", "F": "slope", "G": "depth"}, "length", {}),
+        ("watermain", "WATERMAIN (1)", 13, 19, {"B": "sizeAndType", "C": "length", "D": "pipeDiameter", "F": "ocSc", "J": "avgCover"}, "length", {"ocSc": 1.1, "avgCover": 1.8}),
+    ):
+        label, *numbers = columns.values()
+        wide = _wide(cells, by, sheet, first, last, columns).where(_filled(F.col(label)) | _filled(F.col(needs)))
+        row = F.struct("row", _as_text(F.col(label)).alias(label), *[_as_number(F.col(n), defaults.get(n, 0.0)).alias(n) for n in numbers])
+        lists.append(_listed(wide, by, name, row))
+    return _joined(cells, by, lists)
+
+
+def _joined(cells: DataFrame, by: str, lists: list[DataFrame]) -> DataFrame:
+    """The lists of each workbook side by side; missing ones are empty."""
+    out = cells.select(by).distinct()
+    for one in lists:
+        name = one.columns[-1]
+        out = out.join(one, by, "left").withColumn(name, F.coalesce(name, F.array().cast(dict(one.dtypes)[name])))
+    return out
 
 
 def is_line_item(length: Column, diameter: Column) -> Column:
@@ -55,20 +124,38 @@ def is_line_item(length: Column, diameter: Column) -> Column:
     return (F.coalesce(length, F.lit(0.0)) == 0) & (F.coalesce(diameter, F.lit(0.0)) == 0)
 
 
-def example_sewers(cells: DataFrame, by: str = "path") -> DataFrame:
-    """(by, sewers): the sewer rows of workbooks as an example holds them, without standard fees, in sheet order."""
-    inside = cells.where((F.col("sheet") == "SEWERS (1)") & F.col("row").between(14, 55))
-    at = lambda c, v: F.max(F.when(F.col("col") == c, F.col(v)))
-    numbers = {"C": "length", "D": "pipeDiameter", "E": "typeClass", "F": "slope", "G": "depth", "H": "addMaterials", "I": "addLE"}
-    wide = inside.groupBy(by, "row").agg(at("B", "text").alias("runLabel"), *[at(c, "num").alias(n) for c, n in numbers.items()])
-    kept = wide.where(F.coalesce(F.col("runLabel") != "", F.lit(False)) & ~is_standard_fee(F.col("runLabel")))
-    row = F.struct("row", "runLabel", is_line_item(F.col("length"), F.col("pipeDiameter")).alias("isLineItem"), *numbers.values())
-    return kept.groupBy(by).agg(F.sort_array(F.collect_list(row)).alias("sewers"))
+def example_records(cells: DataFrame, by: str = "path") -> DataFrame:
+    """What an example holds of each workbook that has both sheets: header, manholes, catchbasins and rates, sewers without
+    standard fees; watermain lists are empty."""
+    texts = {"B2": "projectName", "B3": "jobNumber", "B5": "date"}
+    rates = {"C59": ("scbLabor", 200.0), "C60": ("dcbLabor", 250.0), "F59": ("dicbFC", 465.0), "F60": ("ddicbFC", 715.0)}
+    ref = F.concat("col", F.col("row").cast("string"))
+    at = lambda r: F.max(F.when(ref == r, F.struct("num", "text")))
+    head = cells.where((F.col("sheet") == "MANHOLES (1)") & ref.isin(*texts, *rates)).groupBy(by).agg(*[at(r).alias(r) for r in (*texts, *rates)])
+    manholes = _wide(cells, by, "MANHOLES (1)", 11, 50, {"B": "description", "J": "depth", "H": "addMaterials", "I": "addLE"}).where(_filled(F.col("description")))
+    one = F.struct("row", _as_text(F.col("description")).alias("description"), _as_number(F.col("depth"), None).alias("depth"), *[_as_number(F.col(c)).alias(c) for c in ("addMaterials", "addLE")])
+    lists = [_listed(manholes, by, "manholes", one)]
+    columns = {"C": ("quantity", 0.0), "D": ("wallThickness", 4.0), "E": ("depth", 2.2), "F": ("grateEach", 0.0), "G": ("addMaterials", 0.0)}
+    basins = _wide(cells, by, "MANHOLES (1)", 53, 56, {c: n for c, (n, _) in columns.items()}).where(_filled(F.col("quantity")))
+    kind = F.element_at(F.create_map(*[x for k, v in CATCHBASIN_ROWS.items() for x in (F.lit(v), F.lit(k))]), F.col("row"))
+    lists.append(_listed(basins, by, "groups", F.struct("row", kind.alias("type"), *[_as_number(F.col(n), d).alias(n) for n, d in columns.values()])))
+    numbers = {"C": "length", "D": "pipeDiameter", "E": "typeClass", "F": "slope", "G": "depth"}
+    sewers = _wide(cells, by, "SEWERS (1)", 14, 55, {"B": "runLabel", **numbers, "H": "addMaterials", "I": "addLE"}).where(_filled(F.col("runLabel")))
+    item = ~_filled(F.col("length")) & ~_filled(F.col("pipeDiameter"))
+    sewers = sewers.where(~(item & is_standard_fee(_as_text(F.col("runLabel")))))
+    run = F.struct("row", _as_text(F.col("runLabel")).alias("runLabel"), item.alias("isLineItem"), *[_as_number(F.col(n), None).alias(n) for n in numbers.values()], *[_as_number(F.col(c)).alias(c) for c in ("addMaterials", "addLE")])
+    lists.append(_listed(sewers, by, "sewers", run))
+    both = _joined(cells.join(complete_workbooks(cells, by=by), by, "left_semi"), by, lists).join(head, by, "left")
+    name = F.when(_filled(F.col("B2")), _as_text(F.col("B2"))).otherwise(F.col(by).cast("string"))
+    return both.select(
+        by, name.alias("projectName"), *[_as_text(F.col(r)).alias(n) for r, n in texts.items() if r != "B2"], "manholes",
+        F.struct("groups", F.struct(*[_as_number(F.col(r), d).alias(n) for r, (n, d) in rates.items()]).alias("laborRates")).alias("catchbasins"), "sewers",
+    )
 
 
 def learned_state(rules: Rules, examples: DataFrame) -> dict:
     """What has been learned: rule texts, heuristics, number and names of the examples."""
-    names = [r["projectName"] for r in examples.orderBy("ord").select("projectName").limit(100).collect()]
+    names = [r["projectName"] for r in examples.orderBy("ord").select("projectName").toLocalIterator()]  # what is listed is what there is
     return {"prompt": [r["rule"] for r in rules.prompt], "heuristics": [r["rule"] for r in rules.heuristics], "examples": len(names), "names": names}
 
 

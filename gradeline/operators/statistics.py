@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeline.functions.values import trimmed
+
 
 def histogram(rows: DataFrame, value: str) -> DataFrame:
     """Counts of positive values, the most frequent first, then the smallest."""
@@ -32,7 +34,7 @@ def count_accuracy(predicted: Column, actual: Column) -> Column:
 
 def first_labels(rows: DataFrame, by: list[str], label: str, order: str) -> DataFrame:
     """The first row of each label in trimmed lower case."""
-    keyed = rows.withColumn("_label", F.lower(F.trim(label)))
+    keyed = rows.withColumn("_label", F.lower(trimmed(F.col(label))))
     rank = F.row_number().over(Window.partitionBy(*by, "_label").orderBy(order))
     return keyed.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
@@ -40,7 +42,7 @@ def first_labels(rows: DataFrame, by: list[str], label: str, order: str) -> Data
 def label_join(truth: DataFrame, found: DataFrame, by: list[str], label: str, order: str, value: str) -> DataFrame:
     """Each true row with the value of the first found row of its label; one found row may serve several."""
     right = first_labels(found, by, label, order).select(*by, "_label", F.col(value).alias(f"found_{value}"))
-    return truth.withColumn("_label", F.lower(F.trim(label))).join(right, [*by, "_label"], "left").drop("_label")
+    return truth.withColumn("_label", F.lower(trimmed(F.col(label)))).join(right, [*by, "_label"], "left").drop("_label")
 
 
 def profile_means(records: DataFrame) -> DataFrame:
@@ -62,8 +64,8 @@ def example_candidates(records: DataFrame, keep: int = 10) -> DataFrame:
     return records.where(good).orderBy("project").limit(keep)
 
 
-def complete_workbooks(cells: DataFrame, sheets: tuple[str, ...] = ("MANHOLES (1)", "SEWERS (1)")) -> DataFrame:
+def complete_workbooks(cells: DataFrame, sheets: tuple[str, ...] = ("MANHOLES (1)", "SEWERS (1)"), by: str = "path") -> DataFrame:
     """Paths of workbooks that have all required sheets."""
-    return cells.groupBy("path").agg(*[F.max(F.col("sheet") == s).alias(f"_{i}") for i, s in enumerate(sheets)]).where(
+    return cells.groupBy(by).agg(*[F.max(F.col("sheet") == s).alias(f"_{i}") for i, s in enumerate(sheets)]).where(
         " and ".join(f"_{i}" for i in range(len(sheets)))
-    ).select("path")
+    ).select(by)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,18 @@ LEAST_CACHED = 4 * 1024 * 1024
 def manifest(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(project, path, name, size, modified) of the files below a folder, without reading their content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    parts = F.split("path", "/")
-    return files.select(
-        F.element_at(parts, -2).alias("project"), "path", F.element_at(parts, -1).alias("name"),
-        F.col("length").alias("size"), F.col("modificationTime").alias("modified"),
-    )
+    return in_projects(files, root).select("project", "path", "name", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def in_projects(files: DataFrame, root: str) -> DataFrame:
+    """Add project (the first folder below ``root``) and name (the base name, however deep the file lies); files in no folder are left out."""
+    bare = "/" + re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:", "", root).strip("/")
+    below = F.regexp_replace(F.regexp_replace("path", "^[a-zA-Z][a-zA-Z0-9+.-]*:", ""), "^/*", "/")
+    start = F.instr(below, F.lit(bare.rstrip("/") + "/"))
+    rest = F.when(start > 0, F.substr(below, start + len(bare.rstrip("/")) + 1)).otherwise(F.ltrim(below, F.lit("/")))
+    first = F.split_part(rest, F.lit("/"), F.lit(1))
+    named = files.withColumns({"project": first, "name": F.element_at(F.split("path", "/"), -1)})
+    return named.where(F.contains(rest, F.lit("/")) & (first != ""))
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -31,12 +39,12 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
 def drawings(spark: SparkSession, root: str, largest: int = LARGEST_DRAWING) -> DataFrame:
     """Contents of the drawings that are not too large; the limit is applied to the listing."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.pdf").load(root)
-    return files.where(F.col("length") <= largest).select(F.element_at(F.split("path", "/"), -2).alias("project"), "path", "content")
+    return in_projects(files.where(F.col("length") <= largest), root).select("project", "path", "content")
 
 
 def content_keys(files: DataFrame) -> DataFrame:
     """The SHA-256 of each content, which is its key in the store."""
-    return files.withColumn("sha256", F.sha2("content", 256))
+    return files.withColumn("sha256", F.sha2(F.coalesce("content", F.lit(b"")), 256))
 
 
 def uncached(files: DataFrame, stored: DataFrame, least: int = LEAST_CACHED) -> DataFrame:

@@ -2,24 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeline.functions.display import scoreboard_date
-from gradeline.functions.values import number_prefix
+from gradeline.functions.values import number_prefix, trimmed
 
 COLUMNS = ("mh_structures", "mh_catchbasins", "sewers", "watermain", "overall")
 SCHEMA = "project string, " + ", ".join(f"{c} double" for c in COLUMNS) + ", total_cells int, matching_cells int"
 HEADER = "Project,MH_Structures,MH_Catchbasins,Sewers,Watermain,Overall,TotalCells,MatchingCells"
 
 
+def quoted_fields(line: Column) -> Column:
+    """Fields of a line split at commas outside quotation marks, trimmed and without the marks; an open mark reaches to the end."""
+    parts = F.split(line, '"')  # every other part is inside
+    mark = F.lit("\u0001")
+    joined = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.translate(p, ",", "\u0001")).otherwise(p)), "")
+    return F.transform(F.split(joined, mark), trimmed)
+
+
+def scoreboard_fields(line: Column) -> dict[str, Column]:
+    """Typed fields of a line; numbers that can't be read are 0, sections without cells NULL. ``fields`` counts them."""
+    f = quoted_fields(line)
+    at = lambda i: F.try_element_at(f, F.lit(i + 1))
+    section = lambda i: number_prefix(F.nullif(at(i), F.lit("N/A")))
+    whole = lambda i: F.coalesce(F.regexp_extract(at(i), r"^[+-]?\d+", 0).try_cast("long"), F.lit(0)).cast("int")
+    sections = {c: section(i) for i, c in enumerate(COLUMNS[:-1], 1)}
+    return {"project": at(0), **sections, "overall": F.coalesce(number_prefix(at(5)), F.lit(0.0)), "total_cells": whole(6), "matching_cells": whole(7), "fields": F.size(f)}
+
+
 def read_scoreboards(spark: SparkSession, *paths: str) -> DataFrame:
-    """Rows with the day of their file's name and an ordinal; quoted names may hold commas."""
-    rows = spark.read.schema(SCHEMA).option("header", True).option("nullValue", "N/A").csv(list(paths))
-    return rows.select(
-        "*", scoreboard_date(F.col("_metadata.file_name")).alias("day"),
-        F.struct(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at")).alias("ord"),
-    )
+    """Rows with the day of their file's name and an ordinal; quoted names may hold commas. Headers and lines of fewer than 8 fields don't count."""
+    lines = spark.read.text(list(paths)).select(
+        trimmed(F.col("value")).alias("value"), F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_at")
+    )
+    fields = scoreboard_fields(F.col("value"))
+    rows = lines.where((F.col("value") != "") & (F.col("value") != HEADER)).select(*[c.alias(n) for n, c in fields.items()], "_file", "_at")
+    return rows.where("fields >= 8").select(
+        "project", *COLUMNS, "total_cells", "matching_cells", scoreboard_date(F.col("_file")).alias("day"), F.struct(F.col("_file").alias("file"), F.col("_at").alias("at")).alias("ord")
+    )
+
+
+def local_scoreboards(spark: SparkSession, folder: str, root: str | None = None) -> DataFrame:
+    """Rows of all files of the newest day in a folder; without any, those of its ``combined.csv``; else of the newest day's file in ``root``."""
+    from gradeline.operators.scoreboard import latest_day
+
+    def found(path: str, pattern: str) -> DataFrame | None:
+        try:
+            names = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path").collect()  # names only
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
+        return read_scoreboards(spark, *sorted(r["path"] for r in names)) if names else None
+
+    dated = found(folder, "*evaluation_scoreboard_*.csv")
+    newest = latest_day(dated.where("day <> ''")) if dated is not None else None
+    if newest is not None and not newest.isEmpty():
+        return newest
+    combined = found(folder, "combined.csv")
+    if combined is not None:
+        return combined
+    dated = found(root, "evaluation_scoreboard_*.csv") if root else None
+    if dated is None:
+        raise FileNotFoundError(f"no scoreboards in {folder}")
+    return latest_day(dated.where("day <> ''"))
 
 
 def naive_fields(line) -> dict:

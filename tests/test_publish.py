@@ -5,7 +5,7 @@ from gradeline.operators import learning, publish
 
 def test_quote_lines(spark):
     q = spark.createDataFrame([("p", 100.5, 200.0, 0.0, 65.0, 2, 0.0, 0.1, 300.5, 330.55)], "project string, sewer_total double, manhole_total double, watermain_total double, sewer_length double, manhole_count int, watermain_length double, markup double, subtotal double, grand_total double")
-    got = [(r["quantity"], r["description"], r["amount"]) for r in publish.quote_lines(q).orderBy("line").collect()]
+    got = [(r["quantity"], r["description"], r["amount"]) for r in publish.quote_lines(q).orderBy("line").limit(6).collect()]
     assert got == [("65 m", "Sewer Installation", "$100.50"), ("2 ea", "Manholes & Catchbasins", "$200.00"), ("0 m", "Watermain Installation", "$0.00"), (None, "SUB TOTAL", "$300.50"), (None, "MARKUP (10%)", "$30.05"), (None, "GRAND TOTAL", "$330.55")]
 
 
@@ -19,8 +19,21 @@ def test_workbook_projections(spark):
     cells = [("x", "MANHOLES (1)", 11, "B", None, "MH 1"), ("x", "MANHOLES (1)", 54, "B", None, "CB"), ("x", "MANHOLES (1)", 12, "C", 3.0, None), ("x", "MANHOLES (1)", 13, "D", 3.0, None),
              ("x", "SEWERS (1)", 15, "B", None, "STORM"), ("x", "SEWERS (1)", 14, "B", None, "A-B"), ("x", "SEWERS (1)", 14, "C", 5.0, None), ("x", "SEWERS (1)", 16, "B", None, "Video fee")]
     df = spark.createDataFrame(cells, "path string, sheet string, row int, col string, num double, text string")
-    assert sorted((r["row"], r["label"], r["top"]) for r in publish.dataset_rows(df).collect()) == [(11, "MH 1", 0.0), (12, None, 3.0), (54, "CB", 0.0)]
-    assert [(s["runLabel"], s["isLineItem"]) for s in publish.example_sewers(df).first()["sewers"]] == [("A-B", False), ("STORM", True)]
+    got = publish.dataset_records(df).first()
+    assert [(r["row"], r["description"], r["topElevation"], r["structureType"]) for r in got["manholes"]] == [(11, "MH 1", 0.0, 1.0), (12, "", 3.0, 1.0), (54, "CB", 0.0, 1.0)]
+    assert [(r["row"], r["runLabel"], r["length"]) for r in got["sewers"]] == [(14, "A-B", 5.0), (15, "STORM", 0.0), (16, "Video fee", 0.0)] and got["watermain"] == []
+    one = publish.example_records(df).first()
+    assert [(s["runLabel"], s["isLineItem"], s["length"]) for s in one["sewers"]] == [("A-B", False, 5.0), ("STORM", True, None)]
+    assert one["projectName"] == "x" and [m["description"] for m in one["manholes"]] == ["MH 1"] and one["catchbasins"]["laborRates"]["dicbFC"] == 465.0 and one["catchbasins"]["groups"] == []
+
+
+def test_catchbasins_of_examples(spark):
+    cells = [("x", "MANHOLES (1)", 53, "C", 4.0, None), ("x", "MANHOLES (1)", 54, "C", 0.0, None), ("x", "MANHOLES (1)", 56, "C", None, "2"), ("x", "MANHOLES (1)", 56, "E", 3.0, None), ("x", "MANHOLES (1)", 2, "B", None, "Name"),
+             ("x", "MANHOLES (1)", 59, "C", 210.0, None), ("x", "SEWERS (1)", 1, "A", None, "t"), ("y", "SEWERS (1)", 14, "B", None, "only sewers")]
+    df = spark.createDataFrame(cells, "path string, sheet string, row int, col string, num double, text string")
+    (one,) = publish.example_records(df).collect()
+    assert one["projectName"] == "Name" and [(g["type"], g["quantity"], g["wallThickness"], g["depth"]) for g in one["catchbasins"]["groups"]] == [("SINGLE_CB", 4.0, 4.0, 2.2), ("DOUBLE_DITCH_INLET_CB", 2.0, 4.0, 3.0)]
+    assert one["catchbasins"]["laborRates"]["scbLabor"] == 210.0
 
 
 def test_versions(tmp_path):
