@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _PREFIX = r"^\s*([+-]?(?:Infinity|(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?))"
+_PLAIN = r"^-?\d+(\.\d+)?$"
 #: All white space, byte order marks and line separators included, at either end of a text.
 ENDS = r"^[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$"
 
@@ -26,6 +27,7 @@ def number(text: Column) -> Column:
     hexadecimal = F.conv(F.substring(bare, 3, 16), 16, 10).try_cast("double")
     return (
         F.when(text.isNull(), None)
+        .when(text.rlike(_PLAIN), text.try_cast("double"))  # nearly all; the rest is looked at closely
         .when(bare == "", 0.0)
         .when(bare.rlike("^0[xX][0-9a-fA-F]+$"), hexadecimal)
         .when(bare.rlike(r"^[+-]?(\d|\.\d|Infinity$)") & ~bare.rlike("[dDfF]$"), bare.try_cast("double"))
