@@ -26,7 +26,7 @@ UNKNOWN_BYTES = 1 << 60
 #: What a null id counts as; it sorts before all others.
 NULL_ID = -(1 << 63)
 #: Entries that a task gathers before it merges and sends them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Partitions from which on entries take two hops.
 HOPS_FROM = 4096
 

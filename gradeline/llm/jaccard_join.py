@@ -53,8 +53,10 @@ GROUP = 300
 
 _WORD, _SHINGLE = SpanHash(51), SpanHash(52)
 _LOW47 = np.uint64((1 << 47) - 1)
-_TOKENS = {"key": 8, "to": -4, "n": -4}
-_COMMON = {"key": 8, "classes": 1, "to": -4}
+_LOW48 = np.uint64((1 << 48) - 1)
+#: Frequencies are kept by the low 48 bits of a token; two tokens with the same ones share a frequency.
+_TOKENS = {"key": 6, "to": -4, "n": -4}
+_COMMON = {"key": 6, "classes": 1, "to": -4}
 _ENTRIES = {"key": 6, "id": -8, "size": -8, "sign": -8}
 _ENTRIES_SQL = ", ".join(f"{c} binary" for c in _ENTRIES)
 
@@ -116,7 +118,7 @@ def _common_tokens(texts: DataFrame, parts: int) -> DataFrame:
                 held = 0
             part = here
             token, bounds = token_sets(block)
-            keys.append(token)
+            keys.append(token & _LOW48)
             signs.append(np.repeat(signatures(token, bounds)[0], np.diff(bounds)))
             held += len(token)
         if held:
@@ -210,7 +212,7 @@ def _indexed(texts: DataFrame, common: DataFrame, parts: int, frequent: int, com
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs: list[tuple[np.ndarray, np.ndarray]] = []
         known, found, held = None, [], 0
-        for block in blocks(B.split_met(batches, lambda r: packs.append((B.unpacked(r["key"]), np.frombuffer(r["classes"], np.uint8)))), "text"):
+        for block in blocks(B.split_met(batches, lambda r: packs.append((B.unpacked(r["key"], _COMMON["key"]), np.frombuffer(r["classes"], np.uint8)))), "text"):
             if known is None:
                 known = np.concatenate([k for k, _ in packs]) if packs else np.zeros(0, np.uint64)
                 classes = np.concatenate([c for _, c in packs]) if packs else np.zeros(0, np.uint8)
@@ -223,8 +225,9 @@ def _indexed(texts: DataFrame, common: DataFrame, parts: int, frequent: int, com
             yield filled("set", doc_id=block.column("doc_id"), n=pa.array(np.diff(bounds)), sign_a=pa.array(one.view(np.int64)), sign_b=pa.array(two.view(np.int64)))
             cls = np.ones(len(token), np.uint8)
             if len(known) and len(token):
-                at = np.minimum(np.searchsorted(known, token), len(known) - 1)
-                cls = np.where(known[at] == token, classes[at], 1)
+                low = token & _LOW48
+                at = np.minimum(np.searchsorted(known, low), len(known) - 1)
+                cls = np.where(known[at] == low, classes[at], 1)
             keys, row, big = index_entries(token, bounds, cls, frequent, combined)
             if not len(keys):
                 continue
