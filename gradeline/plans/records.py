@@ -78,7 +78,9 @@ def _raw(spark, sf_dir) -> DataFrame:
 
 
 def _records(spark, sf_dir) -> DataFrame:
-    return normalize.normalized(record_source.parsed(_raw(spark, sf_dir)), _AS_OF)
+    # Records are few bytes and much work each, so their partitions are not to be merged by size.
+    raw = _raw(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "project")
+    return normalize.normalized(record_source.parsed(raw), _AS_OF)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -286,7 +288,7 @@ def section_cells(spark, sf_dir):
 """)
 def dataset_table(spark, sf_dir):
     """The ground-truth dataset of workbooks: rows with a label or a first number, manholes down to the catchbasins."""
-    kept = publish.dataset_records(_cells(spark, sf_dir)).persist()
+    kept = publish.dataset_records(_cells(spark, sf_dir).persist()).persist()
     parts = [("manholes", "description", "topElevation", "lowInvert", "structureType", "pipeOutDiameter"), ("sewers", "runLabel", "length", "pipeDiameter", "slope", "depth"), ("watermain", "sizeAndType", "length", "pipeDiameter", "ocSc", "avgCover")]
     return scoreboard.union_all([
         kept.select("path", F.inline(block)).select("path", F.lit(block).alias("block"), "row", F.col(label).alias("label"), *[F.col(c).alias(k) for k, c in zip("abcd", columns, strict=True)])
@@ -306,7 +308,7 @@ def dataset_table(spark, sf_dir):
 """)
 def example_table(spark, sf_dir):
     """What an example holds of each workbook: manholes, sewers and rates."""
-    kept = publish.example_records(_cells(spark, sf_dir)).withColumn("name", F.col("projectName")).persist()
+    kept = publish.example_records(_cells(spark, sf_dir).persist()).withColumn("name", F.col("projectName")).persist()
     none = F.lit(False).alias("item")
     manholes = kept.select("path", "name", F.inline("manholes")).select("path", "name", F.lit("manholes").alias("block"), "row", F.col("description").alias("label"), none, F.col("depth").alias("a"), F.col("addMaterials").alias("b"), F.col("addLE").alias("c"))
     sewers = kept.select("path", "name", F.inline("sewers")).select("path", "name", F.lit("sewers").alias("block"), "row", F.col("runLabel").alias("label"), F.col("isLineItem").alias("item"), F.col("length").alias("a"), F.col("pipeDiameter").alias("b"), F.col("slope").alias("c"))
@@ -361,7 +363,7 @@ _CELL_ROWS = """
 
 def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """True and generated sewer rows: some missing, some extra, numbers off by up to 8 %, texts with other case and white space."""
-    rows = _records(spark, sf_dir).select("project", F.inline("sewers")).where("runLabel <> ''")
+    rows = _records(spark, sf_dir).select("project", F.inline("sewers")).where("runLabel <> ''").persist()
     cell = lambda n, t: F.struct(n.cast("double").alias("num"), t.cast("string").alias("text"))
     none, ord_ = F.lit(None), F.col("item")
     key = F.concat(F.col("runLabel"), F.lit(" #"), ord_.cast("string"))
