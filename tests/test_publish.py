@@ -55,8 +55,9 @@ def test_learned_state_and_examples(spark):
     assert [r["projectName"] for r in kept.collect()] == ["A", "B", "C"] and len(kept.first()["sewers"]) == 1
     state = publish.learned_state(learning.migrated({"promptAdditions": ["r"]}, "d"), kept)
     assert state == {"prompt": ["r"], "heuristics": [], "examples": 3, "names": ["A", "B", "C"]}
-    new = spark.createDataFrame([("a",), ("Z",)], "projectName string")
-    assert [r["projectName"] for r in learning.addable_examples(kept, new).collect()] == ["Z"]
+    new = spark.createDataFrame([(1, "a"), (2, "Z"), (3, "z")], "ord int, projectName string")
+    assert learning.addable_examples(kept, new).count() == 0  # three are the most
+    assert [r["projectName"] for r in learning.addable_examples(kept.limit(2), new).collect()] == ["Z"]
 
 
 def test_failing_order(spark):
