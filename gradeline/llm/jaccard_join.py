@@ -19,7 +19,7 @@ prefixes are longer by k - 1.
 3. Verification: texts go to their pivots' groups. There a local index, ordered by the frequency in
    the group, finds the candidates, and exact intersections decide. A group is searched component
    by component, each document against those not yet reached, so copies don't meet pairwise. Groups
-   of more than GROUP documents are cut into chunks with the pivot in each; members that don't
+   of more than GROUP documents or GROUP_TOKENS tokens are cut into chunks with the pivot in each; members that don't
    reach their pivot then meet all other chunks.
 4. The links' connected components, and each document's class.
 
@@ -49,7 +49,9 @@ PERCENT = 75
 #: A token of more sets than this (at most 199) is frequent.
 FREQUENT = 128
 COMBINED = 16
+#: Documents, and tokens of all of them, that one group or chunk holds; the pivot is in each chunk.
 GROUP = 300
+GROUP_TOKENS = 2_000_000
 
 _WORD, _SHINGLE = SpanHash(51), SpanHash(52)
 _LOW47 = np.uint64((1 << 47) - 1)
@@ -250,7 +252,7 @@ def _indexed(texts: DataFrame, common: DataFrame, parts: int, frequent: int, com
 
 
 def _pivots(entries: DataFrame, parts: int) -> DataFrame:
-    """Distinct (pivot, member) of all index entries with several classes."""
+    """Distinct (pivot, member) of all index entries with several classes, and the member's tokens ``n``."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for e in B.gathered(batches, _ENTRIES):
@@ -277,17 +279,17 @@ def _pivots(entries: DataFrame, parts: int) -> DataFrame:
             top = np.iinfo(np.int64).max
             pivot = np.minimum.reduceat(np.where(can, member, top), head)
             good = np.repeat((length > 1) & (pivot != top), length)
-            pivot, member = np.repeat(pivot, length)[good], member[good]
+            pivot, member, n = np.repeat(pivot, length)[good], member[good], n[good]
             order = np.lexsort((member, pivot))
-            pivot, member = pivot[order], member[order]
+            pivot, member, n = pivot[order], member[order], n[order]
             once = B.heads(pivot, member)
-            yield pa.RecordBatch.from_arrays([pa.array(pivot[once]), pa.array(member[once])], names=["pivot", "member"])
+            yield pa.RecordBatch.from_arrays([pa.array(pivot[once]), pa.array(member[once]), pa.array(n[once])], names=["pivot", "member", "n"])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[B.Entries]:
         return B.gathered(batches, _ENTRIES, B.FLUSH)
 
     sent = B.exchange(entries, dealt, _ENTRIES, lambda e: B.hash_bucket(mixed(e["key"]), parts), parts)
-    return sent.mapInArrow(gather, "pivot long, member long").distinct()
+    return sent.mapInArrow(gather, "pivot long, member long, n long").groupBy("pivot", "member").agg(F.max("n").alias("n"))
 
 
 def linked(sets: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
@@ -389,40 +391,42 @@ def _verified(docs: DataFrame, jobs: DataFrame, parts: int) -> DataFrame:
     return together.mapInArrow(link, "job long, member long, root long")
 
 
-def _links(docs: DataFrame, pivots: DataFrame, parts: int, group: int, tables: Tables) -> DataFrame:
+def _links(docs: DataFrame, pivots: DataFrame, parts: int, group: int, group_tokens: int, tables: Tables) -> DataFrame:
     """Edges (a, b) that span the components of all links between classes."""
-    sizes = pivots.groupBy("pivot").agg(F.count(F.lit(1)).alias("group_size"))
-    large = sizes.where(F.col("group_size") > group)
+    count = F.count(F.lit(1))
+    share = F.greatest(F.ceil(count / group), F.ceil(F.sum("n") / group_tokens))  # long texts make smaller chunks
+    sizes = pivots.groupBy("pivot").agg(F.least(share, F.greatest(count - 1, F.lit(1))).cast("int").alias("chunks"))
+    large = sizes.where("chunks > 1")
     small = tables.keep(
         _verified(docs, pivots.join(large, "pivot", "left_anti").select(F.col("pivot").alias("job"), "member"), parts).where("member <> root").select(F.col("member").alias("a"), F.col("root").alias("b")),
         "jaccard-links",
     )
     if large.isEmpty():
         return small
-    chunked = pivots.join(large, "pivot").withColumn("chunks", F.ceil(F.col("group_size") / group).cast("int"))
+    chunked = pivots.join(large, "pivot")
     chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int"))
     job = F.xxhash64("pivot", "chunk", "other")
     # The pivot is in every chunk.
-    first = chunked.where("member <> pivot").select("pivot", "chunk", F.lit(-1).alias("other"), "member").unionByName(
-        chunked.where("member = pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(-1).alias("other"), "member")
+    first = chunked.where("member <> pivot").select("pivot", "chunk", F.lit(-1).alias("other"), "member", "n").unionByName(
+        chunked.where("member = pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(-1).alias("other"), "member", "n")
     )
     first = first.withColumn("job", job)
     done = tables.keep(_verified(docs, first.select("job", "member"), parts), "jaccard-chunks")
-    at = tables.keep(first.select("job", "pivot", "chunk", "member"), "jaccard-jobs")
+    at = tables.keep(first.select("job", "pivot", "chunk", "member", "n"), "jaccard-jobs")
     done = done.join(at, ["job", "member"])
     pivot_root = done.where("member = pivot").select("job", F.col("root").alias("pivot_root"))
     left = tables.keep(
-        done.join(pivot_root, "job").where("root <> pivot_root").select("pivot", "chunk", "member"), "jaccard-left"
+        done.join(pivot_root, "job").where("root <> pivot_root").select("pivot", "chunk", "member", "n"), "jaccard-left"
     )
     edges = small.unionByName(done.where("member <> root").select(F.col("member").alias("a"), F.col("root").alias("b")))
     if left.isEmpty():
         return tables.keep(edges, "jaccard-edges")
     # Members that did not reach their pivot meet every chunk.
-    count = left.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("others"))
-    left = left.join(count, "pivot").withColumn("other", F.pmod(F.xxhash64("member", F.lit(1)), F.col("others")).cast("int"))
+    others = left.groupBy("pivot").agg(F.least(share, count).cast("int").alias("others"))
+    left = left.join(others, "pivot").withColumn("other", F.pmod(F.xxhash64("member", F.lit(1)), F.col("others")).cast("int"))
     chunks = chunked.select("pivot", "chunks").distinct()
     second = (
-        chunked.join(count, "pivot").select("pivot", "chunk", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), "member")
+        chunked.join(others, "pivot").select("pivot", "chunk", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), "member")
         .unionByName(left.join(chunks, "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "other", "member"))
         .withColumn("job", job).select("job", "member").distinct()
     )
@@ -431,7 +435,7 @@ def _links(docs: DataFrame, pivots: DataFrame, parts: int, group: int, tables: T
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, frequent: int = FREQUENT, combined: int = COMBINED
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, frequent: int = FREQUENT, combined: int = COMBINED, group_tokens: int = GROUP_TOKENS
 ) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     prepare(docs.sparkSession)
@@ -446,7 +450,7 @@ def jaccard_components(
     read = lambda kind, columns: spark.read.schema(columns + ", kind string").parquet(path).where(F.col("kind") == kind).drop("kind")
     sets = tables.keep(read("set", "doc_id long, n long, sign_a long, sign_b long"), "jaccard-sets")
     pivots = tables.keep(_pivots(read("entry", _ENTRIES_SQL), parts), "jaccard-pivots")
-    edges = _links(read("text", "doc_id long, text string"), pivots, parts, group, tables)
+    edges = _links(read("text", "doc_id long, text string"), pivots, parts, group, group_tokens, tables)
     delete(spark, path)
 
     filled = sets.where("n > 0").select("doc_id", "n", F.struct("sign_a", "sign_b").alias("sign"))

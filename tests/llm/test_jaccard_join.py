@@ -36,7 +36,7 @@ def result(df):
     return sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in df.collect()], key=repr)
 
 
-@pytest.mark.parametrize("options", [{}, {"group": 3}, {"group": 2, "frequent": 2, "combined": 4}, {"group": 4, "frequent": 1, "combined": 0}])
+@pytest.mark.parametrize("options", [{}, {"group": 3}, {"group": 2, "frequent": 2, "combined": 4}, {"group": 4, "frequent": 1, "combined": 0}, {"group_tokens": 40}])
 def test_against_brute_force(make_docs, options):
     texts = [*word_soup(documents=90), (None, word_soup()[0][1]), (None, None), (10, "one"), (10, "one two three")]
     assert result(jaccard_components(make_docs(texts), **options)) == expected(texts)
@@ -56,6 +56,13 @@ def test_large_group_of_near_copies(make_docs):
     assert result(jaccard_components(make_docs(texts), group=10, frequent=20)) == expected(texts)
 
 
+def test_long_texts_of_one_group(make_docs):
+    """Some 20,000 tokens each and room for two: chunks hold the pivot and one more, of which some miss it."""
+    base = [f"w{i}" for i in range(20_000)]
+    texts = [(i, " ".join(base[: 20_000 - i * 800] + [f"y{i // 2}_{j}" for j in range(i * 800)])) for i in range(8)]
+    assert result(jaccard_components(make_docs(texts), group_tokens=40_000)) == expected(texts)
+
+
 def test_keep_one(make_docs, empty_docs):
     docs = make_docs([(5, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, None), (4, None), (None, "a b c d e f g h")])
     kept = keep_one_of_each(docs)
