@@ -5,7 +5,7 @@ from then on. A Structured Streaming query reads the narrow columns of the landi
 state keeps, for each digest and without expiry, the smallest identifier with its locator and the
 number of rows, so that later landings could be added to the same state. Digests that several rows
 have are checked on full bytes: only their texts are taken from the landing table (where they are
-few by broadcast, else by shuffle), copies collapse in each task, and if different texts ever share
+few by broadcast, else by shuffle behind a Bloom filter), copies collapse in each task, and if different texts ever share
 a digest, these rows are grouped again by their whole text.
 
 Only DataFrame operations run on the executors. Defined results: a null text counts as empty,
@@ -31,6 +31,16 @@ _ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "192",
 }
 
+#: Where the hits are too many to broadcast, a Bloom filter of them (4 MB) keeps other texts from the shuffle;
+#: far above 4 million hits it lets more and more of them pass, and the result stays exact.
+_BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "64g",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
+    "spark.sql.optimizer.runtime.bloomFilter.numBits": str(1 << 25),
+}
+
 
 def normalised(text: Column) -> Column:
     """Each run of white space becomes one space; null becomes empty."""
@@ -106,10 +116,11 @@ def _resolved(landing: DataFrame, name: dict[str, str], path: str, body: Column,
     state = _stream_state(spark, path, landing.schema, name, files_per_batch)
 
     # Full bytes: a digest that stands for two texts shows up twice. Copies collapse before the shuffle.
-    hits = written(state.where("group_size > 1").select("digest"), "dedup-hits")
+    hits = written(state.where("group_size > 1").select("digest", "group_size"), "dedup-hits").where("group_size > 1")
     texts = landing.select(F.col(name["digest"]).alias("digest"), body.alias("norm"))
     mixed = texts.join(hits, "digest", "left_semi").distinct().groupBy("digest").count().where("count > 1").select("digest")
-    mixed = written(mixed, "dedup-mixed")
+    with settings(spark, _BLOOM):
+        mixed = written(mixed, "dedup-mixed")
 
     result = join_by_key(rows, state.select("digest", "first", "group_size"), "digest", state.select("digest", "group_size"), rows.count())
     own = F.col("row_id").eqNullSafe(F.col("first.row_id")) & (F.col("locator") == F.col("first.locator"))
