@@ -8,7 +8,10 @@ from gradeline.llm.decontaminate import find_leaks
 from gradeline.llm.exact_dedup import exact_dedup
 from gradeline.llm.html_text import extract_pages
 from gradeline.llm.jaccard_join import jaccard_components
+from gradeline.llm.line_dedup import ORACLE as LINE_SQL
+from gradeline.llm.line_dedup import line_report
 from gradeline.llm.lm_score import score_texts
+from gradeline.llm.periodic_runs import run_report
 from gradeline.llm.quality import score_quality, train_quality
 from gradeline.llm.sentencepiece_bpe import encode_decode
 from gradeline.llm.substring_dedup import dedup_substrings
@@ -73,6 +76,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, some with planted repeats, with its runs and without what repeats in them."""
+    return run_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that smaller documents have."""
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
@@ -84,6 +97,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_lm_score": op9_lm_score,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_line_dedup": op12_line_dedup,
 }
 
 ORACLE = {
@@ -104,4 +119,5 @@ ORACLE = {
                doc_id = min(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm)
     """,
+    "op12_line_dedup": LINE_SQL,
 }
