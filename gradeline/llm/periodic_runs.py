@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeline.llm.shared import prepare
-from gradeline.llm.textops import blocks, column_bytes, word_spans
+from gradeline.llm.textops import blocks, column_bytes, span_array, word_spans
 
 #: Runs have this many words at least, and this many periods.
 LEAST_WORDS, LEAST_PERIODS = 24, 3
@@ -109,17 +109,6 @@ def runs_of(words: np.ndarray, least: int = LEAST_WORDS, periods: int = LEAST_PE
     return np.array(sorted((x, p, size) for x, size, p in found), np.int64).reshape(-1, 3)[:, [0, 2, 1]]
 
 
-def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Numbers of byte spans, the same for equal spans only."""
-    offsets = np.zeros(len(starts) + 1, np.int64)
-    np.cumsum(ends - starts, out=offsets[1:])
-    step = np.zeros(len(data) + 1, np.int8)
-    step[starts] = 1
-    step[ends] -= 1
-    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[np.cumsum(step[:-1]) > 0])])
-    return np.asarray(spans.dictionary_encode().indices).astype(np.int64)
-
-
 def collapse_runs(docs: DataFrame, least: int = LEAST_WORDS, periods: int = LEAST_PERIODS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, runs, collapsed): all runs of a text by start and period, and its words without the repeats, joined by one space.
 
@@ -131,7 +120,7 @@ def collapse_runs(docs: DataFrame, least: int = LEAST_WORDS, periods: int = LEAS
         for block in blocks(batches, "text"):
             data, offsets = column_bytes(block.column("text"))
             starts, ends, first = word_spans(data, offsets)
-            words = numbered(data, starts, ends) if len(starts) else np.zeros(0, np.int64)
+            words = np.asarray(span_array(data, starts, ends).dictionary_encode().indices).astype(np.int64)
             raw, runs, texts = data.tobytes(), [], []
             for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                 found = runs_of(words[a:b], least, periods)

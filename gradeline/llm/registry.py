@@ -13,6 +13,7 @@ from gradeline.llm.line_dedup import line_report
 from gradeline.llm.lm_score import score_texts
 from gradeline.llm.periodic_runs import run_report
 from gradeline.llm.quality import score_quality, train_quality
+from gradeline.llm.resampling import importance_resample
 from gradeline.llm.sentencepiece_bpe import encode_decode
 from gradeline.llm.substring_dedup import dedup_substrings
 from gradeline.llm.toxicity import score_toxicity, train_toxicity
@@ -86,6 +87,11 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weight towards the benchmark, and the rank of those that are drawn."""
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
@@ -99,6 +105,7 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_line_dedup": op12_line_dedup,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLE = {

@@ -52,14 +52,14 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs without white space) and, for each row, its first word.
+def word_spans(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs without white space, or without bytes ``outside``) and, for each row, its first word.
 
     The third array has one more entry than there are rows, like ``offsets``.
     """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_WHITE[data]
+    inside = ~outside[data]
     start, end = inside.copy(), inside.copy()
     start[1:] &= ~inside[:-1]
     end[:-1] &= ~inside[1:]
@@ -71,6 +71,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
+def span_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Byte spans, in order and without overlaps, as an Arrow array."""
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    step = np.zeros(len(data) + 1, np.int8)
+    step[starts] = 1
+    step[ends] -= 1
+    inside = np.cumsum(step[:-1], dtype=np.int8) > 0
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+
+
 class SpanHash:
     """64-bit hashes of byte spans and of runs of consecutive values; the seed chooses the function.
 
