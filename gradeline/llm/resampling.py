@@ -47,15 +47,24 @@ _STORED = "block long, target boolean, ids binary, sizes binary, words binary, l
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def _short(data: bytes) -> bytes:
+    """Compressed bytes behind their length, so that rows are small on disk and in shuffles, whatever Spark's codec is."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _long(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _small(values: np.ndarray) -> bytes:
-    """Numbers from 0 on as bytes of the least width that holds them; the first byte is the width."""
+    """Numbers from 0 on as compressed bytes of the least width that holds them; the first byte is the width."""
     most = int(values.max()) if len(values) else 0
     width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    return bytes([width]) + _short(values.astype(f"<u{width}").tobytes())
 
 
 def _large(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(_long(data[1:]), f"<u{data[0]}").astype(np.int64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -90,7 +99,7 @@ def _stored(texts: DataFrame, target: bool, most: int = BLOCK_BYTES) -> DataFram
             letters, bounds = column_bytes(coded.dictionary)
             row = {
                 "block": (lane << 24 | number) << 1 | target, "target": target, "ids": ids_of(block.column("doc_id")).tobytes(), "sizes": _small(np.diff(first)),
-                "words": _small(np.asarray(coded.indices)), "letters": letters.tobytes(), "lengths": _small(np.diff(bounds)),
+                "words": _small(np.asarray(coded.indices)), "letters": _short(letters.tobytes()), "lengths": _small(np.diff(bounds)),
             }
             yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("block", pa.int64()), ("target", pa.bool_()), *((n, pa.binary()) for n in ("ids", "sizes", "words", "letters", "lengths"))]))
 
@@ -102,7 +111,7 @@ class Block:
 
     def __init__(self, row: dict, homes: int):
         self.sizes, self.words, self.lengths = _large(row["sizes"]), _large(row["words"]), _large(row["lengths"])
-        self.letters = np.frombuffer(row["letters"], np.uint8)
+        self.letters = np.frombuffer(_long(row["letters"]), np.uint8)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
         n, self.v = len(self.words), len(self.lengths)
         self.paired = np.ones(n, bool)  # words with a next word in their text
@@ -147,7 +156,7 @@ def _sent(stored: DataFrame, homes: int) -> DataFrame:
             spans = [(block.bounds[h], block.bounds[h + 1]) for h in some]
             columns = [
                 pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), pa.array([row["target"]] * len(some), pa.bool_()),
-                pa.array([letters[offsets[a] : offsets[b]].tobytes() for a, b in spans], pa.binary()),
+                pa.array([_short(letters[offsets[a] : offsets[b]].tobytes()) for a, b in spans], pa.binary()),
                 pa.array([_small(lengths[a:b]) for a, b in spans], pa.binary()), pa.array([_small(counts[a:b]) for a, b in spans], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -163,7 +172,7 @@ def _answered(sent: DataFrame, buckets: int) -> DataFrame:
         rows = list(rows_of(batches))
         if not rows:
             return
-        letters = b"".join(r.pop("letters") for r in rows)
+        letters = b"".join(_long(r.pop("letters")) for r in rows)
         lengths = [_large(r.pop("lengths")) for r in rows]
         sizes = [len(x) for x in lengths]
         counts = np.concatenate([_large(r.pop("counts")) for r in rows])
