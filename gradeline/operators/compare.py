@@ -1,22 +1,45 @@
 """Comparison of generated rows with true rows, cell by cell.
 
 Rows pair up one to one: each true row, in its order, takes the first generated row whose key
-matches and that no earlier row took. Candidates come from an equi-join on the group (project and
-section) with the key match as a residual condition; the order-dependent choice is a fold over the
-group's candidate lists, which hold ordinals only. Groups are as small as a sheet's row range.
+matches and that no earlier row took. In groups as small as a sheet's row range, candidates come from
+an equi-join on the group (project and section) with the key match as a residual condition, and the
+order-dependent choice is a fold over the group's candidate lists, which hold ordinals only. Larger
+groups are paired in rounds of joins (``pairing``), so no task or row holds one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeline.functions.matching import key_parts, parts_match, percent_error, values_match
 from gradeline.functions.values import blank
+from gradeline.operators.pairing import paired
+from gradeline.stages import cut
+
+#: Groups of more rows, of both sides together, are not folded in one row.
+FOLD_ROWS = 400
 
 
-def greedy_match(truth: DataFrame, found: DataFrame, by: list[str], key: str = "key", order: str = "ord") -> DataFrame:
-    """(by, ord, match): the generated row's ordinal for each true row, NULL if it has none."""
+def greedy_match(truth: DataFrame, found: DataFrame, by: list[str], key: str = "key", order: str = "ord", fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """(by, ord, match): the generated row's ordinal for each true row, NULL if it has none.
+
+    Groups with more than ``fold_rows`` rows are paired in rounds, with the same result.
+    """
+    counted = truth.select(*by).unionByName(found.select(*by)).groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    large = cut(counted.where(F.col("_rows") > fold_rows).drop("_rows").na.drop())
+    if large.isEmpty():
+        return _folded(truth, found, by, key, order)
+    big, other = truth.join(large, by, "left_semi"), found.join(large, by, "left_semi")
+    took = paired(big, other, by, key, order)
+    every = big.select(*by, F.col(order).alias("ord")).join(took, [*by, "ord"], "left")
+    return _folded(truth.join(large, by, "left_anti"), found.join(large, by, "left_anti"), by, key, order).unionByName(every)
+
+
+def _folded(truth: DataFrame, found: DataFrame, by: list[str], key: str, order: str) -> DataFrame:
+    """Each group's true rows in one row, which take their choices in turn; true rows without a whole group value stay apart."""
     t = truth.select(*by, F.col(order).alias("ord"), key_parts(F.col(key)).alias("_key"))
     f = found.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(order).alias("_ord"), key_parts(F.col(key)).alias("_other"))
     same = [F.col(c) == F.col(f"_{c}") for c in by]
@@ -25,7 +48,8 @@ def greedy_match(truth: DataFrame, found: DataFrame, by: list[str], key: str = "
         on = on & s
     pairs = t.join(f, on & parts_match(F.col("_key"), F.col("_other")), "left")
     choices = pairs.groupBy(*by, "ord").agg(F.sort_array(F.collect_list("_ord")).alias("choices"))
-    queue = choices.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ord", "choices"))).alias("queue"))
+    apart = F.when(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in by]), F.col("ord"))
+    queue = choices.groupBy(*by, apart.alias("_apart")).agg(F.sort_array(F.collect_list(F.struct("ord", "choices"))).alias("queue"))
     kind = dict(found.dtypes)[order]
     start = F.struct(
         F.array().cast(f"array<{kind}>").alias("used"), F.array().cast(f"array<struct<ord:{dict(truth.dtypes)[order]},match:{kind}>>").alias("out")

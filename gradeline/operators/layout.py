@@ -69,18 +69,32 @@ def rows_to_cells(rows: Column, sheet: str, first: int, last: int, columns) -> C
     return F.flatten(F.transform(F.slice(rows, 1, last - first + 1), one))
 
 
-def cell_writes(records: DataFrame) -> DataFrame:
-    """The cells of normalised records with their params."""
+def _last(groups: Column, kind: str, name: str) -> Column:
+    """The last value but zero of a field among the groups of a type, which all write the same cell."""
+    values = F.transform(F.filter(groups, lambda g: g["type"] == kind), lambda g: F.nullif(g[name], F.lit(0.0)))
+    return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
+
+
+def cell_writes(records: DataFrame, once: bool = False) -> DataFrame:
+    """The cells of normalised records with their params, in the order in which they are written.
+
+    Catchbasin groups of one type write the same cells. With ``once`` there is only the last write, which a sheet shows.
+    """
     parts = [F.array(*[_cell(sheet, F.lit(ref), None, F.col(name)) for sheet in ("MANHOLES (1)",) for ref, name in HEADER_CELLS])]
     for section, (sheet, cells) in PARAM_CELLS.items():
         parts.append(F.array(*[_cell(sheet, F.lit(ref), F.col(f"params.{section}.{name}"), None) for ref, name in cells.items()]))
     for name, (sheet, first, last, columns) in BLOCKS.items():
         parts.append(rows_to_cells(F.col(name), sheet, first, last, columns))
-    at = F.create_map(*[x for k, v in CATCHBASIN_ROWS.items() for x in (F.lit(k), F.lit(str(v)))])
-    groups = F.filter("catchbasins.groups", lambda g: F.try_element_at(at, g["type"]).isNotNull())
-    parts.append(F.flatten(F.transform(groups, lambda g: F.array(*[
-        _cell("MANHOLES (1)", F.concat(F.lit(c), F.try_element_at(at, g["type"])), F.nullif(g[n], F.lit(0.0)), None) for c, n in CATCHBASIN_COLUMNS
-    ]))))
+    if once:
+        parts.append(F.array(*[
+            _cell("MANHOLES (1)", F.lit(f"{c}{row}"), _last(F.col("catchbasins.groups"), kind, n), None) for kind, row in CATCHBASIN_ROWS.items() for c, n in CATCHBASIN_COLUMNS
+        ]))
+    else:
+        at = F.create_map(*[x for k, v in CATCHBASIN_ROWS.items() for x in (F.lit(k), F.lit(str(v)))])
+        groups = F.filter("catchbasins.groups", lambda g: F.try_element_at(at, g["type"]).isNotNull())
+        parts.append(F.flatten(F.transform(groups, lambda g: F.array(*[
+            _cell("MANHOLES (1)", F.concat(F.lit(c), F.try_element_at(at, g["type"])), F.nullif(g[n], F.lit(0.0)), None) for c, n in CATCHBASIN_COLUMNS
+        ]))))
     rates = F.col("catchbasins.laborRates")
     parts.append(F.array(*[_cell("MANHOLES (1)", F.lit(ref), F.nullif(rates[n], F.lit(0.0)), None) for ref, n in RATE_CELLS]))
     return records.select("project", F.inline(F.concat(*parts))).where("num is not null or text is not null")
@@ -115,3 +129,24 @@ def expanded_formulas(cells: dict[str, dict], columns: tuple[str, ...] = ("J", "
             elif "shared" in cell and "formula" in cells.get(cell["shared"], {}):
                 out[ref] = shifted_formula(cells[cell["shared"]]["formula"], row - int(re.sub(r"\D", "", cell["shared"])))
     return out
+
+
+def shifted(formula: Column, rows: Column) -> Column:
+    """A formula moved down by some rows, as ``shifted_formula`` does it: the text is cut around its references, each is moved, and the pieces are joined."""
+    pieces = F.split(F.regexp_replace(formula, r"([A-Z]+\$?)([0-9]+)", "\x01$1\x02$2\x01"), "\x01")
+    head, digits = (lambda x: F.split_part(x, F.lit("\x02"), F.lit(1))), (lambda x: F.split_part(x, F.lit("\x02"), F.lit(2)))
+    moved = lambda x: F.concat(head(x), (digits(x).cast("bigint") + rows).cast("string"))
+    one = lambda x: F.when(~F.contains(x, F.lit("\x02")), x).when(head(x).endswith("$"), F.concat(head(x), digits(x))).otherwise(moved(x))
+    return F.when(rows == 0, formula).otherwise(F.array_join(F.transform(pieces, one), ""))
+
+
+def own_formulas(cells: DataFrame, by: list[str]) -> DataFrame:
+    """(by, col, row, formula): a formula of its own for each formula cell (by, col, row, formula, shared).
+
+    ``shared`` is the index of a shared formula within ``by`` (a sheet of a workbook), NULL for other formulas. Its master
+    has the text, and a member takes it moved by their distance in rows; a member without a master has none.
+    """
+    masters = cells.where("shared is not null and formula is not null").select(*by, "shared", F.col("row").alias("_row"), F.col("formula").alias("_text"))
+    own = cells.where("formula is not null").select(*by, "col", "row", "formula")
+    members = cells.where("shared is not null and formula is null").drop("formula").join(masters, [*by, "shared"])
+    return own.unionByName(members.select(*by, "col", "row", shifted(F.col("_text"), F.col("row") - F.col("_row")).alias("formula")))

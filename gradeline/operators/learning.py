@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeline.functions.tokens import overlap, word_set
+from gradeline.operators.ordinals import numbered, pushed
+from gradeline.stages import cut
 
 #: Rules that overlap more than this are duplicates; a full prompt list drops its oldest rule; most examples.
 DUPLICATE_OVERLAP = 0.6
 MOST_PROMPT_RULES = 5
 MOST_EXAMPLES = 3
+#: An example that shares this many words of its name is the target's own.
+OWN_WORDS = 3
+#: A target's rarest words that give the first candidates; examples that are tried at once for targets without enough.
+SEED_WORDS, FILL_BLOCK = 4, 64
 #: Least share of applied changes.
 LEAST_APPLIED = 0.3
 #: Projects below this accuracy fail.
@@ -53,34 +60,66 @@ def overlapping_rules(rules: DataFrame, name: str, text: str, more_than: float =
     return shared.select(F.col("id").alias(name), F.col("other").alias("duplicate_of"), "overlap").where(F.col("overlap") > more_than)
 
 
+def _scored(pairs: DataFrame, targets: DataFrame, examples: DataFrame) -> DataFrame:
+    """(target, example, ord, less, good) of pairs of target and example: the score with its sign turned, and whether the example is another's than the target's."""
+    shared = lambda column: F.coalesce(F.size(F.array_intersect("_words", word_set(F.col(column), 2))), F.lit(0))
+    met = pairs.join(examples.select("example", "ord", "name", "description"), "example")
+    met = met.join(targets.select("target", F.lower("name").alias("_target"), word_set(F.col("name"), 2).alias("_words")), "target")
+    alike = shared("name")
+    own = (alike >= OWN_WORDS) | F.contains("_target", F.lower("name"))
+    return met.select("target", "example", "ord", (-(alike + shared("description") * 0.5)).alias("less"), F.coalesce(~own, F.lit(False)).alias("good"))
+
+
+def _best(scored: DataFrame, keep: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("target").orderBy("less", "ord", "example"))
+    return scored.where("good").withColumn("rank", rank).where(F.col("rank") <= keep)
+
+
 def ranked_examples(targets: DataFrame, examples: DataFrame, keep: int = MOST_EXAMPLES) -> DataFrame:
-    """The most similar examples of each target.
+    """(target, rank, example, score): the most similar examples of each target.
 
     ``targets`` has target and name; ``examples`` has example, ord, name and description. The score
     is the number of shared words of the names plus half of that with the description; the earlier
     example comes first of equal ones. Examples of the target itself (3 or more shared words, or
     a name within its name) are left out.
+
+    A target's rarest words come first. Examples that share one of the first SEED_WORDS are scored; the last of the
+    best ``keep`` of them is a bound. A word counts 1.5 at most, so an example that reaches the bound shares several
+    words, and must share one without the target's most frequent ones, which are never joined. Only targets that
+    still lack examples get some without a shared word, from the first ones in order, by blocks.
     """
-    t = targets.select("target", F.explode(word_set(F.col("name"), 2)).alias("word"))
-    of = lambda c, w: examples.select("example", F.explode(word_set(F.col(c), 2)).alias("word"), F.lit(w).alias("in_name"))
-    hits = t.join(of("name", True).unionByName(of("description", False)), "word")
-    shared = hits.groupBy("target", "example").agg(F.count_if("in_name").alias("_alike"), F.count_if(~F.col("in_name")).alias("_other"))
-    names = examples.select("example", "ord", F.lower("name").alias("_name"))
-    named = targets.select("target", F.lower("name").alias("_target_name"))
-    met = shared.join(names, "example").join(named, "target")
-    own = (F.col("_alike") >= 3) | F.contains("_target_name", "_name")
-    entry = F.struct((-(F.col("_alike") + F.col("_other") * 0.5)).alias("less"), "ord", "example")
-    found = met.groupBy("target").agg(F.collect_list("example").alias("_met"), F.array_sort(F.collect_list(F.when(~own, entry))).alias("_good"))
-    # Examples without a shared word have the score 0. The list of examples is short; a target goes through it only where it needs more.
-    every = examples.agg(F.array_sort(F.collect_list(F.struct("ord", "example", F.lower("name").alias("_name")))).alias("_every"))
-    both = named.join(found, "target", "left").crossJoin(F.broadcast(every))
-    none = F.array().cast(f"array<{dict(examples.dtypes)['example']}>")
-    rest = F.filter("_every", lambda e: ~F.array_contains(F.coalesce("_met", none), e["example"]) & ~F.contains("_target_name", e["_name"]))
-    fill = F.transform(F.slice(rest, 1, keep), lambda e: F.struct(F.lit(0.0).alias("less"), e["ord"].alias("ord"), e["example"].alias("example")))
-    good = F.coalesce("_good", F.slice(fill, 1, 0))
-    best = F.when(F.size(good) >= keep, F.slice(good, 1, keep)).otherwise(F.slice(F.array_sort(F.concat(good, fill)), 1, keep))
-    picked = both.select("target", F.posexplode(best).alias("_at", "_e"))
-    return picked.select("target", (F.col("_at") + 1).alias("rank"), F.col("_e.example").alias("example"), (F.col("_e.less") * -1.0 + 0.0).alias("score"))
+    index = examples.select("example", F.explode(F.array_distinct(F.concat(*[F.coalesce(word_set(F.col(c), 2), F.array().cast("array<string>")) for c in ("name", "description")]))).alias("word"))
+    often = index.groupBy("word").agg(F.count(F.lit(1)).alias("_often"))
+    words = targets.select("target", F.explode(word_set(F.col("name"), 2)).alias("word")).join(often, "word")
+    own = Window.partitionBy("target")
+    words = cut(words.select("target", "word", F.row_number().over(own.orderBy("_often", "word")).alias("_place"), F.count(F.lit(1)).over(own).alias("_all")))
+    pairs = lambda asked: asked.join(index, "word").select("target", "example").distinct()
+    seeds = cut(_scored(pairs(words.where(F.col("_place") <= SEED_WORDS)), targets, examples))
+    bound = _best(seeds, keep).where(F.col("rank") == keep).select("target", F.ceil(-F.col("less") / 1.5).alias("_least"))
+    more = words.where(F.col("_place") > SEED_WORDS).join(bound, "target", "left")
+    more = more.where(F.col("_place") <= F.col("_all") - F.greatest(F.coalesce("_least", F.lit(1)), F.lit(1)) + 1)
+    rest = pairs(more).join(seeds.select("target", "example"), ["target", "example"], "left_anti")
+    scored = cut(seeds.unionByName(_scored(rest, targets, examples)))
+    best = cut(_best(scored, keep).drop("good"))
+
+    # Examples without a shared word have the score 0: from the first ones, for targets that need more.
+    places = cut(numbered(examples.select("example", "ord", F.lower("name").alias("_name")), [], "ord", "_at"))
+    had = best.groupBy("target").agg(F.count(F.lit(1)).alias("_had"))
+    lacking = cut(targets.where("name is not null").join(had.where(F.col("_had") >= keep), "target", "left_anti").join(had, "target", "left").select("target", F.lower("name").alias("_target"), F.coalesce("_had", F.lit(0)).alias("_had")))
+    filled, last, block = [], places.agg(F.coalesce(F.max("_at"), F.lit(0))).first()[0], 0
+    while block < last and not lacking.isEmpty():
+        some = places.where(F.col("_at").between(block + 1, block + FILL_BLOCK)).agg(F.array_sort(F.collect_list(F.struct("_at", "ord", "example", "_name"))).alias("_some"))
+        other = lacking.crossJoin(F.broadcast(some))  # one row of FILL_BLOCK examples at most
+        other = other.select("target", "_had", F.explode(F.filter("_some", lambda e: ~F.contains("_target", e["_name"]))).alias("_e"))
+        other = other.select("target", "_had", "_e.ord", "_e.example").join(scored.select("target", "example"), ["target", "example"], "left_anti")
+        place = F.row_number().over(Window.partitionBy("target").orderBy("ord", "example"))
+        new = cut(other.withColumn("rank", F.col("_had") + place).where(F.col("rank") <= keep).select("target", "example", "ord", F.lit(-0.0).alias("less"), F.col("rank").cast("int").alias("rank")))
+        filled.append(new)
+        reached = new.groupBy("target").agg(F.max("rank").alias("_reached"))
+        lacking = cut(lacking.join(reached, "target", "left").withColumn("_had", F.coalesce("_reached", "_had")).drop("_reached").where(F.col("_had") < keep))
+        block += FILL_BLOCK
+    found = reduce(DataFrame.unionByName, filled, best)
+    return found.select("target", F.col("rank").cast("int").alias("rank"), "example", (F.col("less") * -1.0 + 0.0).alias("score"))
 
 
 def all_examples(builtin: DataFrame, added: DataFrame) -> DataFrame:
@@ -109,12 +148,19 @@ def addable_examples(examples: DataFrame, candidates: DataFrame) -> DataFrame:
     return first.drop("_low", "_rank").orderBy("ord").limit(room)
 
 
-def suggestions(responses: DataFrame, column: str = "suggestion_json") -> DataFrame:
-    """(project, action, component, rule, error) of replayed suggestion texts: JSON objects, also inside a code fence; other texts give an error."""
-    bare = F.regexp_replace(F.col(column), r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
-    got = responses.withColumn("_s", F.from_json(bare, "action string, component string, rule string"))
-    bad = F.col("_s.action").isNull()
-    return got.select("project", F.col("_s.action").alias("action"), F.nullif(F.col("_s.component"), F.lit("")).alias("component"), F.col("_s.rule").alias("rule"), F.when(bad, "no JSON").alias("error"))
+def suggestions(responses: DataFrame, column: str = "suggestion_json", keep: list[str] | None = None) -> DataFrame:
+    """(project, action, component, rule, error) of replayed suggestion texts, with columns to keep.
+
+    The rule is promptAddition for PROMPT_TUNING and heuristicRule for ADD_HEURISTIC; ADD_FEW_SHOT has none. Texts are
+    JSON objects, also inside a code fence; an empty text is an object without fields, any other text gives an error.
+    """
+    bare = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", "")
+    value = F.try_parse_json(F.when(F.trim(bare) == "", "{}").otherwise(bare))
+    got = responses.select(*(keep or []), "project", value.alias("_s"))
+    of = lambda name: F.nullif(F.try_variant_get("_s", f"$.{name}", "string"), F.lit(""))
+    action = of("action")
+    rule = F.when(action == "PROMPT_TUNING", of("promptAddition")).when(action == "ADD_HEURISTIC", of("heuristicRule"))
+    return got.select(*(keep or []), "project", action.alias("action"), of("component").alias("component"), rule.alias("rule"), F.when(F.col("_s").isNull(), "no JSON").alias("error"))
 
 
 def failing(rows: DataFrame, keep: int | None = None) -> DataFrame:
@@ -133,13 +179,6 @@ class Rules:
     heuristics: tuple[dict, ...] = ()
 
 
-@dataclass
-class Report:
-    applied: int = 0
-    rejected: int = 0
-    details: list[tuple[str, str, bool, str]] = field(default_factory=list)
-
-
 def migrated(raw: dict, today: str) -> Rules:
     """The state in its second version; the first held bare texts or objects with a rule."""
     if not raw:
@@ -150,50 +189,79 @@ def migrated(raw: dict, today: str) -> Rules:
     return Rules(2, raw.get("baselineAccuracy") or 0.0, tuple(map(lift, raw.get("promptAdditions") or ())), tuple(map(lift, raw.get("heuristics") or ())))
 
 
-def _words(text: str) -> set[str]:
-    import re
-
-    return {w for w in re.split(r"[^a-zA-Z0-9_]+", text.lower()) if len(w) > 3}
-
-
-def _repeats(rules: tuple[dict, ...], rule: str) -> bool:
-    new = _words(rule)
-    return any(most and len(new & old) / most > DUPLICATE_OVERLAP for old in (_words(r["rule"]) for r in rules) for most in [max(len(new), len(old))])
+_RULE = "struct<rule:string,component:string,words:array<string>>"
+_DETAIL = "struct<ord:bigint,project:string,action:string,applied:boolean,reason:string>"
 
 
-def applied(rules: Rules, action: str, rule: str, today: str, component: str | None = "general") -> tuple[Rules, bool, str]:
-    """The state after one suggestion. Each depends on those before it, and there are a handful, so this runs on the driver."""
-    entry = {"rule": rule, "addedBy": "analysis", "addedAt": today, "accuracyDelta": None}
-    if action == "PROMPT_TUNING":
-        if _repeats(rules.prompt, rule):
-            return rules, False, "duplicate rule"
-        kept = rules.prompt[1:] if len(rules.prompt) >= MOST_PROMPT_RULES else rules.prompt
-        if component is not None:
-            entry["component"] = component or "general"
-        return replace(rules, prompt=(*kept, entry)), True, f"prompt rule for {component or 'general'}"
-    if action == "ADD_HEURISTIC":
-        if _repeats(rules.heuristics, rule):
-            return rules, False, "duplicate heuristic"
-        return replace(rules, heuristics=(*rules.heuristics, entry)), True, "heuristic"
-    return rules, False, f"unknown action {action}"
+def applied_runs(suggested: DataFrame, rules: DataFrame | None = None, examples: DataFrame | None = None, scoped: bool = True) -> DataFrame:
+    """Fold the suggestions of each run, in their order, into its rules and examples.
 
+    ``suggested`` has run, ord, project, action, component, rule, error and example: the name under which the project
+    becomes an example, NULL if its true workbook lacks a sheet. ``rules`` has (run, kind, ord, rule, component) of the
+    rules before ("prompt" or "heuristic"), ``examples`` (run, name) of the examples before. Without ``scoped``, rules get no component.
 
-def applied_all(rules: Rules, suggestions: list[dict], today: str, scoped: bool = True) -> tuple[Rules, Report]:
-    """Fold suggestions (project, action, component, rule) into the state, in their order.
-
-    Without ``scoped`` rules get no component. An entry with an error counts as neither applied nor rejected.
+    The result has one row for each run: run, prompt, heuristics (each with rule and component), examples (names in
+    lower case), details (ord, project, action, applied, reason), applied and rejected. A prompt rule pushes out the oldest
+    of MOST_PROMPT_RULES; a rule that repeats another of its kind, an example beyond MOST_EXAMPLES or with a known name, and
+    a suggestion without a rule are rejected; an error counts as neither. A suggestion depends on all before it in its run,
+    so a run is folded in one row; runs are independent of each other.
     """
-    report = Report()
-    for s in suggestions:
-        if s.get("error"):
-            report.details.append((s["project"], "ERROR", False, s["error"]))
-            continue
-        component = (s.get("component") or "general") if scoped else None
-        rules, done, why = applied(rules, s["action"], s["rule"], today, component)
-        report.applied += done
-        report.rejected += not done
-        report.details.append((s["project"], s["action"], done, why))
-    return rules, report
+    before = suggested.select("run").distinct()
+    made = F.struct("ord", F.struct("rule", F.lit(None).cast("string").alias("component") if not scoped else F.col("component"), word_set(F.col("rule"), 3).alias("words")).alias("entry"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    for kind in ("prompt", "heuristic"):
+        if rules is not None:
+            listed = rules.where(F.col("kind") == kind).groupBy("run").agg(F.transform(F.array_sort(F.collect_list(made)), lambda r: r["entry"]).alias(kind))
+            before = before.join(listed, "run", "left").withColumn(kind, F.coalesce(kind, none(_RULE)))
+        else:
+            before = before.withColumn(kind, none(_RULE))
+    if examples is not None:
+        known = examples.groupBy("run").agg(F.collect_list(F.coalesce(F.lower("name"), F.lit(""))).alias("names"))
+        before = before.join(known, "run", "left")
+    else:
+        before = before.withColumn("names", none("string"))
+    component = F.coalesce(F.nullif("component", F.lit("")), F.lit("general")) if scoped else F.lit(None).cast("string")
+    one = F.struct(F.col("ord").cast("long").alias("ord"), "project", "action", component.alias("component"), "rule", "error", "example", word_set(F.col("rule"), 3).alias("words"))
+    queue = suggested.groupBy("run").agg(F.array_sort(F.collect_list(one)).alias("_queue"))
+    start = F.struct(
+        F.col("prompt").cast(f"array<{_RULE}>").alias("prompt"), F.col("heuristic").cast(f"array<{_RULE}>").alias("heuristic"), F.coalesce("names", none("string")).alias("names"),
+        none(_DETAIL).alias("details"),
+    )
+
+    def repeats(list_: Column, words: Column) -> Column:
+        return F.exists(list_, lambda r: F.coalesce(overlap(r["words"], words) > DUPLICATE_OVERLAP, F.lit(False)))
+
+    def take(state: Column, x: Column) -> Column:
+        has_rule = F.coalesce(x["rule"] != "", F.lit(False))
+        tuning, heuristic, shot = ((x["action"] == a) & ok for a, ok in (("PROMPT_TUNING", has_rule), ("ADD_HEURISTIC", has_rule), ("ADD_FEW_SHOT", F.lit(True))))
+        name = F.lower(x["example"])
+        failed = x["error"].isNotNull() | (shot & x["example"].isNull())
+        reason = (
+            F.when(x["error"].isNotNull(), x["error"]).when(shot & x["example"].isNull(), "missing sheets")
+            .when(shot & (F.size(state["names"]) >= MOST_EXAMPLES), "examples are full").when(shot & (name != "") & F.array_contains(state["names"], name), "known example")
+            .when(shot, "example").when(tuning & repeats(state["prompt"], x["words"]), "duplicate rule").when(tuning, F.concat_ws(" ", F.lit("prompt rule for"), F.coalesce(x["component"], F.lit("general"))))
+            .when(heuristic & repeats(state["heuristic"], x["words"]), "duplicate heuristic").when(heuristic, "heuristic").otherwise("no actionable suggestion")
+        )
+        done = ~failed & ~reason.isin("examples are full", "known example", "duplicate rule", "duplicate heuristic", "no actionable suggestion")
+        entry = F.struct(x["rule"].alias("rule"), x["component"].alias("component"), x["words"].alias("words"))
+        detail = F.struct(x["ord"].alias("ord"), x["project"].cast("string").alias("project"), F.when(failed, "ERROR").otherwise(x["action"]).alias("action"), done.alias("applied"), reason.alias("reason"))
+        # What is decided is bound once, so that the state's lists are looked through once for each suggestion.
+        decided = F.array(F.struct(done.alias("done"), tuning.alias("tuning"), heuristic.alias("heuristic"), shot.alias("shot"), detail.alias("detail")))
+        after = lambda d: F.struct(
+            F.when(d["done"] & d["tuning"], pushed(state["prompt"], entry, MOST_PROMPT_RULES)).otherwise(state["prompt"]).alias("prompt"),
+            F.when(d["done"] & d["heuristic"], F.concat(state["heuristic"], F.array(F.struct(entry["rule"].alias("rule"), F.lit(None).cast("string").alias("component"), entry["words"].alias("words"))))).otherwise(state["heuristic"]).alias("heuristic"),
+            F.when(d["done"] & d["shot"], F.concat(state["names"], F.array(name))).otherwise(state["names"]).alias("names"),
+            F.concat(state["details"], F.array(d["detail"])).alias("details"),
+        )
+        return F.transform(decided, after)[0]
+
+    folded = before.join(queue, "run").select("run", F.aggregate("_queue", start, take).alias("_end"))
+    bare = lambda rs: F.transform(rs, lambda r: F.struct(r["rule"].alias("rule"), r["component"].alias("component")))
+    counted = lambda yes: F.size(F.filter("_end.details", lambda d: (d["applied"] == yes) & (d["action"].isNull() | (d["action"] != "ERROR")))).cast("long")
+    return folded.select(
+        "run", bare(F.col("_end.prompt")).alias("prompt"), bare(F.col("_end.heuristic")).alias("heuristics"), F.col("_end.names").alias("examples"), F.col("_end.details").alias("details"),
+        counted(True).alias("applied"), counted(False).alias("rejected"),
+    )
 
 
 def gate(counts: DataFrame, skip_check: bool = False) -> DataFrame:

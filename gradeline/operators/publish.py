@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeline.functions.display import currency, padded
 from gradeline.functions.values import number, or_default
 from gradeline.operators.learning import Rules, is_standard_fee
+from gradeline.operators.ordinals import numbered
 from gradeline.operators.statistics import complete_workbooks
 from gradeline.operators.validate import shown
 from gradeline.sources.constants import CATCHBASIN_ROWS
@@ -153,46 +150,14 @@ def example_records(cells: DataFrame, by: str = "path") -> DataFrame:
     )
 
 
-def learned_state(rules: Rules, examples: DataFrame) -> dict:
-    """What has been learned: rule texts, heuristics, number and names of the examples."""
-    names = [r["projectName"] for r in examples.orderBy("ord").select("projectName").toLocalIterator()]  # what is listed is what there is
-    return {"prompt": [r["rule"] for r in rules.prompt], "heuristics": [r["rule"] for r in rules.heuristics], "examples": len(names), "names": names}
-
-
-class Versions:
-    """Versions of a JSON state in a folder: candidates are written beside, promoted by a rename, and older ones can come back."""
-
-    def __init__(self, folder: str):
-        self.folder = folder
-        os.makedirs(folder, exist_ok=True)
-
-    def _path(self, name: str) -> str:
-        return os.path.join(self.folder, name)
-
-    def numbers(self, most: int = 10) -> list[int]:
-        """The newest versions, newest first."""
-        found = sorted((int(f[1:-5]) for f in os.listdir(self.folder) if f.startswith("v") and f.endswith(".json")), reverse=True)
-        return found[:most]
-
-    def current(self) -> dict:
-        found = self.numbers(1)
-        return json.loads(open(self._path(f"v{found[0]:06d}.json")).read()) if found else {}
-
-    def propose(self, state: dict) -> None:
-        with open(self._path("candidate.json"), "w") as f:
-            json.dump(state, f)
-
-    def promote(self) -> int:
-        number = (self.numbers(1) or [0])[0] + 1
-        os.replace(self._path("candidate.json"), self._path(f"v{number:06d}.json"))
-        return number
+def learned_state(rules: Rules, examples: DataFrame) -> DataFrame:
+    """(kind, place, text): what has been learned, as rows: prompt rules, heuristics and names of examples in their order."""
+    spark = examples.sparkSession
+    listed = [(k, i, r["rule"]) for k, rs in (("prompt", rules.prompt), ("heuristic", rules.heuristics)) for i, r in enumerate(rs, 1)]
+    rows = spark.createDataFrame(listed, "kind string, place long, text string")
+    return rows.unionByName(numbered(examples.select("ord", "projectName"), [], "ord", "place").select(F.lit("example").alias("kind"), "place", F.col("projectName").alias("text")))
 
-    def discard(self) -> None:
-        if os.path.exists(self._path("candidate.json")):
-            os.remove(self._path("candidate.json"))
 
-    def rollback(self, number: int) -> int:
-        """Make an older version the newest again; a candidate goes."""
-        self.discard()
-        shutil.copy(self._path(f"v{number:06d}.json"), self._path("candidate.json"))
-        return self.promote()
+def state_counts(state: DataFrame) -> DataFrame:
+    """(kind, n) of a learned state."""
+    return state.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

@@ -15,7 +15,7 @@ from gradeline.plans.registry import query, read
 from gradeline.sources import files as file_source
 from gradeline.sources import records as record_source
 from gradeline.sources import workbooks
-from gradeline.sources.constants import DEFAULT_PARAMS, LABOR_RATES
+from gradeline.sources.constants import CATCHBASIN_ROWS, DEFAULT_PARAMS, LABOR_RATES
 from gradeline.sources.scoreboards import scoreboard_fields
 
 _AS_OF = "2024-01-01"
@@ -25,24 +25,24 @@ _SNAP = f"list_sort(list_transform({_SIZES}, lambda d: {{'off': abs(p_size * 15.
 
 # The records as SQL: one table for each list of the normalised record.
 _RECORDS = f"""
-    r AS (SELECT l_orderkey // 25 AS project, l.*, p_name, p_size, p_brand, abs(l_tax) AS tax, abs(l_discount) AS off,
+    r AS MATERIALIZED (SELECT l_orderkey // 25 AS project, l.*, p_name, p_size, p_brand, abs(l_tax) AS tax, abs(l_discount) AS off,
                  row_number() OVER (PARTITION BY l_orderkey // 25 ORDER BY {_ORDER}) AS ord FROM lineitem l JOIN part p ON p_partkey = l_partkey),
     projects AS (SELECT DISTINCT project FROM r),
-    s AS (SELECT project, row_number() OVER (PARTITION BY project ORDER BY ord) AS item, CASE WHEN l_linenumber = 7 THEN '' ELSE p_name || ' ' || ord END AS label,
+    s AS MATERIALIZED (SELECT project, row_number() OVER (PARTITION BY project ORDER BY ord) AS item, CASE WHEN l_linenumber = 7 THEN '' ELSE p_name || ' ' || ord END AS label,
                  l_linenumber = 1 AS fee, CASE l_linenumber WHEN 2 THEN NULL WHEN 3 THEN 0.0 ELSE l_quantity - 3 END AS length, {_SNAP} AS dia,
                  CASE WHEN tax * 3000 > 10 THEN tax * 3000 / 10 ELSE tax * 3000 END AS slope, nullif(off * 120, 0) AS depth, tax * 100 AS materials
           FROM r WHERE l_returnflag = 'N'),
-    m AS (SELECT project, row_number() OVER (PARTITION BY project ORDER BY ord) AS item, p_name || ' ' || ord AS label, CASE WHEN l_linenumber < 7 THEN 100.0 + l_linenumber END AS top,
+    m AS MATERIALIZED (SELECT project, row_number() OVER (PARTITION BY project ORDER BY ord) AS item, p_name || ' ' || ord AS label, CASE WHEN l_linenumber < 7 THEN 100.0 + l_linenumber END AS top,
                  98.5 AS low, p_size * 15.0 AS out_dia, CASE WHEN l_linenumber % 2 = 0 THEN '1' END AS kind, tax * 100 AS materials, l_quantity AS le, off * 30 AS depth, {_SNAP} AS dia
           FROM r WHERE l_returnflag = 'A'),
-    g AS (SELECT project, row_number() OVER (PARTITION BY project ORDER BY ord) AS item,
+    g AS MATERIALIZED (SELECT project, row_number() OVER (PARTITION BY project ORDER BY ord) AS item,
                  CASE WHEN p_size % 7 = 0 THEN 'SINGLE_CB' ELSE ['SINGLE_CB', 'DOUBLE_CB', 'DITCH_INLET_CB', 'DOUBLE_DITCH_INLET_CB', 'ODD_CB'][p_size % 5 + 1] END AS kind,
                  l_quantity - 10 AS quantity, coalesce(nullif(off * 20, 0), 2.2) AS depth FROM r WHERE l_returnflag = 'A' AND l_linenumber = 1),
-    w AS (SELECT project, row_number() OVER (PARTITION BY project ORDER BY ord) AS item, p_brand || ' ' || ord AS label, l_quantity - 3 AS length, {_SNAP} AS dia,
+    w AS MATERIALIZED (SELECT project, row_number() OVER (PARTITION BY project ORDER BY ord) AS item, p_brand || ' ' || ord AS label, l_quantity - 3 AS length, {_SNAP} AS dia,
                  coalesce(nullif(tax * 100, 0), 1.1) AS oc, coalesce(nullif(off * 60, 0), 1.8) AS cover FROM r WHERE l_returnflag = 'R' AND l_linenumber <= 4),
-    sp AS (SELECT project, row_number() OVER (PARTITION BY project ORDER BY ord) AS item, p_name AS label, l_linenumber::DOUBLE AS quantity, l_quantity AS cost,
+    sp AS MATERIALIZED (SELECT project, row_number() OVER (PARTITION BY project ORDER BY ord) AS item, p_name AS label, l_linenumber::DOUBLE AS quantity, l_quantity AS cost,
                   coalesce(nullif(tax * 1000, 0), 100) AS anode FROM r WHERE l_returnflag = 'R' AND l_linenumber IN (5, 6)),
-    v AS (SELECT project, row_number() OVER (PARTITION BY project ORDER BY ord) AS item, p_brand AS label, l_quantity AS cost FROM r WHERE l_returnflag = 'R' AND l_linenumber = 7)"""
+    v AS MATERIALIZED (SELECT project, row_number() OVER (PARTITION BY project ORDER BY ord) AS item, p_brand AS label, l_quantity AS cost FROM r WHERE l_returnflag = 'R' AND l_linenumber = 7)"""
 
 
 def _raw(spark, sf_dir) -> DataFrame:
@@ -210,12 +210,12 @@ def _cell_sql() -> str:
         parts.append(f"SELECT project, 'MANHOLES (1)', '{column}' || {row}, {value}, NULL, false FROM g WHERE kind <> 'ODD_CB'")
     for ref, value in (("C59", 200), ("C60", 250), ("F59", 465), ("F60", 715)):
         parts.append(f"SELECT project, 'MANHOLES (1)', '{ref}', {value}, NULL, false FROM projects")
-    return "cells AS (SELECT project::VARCHAR AS project, sheet, ref, round(num, 6) AS num, text, force FROM (" + " UNION ALL ".join(parts) + ") WHERE num IS NOT NULL OR text IS NOT NULL)"
+    return "cells AS MATERIALIZED (SELECT project::VARCHAR AS project, sheet, ref, round(num, 6) AS num, text, force FROM (" + " UNION ALL ".join(parts) + ") WHERE num IS NOT NULL OR text IS NOT NULL)"
 
 
-def _writes(spark, sf_dir) -> DataFrame:
+def _writes(spark, sf_dir, once: bool = False) -> DataFrame:
     params = F.struct(*[F.struct(*[F.lit(v).alias(k) for k, v in fields.items()]).alias(s) for s, fields in DEFAULT_PARAMS.items()])
-    return _rounded(layout.cell_writes(_records(spark, sf_dir).withColumn("params", params)))
+    return _rounded(layout.cell_writes(_records(spark, sf_dir).withColumn("params", params), once))
 
 
 @query(f"WITH {_RECORDS}, {_cell_sql()} SELECT * FROM cells")
@@ -236,17 +236,28 @@ def guarded_writes(spark, sf_dir):
     return layout.guarded(_writes(spark, sf_dir), refs("MANHOLES (1)", "CJL").unionByName(refs("SEWERS (1)", "CG")))
 
 
-_SHEETS = _cell_sql() + """,
-    c AS (SELECT DISTINCT project AS path, sheet, regexp_extract(ref, '^[A-Z]+') AS col, regexp_extract(ref, '[0-9]+$')::INTEGER AS row, num, text FROM cells WHERE NOT (sheet = 'MANHOLES (1)' AND ref IN ('C53', 'C54', 'C55', 'C56', 'D53', 'D54', 'D55', 'D56', 'E53', 'E54', 'E55', 'E56')))"""
+_BASIN = "CASE kind WHEN 'SINGLE_CB' THEN 53 WHEN 'DOUBLE_CB' THEN 54 WHEN 'DITCH_INLET_CB' THEN 55 ELSE 56 END"
+# The cells that a sheet shows: of catchbasin groups of one type the last one, and the types, which stand in the template.
+_SHEETS = _cell_sql() + f""",
+    basins AS (SELECT project::VARCHAR AS path, {_BASIN} AS row, max_by(quantity, item) FILTER (quantity <> 0) AS quantity, 4.0 AS wall, round(max_by(depth, item), 6) AS depth
+               FROM g WHERE kind <> 'ODD_CB' GROUP BY project, kind),
+    c AS MATERIALIZED (
+        SELECT project AS path, sheet, regexp_extract(ref, '^[A-Z]+') AS col, regexp_extract(ref, '[0-9]+$')::INTEGER AS row, num, text FROM cells
+        WHERE NOT (sheet = 'MANHOLES (1)' AND regexp_matches(ref, '^[C-G]5[3-6]$'))
+        UNION ALL SELECT path, 'MANHOLES (1)', k.col, row, CASE k.col WHEN 'C' THEN quantity WHEN 'D' THEN wall ELSE depth END, NULL FROM basins, (VALUES ('C'), ('D'), ('E')) k(col)
+        WHERE k.col <> 'C' OR quantity IS NOT NULL
+        UNION ALL SELECT project::VARCHAR, 'MANHOLES (1)', 'B', k.row, NULL, k.kind FROM projects, (VALUES (53, 'SINGLE_CB'), (54, 'DOUBLE_CB'), (55, 'DITCH_INLET_CB'), (56, 'DOUBLE_DITCH_INLET_CB')) k(row, kind))"""
 
 
 def _cells(spark, sf_dir) -> DataFrame:
-    """The written cells as those of workbooks, without catchbasin rows, which several groups may write."""
-    w = _writes(spark, sf_dir)
+    """The cells that the records' workbooks show: what is written, and the catchbasin types of the template."""
+    w = _writes(spark, sf_dir, once=True)
+    types = F.array(*[F.struct(F.lit("MANHOLES (1)").alias("sheet"), F.lit(f"B{row}").alias("ref"), F.lit(None).cast("double").alias("num"), F.lit(kind).alias("text")) for kind, row in CATCHBASIN_ROWS.items()])
+    # Each workbook has the header's cell once, so its template's cells come with it.
+    named = w.where("sheet = 'MANHOLES (1)' and ref = 'B2'").select("project", F.inline(types))
     row = F.regexp_extract("ref", "[0-9]+$", 0).cast("int")
-    cells = w.select(F.col("project").alias("path"), "sheet", row.alias("row"), F.regexp_extract("ref", "^[A-Z]+", 0).alias("col"), "num", "text")
-    basins = (F.col("sheet") == "MANHOLES (1)") & F.col("col").isin("C", "D", "E") & F.col("row").between(53, 56)
-    return cells.where(~basins).distinct()
+    both = w.drop("force").unionByName(named)
+    return both.select(F.col("project").alias("path"), "sheet", row.alias("row"), F.regexp_extract("ref", "^[A-Z]+", 0).alias("col"), "num", "text")
 
 
 def _section_sql(sections: list[tuple]) -> str:
@@ -260,6 +271,7 @@ def _section_sql(sections: list[tuple]) -> str:
 # What is compared in each section, from the sheets' description.
 _COMPARED = [
     ("MANHOLES - Structures", "MANHOLES (1)", 11, 50, (("B", "Description"), ("H", "Add Mtrls"), ("I", "Add L&E"))),
+    ("MANHOLES - Catchbasins", "MANHOLES (1)", 53, 56, (("B", "CB Type"), ("C", "QNTY"), ("E", "DPTHm"), ("F", "$GT ea"), ("G", "$/ADDMAT"))),
     ("SEWERS", "SEWERS (1)", 14, 55, (("B", "Run Label"), ("C", "Length"), ("D", "Pipe Dia"), ("E", "Type/Class"), ("F", "Slope"), ("G", "Depth"), ("H", "Add Mtrls"), ("I", "Add L&E"))),
     ("WATERMAIN", "WATERMAIN (1)", 13, 19, (("B", "Size & Type"), ("C", "Length"), ("D", "Pipe Dia"), ("F", "OC/SC"), ("J", "Avg Cover"))),
 ]
@@ -298,22 +310,24 @@ def dataset_table(spark, sf_dir):
 
 @query(f"""
     WITH {_RECORDS}, {_SHEETS},
-    t AS (SELECT path, sheet, row, max(text) FILTER (col = 'B') AS label, max(num) FILTER (col = 'C') AS c, max(num) FILTER (col = 'D') AS d, max(num) FILTER (col = 'F') AS f,
+    t AS (SELECT path, sheet, row, max(text) FILTER (col = 'B') AS label, max(num) FILTER (col = 'C') AS c, max(num) FILTER (col = 'D') AS d, max(num) FILTER (col = 'E') AS e, max(num) FILTER (col = 'F') AS f,
                  max(num) FILTER (col = 'H') AS h, max(num) FILTER (col = 'I') AS i, max(num) FILTER (col = 'J') AS j FROM c GROUP BY path, sheet, row),
     good AS (SELECT path FROM t GROUP BY path HAVING bool_or(sheet = 'MANHOLES (1)') AND bool_or(sheet = 'SEWERS (1)'))
     SELECT path, path AS name, 'manholes' AS block, row, label, false AS item, j AS a, coalesce(h, 0) AS b, coalesce(i, 0) AS c FROM t JOIN good USING (path)
     WHERE sheet = 'MANHOLES (1)' AND row BETWEEN 11 AND 50 AND coalesce(label, '') <> ''
     UNION ALL SELECT path, path, 'sewers', row, label, c IS NULL AND d IS NULL, c, d, f FROM t JOIN good USING (path) WHERE sheet = 'SEWERS (1)' AND row BETWEEN 14 AND 55 AND coalesce(label, '') <> ''
+    UNION ALL SELECT path, path, 'groups', row, label, false, c, coalesce(d, 4), round(coalesce(e, 2.2), 6) FROM t JOIN good USING (path) WHERE sheet = 'MANHOLES (1)' AND row BETWEEN 53 AND 56 AND coalesce(c, 0) <> 0
     UNION ALL SELECT path, path, 'rates', 0, '', false, 200, 250, 465 FROM good
 """)
 def example_table(spark, sf_dir):
-    """What an example holds of each workbook: manholes, sewers and rates."""
+    """What an example holds of each workbook: manholes, catchbasin groups, sewers and rates."""
     kept = publish.example_records(_cells(spark, sf_dir).persist()).withColumn("name", F.col("projectName")).persist()
     none = F.lit(False).alias("item")
     manholes = kept.select("path", "name", F.inline("manholes")).select("path", "name", F.lit("manholes").alias("block"), "row", F.col("description").alias("label"), none, F.col("depth").alias("a"), F.col("addMaterials").alias("b"), F.col("addLE").alias("c"))
     sewers = kept.select("path", "name", F.inline("sewers")).select("path", "name", F.lit("sewers").alias("block"), "row", F.col("runLabel").alias("label"), F.col("isLineItem").alias("item"), F.col("length").alias("a"), F.col("pipeDiameter").alias("b"), F.col("slope").alias("c"))
     rates = kept.select("path", "name", F.lit("rates").alias("block"), F.lit(0).alias("row"), F.lit("").alias("label"), none, *[F.col(f"catchbasins.laborRates.{r}").alias(k) for r, k in (("scbLabor", "a"), ("dcbLabor", "b"), ("dicbFC", "c"))])
-    return scoreboard.union_all([manholes, sewers, rates])
+    groups = kept.select("path", "name", F.inline("catchbasins.groups")).select("path", "name", F.lit("groups").alias("block"), "row", F.col("type").alias("label"), none, F.col("quantity").alias("a"), F.col("wallThickness").alias("b"), F.col("depth").alias("c"))
+    return scoreboard.union_all([manholes, groups, sewers, rates])
 
 
 @query("""
@@ -701,15 +715,18 @@ def all_examples(spark, sf_dir):
 
 
 @query("""
-    WITH k AS (SELECT p_partkey AS project, p_size % 4 AS k, p_name FROM part)
-    SELECT project, CASE k WHEN 0 THEN 'PROMPT_TUNING' WHEN 1 THEN 'ADD_HEURISTIC' WHEN 2 THEN 'ADD_FEW_SHOT' END AS action, CASE k WHEN 0 THEN 'sewers' END AS component, CASE WHEN k < 3 THEN p_name END AS rule,
-           CASE WHEN k = 3 THEN 'no JSON' END AS error FROM k
+    WITH k AS (SELECT p_partkey AS project, p_size % 5 AS k, p_name FROM part)
+    SELECT project, CASE k WHEN 0 THEN 'PROMPT_TUNING' WHEN 1 THEN 'ADD_HEURISTIC' WHEN 2 THEN 'ADD_FEW_SHOT' END AS action, CASE k WHEN 0 THEN 'sewers' END AS component,
+           CASE k WHEN 0 THEN 'Read ' || p_name WHEN 1 THEN p_name || ' is standard' END AS rule, CASE WHEN k = 3 THEN 'no JSON' END AS error FROM k
 """)
 def replayed_suggestions(spark, sf_dir):
-    """Suggestions from replayed texts, with or without a code fence; other texts are errors."""
-    k = F.col("p_size") % 4
-    made = F.to_json(F.struct(F.element_at(F.array(F.lit("PROMPT_TUNING"), F.lit("ADD_HEURISTIC"), F.lit("ADD_FEW_SHOT"), F.lit("x")), k + 1).alias("action"), F.when(k == 0, "sewers").when(k == 1, "").alias("component"), F.col("p_name").alias("rule")))
-    text = F.when(k == 3, F.concat(F.lit("I suggest "), "p_name")).when(k == 1, F.concat(F.lit("```json\n"), made, F.lit("\n```"))).otherwise(made)
+    """Suggestions from replayed texts, with or without a code fence; an empty text suggests nothing, other texts are errors."""
+    k = F.col("p_size") % 5
+    made = F.to_json(F.struct(
+        F.element_at(F.array(F.lit("PROMPT_TUNING"), F.lit("ADD_HEURISTIC"), F.lit("ADD_FEW_SHOT"), F.lit("x"), F.lit("y")), k + 1).alias("action"), F.when(k == 0, "sewers").when(k == 1, "").alias("component"),
+        F.lit("as the drawings show").alias("reasoning"), F.concat(F.lit("Read "), "p_name").alias("promptAddition"), F.concat("p_name", F.lit(" is standard")).alias("heuristicRule"),
+    ))
+    text = F.when(k == 3, F.concat(F.lit("I suggest "), "p_name")).when(k == 1, F.concat(F.lit("```json\n"), made, F.lit("\n```"))).when(k == 4, "").otherwise(made)
     return learning.suggestions(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("project"), text.alias("suggestion_json")))
 
 

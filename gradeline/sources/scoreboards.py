@@ -43,30 +43,39 @@ def read_scoreboards(spark: SparkSession, *paths: str) -> DataFrame:
     )
 
 
+def _named(spark: SparkSession, folder: str, pattern: str) -> DataFrame | None:
+    """(path, name, day) of the files of a folder, by their names alone; NULL is no folder or no such file."""
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.select("path", name.alias("name"), F.nullif(F.regexp_extract(name, r"evaluation_scoreboard_(\d{4}-\d{2}-\d{2})", 1), F.lit("")).alias("day"))
+
+
 def local_scoreboards(spark: SparkSession, folder: str, root: str | None = None) -> DataFrame:
-    """Rows of all files of the newest day in a folder; without any, those of its ``combined.csv``; else of the newest day's file in ``root``."""
-    from gradeline.operators.scoreboard import latest_day
-
-    def found(path: str, pattern: str) -> DataFrame | None:
-        try:
-            names = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path").collect()  # names only
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-        return read_scoreboards(spark, *sorted(r["path"] for r in names)) if names else None
-
-    dated = found(folder, "*evaluation_scoreboard_*.csv")
-    newest = latest_day(dated.where("day <> ''")) if dated is not None else None
-    if newest is not None and not newest.isEmpty():
-        return newest
-    combined = found(folder, "combined.csv")
-    if combined is not None:
-        return combined
-    dated = found(root, "evaluation_scoreboard_*.csv") if root else None
-    if dated is None:
+    """Rows of all files of the newest day that a file name of a folder has.
+
+    If there is no such day, or its files have no rows, those of ``combined.csv`` in the folder count, even if there are none; without
+    that file, those of the one file ``evaluation_scoreboard_<day>.csv`` of the newest day that any file name in ``root`` has.
+    """
+    dated = _named(spark, folder, "*evaluation_scoreboard_*.csv")
+    newest = dated.agg(F.max("day")).first()[0] if dated is not None else None
+    if newest:
+        paths = [r["path"] for r in dated.where(F.contains("name", F.lit(newest))).select("path").collect()]  # names of one day
+        rows = read_scoreboards(spark, *sorted(paths))
+        if not rows.isEmpty():
+            return rows
+    combined = _named(spark, folder, "combined.csv")
+    if combined is not None and not combined.isEmpty():
+        return read_scoreboards(spark, f"{folder.rstrip('/')}/combined.csv")
+    dated = _named(spark, root, "*evaluation_scoreboard_*.csv") if root else None
+    newest = dated.agg(F.max("day")).first()[0] if dated is not None else None
+    if not newest:
         raise FileNotFoundError(f"no scoreboards in {folder}")
-    return latest_day(dated.where("day <> ''"))
+    return read_scoreboards(spark, f"{root.rstrip('/')}/evaluation_scoreboard_{newest}.csv")
 
 
 def naive_fields(line) -> dict:

@@ -11,11 +11,13 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from gradeline.shipping import ship
 from gradeline.sources.constants import SECTIONS
@@ -39,17 +41,39 @@ def sheet_files(book: zipfile.ZipFile) -> dict[str, str]:
     return {s.get("name"): "xl/" + targets[s.get(f"{_REL}id")].removeprefix("/xl/") for s in sheets}
 
 
-def cells_of(data: bytes, path: str = "") -> Iterator[tuple]:
-    """Rows of SCHEMA for each filled cell."""
+@dataclass(frozen=True)
+class Wanted:
+    """What of a workbook is read: sheets by name (None: all) and rows from first to last."""
+
+    sheets: frozenset[str] | None = None
+    first: int = 1
+    last: int = 1 << 31
+
+    def of_sheets(self, names) -> Wanted:
+        return replace(self, sheets=frozenset(names) if self.sheets is None else self.sheets & frozenset(names))
+
+    def rows(self, first: int | None = None, last: int | None = None) -> Wanted:
+        return replace(self, first=max(self.first, first or 1), last=min(self.last, self.last if last is None else last))
+
+
+def cells_of(data: bytes, path: str = "", wanted: Wanted = Wanted()) -> Iterator[tuple]:
+    """Rows of SCHEMA for each filled cell; other sheets than those wanted are not unpacked."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
         shared = []
         if "xl/sharedStrings.xml" in book.namelist():
             shared = [_texts(s) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si")]
         for sheet, part in sheet_files(book).items():
+            if wanted.sheets is not None and sheet not in wanted.sheets:
+                continue
             for _, node in ElementTree.iterparse(io.BytesIO(book.read(part))):
+                if node.tag == f"{_MAIN}row":
+                    node.clear()
                 if node.tag != f"{_MAIN}c":
                     continue
                 col, row = _REF.fullmatch(node.get("r")).groups()
+                if not wanted.first <= int(row) <= wanted.last:
+                    node.clear()
+                    continue
                 value, formula = node.find(f"{_MAIN}v"), node.find(f"{_MAIN}f")
                 kind, num, text = _decoded(node, value, shared)
                 if formula is not None:
@@ -82,15 +106,31 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
+    """One partition for each file; filters on sheet and row reach the files' parts."""
+
     def __init__(self, paths: list[str]):
         self.paths = paths
+        self.wanted = Wanted()
+
+    def pushFilters(self, filters):
+        for f in filters:
+            name = getattr(f, "attribute", ())
+            if name == ("sheet",) and isinstance(f, EqualTo):
+                self.wanted = self.wanted.of_sheets([f.value])
+            elif name == ("sheet",) and isinstance(f, In):
+                self.wanted = self.wanted.of_sheets(f.value)
+            elif name == ("row",) and isinstance(f, (EqualTo, GreaterThanOrEqual, GreaterThan, LessThanOrEqual, LessThan)):
+                above, below = isinstance(f, (EqualTo, GreaterThanOrEqual, GreaterThan)), isinstance(f, (EqualTo, LessThanOrEqual, LessThan))
+                self.wanted = self.wanted.rows(f.value + isinstance(f, GreaterThan) if above else None, f.value - isinstance(f, LessThan) if below else None)
+            else:
+                yield f
 
     def partitions(self):
         return [_File(p) for p in self.paths]
 
     def read(self, partition):
         with open(partition.path, "rb") as f:
-            yield from cells_of(f.read(), partition.path)
+            yield from cells_of(f.read(), partition.path, self.wanted)
 
 
 class WorkbookSource(DataSource):
@@ -112,25 +152,32 @@ class WorkbookSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known; its filters on sheet and row are pushed down to the files."""
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WorkbookSource)
 
 
-def read_cells(spark: SparkSession, root: str) -> DataFrame:
-    """Cells of all workbooks below a folder of any file system that Spark reads."""
+def contents_cells(contents: DataFrame, wanted: Wanted = Wanted()) -> DataFrame:
+    """Cells of workbooks that are held as (path, content)."""
     import pandas as pd
 
-    ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xlsx").load(root)
+    ship(contents.sparkSession)
 
     def run(batches):
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = list(cells_of(content, path))
+                rows = list(cells_of(content, path, wanted))
                 if rows:
                     yield pd.DataFrame(rows, columns=["path", "sheet", "row", "col", "kind", "num", "text"])
 
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+    return contents.select("path", "content").mapInPandas(run, SCHEMA)
+
+
+def read_cells(spark: SparkSession, root: str, wanted: Wanted = Wanted()) -> DataFrame:
+    """Cells of all workbooks below a folder of any file system that Spark reads; Spark deals the files to tasks by their sizes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xlsx").load(root)
+    return contents_cells(files, wanted)
 
 
 def decoded(cells: DataFrame, strict: bool = True) -> DataFrame:
@@ -180,12 +227,65 @@ def filled_template(template: bytes, writes: list[tuple[str, str, float | None,
         parts = {part: by_sheet.get(name, {}) for name, part in sheet_files(book).items()}
         for item in book.namelist():
             data = book.read(item)
+            if item == _CHAIN:  # it lists formula cells, some of which are numbers from now on; programs make it again
+                continue
+            if item in ("xl/_rels/workbook.xml.rels", "[Content_Types].xml"):
+                data = _without_chain(data)
             if parts.get(item):
                 data = _written_sheet(data, parts[item], expanded_formulas)
             made.writestr(item, data)
     return out.getvalue()
 
 
+_CHAIN = "xl/calcChain.xml"
+
+
+def _without_chain(data: bytes) -> bytes:
+    """A list of relations or content types without the calculation chain's."""
+    root = ElementTree.fromstring(data)
+    for node in list(root):
+        if (node.get("Target") or node.get("PartName") or "").endswith("calcChain.xml"):
+            root.remove(node)
+    space = root.tag[1 : root.tag.index("}")]
+    text = ElementTree.tostring(root, encoding="unicode").replace("ns0:", "").replace("xmlns:ns0=", "xmlns=")
+    return f'<?xml version="1.0" encoding="UTF-8"?>{text}'.encode() if space else data
+
+
+def new_workbook(sheets: dict[str, dict[str, str | float | tuple]]) -> bytes:
+    """A workbook of cells by reference: a number, a text, ("formula", text) or ("shared", index, range and text or two None) of a shared formula."""
+
+    def cell(ref: str, value) -> str:
+        if isinstance(value, str):
+            return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
+        if not isinstance(value, tuple):
+            return f'<c r="{ref}"><v>{float(value)!r}</v></c>'
+        if value[0] == "formula":
+            return f'<c r="{ref}"><f>{escape(value[1])}</f></c>'
+        _, index, area, text = value
+        return f'<c r="{ref}"><f t="shared" si="{index}"' + (f' ref="{area}">{escape(text)}</f></c>' if text else "/></c>")
+
+    def body(cells: dict) -> str:
+        rows: dict[int, list] = {}
+        for ref, value in cells.items():
+            col, row = _REF.fullmatch(ref).groups()
+            rows.setdefault(int(row), []).append((_column_number(col), cell(ref, value)))
+        return "".join(f'<row r="{r}">{"".join(c for _, c in sorted(rows[r]))}</row>' for r in sorted(rows))
+
+    names = list(sheets)
+    head, main, office = '<?xml version="1.0" encoding="UTF-8"?>', _MAIN[1:-1], _REL[1:-1]
+    types = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        parts = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{types}.worksheet+xml"/>' for i in range(1, len(names) + 1))
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{types}.sheet.main+xml"/>{parts}</Types>')
+        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{_PACKAGE[1:-1]}"><Relationship Id="rId1" Type="{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{office}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1)) + "</sheets></workbook>")
+        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{_PACKAGE[1:-1]}">' + "".join(f'<Relationship Id="rId{i}" Type="{office}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(names) + 1)) + "</Relationships>")
+        for i, n in enumerate(names, 1):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'{head}<worksheet xmlns="{main}"><sheetData>{body(sheets[n])}</sheetData></worksheet>')
+    return out.getvalue()
+
+
 def _column_number(col: str) -> int:
     n = 0
     for c in col:
@@ -234,7 +334,7 @@ def _written_sheet(data: bytes, writes: dict[str, tuple], expand) -> bytes:
             ElementTree.SubElement(cell, f"{_MAIN}v").text = repr(float(num)).removesuffix(".0")
         else:
             cell.set("t", "inlineStr")
-            ElementTree.SubElement(ElementTree.SubElement(cell, f"{_MAIN}is"), f"{_MAIN}t").text = text
+            ElementTree.SubElement(ElementTree.SubElement(cell, f"{_MAIN}is"), f"{_MAIN}t", {"{http://www.w3.org/XML/1998/namespace}space": "preserve"}).text = text
     body[:] = sorted(body, key=lambda r: int(r.get("r")))
     for r in body:
         r[:] = sorted(r, key=lambda c: _column_number(_REF.fullmatch(c.get("r"))[1]))

@@ -136,16 +136,50 @@ def test_discovery(spark):
     assert [r["project"] for r in discovery.without_output(df.select("project").distinct(), outputs).orderBy("project").collect()] == ["q", "r"]
 
 
-def test_rules_fold():
+def test_migrated_rules():
     r = learning.migrated({"promptAdditions": ["read all labels carefully", {"rule": "prefer storm sewers first"}]}, "2026-01-01")
     assert [x["rule"] for x in r.prompt] == ["read all labels carefully", "prefer storm sewers first"] and r.prompt[0]["addedBy"] == "migrated"
-    many = [{"project": str(i), "action": "PROMPT_TUNING", "rule": f"entirely{i} different{i} sentence{i}"} for i in range(5)]
-    state, report = learning.applied_all(r, [*many, {**many[0], "rule": many[4]["rule"]}, {"project": "e", "error": "down"}, {"project": "x", "action": "OTHER", "rule": "z"}], "2026-01-02")
-    assert len(state.prompt) == 5 and (report.applied, report.rejected) == (5, 2)
-    assert state.prompt[0]["rule"] == many[0]["rule"] and state.prompt[0]["component"] == "general"
     assert learning.migrated({}, "x") == learning.Rules()
 
 
+def test_suggestions_take_the_rule_of_their_action(spark):
+    full = '{"action": "%s", "component": "sewers", "reasoning": "r", "promptAddition": "p", "heuristicRule": "h"}'
+    texts = [full % a for a in ("PROMPT_TUNING", "ADD_HEURISTIC", "ADD_FEW_SHOT", "OTHER")] + ['```json\n{"action": "PROMPT_TUNING", "promptAddition": ""}\n```', "", None, "no idea", "{}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "project int, suggestion_json string")
+    got = {r["project"]: (r["action"], r["component"], r["rule"], r["error"]) for r in learning.suggestions(df).collect()}
+    assert [got[i] for i in range(9)] == [
+        ("PROMPT_TUNING", "sewers", "p", None), ("ADD_HEURISTIC", "sewers", "h", None), ("ADD_FEW_SHOT", "sewers", None, None), ("OTHER", "sewers", None, None), ("PROMPT_TUNING", None, None, None),
+        (None, None, None, None), (None, None, None, None), (None, None, None, "no JSON"), (None, None, None, None),
+    ]
+
+
+def test_suggestions_are_folded_in_order(spark):
+    texts = ["read all labels carefully", "prefer storm sewers first", "check manhole depth values", "count every single valve", "measure pipes between centres", "ignore dashed property lines"]
+    rows = [("a", i, f"p{i}", "PROMPT_TUNING", "", t, None, None) for i, t in enumerate(texts)]
+    rows += [
+        ("a", 10, "p", "PROMPT_TUNING", "sewers", "Read ALL labels carefully!", None, None),  # the first rule has been pushed out, so it is new again
+        ("a", 11, "p", "PROMPT_TUNING", None, "measure pipes between centres twice", None, None), ("a", 12, "p", "PROMPT_TUNING", None, None, None, None), ("a", 13, "p", "ADD_HEURISTIC", None, "grates cost nothing", None, None),
+        ("a", 14, "p", "ADD_HEURISTIC", None, "grates cost nothing", None, None), ("a", 15, "p", None, None, None, "down", None), ("a", 16, "p", "ADD_FEW_SHOT", None, None, None, None),
+        ("a", 17, "p", "ADD_FEW_SHOT", None, None, None, "NEW"), ("a", 18, "p", "ADD_FEW_SHOT", None, None, None, "old"), ("a", 19, "p", "ADD_FEW_SHOT", None, None, None, "third"), ("a", 20, "p", "ADD_FEW_SHOT", None, None, None, "fourth"),
+        ("b", 1, "p", "OTHER", None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "run string, ord long, project string, action string, component string, rule string, error string, example string").repartition(3)
+    rules = spark.createDataFrame([("b", "prompt", 2, "second", None), ("b", "prompt", 1, "first", "sewers"), ("b", "heuristic", 1, "h", None), ("c", "prompt", 1, "x", None)], "run string, kind string, ord int, rule string, component string")
+    examples = spark.createDataFrame([("a", "Old")], "run string, name string")
+    got = {r["run"]: r for r in learning.applied_runs(df, rules, examples).collect()}
+    a, b = got["a"], got["b"]
+    assert [x["rule"] for x in a["prompt"]] == [*texts[2:], "Read ALL labels carefully!"] and [x["component"] for x in a["prompt"]] == ["general"] * 4 + ["sewers"]
+    assert [x["rule"] for x in a["heuristics"]] == ["grates cost nothing"] and a["examples"] == ["old", "new", "third"]
+    assert [(d["ord"], d["applied"], d["reason"]) for d in a["details"][6:]] == [
+        (10, True, "prompt rule for sewers"), (11, False, "duplicate rule"), (12, False, "no actionable suggestion"), (13, True, "heuristic"), (14, False, "duplicate heuristic"), (15, False, "down"),
+        (16, False, "missing sheets"), (17, True, "example"), (18, False, "known example"), (19, True, "example"), (20, False, "examples are full"),
+    ]
+    assert (a["applied"], a["rejected"]) == (10, 5) and (b["applied"], b["rejected"]) == (0, 1)
+    assert [(x["rule"], x["component"]) for x in b["prompt"]] == [("first", "sewers"), ("second", None)] and [x["rule"] for x in b["heuristics"]] == ["h"] and set(got) == {"a", "b"}
+    bare = learning.applied_runs(df, scoped=False).where("run = 'a'").first()
+    assert {x["component"] for x in bare["prompt"]} == {None}
+
+
 def test_rule_columns(spark):
     rules = spark.createDataFrame([([("check every pipe size twice", None), ("x", "sewers"), ("y", "general")],)], "rules array<struct<rule:string,component:string>>")
     kept = rules.select(learning.applies_to(F.col("rules"), "manholes").alias("k")).first()["k"]

@@ -36,25 +36,13 @@ def test_catchbasins_of_examples(spark):
     assert one["catchbasins"]["laborRates"]["scbLabor"] == 210.0
 
 
-def test_versions(tmp_path):
-    v = publish.Versions(str(tmp_path / "state"))
-    assert v.current() == {}
-    for n in (1, 2):
-        v.propose({"n": n})
-        assert v.promote() == n
-    v.propose({"n": 9})
-    assert v.rollback(1) == 3 and v.current() == {"n": 1} and v.numbers() == [3, 2, 1]
-    v.propose({"n": 5})
-    v.discard()
-    assert v.current() == {"n": 1}
-
-
 def test_learned_state_and_examples(spark):
     examples = spark.createDataFrame([(i, n, [(l,) for l in s]) for i, n, s in ((1, "A", ["run", "VIDEO ($25/m)"]), (2, "", ["x"]), (3, "B", []), (4, "C", []), (5, "D", []))], "ord int, projectName string, sewers array<struct<runLabel:string>>").withColumn("manholes", F.lit(None).cast("array<string>"))
     kept = learning.usable_examples(examples)
     assert [r["projectName"] for r in kept.collect()] == ["A", "B", "C"] and len(kept.first()["sewers"]) == 1
     state = publish.learned_state(learning.migrated({"promptAdditions": ["r"]}, "d"), kept)
-    assert state == {"prompt": ["r"], "heuristics": [], "examples": 3, "names": ["A", "B", "C"]}
+    assert sorted(tuple(r) for r in state.collect()) == [("example", 1, "A"), ("example", 2, "B"), ("example", 3, "C"), ("prompt", 1, "r")]
+    assert {r["kind"]: r["n"] for r in publish.state_counts(state).collect()} == {"example": 3, "prompt": 1}
     new = spark.createDataFrame([(1, "a"), (2, "Z"), (3, "z")], "ord int, projectName string")
     assert learning.addable_examples(kept, new).count() == 0  # three are the most
     assert [r["projectName"] for r in learning.addable_examples(kept.limit(2), new).collect()] == ["Z"]
