@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeline.functions import display, pipes
-from gradeline.operators import compare, discovery, layout, learning, normalize, publish, scoreboard, statistics, validate
+from gradeline.operators import compare, discovery, layout, learning, normalize, publish, scoreboard, sections, statistics, validate
 from gradeline.plans.registry import query, read
 from gradeline.sources import files as file_source
 from gradeline.sources import records as record_source
 from gradeline.sources import workbooks
 from gradeline.sources.constants import CATCHBASIN_ROWS, DEFAULT_PARAMS, LABOR_RATES
 from gradeline.sources.scoreboards import scoreboard_fields
+from gradeline.stages import cut
 
 _AS_OF = "2024-01-01"
 _ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity"
@@ -77,6 +78,11 @@ def _raw(spark, sf_dir) -> DataFrame:
     return made.select(F.col("project").cast("string").alias("project"), F.to_json(whole).alias("response_json"))
 
 
+def _responses(spark, sf_dir) -> DataFrame:
+    """(project, response): the raw records, parsed as VARIANT."""
+    return sections.parsed(_raw(spark, sf_dir)).select("project", "response")
+
+
 def _records(spark, sf_dir) -> DataFrame:
     # Records are few bytes and much work each, so their partitions are not to be merged by size.
     raw = _raw(spark, sf_dir).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "project")
@@ -93,8 +99,9 @@ def _rounded(df: DataFrame) -> DataFrame:
            fee, length, dia, round(slope, 6) AS slope, round(depth, 6) AS depth, round(materials, 6) AS materials, 0.0::DOUBLE AS le FROM s
 """)
 def normalized_sewers(spark, sf_dir):
-    """Sewer rows of the normalised records, with the template that their number asks for."""
-    rows = _records(spark, sf_dir).select("project", F.col("templateType").alias("template"), "confidence", F.inline("sewers"))
+    """Typed sewer rows of the raw records, with the template that their number asks for."""
+    heads = sections.heads(_responses(spark, sf_dir), _AS_OF, keep=["response"]).withColumnRenamed("templateType", "template")
+    rows = sections.section(heads, "sewers", ["project", "template", "confidence"])
     return _rounded(rows.select(
         "project", "template", "confidence", "item", F.col("runLabel").alias("label"), F.col("isLineItem").alias("fee"), "length", F.col("pipeDiameter").alias("dia"), "slope", "depth",
         F.col("addMaterials").alias("materials"), F.col("addLE").alias("le"),
@@ -107,7 +114,7 @@ def normalized_sewers(spark, sf_dir):
 """)
 def normalized_manholes(spark, sf_dir):
     """Manhole rows of the normalised records; the outlet keeps its diameter, the manhole's own is brought to a standard size."""
-    rows = _records(spark, sf_dir).select("project", F.inline("manholes"))
+    rows = sections.section(_responses(spark, sf_dir), "manholes", ["project"])
     return _rounded(rows.select(
         "project", "item", F.col("description").alias("label"), F.col("topElevation").alias("top"), F.col("lowInvert").alias("low"), F.col("pipeOutDiameter").alias("out_dia"),
         F.col("structureType").alias("kind"), F.col("addMaterials").alias("materials"), F.col("addLE").alias("le"), "depth", F.col("diameter").alias("dia"),
@@ -124,11 +131,11 @@ def normalized_manholes(spark, sf_dir):
 """)
 def normalized_watermain(spark, sf_dir):
     """Watermain runs, specials and valves, catchbasin groups and rates of the normalised records, with their defaults."""
-    kept = _records(spark, sf_dir).persist()
+    responses = cut(_responses(spark, sf_dir))  # made once, as responses of a table are
     block = lambda name, rows, label, *columns: rows.select("project", F.lit(name).alias("block"), "item", F.col(label).alias("label"), *[F.col(c).alias(k) for k, c in zip("abcd", columns, strict=True)])
-    of = lambda column: kept.select("project", F.inline(column))
-    basins = kept.select("project", F.posexplode("catchbasins.groups").alias("item", "x")).select("project", (F.col("item") + 1).alias("item"), "x.*")
-    rates = kept.select("project", F.lit(0).alias("item"), F.lit("").alias("label"), "catchbasins.laborRates.*")
+    of = lambda name: sections.section(responses, name, ["project"])
+    basins = of("catchbasins.groups")
+    rates = sections.heads(responses, _AS_OF).withColumn("item", F.lit(0)).withColumn("label", F.lit(""))
     parts = [
         block("run", of("watermain"), "sizeAndType", "length", "pipeDiameter", "ocSc", "avgCover"),
         block("special", of("watermainSpecials"), "specialName", "quantity", "costEach", "anodeCost", "thrustBlock"),
