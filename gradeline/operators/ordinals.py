@@ -9,20 +9,8 @@ from gradeline.stages import cut
 
 
 def global_position(df: DataFrame, order: str, into: str = "position") -> DataFrame:
-    """Add the position (from 0) of each row by a unique numeric column.
-
-    Approximate quantiles of the column, one for each shuffle partition (512 at most), cut its values into blocks of like
-    size, however they are spread. Rows are numbered within blocks; only the block counts are summed up in order.
-    """
-    blocks = min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2), 512)
-    found = df.agg(F.percentile_approx(order, [k / blocks for k in range(1, blocks)], 10_000)).first()[0]
-    cuts = F.array(*[F.lit(x) for x in sorted(set(found or []))])
-    blocked = df.withColumn("_block", F.size(F.filter(cuts, lambda c: c <= F.col(order))))
-    counts = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_block").orderBy(order)) - 1
-    placed = blocked.withColumn("_inside", inside).join(F.broadcast(before), "_block")  # a row for each block
-    return placed.withColumn(into, (F.col("_before") + F.col("_inside")).cast("long")).drop("_block", "_inside", "_before")
+    """Add the position (from 0) of each row by a column, however many rows there are and however its values are spread."""
+    return numbered(df, [], order, into).withColumn(into, (F.col(into) - 1).cast("long"))
 
 
 def round_robin(df: DataFrame, order: str, shards: int) -> DataFrame:

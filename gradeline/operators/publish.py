@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeline.functions.display import currency, padded
@@ -62,6 +62,68 @@ def printed(rows: DataFrame, width: int = 50) -> DataFrame:
     return rows.orderBy(F.desc("overall"), F.asc("project")).select(line.alias("line"))
 
 
+SECTIONS = ("mh_structures", "mh_catchbasins", "sewers", "watermain")
+_BAR = " │ "
+
+
+def fixed(value: Column, places: int) -> Column:
+    """A number from 0 on as text with 0 or 1 places, by its exact binary value; a number right between two texts gives the larger one."""
+    units = value * (20 if places else 2)
+    tie = (value * 4 == F.floor(value * 4)) & (units % 2 == 1)
+    return F.call_function("format_number", F.when(tie, value + 0.25 * 10**-places).otherwise(value), F.lit("0.0" if places else "0"))
+
+
+def _percent(value: Column, places: int) -> Column:
+    return F.when(value.isNull(), "N/A").otherwise(F.concat(fixed(value, places), F.lit("%")))
+
+
+def _left(text: Column, width: int) -> Column:
+    """A text filled up on the left; longer ones stay whole."""
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, " "))
+
+
+def _right(text: Column, width: int) -> Column:
+    return F.when(F.length(text) >= width, text).otherwise(F.rpad(text, width, " "))
+
+
+def board_lines(rows: DataFrame, width: int = 50) -> DataFrame:
+    """The table of a run: one line for each project with its sections, overall accuracy and cells, best first."""
+    columns = [padded(F.col("project"), width), *[_left(_percent(F.col(c), 0), 8) for c in SECTIONS], _left(_percent(F.col("overall"), 1), 8), _left(F.col("total_cells").cast("string"), 6)]
+    return rows.orderBy(F.desc("overall"), F.asc("project")).select(F.concat_ws(_BAR, *columns).alias("line"))
+
+
+def golden_lines(rows: DataFrame, width: int = 50) -> DataFrame:
+    """The table of chosen projects: sections with one place, or errors where the project failed (``failed``)."""
+    found = F.concat_ws(_BAR, *[_right(_percent(F.col(c), 1), 6) for c in SECTIONS], _percent(F.col("overall"), 1))
+    errors = F.lit(_BAR.join(["ERROR "] * len(SECTIONS) + ["ERROR"]))
+    return rows.select(F.concat(_right(F.col("project"), width), F.lit("│ "), F.when(F.col("failed"), errors).otherwise(found)).alias("line"))
+
+
+def comparison_lines(reports: DataFrame, diffs: DataFrame, most: int = 15) -> DataFrame:
+    """(project, section, place, line): what a comparison shows of each section.
+
+    ``reports`` has project, section, total_cells, matching_cells, missing_rows and extra_rows; ``diffs`` has project, section, ord,
+    row, column_name, truth, found and pct_error. After the first ``most`` differences comes how many more there are.
+    """
+    by = ["project", "section"]
+    share = F.when(F.col("total_cells") > 0, fixed(F.try_divide(F.col("matching_cells") * 100.0, F.col("total_cells")), 1)).otherwise("N/A")
+    head = F.array(
+        F.concat(F.lit("  "), "section"), F.concat(F.lit("     Accuracy: "), share, F.format_string("%% (%d/%d)", "matching_cells", "total_cells")),
+        F.format_string("     Missing rows: %d | Extra rows: %d", "missing_rows", "extra_rows"),
+    )
+    ranked = diffs.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("ord", "column_name")))
+    shown_error = F.when(F.col("pct_error").isNull(), "").otherwise(F.concat(F.lit(" ("), fixed(F.col("pct_error"), 1), F.lit("% err)")))
+    one = F.concat(F.format_string('        Row %d [%s]: truth="%s" vs gen="%s"', "row", "column_name", "truth", "found"), shown_error)
+    counts = diffs.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    heads = reports.join(counts, by, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    count = F.when(F.col("_n") > 0, F.format_string("     %d mismatches:", "_n"))
+    rest = F.when(F.col("_n") > most, F.format_string("        ... and %d more", F.col("_n") - most))
+    top = heads.select(*by, F.posexplode(F.concat(head, F.array(count))).alias("place", "line"))
+    lines = ranked.where(F.col("_rank") <= most).select(*by, (F.col("_rank") + 9).alias("place"), one.alias("line"))
+    end = heads.select(*by, F.lit(most + 10).alias("place"), rest.alias("line"))
+    return top.unionByName(lines).unionByName(end).where("line is not null")
+
+
 def _wide(cells: DataFrame, by: str, sheet: str, first: int, last: int, columns: dict[str, str]) -> DataFrame:
     """(by, row, and a struct<num, text> for each column) of a block of sheet rows."""
     inside = cells.where((F.col("sheet") == sheet) & F.col("row").between(first, last) & F.col("col").isin(*columns))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeline.functions.values import trimmed
+from gradeline.operators.ordinals import numbered
 
 
 def histogram(rows: DataFrame, value: str) -> DataFrame:
@@ -54,8 +55,9 @@ def profile_means(records: DataFrame) -> DataFrame:
 
 
 def by_complexity(records: DataFrame) -> DataFrame:
-    """Records with the most sewers and manholes first."""
-    return records.orderBy(F.desc(F.size("sewers") + F.size("manholes")), F.asc("project"))
+    """(project, place): records with the most sewers and manholes first."""
+    key = F.struct((-(F.size("sewers") + F.size("manholes"))).alias("less"), "project")
+    return numbered(records.select("project", key.alias("_key")), [], "_key", "place").select("project", "place")
 
 
 def example_candidates(records: DataFrame, keep: int = 10) -> DataFrame:

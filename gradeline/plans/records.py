@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradeline.functions import display, pipes
-from gradeline.operators import compare, discovery, layout, learning, normalize, publish, scoreboard, sections, statistics, validate
+from gradeline.operators import compare, discovery, layout, learning, normalize, ordinals, publish, scoreboard, sections, statistics, validate
 from gradeline.plans.registry import query, read
 from gradeline.sources import files as file_source
 from gradeline.sources import records as record_source
@@ -450,9 +450,8 @@ def profile_means(spark, sf_dir):
 
 @query(f"WITH {_SIZED} SELECT project, row_number() OVER (ORDER BY sewers + manholes DESC, project) AS place FROM x")
 def complexity_order(spark, sf_dir):
-    """Records by their number of sewers and manholes; a place is given to a row for each project."""
-    ordered = statistics.by_complexity(_with_pdf(spark, sf_dir)).select("project", F.monotonically_increasing_id().alias("_at"))
-    return ordered.select("project", F.row_number().over(Window.orderBy("_at")).cast("long").alias("place"))
+    """Records by their number of sewers and manholes."""
+    return statistics.by_complexity(_with_pdf(spark, sf_dir))
 
 
 @query(f"WITH {_SIZED} SELECT project FROM x WHERE has_pdf AND groups > 0 AND sewers BETWEEN 3 AND 20 ORDER BY project LIMIT 10")
@@ -638,6 +637,22 @@ def baseline_accuracy(spark, sf_dir):
     return _rounded(scoreboard.baseline(rows))
 
 
+_SHOWN = "lpad(coalesce(round({})::BIGINT || '%', 'N/A'), 8, ' ')"
+_FIXED = "printf('%.1f', {0} + CASE WHEN {0} * 4 = floor({0} * 4) AND ({0} * 20)::BIGINT % 2 = 1 THEN 0.01 ELSE 0 END)"
+_GOLDEN = f"rpad(coalesce({_FIXED} || '%', 'N/A'), 6, ' ')"
+
+
+@query(f"""WITH {_BOARD}, d AS (SELECT * FROM q WHERE day = (SELECT max(day) FROM q))
+    SELECT 'board' AS layout, rpad('Project ' || project, 50, ' ') || ' │ ' || {" || ' │ ' || ".join(_SHOWN.format(c) for c in _MEANS)} || ' │ ' || lpad({_FIXED.format('overall')} || '%', 8, ' ') || ' │ ' || lpad(total_cells::VARCHAR, 6, ' ') AS line FROM d
+    UNION ALL SELECT 'golden', rpad('Project ' || project, 50, ' ') || CASE WHEN total_cells = 0 THEN '│ ERROR  │ ERROR  │ ERROR  │ ERROR  │ ERROR' ELSE '│ ' || {" || ' │ ' || ".join(_GOLDEN.format(c) for c in _MEANS)} || ' │ ' || {_FIXED.format('overall')} || '%' END FROM d
+""")
+def printed_sections(spark, sf_dir):
+    """The newest scoreboard with its sections, as lines of the run's table and of the table of chosen projects."""
+    rows = scoreboard.latest_day(_board(spark, sf_dir)).withColumn("project", F.concat(F.lit("Project "), "project"))
+    golden = publish.golden_lines(rows.withColumn("failed", F.col("total_cells") == 0))
+    return scoreboard.union_all([publish.board_lines(rows).select(F.lit("board").alias("layout"), "line"), golden.select(F.lit("golden").alias("layout"), "line")])
+
+
 @query("SELECT count(*) FILTER (event_type = 'view') AS processed, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type IN ('signup', 'click')) AS skipped FROM events")
 def run_counters(spark, sf_dir):
     """How many projects were processed, failed and were skipped."""
@@ -718,7 +733,7 @@ def all_examples(spark, sf_dir):
     builtin = read(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("ord"))
     added = read(spark, sf_dir, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("long").alias("ord"))
     both = learning.all_examples(builtin, added)
-    return both.select(F.row_number().over(Window.orderBy("ord")).cast("long").alias("place"), "name")
+    return ordinals.numbered(both, [], "ord", "place").select(F.col("place").cast("long").alias("place"), "name")
 
 
 @query("""

@@ -15,6 +15,23 @@ def test_printed(spark):
     assert got[0].startswith("c ") and got[0].endswith("  90.0% (9/10)") and got[1].startswith("b" * 50 + " ") and "N/A" in got[2]
 
 
+def test_tables_of_sections(spark):
+    rows = spark.createDataFrame([("b" * 60, 12.5, None, 100.0, 0.4, 50.0, 4, 2, False), ("a", None, None, None, None, None, 0, 0, True)], "project string, mh_structures double, mh_catchbasins double, sewers double, watermain double, overall double, total_cells int, matching_cells int, failed boolean")
+    board = [r["line"] for r in publish.board_lines(rows).collect()]
+    assert board[0] == "b" * 50 + " │      13% │      N/A │     100% │       0% │    50.0% │      4"
+    golden = sorted(r["line"] for r in publish.golden_lines(rows).collect())
+    assert golden == ["a".ljust(50) + "│ ERROR  │ ERROR  │ ERROR  │ ERROR  │ ERROR", "b" * 60 + "│ 12.5%  │ N/A    │ 100.0% │ 0.4%   │ 50.0%"]
+
+
+def test_lines_of_a_comparison(spark):
+    reports = spark.createDataFrame([("p", "S", 40, 23, 1, 2), ("p", "T", 0, 0, 0, 0)], "project string, section string, total_cells long, matching_cells long, missing_rows long, extra_rows long")
+    diffs = spark.createDataFrame([("p", "S", i, 11 + i, "Depth", "2", None, 12.34 if i == 1 else None) for i in range(1, 18)], "project string, section string, ord int, row int, column_name string, truth string, found string, pct_error double")
+    got = [r["line"] for r in publish.comparison_lines(reports, diffs).orderBy("section", "place").collect()]
+    assert got[:4] == ["  S", "     Accuracy: 57.5% (23/40)", "     Missing rows: 1 | Extra rows: 2", "     17 mismatches:"]
+    assert got[4] == '        Row 12 [Depth]: truth="2" vs gen="null" (12.3% err)' and len(got) == 4 + 15 + 1 + 3 and got[19] == "        ... and 2 more"
+    assert got[20:] == ["  T", "     Accuracy: N/A% (0/0)", "     Missing rows: 0 | Extra rows: 0"]
+
+
 def test_workbook_projections(spark):
     cells = [("x", "MANHOLES (1)", 11, "B", None, "MH 1"), ("x", "MANHOLES (1)", 54, "B", None, "CB"), ("x", "MANHOLES (1)", 12, "C", 3.0, None), ("x", "MANHOLES (1)", 13, "D", 3.0, None),
              ("x", "SEWERS (1)", 15, "B", None, "STORM"), ("x", "SEWERS (1)", 14, "B", None, "A-B"), ("x", "SEWERS (1)", 14, "C", 5.0, None), ("x", "SEWERS (1)", 16, "B", None, "Video fee")]
