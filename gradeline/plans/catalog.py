@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gradeline.functions import display, matching, pipes, tokens, values
 from gradeline.operators import compare, costs, discovery, layout, learning, ordinals, scoreboard, statistics, validate
-from gradeline.plans import books, names, records, runs, typed  # noqa: F401  (register their queries)
+from gradeline.plans import books, names, records, runs, stored, typed  # noqa: F401  (register their queries)
 from gradeline.plans.registry import ORACLE, QUERIES, query, read  # noqa: F401
 from gradeline.sources import files
 from gradeline.sources.constants import DEFAULT_PARAMS

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeline.shipping import ship
@@ -89,6 +89,13 @@ def retryable(message: str, status: int | None) -> bool:
     return status == 429 or (status is not None and 500 <= status < 600) or "resource exhausted" in low or "429" in low or "abort" in low
 
 
+def is_retryable(message: Column, status: Column) -> Column:
+    """``retryable`` of columns."""
+    low = F.lower(message)
+    said = F.contains(low, F.lit("resource exhausted")) | F.contains(low, F.lit("429")) | F.contains(low, F.lit("abort"))
+    return F.coalesce((status == 429) | ((status >= 500) & (status < 600)), F.lit(False)) | F.coalesce(said, F.lit(False))
+
+
 def with_retry(call: Callable[[], str], attempts: int = 3, first_delay: float = 10.0, sleep: Callable[[float], None] | None = None, jitter: Callable[[], float] = lambda: 0.0) -> str:
     """Call again after 1, 2, 4 ... times the first delay, if the error is retryable."""
     import time
