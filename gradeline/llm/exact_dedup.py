@@ -5,8 +5,9 @@ from then on. A Structured Streaming query reads the narrow columns of the landi
 state keeps, for each digest and without expiry, the smallest identifier with its locator and the
 number of rows, so that later landings could be added to the same state. Digests that several rows
 have are checked on full bytes: only their texts are taken from the landing table (where they are
-few by broadcast, else by shuffle behind a Bloom filter), copies collapse in each task, and if different texts ever share
-a digest, these rows are grouped again by their whole text.
+few by broadcast, else by shuffle behind a Bloom filter of 8 bits or more for each hit), copies collapse in each task, and
+if different texts ever share a digest, these rows are grouped again by their whole text. The state has as many partitions
+as the landing table's size asks for, so a store stays about as large as 128 MB of input make it.
 
 Only DataFrame operations run on the executors. Defined results: a null text counts as empty,
 empty texts are equal to each other, null identifiers come first, of rows that repeat both
@@ -19,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeline.llm.buckets import partitions
 from gradeline.llm.shared import TIDY, free_name, join_by_key, new_dir, settings, write, written
 
 _WHITE = r"[\x20\x09-\x0D]+"
@@ -31,15 +33,19 @@ _ROCKSDB = {
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "192",
 }
 
-#: Where the hits are too many to broadcast, a Bloom filter of them (4 MB) keeps other texts from the shuffle;
-#: far above 4 million hits it lets more and more of them pass, and the result stays exact.
-_BLOOM = {
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "64g",
-    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
-    "spark.sql.optimizer.runtime.bloomFilter.numBits": str(1 << 25),
-}
+#: Least hits that a Bloom filter is made for, and its bits for each.
+_LEAST_HITS, _BITS = 4_000_000, 8
+
+
+def _bloom(hits: int) -> dict[str, str]:
+    """Settings for a Bloom filter of so many hits, which keeps other texts from the shuffle. It takes a byte for each hit in each task that makes it."""
+    items = max(hits, _LEAST_HITS)
+    bits = 1 << (items * _BITS - 1).bit_length()
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    values = {
+        "enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "64g", "expectedNumItems": items, "maxNumItems": items, "numBits": bits, "maxNumBits": bits,
+    }
+    return {prefix + k: str(v) for k, v in values.items()}
 
 
 def normalised(text: Column) -> Column:
@@ -52,14 +58,14 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def _stream_state(spark: SparkSession, landing: str, schema, name: dict[str, str], files_per_batch: int) -> DataFrame:
-    """Run the stream over all landing files and return the newest state row of each digest."""
+def _stream_state(spark: SparkSession, landing: str, schema, name: dict[str, str], files_per_batch: int, parts: int) -> DataFrame:
+    """Run the stream over all landing files, its state in so many partitions, and return the newest state row of each digest."""
     out, progress = new_dir(spark, "dedup-state"), new_dir(spark, "dedup-progress")
 
     def emit(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    with settings(spark, _ROCKSDB | TIDY):
+    with settings(spark, _ROCKSDB | TIDY | {"spark.sql.shuffle.partitions": str(parts)}):
         landed = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(landing)
         landed = landed.select(*(F.col(name[c]).alias(c) for c in ("digest", "row_id", "locator")))
         state = landed.groupBy("digest").agg(
@@ -113,13 +119,15 @@ def _resolved(landing: DataFrame, name: dict[str, str], path: str, body: Column,
     """doc_id, keep_id, group_size, kept, text_sha256, locator of every row of a landing table."""
     spark = landing.sparkSession
     rows = landing.select(*(F.col(name[c]).alias(c) for c in _OWN[:4]))
-    state = _stream_state(spark, path, landing.schema, name, files_per_batch)
+    state = _stream_state(spark, path, landing.schema, name, files_per_batch, partitions(landing))
 
     # Full bytes: a digest that stands for two texts shows up twice. Copies collapse before the shuffle.
-    hits = written(state.where("group_size > 1").select("digest", "group_size"), "dedup-hits").where("group_size > 1")
+    hits = written(state.where("group_size > 1").select("digest", "group_size"), "dedup-hits")
+    count = hits.count()
+    hits = hits.where("group_size > 1")  # Spark makes a Bloom filter only of what a filter has chosen
     texts = landing.select(F.col(name["digest"]).alias("digest"), body.alias("norm"))
     mixed = texts.join(hits, "digest", "left_semi").distinct().groupBy("digest").count().where("count > 1").select("digest")
-    with settings(spark, _BLOOM):
+    with settings(spark, _bloom(count)):
         mixed = written(mixed, "dedup-mixed")
 
     result = join_by_key(rows, state.select("digest", "first", "group_size"), "digest", state.select("digest", "group_size"), rows.count())

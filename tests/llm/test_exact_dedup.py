@@ -53,3 +53,25 @@ def test_drop_keeps_columns(make_docs, empty_docs):
 def test_plan_is_native(make_docs):
     plan = exact_dedup(make_docs([(1, "a"), (2, "a")]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_bloom_filter_and_state_grow_with_the_input(spark, make_docs, monkeypatch):
+    """Far more hits than the filter's least size, by a small setting: other texts stay out of the byte check's shuffle."""
+    from gradeline.llm import exact_dedup as E
+
+    assert int(E._bloom(100_000_000)["spark.sql.optimizer.runtime.bloomFilter.numBits"]) >= 800_000_000
+    assert E._bloom(100_000_000)["spark.sql.optimizer.runtime.bloomFilter.maxNumItems"] == "100000000"
+    monkeypatch.setattr(E, "_LEAST_HITS", 4)
+    texts = [(i, f"copy {i % 40}") for i in range(120)] + [(1000 + i, f"single {i}") for i in range(300)]
+    found = make_docs(texts)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        check(exact_dedup(found), texts)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    seen = []
+    real = E.partitions
+    monkeypatch.setattr(E, "partitions", lambda df: seen.append(real(df)) or 7)
+    check(exact_dedup(found), texts)
+    assert seen
