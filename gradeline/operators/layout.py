@@ -69,37 +69,53 @@ def rows_to_cells(rows: Column, sheet: str, first: int, last: int, columns) -> C
     return F.flatten(F.transform(F.slice(rows, 1, last - first + 1), one))
 
 
-def _last(groups: Column, kind: str, name: str) -> Column:
-    """The last value but zero of a field among the groups of a type, which all write the same cell."""
-    values = F.transform(F.filter(groups, lambda g: g["type"] == kind), lambda g: F.nullif(g[name], F.lit(0.0)))
-    return F.try_element_at(F.filter(values, lambda v: v.isNotNull()), F.lit(-1))
-
-
-def cell_writes(records: DataFrame, once: bool = False) -> DataFrame:
-    """The cells of normalised records with their params, in the order in which they are written.
-
-    Catchbasin groups of one type write the same cells. With ``once`` there is only the last write, which a sheet shows.
-    """
+def cell_writes(records: DataFrame) -> DataFrame:
+    """The cells of normalised records with their params. Catchbasin groups of one type write the same cells."""
     parts = [F.array(*[_cell(sheet, F.lit(ref), None, F.col(name)) for sheet in ("MANHOLES (1)",) for ref, name in HEADER_CELLS])]
     for section, (sheet, cells) in PARAM_CELLS.items():
         parts.append(F.array(*[_cell(sheet, F.lit(ref), F.col(f"params.{section}.{name}"), None) for ref, name in cells.items()]))
     for name, (sheet, first, last, columns) in BLOCKS.items():
         parts.append(rows_to_cells(F.col(name), sheet, first, last, columns))
-    if once:
-        parts.append(F.array(*[
-            _cell("MANHOLES (1)", F.lit(f"{c}{row}"), _last(F.col("catchbasins.groups"), kind, n), None) for kind, row in CATCHBASIN_ROWS.items() for c, n in CATCHBASIN_COLUMNS
-        ]))
-    else:
-        at = F.create_map(*[x for k, v in CATCHBASIN_ROWS.items() for x in (F.lit(k), F.lit(str(v)))])
-        groups = F.filter("catchbasins.groups", lambda g: F.try_element_at(at, g["type"]).isNotNull())
-        parts.append(F.flatten(F.transform(groups, lambda g: F.array(*[
-            _cell("MANHOLES (1)", F.concat(F.lit(c), F.try_element_at(at, g["type"])), F.nullif(g[n], F.lit(0.0)), None) for c, n in CATCHBASIN_COLUMNS
-        ]))))
+    at = F.create_map(*[x for k, v in CATCHBASIN_ROWS.items() for x in (F.lit(k), F.lit(str(v)))])
+    groups = F.filter("catchbasins.groups", lambda g: F.try_element_at(at, g["type"]).isNotNull())
+    parts.append(F.flatten(F.transform(groups, lambda g: F.array(*[
+        _cell("MANHOLES (1)", F.concat(F.lit(c), F.try_element_at(at, g["type"])), F.nullif(g[n], F.lit(0.0)), None) for c, n in CATCHBASIN_COLUMNS
+    ]))))
     rates = F.col("catchbasins.laborRates")
     parts.append(F.array(*[_cell("MANHOLES (1)", F.lit(ref), F.nullif(rates[n], F.lit(0.0)), None) for ref, n in RATE_CELLS]))
     return records.select("project", F.inline(F.concat(*parts))).where("num is not null or text is not null")
 
 
+def _filled(cells: DataFrame) -> DataFrame:
+    return cells.where("num is not null or text is not null")
+
+
+def section_writes(rows: DataFrame, name: str) -> DataFrame:
+    """The cells of a section's typed rows (project, item, fields); rows beyond the block are dropped."""
+    sheet, first, last, columns = BLOCKS[name]
+    row = (F.col("item") + (first - 1)).cast("string")
+    cells = [
+        _cell(sheet, F.concat(F.lit(c), row), None if f in _TEXT else F.col(f) if zero else F.nullif(F.col(f), F.lit(0.0)), F.col(f) if f in _TEXT else None, force) for c, f, force, zero in columns
+    ]
+    return _filled(rows.where(F.col("item") <= last - first + 1).select("project", F.inline(F.array(*cells))))
+
+
+def basin_writes(rows: DataFrame) -> DataFrame:
+    """The cells of catchbasin groups (project, item, type, fields); of groups of one type the last value but zero of each field is there."""
+    named = rows.where(F.col("type").isin(*CATCHBASIN_ROWS))
+    last = named.groupBy("project", "type").agg(*[F.max_by(F.col(n), F.when(F.col(n) != 0, F.col("item"))).alias(n) for _, n in CATCHBASIN_COLUMNS])
+    at = F.element_at(F.create_map(*[x for k, v in CATCHBASIN_ROWS.items() for x in (F.lit(k), F.lit(str(v)))]), F.col("type"))
+    return _filled(last.select("project", F.inline(F.array(*[_cell("MANHOLES (1)", F.concat(F.lit(c), at), F.col(n), None) for c, n in CATCHBASIN_COLUMNS]))))
+
+
+def head_writes(heads: DataFrame) -> DataFrame:
+    """The cells of the header, the parameters (a struct ``params``) and the labour rates of each project."""
+    cells = [_cell("MANHOLES (1)", F.lit(ref), None, F.col(name)) for ref, name in HEADER_CELLS]
+    cells += [_cell(sheet, F.lit(ref), F.col(f"params.{section}.{name}"), None) for section, (sheet, refs) in PARAM_CELLS.items() for ref, name in refs.items()]
+    cells += [_cell("MANHOLES (1)", F.lit(ref), F.nullif(F.col(n), F.lit(0.0)), None) for ref, n in RATE_CELLS]
+    return _filled(heads.select("project", F.inline(F.array(*cells))))
+
+
 def guarded(writes: DataFrame, formulas: DataFrame) -> DataFrame:
     """The writes that don't meet a formula of the template (sheet, ref), or are forced."""
     free = writes.where("not force").join(F.broadcast(formulas.select("sheet", "ref").distinct()), ["sheet", "ref"], "left_anti")

@@ -15,7 +15,7 @@ from gradeline.plans.registry import query, read
 from gradeline.sources import files as file_source
 from gradeline.sources import records as record_source
 from gradeline.sources import workbooks
-from gradeline.sources.constants import CATCHBASIN_ROWS, DEFAULT_PARAMS, LABOR_RATES
+from gradeline.sources.constants import CATCHBASIN_ROWS, DEFAULT_PARAMS, LABOR_RATES, PARAM_CELLS
 from gradeline.sources.scoreboards import scoreboard_fields
 from gradeline.stages import cut
 
@@ -195,17 +195,12 @@ _CELLS = {
     "sp": ("WATERMAIN (1)", 24, 40, "B:label:t C:quantity D:cost E:0.0:z F:anode"),
     "v": ("WATERMAIN (1)", 24, 40, "O:label:t P:1.0 Q:cost R:285.0 S:150.0 T:150.0"),
 }
-_PARAM_REFS = {
-    "MANHOLES (1)": "F3:10 F4:250 F5:0.35 F6:1.1 F7:1 I3:1 I4:1 I5:718 I6:375 I7:500 L4:110 L7:0.3",
-    "SEWERS (1)": "F3:1.2 F4:0.3 F5:0 F6:9000 F7:300 F8:65 I3:22 I4:35 I5:10 I6:30 I7:10 P3:100 P4:1 P5:1.1 P6:0.9 P7:0.8 P8:25 P9:0.3 V3:1 V4:1",
-    "WATERMAIN (1)": "F3:1.2 F4:0.3 F5:0 F6:9000 F7:300 F8:65 I3:22 I4:35 I5:10 I6:30 I7:10 I8:0 O3:100 O4:1 O6:0.9 O7:1 O8:0.15 R4:5 R7:620 L3:32 L4:51 L5:84 L6:156 L7:194 L8:250 U3:1 U4:1",
-}
 
 
 def _cell_sql() -> str:
     parts = ["SELECT project, 'MANHOLES (1)' AS sheet, 'B2' AS ref, NULL::DOUBLE AS num, project::VARCHAR AS text, false AS force FROM projects", f"SELECT project, 'MANHOLES (1)', 'B5', NULL, '{_AS_OF}', false FROM projects"]
-    for sheet, cells in _PARAM_REFS.items():
-        values = ", ".join("('{}', {}::DOUBLE)".format(*c.split(":")) for c in cells.split())
+    for section, (sheet, cells) in PARAM_CELLS.items():
+        values = ", ".join(f"('{ref}', {DEFAULT_PARAMS[section][name]}::DOUBLE)" for ref, name in cells.items())
         parts.append(f"SELECT project, '{sheet}', k.ref, k.num, NULL, false FROM projects, (VALUES {values}) k(ref, num)")
     for table, (sheet, first, last, cells) in _CELLS.items():
         for c in cells.split():
@@ -220,9 +215,20 @@ def _cell_sql() -> str:
     return "cells AS MATERIALIZED (SELECT project::VARCHAR AS project, sheet, ref, round(num, 6) AS num, text, force FROM (" + " UNION ALL ".join(parts) + ") WHERE num IS NOT NULL OR text IS NOT NULL)"
 
 
-def _writes(spark, sf_dir, once: bool = False) -> DataFrame:
-    params = F.struct(*[F.struct(*[F.lit(v).alias(k) for k, v in fields.items()]).alias(s) for s, fields in DEFAULT_PARAMS.items()])
-    return _rounded(layout.cell_writes(_records(spark, sf_dir).withColumn("params", params), once))
+def _params():
+    return F.struct(*[F.struct(*[F.lit(v).alias(k) for k, v in fields.items()]).alias(s) for s, fields in DEFAULT_PARAMS.items()])
+
+
+def _writes(spark, sf_dir) -> DataFrame:
+    return _rounded(layout.cell_writes(_records(spark, sf_dir).withColumn("params", _params())))
+
+
+def _shown(spark, sf_dir) -> DataFrame:
+    """The cells that the records' workbooks show once all is written, from typed rows of each section."""
+    responses = cut(_responses(spark, sf_dir))  # made once, as responses of a table are
+    parts = [layout.section_writes(sections.section(responses, name, ["project"]), name) for name in layout.BLOCKS]
+    heads = sections.heads(responses, _AS_OF).withColumn("params", _params())
+    return _rounded(scoreboard.union_all([layout.head_writes(heads), layout.basin_writes(sections.section(responses, "catchbasins.groups", ["project"])), *parts]))
 
 
 @query(f"WITH {_RECORDS}, {_cell_sql()} SELECT * FROM cells")
@@ -258,7 +264,7 @@ _SHEETS = _cell_sql() + f""",
 
 def _cells(spark, sf_dir) -> DataFrame:
     """The cells that the records' workbooks show: what is written, and the catchbasin types of the template."""
-    w = _writes(spark, sf_dir, once=True)
+    w = cut(_shown(spark, sf_dir))
     types = F.array(*[F.struct(F.lit("MANHOLES (1)").alias("sheet"), F.lit(f"B{row}").alias("ref"), F.lit(None).cast("double").alias("num"), F.lit(kind).alias("text")) for kind, row in CATCHBASIN_ROWS.items()])
     # Each workbook has the header's cell once, so its template's cells come with it.
     named = w.where("sheet = 'MANHOLES (1)' and ref = 'B2'").select("project", F.inline(types))
@@ -307,7 +313,7 @@ def section_cells(spark, sf_dir):
 """)
 def dataset_table(spark, sf_dir):
     """The ground-truth dataset of workbooks: rows with a label or a first number, manholes down to the catchbasins."""
-    kept = publish.dataset_records(_cells(spark, sf_dir).persist()).persist()
+    kept = cut(publish.dataset_records(_cells(spark, sf_dir)))
     parts = [("manholes", "description", "topElevation", "lowInvert", "structureType", "pipeOutDiameter"), ("sewers", "runLabel", "length", "pipeDiameter", "slope", "depth"), ("watermain", "sizeAndType", "length", "pipeDiameter", "ocSc", "avgCover")]
     return scoreboard.union_all([
         kept.select("path", F.inline(block)).select("path", F.lit(block).alias("block"), "row", F.col(label).alias("label"), *[F.col(c).alias(k) for k, c in zip("abcd", columns, strict=True)])
@@ -328,7 +334,7 @@ def dataset_table(spark, sf_dir):
 """)
 def example_table(spark, sf_dir):
     """What an example holds of each workbook: manholes, catchbasin groups, sewers and rates."""
-    kept = publish.example_records(_cells(spark, sf_dir).persist()).withColumn("name", F.col("projectName")).persist()
+    kept = cut(publish.example_records(_cells(spark, sf_dir)).withColumn("name", F.col("projectName")))
     none = F.lit(False).alias("item")
     manholes = kept.select("path", "name", F.inline("manholes")).select("path", "name", F.lit("manholes").alias("block"), "row", F.col("description").alias("label"), none, F.col("depth").alias("a"), F.col("addMaterials").alias("b"), F.col("addLE").alias("c"))
     sewers = kept.select("path", "name", F.inline("sewers")).select("path", "name", F.lit("sewers").alias("block"), "row", F.col("runLabel").alias("label"), F.col("isLineItem").alias("item"), F.col("length").alias("a"), F.col("pipeDiameter").alias("b"), F.col("slope").alias("c"))
@@ -384,7 +390,7 @@ _CELL_ROWS = """
 
 def _sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """True and generated sewer rows: some missing, some extra, numbers off by up to 8 %, texts with other case and white space."""
-    rows = _records(spark, sf_dir).select("project", F.inline("sewers")).where("runLabel <> ''").persist()
+    rows = cut(sections.section(_responses(spark, sf_dir), "sewers", ["project"]).where("runLabel <> ''"))
     cell = lambda n, t: F.struct(n.cast("double").alias("num"), t.cast("string").alias("text"))
     none, ord_ = F.lit(None), F.col("item")
     key = F.concat(F.col("runLabel"), F.lit(" #"), ord_.cast("string"))
@@ -504,32 +510,15 @@ _WORDS = ("civil", "servicing", "Drainage", "PLAN", "structural", "detail", "spe
 _FILES = f"""
     files AS (SELECT (p_size % 13)::VARCHAR AS project, p_name || '-' || {list(_WORDS)!r}[(p_partkey % {len(_WORDS)})::INTEGER + 1] || '-' || p_partkey || ['.pdf', '.xlsx', '.PDF', '.xlsx', '.docx'][(p_partkey // {len(_WORDS)} % 5)::INTEGER + 1] AS name,
                      (p_retailprice * 7)::BIGINT % 1000 AS size FROM part)"""
-# What each runner looks for: (ending, any case of the ending, excluded words, words excluded in their case, choice).
-_RUNNERS = {
-    ("batch", "drawing"): (".pdf", True, "quote quotation schedule bid geotechnical geotech appendix_4 report proposal estimate pricing breakdown budget letter backup specifications specs rpt contracting invoice addendum tender+form", "", "score"),
-    ("batch", "truth"): (".xlsx", True, "quote budget backup sand appendix estimate additional", "", "first"),
-    ("cloud", "drawing"): (".pdf", True, "quote quotation schedule bid geotechnical appendix_4 report structural architectural", "", "largest"),
-    ("cloud", "truth"): (".xlsx", True, "quote budget backup sand appendix estimate additional", "eval+", "first"),
-    ("golden", "drawing"): (".pdf", True, "quote quotation schedule bid geotechnical report granular structural architectural", "", "largest"),
-    ("golden", "truth"): (".xlsx", True, "", "eval+run+", "first"),
-    ("single", "drawing"): (".pdf", True, "quote schedule bid structural architectural", "", "first"),
-    ("single", "truth"): (".xlsx", True, "", "", "first"),
-    ("extract", "drawing"): (".pdf", True, "quote quotation schedule bid geotechnical appendix_4 report", "", "largest"),
-    ("analysis", "truth"): (".xlsx", False, "quote", "eval+", "first"),
-    ("dataset", "drawing"): (".pdf", True, "quote breakdown", "", "all"),
-    ("dataset", "truth"): (".xlsx", True, "quote sand appendix estimate_moe budget additional", "", "all"),
-    ("profile", "drawing"): (".pdf", False, "quote schedule bid", "", "first"),
-    ("profile", "truth"): (".xlsx", False, "quote budget backup sand appendix estimate", "", "first"),
-}
 _POINTS = "CASE WHEN regexp_matches(low, 'civil|servicing|drainage|plan') THEN 1000 ELSE 0 END - CASE WHEN regexp_matches(low, 'structural|detail|spec|det-') THEN 500 ELSE 0 END"
 
 
 def _runner_sql() -> str:
     parts = []
-    for (runner, kind), (ending, any_case, words, exact, choice) in _RUNNERS.items():
-        spell = lambda w: w.replace("_", " ").replace("+", "_")
-        where = [f"ends_with({'low' if any_case else 'name'}, '{ending}')", *[f"NOT contains(low, '{spell(w)}')" for w in words.split()], *[f"NOT contains(name, '{spell(w)}')" for w in exact.split()]]
-        order = {"score": f"{_POINTS} DESC, size DESC, name", "largest": "size DESC, name", "first": "name", "all": None}[choice]
+    rules = [(runner, kind, rule) for runner, both in discovery.RULES.items() for kind, rule in zip(("drawing", "truth"), both, strict=True) if rule]
+    for runner, kind, rule in rules:
+        where = [f"ends_with({'low' if rule.any_case else 'name'}, '{rule.ending}')", *[f"NOT contains(low, '{w}')" for w in rule.excluded], *[f"NOT contains(name, '{w}')" for w in rule.excluded_exactly]]
+        order = None if rule.all_files else f"{_POINTS} DESC, size DESC, name" if rule.plus else "size DESC, name" if rule.largest else "name"
         pick = f" QUALIFY row_number() OVER (PARTITION BY project ORDER BY {order}) = 1" if order else ""
         parts.append(f"SELECT * FROM (SELECT '{runner}' AS runner, '{kind}' AS kind, project, name FROM (SELECT *, lower(name) AS low FROM files) WHERE {' AND '.join(where)}{pick})")
     return " UNION ALL ".join(parts)
