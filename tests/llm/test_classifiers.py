@@ -157,3 +157,45 @@ def test_toxicity_learns_terms(spark, make_docs, empty_docs):
 
 if __name__ == "__main__":
     pytest.main([__file__])
+
+
+def test_quality_scores_are_sums_of_table_entries(spark, make_docs):
+    """Each document's score by plain loops over the tables at its own bins."""
+    rows = quality_rows()
+    docs = make_docs([(i, t) for i, t, _ in rows] + [(7000, None), (7001, "One two. Three!")])
+    model = quality.train_quality(docs, spark.createDataFrame([(i, q, 0) for i, _, q in rows], "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, model).collect()}
+    for i, text in [*[(i, t) for i, t, _ in rows], (7000, ""), (7001, "One two. Three!")]:
+        data = text.encode()
+        (x,) = quality.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        at = [sum(1 for e in edges if e <= v) for edges, v in zip(model.edges, x, strict=True)]
+        logit = model.base
+        for table, b in zip(model.tables, at, strict=True):
+            logit += float(table[b])
+        for j, k, table in model.pairs:
+            logit += float(table[at[j]][at[k]])
+        assert abs(got[i] - 1 / (1 + np.exp(-logit))) < 1e-9
+        words = text.split()
+        assert abs(x[quality.FEATURES.index("log_words")] - np.log1p(len(words))) < 1e-9
+        assert abs(x[quality.FEATURES.index("lines")] - text.count("\n") / max(len(words), 1)) < 1e-9
+
+
+def test_toxicity_scores_by_plain_loops(spark, make_docs):
+    """Counts of texts without quotation by word for word comparison with the lexicon, and the scores of all counts."""
+    r = random.Random(3)
+    scorer = toxicity.Scorer(list(toxicity.INSULTS), ["zorb"])
+    clean = ["river", "table", "window", "garden", "seven", "march"]
+    texts = [(i, " ".join(r.choice([*clean, *clean, "idiot", "moron.", "(scum)", "zorbing", "Zorb!"]) for _ in range(r.randint(0, 30)))) for i in range(200)] + [(900, None), (901, "")]
+    got = {x["doc_id"]: x for x in toxicity.score_toxicity(make_docs(texts), scorer).collect()}
+    exact = {"idiot", "moron", "scum"}
+    for i, text in texts:
+        words = [w.strip(".()!").lower() for w in (text or "").split()]
+        hits = sum(w in exact or w.startswith("zorb") for w in words)
+        counts = [got[i][c] for c in toxicity.COUNTS]
+        assert counts[0] == hits and counts[1:] == [0] * (len(counts) - 1), text
+        terms = [1.0]
+        for c in counts:
+            terms += [float(c >= 1), float(c >= 2), np.log1p(c) * (c >= 2)]
+        terms.append(min((counts[0] + 0.5 * counts[1]) / max(len(words), 1) * 10, 1))
+        score = 1 / (1 + np.exp(-sum(t * w for t, w in zip(terms, scorer.weights, strict=True))))
+        assert abs(got[i]["score"] - score) < 1e-9 and got[i]["predicted"] == int(score >= 0.5)

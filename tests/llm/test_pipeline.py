@@ -62,3 +62,38 @@ def test_stages_against_brute_force(spark, tables):
     assert len(names) == 5
     for _, stage in C.STAGES[:-1]:
         assert stage(spark, frame, path).columns == frame.columns
+
+
+def written(spark, folder, rows, schema, items=()):
+    spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_path):
+    from conftest import SCHEMA, rows_of
+
+    r = random.Random(4)
+    text = lambda n, k: " ".join(f"{r.choice('abcdefgh')}{r.randrange(10_000)}{k}" for _ in range(n))
+    body, item, long = text(60, "x"), text(20, "i"), text(60_000, "l")
+    near = body.split()
+    near[-1] = "changed"
+    texts = [
+        (1, body), (1, body), (2, body.replace(" ", "\t ")), (3, " ".join(near)), (None, text(30, "n")), (None, None), (5, ""), (6, " \n "), (7, long), (8, text(10, "p") + " " + item.upper() + " " + text(10, "q")), (9, text(40, "z")),
+    ]
+    path = written(spark, tmp_path, rows_of(texts), SCHEMA, [(1, item), (2, None), (3, "")])
+    library = sentencepiece.SentencePieceProcessor(model_file=C.encode_decode.__globals__["default_model_path"]())
+    want = sorted(((i, len(library.encode(t or ""))) for i, t in texts if (i, t) in [(1, body), (None, texts[4][1]), (None, None), (6, " \n "), (7, long), (9, texts[10][1])]), key=str)
+    want.remove((1, len(library.encode(body))))  # the row is there twice and stays once
+    got = sorted(((x["doc_id"], x["n_tokens"]) for x in C.run(spark, path).collect()), key=str)
+    assert got == want
+    frame = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in C.STAGES[:-1]:
+        assert stage(spark, frame, path).columns == frame.columns
+
+
+def test_empty_table(spark, tmp_path):
+    from conftest import SCHEMA
+
+    assert C.run(spark, written(spark, tmp_path, [], SCHEMA)).count() == 0
