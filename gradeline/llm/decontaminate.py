@@ -11,7 +11,8 @@ SHORT characters, which would match anything within an edit, match exactly and a
 The items are sent to the workers in blocks of at most BLOCK_BYTES bytes, one after the other, with
 one pass over the texts for each block; usual benchmarks are one block. Defined results: null or empty
 texts match nothing, null or empty items are left out, repeated items or rows give repeated matches,
-of equal distances the first end counts, an empty benchmark gives no match, other columns don't matter.
+of equal distances the first end counts, an empty benchmark or table gives no match, null identifiers are reported as
+null, a very long text is searched whole, as a block of its own, other columns don't matter.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ at its bins, so scoring needs no trees. Features come from the text alone.
 
 Defined results: null and empty texts have all features at zero and get a score like any other;
 with no labelled rows every score is 0.5; labels on one side only give that side's rate;
-repeated rows are scored each; other columns don't matter.
+repeated rows and null identifiers are scored like others, and a null one is never held out; an empty
+table gives an empty result; a very long text is one row of features like any other, worked on as a
+block of its own; other columns don't matter.
 """
 
 from __future__ import annotations

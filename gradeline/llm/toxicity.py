@@ -12,7 +12,8 @@ outside a quotation (quotation marks or reporting words near it in a window of w
 model over the counts, fitted towards a stated prior, gives the score.
 
 Defined results: null and empty texts have no hits; with no labelled rows the prior's weights
-score; repeated rows are scored each; other columns don't matter.
+score; repeated rows and null identifiers are scored like others, and a null one is never held out; an empty table
+gives an empty result; a very long text is counted whole, as a block of its own; other columns don't matter.
 """
 
 from __future__ import annotations
