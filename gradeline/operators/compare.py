@@ -4,7 +4,8 @@ Rows pair up one to one: each true row, in its order, takes the first generated
 matches and that no earlier row took. In groups as small as a sheet's row range, candidates come from
 an equi-join on the group (project and section) with the key match as a residual condition, and the
 order-dependent choice is a fold over the group's candidate lists, which hold ordinals only. Larger
-groups are paired in rounds of joins (``pairing``), so no task or row holds one.
+groups are cut into parts of linked keys, and parts that are still large are paired in rounds of joins
+(``pairing``), so no task or row holds a large group.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gradeline.functions.matching import key_parts, parts_match, percent_error, values_match
 from gradeline.functions.values import blank
-from gradeline.operators.pairing import paired
+from gradeline.operators.pairing import components, linked_keys, paired
 from gradeline.stages import cut
 
 #: Groups of more rows, of both sides together, are not folded in one row.
@@ -26,18 +27,36 @@ FOLD_ROWS = 400
 def greedy_match(truth: DataFrame, found: DataFrame, by: list[str], key: str = "key", order: str = "ord", fold_rows: int = FOLD_ROWS) -> DataFrame:
     """(by, ord, match): the generated row's ordinal for each true row, NULL if it has none.
 
-    Groups with more than ``fold_rows`` rows are paired in rounds, with the same result.
+    Groups with more than ``fold_rows`` rows are cut into parts whose keys are linked; parts that are still larger are paired
+    in rounds. The result is the same.
     """
     counted = truth.select(*by).unionByName(found.select(*by)).groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
     large = cut(counted.where(F.col("_rows") > fold_rows).drop("_rows").na.drop())
     if large.isEmpty():
         return _folded(truth, found, by, key, order)
     big, other = truth.join(large, by, "left_semi"), found.join(large, by, "left_semi")
-    took = paired(big, other, by, key, order)
-    every = big.select(*by, F.col(order).alias("ord")).join(took, [*by, "ord"], "left")
+    every = big.select(*by, F.col(order).alias("ord")).join(_in_parts(big, other, by, key, order, fold_rows), [*by, "ord"], "left")
     return _folded(truth.join(large, by, "left_anti"), found.join(large, by, "left_anti"), by, key, order).unionByName(every)
 
 
+def _in_parts(truth: DataFrame, found: DataFrame, by: list[str], key: str, order: str, fold_rows: int) -> DataFrame:
+    """(by, ord, match) of the true rows of large groups that get a found row."""
+    inner = [f"_by{i}" for i in range(len(by))]
+    bare = key_parts(F.col("_key"))["bare"]
+    plain = lambda df: df.select(*[F.col(c).alias(n) for c, n in zip(by, inner, strict=True)], F.col(key).alias("_key"), F.col(order).alias("_order"))
+    t, f = plain(truth), plain(found)
+    links = cut(linked_keys(t, f, inner, "_key"))
+    here, there = components(links, inner)
+    t = cut(t.withColumn("bare", bare).join(here, [*inner, "bare"]).drop("bare"))
+    f = cut(f.withColumn("other", bare).join(there, [*inner, "other"]).drop("other"))
+    group = [*inner, "part"]
+    sizes = t.select(*group).unionByName(f.select(*group)).groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
+    large = cut(sizes.where(F.col("_rows") > fold_rows).select(*group))
+    small = _folded(t.join(large, group, "left_anti"), f.join(large, group, "left_anti"), group, "_key", "_order").where("match is not null")
+    took = small.unionByName(paired(t.join(large, group, "left_semi"), f.join(large, group, "left_semi"), group, "_key", "_order"))
+    return took.select(*[F.col(n).alias(c) for c, n in zip(by, inner, strict=True)], "ord", "match")
+
+
 def _folded(truth: DataFrame, found: DataFrame, by: list[str], key: str, order: str) -> DataFrame:
     """Each group's true rows in one row, which take their choices in turn; true rows without a whole group value stay apart."""
     t = truth.select(*by, F.col(order).alias("ord"), key_parts(F.col(key)).alias("_key"))

@@ -62,12 +62,13 @@ def overlapping_rules(rules: DataFrame, name: str, text: str, more_than: float =
 
 def _scored(pairs: DataFrame, targets: DataFrame, examples: DataFrame) -> DataFrame:
     """(target, example, ord, less, good) of pairs of target and example: the score with its sign turned, and whether the example is another's than the target's."""
-    shared = lambda column: F.coalesce(F.size(F.array_intersect("_words", word_set(F.col(column), 2))), F.lit(0))
-    met = pairs.join(examples.select("example", "ord", "name", "description"), "example")
-    met = met.join(targets.select("target", F.lower("name").alias("_target"), word_set(F.col("name"), 2).alias("_words")), "target")
-    alike = shared("name")
-    own = (alike >= OWN_WORDS) | F.contains("_target", F.lower("name"))
-    return met.select("target", "example", "ord", (-(alike + shared("description") * 0.5)).alias("less"), F.coalesce(~own, F.lit(False)).alias("good"))
+    # Word sets are made once for each side, and shared words are counted once for each pair.
+    shared = lambda column: F.coalesce(F.size(F.array_intersect("_words", column)), F.lit(0))
+    sets = examples.select("example", "ord", F.lower("name").alias("_name"), word_set(F.col("name"), 2).alias("_own"), word_set(F.col("description"), 2).alias("_told"))
+    met = pairs.join(sets, "example").join(targets.select("target", F.lower("name").alias("_target"), word_set(F.col("name"), 2).alias("_words")), "target")
+    met = met.select("target", "example", "ord", shared("_own").alias("_alike"), shared("_told").alias("_other"), F.contains("_target", "_name").alias("_within"))
+    good = F.coalesce(~((F.col("_alike") >= OWN_WORDS) | F.col("_within")), F.lit(False))
+    return met.select("target", "example", "ord", (-(F.col("_alike") + F.col("_other") * 0.5)).alias("less"), good.alias("good"))
 
 
 def _best(scored: DataFrame, keep: int) -> DataFrame:

@@ -55,6 +55,21 @@ def linked_keys(truth: DataFrame, found: DataFrame, by: list[str], key: str = "k
     return one.unionByName(_within(f, t, by).select(*by, F.col("long").alias("bare"), F.col("short").alias("other"))).distinct()
 
 
+def components(links: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(by, bare, part) and (by, other, part): true and found keys that are linked, also through others, have the same part.
+
+    Each key takes the smallest label of its neighbours until none changes, one step for each link of the longest chain.
+    """
+    labels = cut(links.select(*by, "bare").distinct().withColumn("part", F.xxhash64("bare")))
+    while True:
+        over = links.join(labels, [*by, "bare"]).groupBy(*by, "other").agg(F.min("part").alias("part"))
+        new = cut(links.join(over, [*by, "other"]).groupBy(*by, "bare").agg(F.min("part").alias("part")))
+        settled = new.join(labels.withColumnRenamed("part", "_old"), [*by, "bare"]).where("part <> _old").isEmpty()
+        labels = new
+        if settled:
+            return labels, cut(links.join(labels, [*by, "bare"]).select(*by, "other", "part").distinct())
+
+
 def paired(truth: DataFrame, found: DataFrame, by: list[str], key: str = "key", order: str = "ord") -> DataFrame:
     """(by, ord, match) of the true rows that get a found row. Orders are unique within a group; ``by`` has no nulls."""
     # The columns of the group get names that nothing else has.
