@@ -51,6 +51,31 @@ def test_cells(spark, tmp_path):
     assert [(r["key"], r["ord"], r["row"], r["num"]) for r in rows] == [("MH 1", 1, 11, 12.5), ("MH 2", 2, 12, None)]
 
 
+def test_filters_reach_the_files(spark, tmp_path):
+    sheets = {"MANHOLES (1)": {"B11": "MH 1", "B12": "MH 2", "C12": 3.5}, "SEWERS (1)": {"B14": " S 1 ", "J11": ("formula", "A1+1")}}
+    (tmp_path / "a.xlsx").write_bytes(workbooks.new_workbook(sheets))
+    workbooks.register(spark)
+    cells = spark.read.format("workbook").load(str(tmp_path))
+    got = lambda df: sorted((r["sheet"], f"{r['col']}{r['row']}", r["num"], r["text"]) for r in df.collect())
+    assert got(cells.where("sheet = 'SEWERS (1)' and row >= 14")) == [("SEWERS (1)", "B14", None, " S 1 ")]
+    assert got(cells.where("sheet in ('MANHOLES (1)', 'x') and row > 11 and row < 13 and col = 'C'")) == [("MANHOLES (1)", "C12", 3.5, None)]
+    assert got(cells.where("row = 11")) == [("MANHOLES (1)", "B11", None, "MH 1"), ("SEWERS (1)", "J11", None, None)]  # a formula without a result
+    assert got(workbooks.read_cells(spark, str(tmp_path), workbooks.Wanted().of_sheets(["SEWERS (1)"]).rows(12, 14))) == [("SEWERS (1)", "B14", None, " S 1 ")]
+
+
+def test_the_calculation_chain_goes(spark):
+    made = io.BytesIO(workbooks.new_workbook({"MANHOLES (1)": {"J11": ("formula", "A1")}}))
+    with zipfile.ZipFile(made, "a") as z:
+        z.writestr("xl/calcChain.xml", "<calcChain/>")
+    rels = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="calcChain.xml"/></Relationships>'
+    types = '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Override PartName="/xl/calcChain.xml" ContentType="x"/><Override PartName="/xl/workbook.xml" ContentType="y"/></Types>'
+    assert b"calcChain" not in workbooks._without_chain(rels.encode()) and b"sheet1.xml" in workbooks._without_chain(rels.encode()) and b"workbook.xml" in workbooks._without_chain(types.encode())
+    out = workbooks.filled_template(made.getvalue(), [("MANHOLES (1)", "J11", 2.0, None, True), ("MANHOLES (1)", "B11", None, "  x ", False)])
+    with zipfile.ZipFile(io.BytesIO(out)) as z:
+        assert "xl/calcChain.xml" not in z.namelist()
+    assert [(c[3], c[5], c[6]) for c in workbooks.cells_of(out)] == [("B", None, "  x "), ("J", 2.0, None)]
+
+
 def test_template(spark):
     template = workbook({"MANHOLES (1)": ROWS, "SEWERS (1)": ""}, SHARED)
     writes = [("MANHOLES (1)", "J12", 9.0, None, True), ("MANHOLES (1)", "H13", 5.0, None, False), ("MANHOLES (1)", "C20", None, "new & old", False), ("SEWERS (1)", "C14", 2.5, None, False)]
