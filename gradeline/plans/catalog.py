@@ -506,9 +506,9 @@ def file_names(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", shown.alias("shown"), display.safe_name(F.col("url")).alias("safe"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN '$-' ELSE '$' END || format('{:,.2f}', abs(c_acctbal)) AS amount FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 OR c_acctbal = 0 AND signbit(c_acctbal) THEN '$-' ELSE '$' END || format('{:,.2f}', abs(c_acctbal)) AS amount FROM customer")
 def currency_text(spark, sf_dir):
-    """Amounts as text."""
+    """Amounts as text; a zero below nothing keeps its sign."""
     return read(spark, sf_dir, "customer").select("c_custkey", display.currency(F.col("c_acctbal")).alias("amount"))
 
 

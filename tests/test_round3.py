@@ -33,3 +33,10 @@ def test_rows_that_compete_for_many_found_rows_are_folded_fast(spark):
         at = next((i for i, (_, other) in enumerate(free) if k == "old plate" or other == "COLD PLATE"), None)
         assert got[o] == (None if at is None else free.pop(at)[0])
     assert time.monotonic() - began < 100
+
+
+def test_currency_of_negative_zero(spark, tmp_path):
+    values = [-0.0, 0.0, -0.001, -1234.5, 1234567.125, None]
+    got, sql = both(spark, "currency_text", tmp_path, {"customer": spark.createDataFrame(list(enumerate(values)), "c_custkey long, c_acctbal double")})
+    assert got == sql
+    assert dict(got)[0] == "$-0.00" and dict(got)[1] == "$0.00"
