@@ -40,3 +40,20 @@ def test_currency_of_negative_zero(spark, tmp_path):
     got, sql = both(spark, "currency_text", tmp_path, {"customer": spark.createDataFrame(list(enumerate(values)), "c_custkey long, c_acctbal double")})
     assert got == sql
     assert dict(got)[0] == "$-0.00" and dict(got)[1] == "$0.00"
+
+
+def test_printed_means_don_t_depend_on_the_order_of_rows(spark, tmp_path):
+    """Means right between two texts, from values whose sum as doubles is off."""
+    rows, want = [], {}
+    for user in range(300):
+        cents = [(user * 37 + 11) % 100 + 10, (user * 53 + 29) % 100 + 10, 0]
+        cents[2] = 300 * (2 + user % 3) + 150 - sum(cents)  # the mean is 2.5, 3.5 or 4.5
+        if user % 2:
+            cents.reverse()
+        rows += [(len(rows) + i, datetime(2024, 1, 1, 12), user, "view", c / 100) for i, c in enumerate(cents)]
+        mean = Fraction(sum(cents), 300)
+        want[f"Project {user}"] = f"{int(mean + Fraction(1, 2))}%"
+    events = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    got, sql = both(spark, "printed_sections", tmp_path, {"events": events})
+    assert got == sql
+    assert {line.split(" │ ")[0].strip(): line.split(" │ ")[1].strip() for layout, line in got if layout == "board"} == want
