@@ -8,6 +8,7 @@ import duckdb
 
 import __spark_entry__
 from gradeline.operators import compare
+from gradeline.sources import workbooks
 
 
 def both(spark, name, folder, tables):
@@ -57,3 +58,17 @@ def test_printed_means_don_t_depend_on_the_order_of_rows(spark, tmp_path):
     got, sql = both(spark, "printed_sections", tmp_path, {"events": events})
     assert got == sql
     assert {line.split(" │ ")[0].strip(): line.split(" │ ")[1].strip() for layout, line in got if layout == "board"} == want
+
+
+def test_a_template_is_taken_apart_once(monkeypatch):
+    """Further workbooks of a template are made without its trees, and say what was written."""
+    template = workbooks.new_workbook({"S": {"A1": "a & b", "B1": ("formula", "C1*2"), "J11": ("shared", 0, "J11:J12", "C11*2"), "J12": ("shared", 0, None, None)}, "T": {"A1": 1.0}})
+    workbooks.filled_template(template, [("S", "A1", 1.0, None, False)])
+    monkeypatch.setattr(workbooks.ElementTree, "tostring", None)
+    writes = [("S", "A1", None, " <new> & old ", False), ("S", "B1", 5.0, None, False), ("S", "J12", 7.0, None, True), ("S", "AA1", 2.5, None, False), ("S", "C3", 4.0, None, False)]
+    made = workbooks.filled_template(template, writes)
+    got = {(sheet, row, col): (kind, num, text) for _, sheet, row, col, kind, num, text in workbooks.cells_of(made)}
+    assert got == {
+        ("S", 1, "A"): ("str", None, " <new> & old "), ("S", 1, "AA"): ("num", 2.5, None), ("S", 3, "C"): ("num", 4.0, None), ("S", 12, "J"): ("num", 7.0, None),
+        ("S", 1, "B"): ("formula_empty", None, None), ("S", 11, "J"): ("formula_empty", None, None), ("T", 1, "A"): ("num", 1.0, None),
+    }
