@@ -7,7 +7,9 @@ from fractions import Fraction
 import duckdb
 
 import __spark_entry__
-from gradeline.operators import compare
+from pyspark.sql import functions as F
+
+from gradeline.operators import compare, statistics
 from gradeline.sources import workbooks
 
 
@@ -72,3 +74,17 @@ def test_a_template_is_taken_apart_once(monkeypatch):
         ("S", 1, "A"): ("str", None, " <new> & old "), ("S", 1, "AA"): ("num", 2.5, None), ("S", 3, "C"): ("num", 4.0, None), ("S", 12, "J"): ("num", 7.0, None),
         ("S", 1, "B"): ("formula_empty", None, None), ("S", 11, "J"): ("formula_empty", None, None), ("T", 1, "A"): ("num", 1.0, None),
     }
+
+
+def test_complexity_order_reads_records_once(spark):
+    """Each record is made once, however often its narrow key is read."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    lists = F.array(F.lit(1), F.lit(2))
+    records = spark.range(100, numPartitions=4).select(F.udf(count, "string")(F.col("id").cast("string")).alias("project"), lists.alias("sewers"), lists.alias("manholes"))
+    assert statistics.by_complexity(records).count() == 100
+    assert seen.value == 100
