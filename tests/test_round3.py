@@ -9,7 +9,7 @@ import duckdb
 import __spark_entry__
 from pyspark.sql import functions as F
 
-from gradeline.operators import compare, statistics
+from gradeline.operators import compare, layout, statistics
 from gradeline.sources import workbooks
 
 
@@ -88,3 +88,17 @@ def test_complexity_order_reads_records_once(spark):
     records = spark.range(100, numPartitions=4).select(F.udf(count, "string")(F.col("id").cast("string")).alias("project"), lists.alias("sewers"), lists.alias("manholes"))
     assert statistics.by_complexity(records).count() == 100
     assert seen.value == 100
+
+
+def test_guarded_writes_are_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    row = F.col("id").cast("string")
+    writes = spark.range(20, numPartitions=2).select(F.lit("S").alias("sheet"), F.udf(count, "string")(F.concat(F.lit("A"), row)).alias("ref"), (F.col("id") % 2 == 0).alias("force"))
+    formulas = spark.createDataFrame([("S", "A1"), ("S", "A1"), ("S", "A2"), ("T", "A3")], "sheet string, ref string")
+    assert {r["ref"] for r in layout.guarded(writes, formulas).collect()} == {f"A{i}" for i in range(20)} - {"A1"}
+    assert seen.value == 20
