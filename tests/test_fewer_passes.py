@@ -50,6 +50,20 @@ def test_sections_of_sheets_are_dealt_once(spark):
     assert dealt(got) == 1
 
 
+def test_lists_of_workbooks_are_dealt_once(spark):
+    cells = spark.createDataFrame([
+        ("a", "MANHOLES (1)", 11, "B", None, "M1"), ("a", "MANHOLES (1)", 12, "C", 5.0, None), ("a", "SEWERS (1)", 14, "C", 2.0, None), ("a", "MANHOLES (1)", 2, "B", None, "Name"),
+        ("a", "MANHOLES (1)", 54, "C", 3.0, None), ("b", "Notes", 1, "A", None, "x"),
+    ], CELLS)
+    sets, examples = publish.dataset_records(cells), publish.example_records(cells)
+    got = {r["path"]: r for r in sets.collect()}
+    assert [(m["row"], m["description"], m["topElevation"]) for m in got["a"]["manholes"]] == [(11, "M1", 0.0), (12, "", 5.0), (54, "", 3.0)]  # down to row 60
+    assert len(got["a"]["sewers"]) == 1 and got["b"]["sewers"] == [] and got["b"]["watermain"] == []
+    one = examples.collect()
+    assert [(r["path"], r["projectName"], [m["row"] for m in r["manholes"]], [(g["row"], g["type"]) for g in r["catchbasins"]["groups"]], r["sewers"]) for r in one] == [("a", "Name", [11], [(54, "DOUBLE_CB")], [])]
+    assert dealt(sets) == 1 and dealt(examples) == 1
+
+
 def test_cells_of_records_are_stored_once_only(spark, sf_dir, monkeypatch):
     stored = []
     monkeypatch.setattr(records, "cut", lambda df: stored.append(df) or df)
