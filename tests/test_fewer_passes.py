@@ -69,3 +69,12 @@ def test_cells_of_records_are_stored_once_only(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(records, "cut", lambda df: stored.append(df) or df)
     records._cells(spark, sf_dir)
     assert len(stored) == 1  # the responses
+
+
+def test_counting_lists_does_not_read_their_leaves(spark):
+    texts = ['{"sewers": [{"length": "1"}, {}], "catchbasins": {"groups": [{}]}}', '{"projectName": "n", "manholes": [{}]}', "no record"]
+    raw = record_source.parsed(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "project string, response_json string"))
+    sizes = lambda df: sorted(tuple(r) for r in df.select("project", *[F.size(c) for c in ("sewers", "manholes", "watermain", "watermainSpecials", "watermainValves", "catchbasins.groups")]).collect())
+    few = normalize.listed(raw)
+    assert sizes(few) == sizes(normalize.normalized(raw, "2024-01-01"))
+    assert "lambda" not in plan(few)
