@@ -15,6 +15,19 @@ def plan(df):
     return out.getvalue()
 
 
+def test_rows_are_paired_once_for_cells_missing_and_extra_rows(spark, monkeypatch):
+    stored, cut = [], compare.cut
+    monkeypatch.setattr(compare, "cut", lambda df: stored.append(df.columns) or cut(df))
+    cell = lambda n: (float(n), None)
+    schema = "project string, ord int, key string, length struct<num:double,text:string>"
+    truth = spark.createDataFrame([("p", i, f"MH {i}", cell(i)) for i in range(10)], schema)
+    found = spark.createDataFrame([("p", i, f"mh-{i} (built)", cell(i + 4 * (i == 5))) for i in range(2, 12)], schema)
+    cells, extra = compare.compare_rows(truth, found, ["project"], ["length"])
+    r = compare.section_counts(cells, extra, ["project"]).first()
+    assert (r["total_cells"], r["matching_cells"], r["missing_rows"], r["extra_rows"]) == (9, 7, 2, 2)  # row 0 has a blank cell, row 1 no partner
+    assert ["project", "ord", "match"] in stored
+
+
 def test_only_rows_with_the_same_digits_meet(spark):
     schema = "g int, ord int, key string"
     truth = spark.createDataFrame([(1, 1, "Run 1"), (1, 2, "Run 12"), (1, 3, None), (1, 4, "run"), (1, 5, "a run 1")], schema)
