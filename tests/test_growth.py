@@ -6,7 +6,9 @@ from contextlib import redirect_stdout
 from pyspark.sql import functions as F
 
 from gradeline.functions.matching import values_match
-from gradeline.operators import compare
+from gradeline.operators import compare, normalize, validate
+from gradeline.plans import records
+from gradeline.sources import records as record_source
 
 
 def plan(df):
@@ -44,3 +46,16 @@ def test_cells_of_numbers_are_compared_without_the_code_for_texts(spark):
     same = df.select(values_match(F.col("a"), F.col("s"), F.col("b"), F.col("t")).alias("same"))
     assert [r["same"] for r in same.collect()] == [True, False, True, True, False, True, False, True, True, True, True]
     assert plan(same).count("regexp_extract") <= 4  # two texts, each looked at once with its check for emptiness
+
+
+def test_warnings_read_only_the_fields_of_their_rules(spark, sf_dir):
+    texts = [
+        '{"sewers": [{"runLabel": "a", "length": "0", "slope": "300", "depth": "0.1", "typeClass": "x"}, {"isLineItem": true, "length": 0}], "warnings": ["w"], "manholes": [{"depth": "1"}]}',
+        '{"watermain": [{"sizeAndType": "b", "avgCover": "9"}], "catchbasins": {"groups": [{"type": "", "quantity": "0"}], "laborRates": {}}}', "no record", "{}",
+    ]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "project string, response_json string")
+    found = lambda df: sorted(tuple(r) for r in validate.with_warnings(df).select("project", "warnings").collect())
+    few = normalize.normalized(record_source.parsed(rows, schema=record_source.schema_of(validate.FIELDS)), "2024-01-01", only=validate.FIELDS)
+    assert found(few) == found(normalize.normalized(record_source.parsed(rows), "2024-01-01"))
+    made = records.record_warnings(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "typeClass" not in made
