@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeline.functions import pipes
-from gradeline.operators import scoreboard, sections
+from gradeline.operators import sections
 from gradeline.plans.registry import query, read
 from gradeline.sources.constants import LABOR_RATES
-from gradeline.stages import cut
 
 _AS_OF = "2024-01-01"
 # A leaf as JSON (none: left out), as a number, as a text, and whether it counts as true.
@@ -47,28 +45,20 @@ def _snap(n: str) -> str:
 """)
 def typed_leaves(spark, sf_dir):
     """Every field of a raw record as number, text, quoted and bare flag, null, missing, list or object: one response for each customer."""
-    key = F.col("c_custkey")
-    shown = F.array(*[F.lit(json) for json, *_ in _LEAVES])
+    key, n = F.col("c_custkey"), len(_LEAVES)
     place = {(s, f): j for j, (s, f, *_) in enumerate(_ALL)}
 
     def entry(section: str, names) -> F.Column:
-        made = [F.element_at(shown, ((key + 5 * place[section, f]) % len(_LEAVES) + 1).cast("int")) for f in names]
-        return F.concat_ws(", ", *[F.when(v != "", F.concat(F.lit(f'"{f}": '), v)) for f, v in zip(names, made, strict=True)])
+        """The fields of an entry; which leaf a field has depends on the key's remainder, so each remainder's text is written once."""
+        made = lambda k: [(f, _LEAVES[(k + 5 * place[section, f]) % n][0]) for f in names]
+        texts = [", ".join(f'"{f}": {v}' for f, v in made(k) if v) for k in range(n)]
+        return F.get(F.array(*[F.lit(x) for x in texts]), (key % n).cast("int"))
 
     lists = {s: F.concat(F.lit("[{"), entry(s, fields), F.lit("}]")) for s, fields in sections.FIELDS.items()}
     named = [F.concat(F.lit(f'"{s}": '), v) for s, v in lists.items() if "." not in s]
     basins = F.concat(F.lit('"catchbasins": {"groups": '), lists["catchbasins.groups"], F.lit(', "laborRates": {'), entry("head", LABOR_RATES), F.lit("}}"))
     top = entry("head", [f for f in _HEAD if f not in LABOR_RATES])
-    made = read(spark, sf_dir, "customer").select("c_custkey", key.cast("string").alias("project"), F.concat(F.lit("{"), F.concat_ws(", ", F.nullif(top, F.lit("")), basins, *named), F.lit("}")).alias("response_json"))
-    responses = sections.parsed(cut(made))  # made once, as responses of a table are
-
-    def long(rows: DataFrame, section: str, fields: dict) -> DataFrame:
-        words = ("text", "flag")
-        num = lambda f, how: (F.lit(None) if how in words else F.col(f)).cast("double")
-        text = lambda f, how: (F.col(f) if how in words else F.lit(None)).cast("string")
-        cells = F.array(*[F.struct(F.lit(f).alias("field"), num(f, how[0]).alias("num"), text(f, how[0]).alias("text")) for f, how in fields.items()])
-        return rows.select("c_custkey", F.lit(section).alias("section"), F.inline(cells))
-
-    parts = [long(sections.section(responses, s, ["c_custkey"]), s, fields) for s, fields in sections.FIELDS.items()]
-    head = sections.heads(responses, _AS_OF, keep=["c_custkey"]).withColumnRenamed("project", "projectName")
-    return scoreboard.union_all([long(head, "head", _HEAD), *parts])
+    # Customers are few bytes and much work each, so their partitions go by number and not by size.
+    customers = read(spark, sf_dir, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    made = customers.select("c_custkey", key.cast("string").alias("project"), F.concat(F.lit("{"), F.concat_ws(", ", F.nullif(top, F.lit("")), basins, *named), F.lit("}")).alias("response_json"))
+    return sections.leaf_rows(sections.parsed(made), _AS_OF, ["c_custkey"]).drop("item")
