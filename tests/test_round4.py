@@ -4,8 +4,9 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from gradeline.plans import books, catalog
+from gradeline.plans import books, catalog, records
 from gradeline.sources import workbooks
 
 TEMPLATE = workbooks.new_workbook({"S": {"A1": "kept <&>", "B2": ("formula", "A1*2"), "J11": ("shared", 0, "J11:J12", "C11*2"), "J12": ("shared", 0, None, None)}, "T": {"A1": 1.0}})
@@ -76,3 +77,10 @@ def test_round_trip_deals_no_cells(spark, sf_dir):
     plan = books.workbook_round_trip(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "ExistingRDD" not in plan
     assert "Exchange" not in plan[: plan.index("from_json")]
+
+
+def test_rounding_is_that_of_decimals(spark):
+    values = [0.0, -0.0, 1.0, -3.0, 7.000000000000001, 0.8999999999999999, 0.0000005, 0.0000015, -0.0000025, 2.0000004999, 1e-9, -1e-9, 123456789.1234565, 1e9, -1.23456789e15, 1e300, float("nan"), float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+    got = [repr(r["v"]) for r in records._rounded(df).collect()]
+    assert got == [repr(r["v"]) for r in df.select(F.round("v", 6).alias("v")).collect()]
